@@ -1,0 +1 @@
+"""The engine's query plane is batch only: none of its operators has a streaming form."""
