@@ -103,6 +103,10 @@ def spans_of(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("hits"))
 
 
+def _is_kind(kind: str):
+    return lambda h: h["kind"] == kind
+
+
 def _joined(hits: Column) -> Column:
     return F.array_join(F.transform(hits, lambda h: F.concat_ws(":", h["kind"], h["start"].cast("string"), h["end"].cast("string"))), ",")
 
@@ -112,7 +116,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     paths, _, findings = scan(docs, [id_col], text_col)
     per_blob = spans_of(findings)
     base = F.filter("hits", lambda h: h["kind"].isin(*BASE))
-    counts = [F.size(F.filter("hits", lambda h, k=k: h["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(F.filter("hits", _is_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
     per_blob = per_blob.select("blob", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("hits")).alias("spans"))
     none = {f"n_{k}": F.lit(0).cast("long") for k in BASE} | {"base_sha256": F.sha2(F.lit("").cast("binary"), 256), "spans": F.lit("")}
     out = paths.join(per_blob, "blob", "left")
