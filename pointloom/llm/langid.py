@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fold_mod
+from .common import col, fold_mod, free_name
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -160,5 +160,5 @@ def identify(docs: DataFrame, held_out: tuple[int, int] | None = None, id_col: s
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     got = F.arrow_udf(run, "lang_pred string, score double")(col(text_col).cast("string"))
-    out = docs.withColumn("__language", got)
-    return out.withColumn("lang_pred", F.col("__language.lang_pred")).withColumn("score", F.col("__language.score")).drop("__language")
+    both = free_name(docs, "language")
+    return docs.withColumn(both, got).withColumns({"lang_pred": F.col(f"{both}.lang_pred"), "score": F.col(f"{both}.score")}).drop(both)

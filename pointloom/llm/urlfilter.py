@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, mix64
+from .common import col, free_name, mix64
 
 #: A block is a cache line of eight words; a key sets a bit in each.
 WORDS = 8
@@ -108,7 +108,8 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", default: st
     hits = probes.where(F.arrow_udf(passes, "boolean")(F.xxhash64("key"))).distinct()
     rank = F.struct((F.col("kind") == "rule").cast("int").alias("is_rule"), F.length("key").alias("len"), (F.col("verdict") == "block").cast("int").alias("blocks"), "key", "verdict", "kind")
     best = hits.join(listed.select("key", "verdict", "kind"), "key").groupBy("u").agg(F.max(rank).alias("best"))
-    best = best.withColumnRenamed("u", "__url")
-    out = pages.join(best, url == F.col("__url"), "left").drop("__url")
-    out = out.withColumns({"host": host_of(url), "path": path_of(url), "entry": F.col("best.key"), "entry_kind": F.col("best.kind"), "verdict": F.coalesce("best.verdict", F.lit(default))})
-    return out.drop("best")
+    key, win = free_name(pages, "judged_url"), free_name(pages, "winner")
+    best = best.select(F.col("u").alias(key), F.col("best").alias(win))
+    out = pages.join(best, url == F.col(key), "left").drop(key)
+    out = out.withColumns({"host": host_of(url), "path": path_of(url), "entry": F.col(f"{win}.key"), "entry_kind": F.col(f"{win}.kind"), "verdict": F.coalesce(f"{win}.verdict", F.lit(default))})
+    return out.drop(win)
