@@ -19,6 +19,8 @@ from .timeunits import shift
 MOST = 100.0
 #: Inside angles up to this count as none: rounding decides there.
 NO_ANGLE = 1e-12
+#: Direction of the point that stands for a circle without crossings: along no usual edge's normal.
+OFF_AXIS = 0.7310585
 #: Elements of the largest intermediate array of the polygon weight.
 CHUNK = 1 << 22
 
@@ -88,8 +90,8 @@ def _polygon_chunk(a: np.ndarray, d: np.ndarray, x: np.ndarray, y: np.ndarray, r
     width = int(many.max(initial=0))
     inside = np.zeros(len(x))
     none = many == 0
-    if none.any():  # no crossing: all or nothing, as the circle's first point
-        inside[none] = np.where(_inside(a, d, x[none] + r[none], y[none]), 2 * np.pi, 0.0)
+    if none.any():  # no crossing: all or nothing, as any point that isn't one of contact
+        inside[none] = np.where(_inside(a, d, x[none] + r[none] * np.cos(OFF_AXIS), y[none] + r[none] * np.sin(OFF_AXIS)), 2 * np.pi, 0.0)
     for k in range(width):
         rows = np.flatnonzero(many > k)
         begin = cuts[rows, k]
