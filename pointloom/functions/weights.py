@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.boundary import Polygon, Rectangle, Region
@@ -29,17 +29,34 @@ def boundary_distance(box: Rectangle, x: Column, y: Column) -> Column:
     return F.least(x - box.x0, box.x1 - x, y - box.y0, box.y1 - y)
 
 
-def rectangle_weight(box: Rectangle, x: Column, y: Column, r: Column) -> Column:
-    """Isotropic weight in a rectangle; 100 for centres outside or on its border, 1 for circles inside."""
-    sides = (x - box.x0, box.y1 - y, box.x1 - x, y - box.y0)  # around the rectangle
-    alpha = [F.when(d < r, F.acos(F.least(d / r, F.lit(1.0)))).otherwise(0.0) for d in sides]
+def _alphas(box: Rectangle, x: Column, y: Column, r: Column) -> list[Column]:
+    """Half angles that the circle cuts off beyond each side, in order around the rectangle."""
+    sides = (x - box.x0, box.y1 - y, box.x1 - x, y - box.y0)
+    return [F.when(d < r, F.acos(F.least(d / r, F.lit(1.0)))).otherwise(0.0) for d in sides]
+
+
+def _weight_of(near: Column, alpha: list[Column], r: Column) -> Column:
     outside = 2 * (alpha[0] + alpha[1] + alpha[2] + alpha[3])
     for k in range(4):
         outside = outside - F.greatest(F.lit(0.0), alpha[k] + alpha[(k + 1) % 4] - math.pi / 2)
-    inside = 2 * math.pi - outside
-    near = boundary_distance(box, x, y)
-    weight = F.when(inside > NO_ANGLE, F.least(F.lit(MOST), 2 * math.pi / inside)).otherwise(MOST)
-    return F.when(near <= 0, MOST).when(r <= near, 1.0).otherwise(weight)
+    inside = F.greatest(2 * math.pi - outside, F.lit(NO_ANGLE))  # next to nothing inside: far over 100
+    return F.when(near <= 0, MOST).when(r <= near, 1.0).otherwise(F.least(F.lit(MOST), 2 * math.pi / inside))
+
+
+def rectangle_weight(box: Rectangle, x: Column, y: Column, r: Column) -> Column:
+    """Isotropic weight in a rectangle; 100 for centres outside or on its border, 1 for circles inside."""
+    return _weight_of(boundary_distance(box, x, y), _alphas(box, x, y, r), r)
+
+
+def with_rectangle_weight(df: DataFrame, box: Rectangle, x: str, y: str, r: str, name: str = "w") -> DataFrame:
+    """df with rectangle_weight() as a column, in steps: each arc cosine is computed once.
+
+    As one expression it would hold dozens of them, and the generated method would be too large
+    for the JVM to compile.
+    """
+    alpha = {f"__alpha{k}": a for k, a in enumerate(_alphas(box, F.col(x), F.col(y), F.col(r)))}
+    staged = df.withColumns(alpha | {"__near": boundary_distance(box, F.col(x), F.col(y))})
+    return staged.withColumn(name, _weight_of(F.col("__near"), [F.col(c) for c in alpha], F.col(r))).drop(*alpha, "__near")
 
 
 def temporal_weight(unit: str, t: Column, tau: Column, t0: Column, t1: Column) -> Column:
@@ -138,13 +155,6 @@ def polygon_distance(spark: SparkSession, region: Polygon):
     return F.arrow_udf(run, "double")
 
 
-def spatial_weight(spark: SparkSession, region: Region):
-    """Function of columns (x, y, r) for either kind of region."""
-    if isinstance(region, Rectangle):
-        return lambda x, y, r: rectangle_weight(region, x, y, r)
-    return polygon_weight(spark, region)
-
-
 def translation_weight(box: Rectangle, dx: Column, dy: Column) -> Column:
     """Area over the area shared with the rectangle moved by (dx, dy); 100 at most."""
     w, h = box.x1 - box.x0, box.y1 - box.y0

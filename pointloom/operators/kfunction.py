@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeunits import Unit, distance
-from ..functions.weights import boundary_distance, polygon_distance, spatial_weight, temporal_weight, translation_weight
+from ..functions.weights import boundary_distance, polygon_distance, polygon_weight, temporal_weight, translation_weight, with_rectangle_weight
 from ..sources.boundary import Rectangle, Region
 from ..sources.points import fold
 from .pairs import distance_join, st_join
@@ -73,9 +73,9 @@ def weigh(pairs: DataFrame, region: Region, correction: str = "isotropic") -> Da
         return pairs.withColumn("w", translation_weight(region, F.col("x_b") - x, F.col("y_b") - y))
     if correction != "isotropic":
         raise ValueError(f"no such correction: {correction}")
-    weight = spatial_weight(pairs.sparkSession, region)
     if isinstance(region, Rectangle):
-        return pairs.withColumn("w", weight(x, y, d))
+        return with_rectangle_weight(pairs, region, "x_a", "y_a", "d")
+    weight = polygon_weight(pairs.sparkSession, region)
     easy = pairs.where(d <= F.col("edge_a"))
     hard = pairs.where(~(d <= F.col("edge_a")))
     return easy.withColumn("w", F.lit(1.0)).unionByName(hard.withColumn("w", weight(x, y, d)))

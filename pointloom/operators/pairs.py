@@ -13,6 +13,17 @@ from pyspark.sql import functions as F
 from ..functions.timeunits import shift
 
 
+#: Tables below this size are dealt to all shuffle partitions: their pairs are many more than
+#: their bytes suggest. Larger ones are left to adaptive execution, which can split skewed cells.
+SMALL_BYTES = 64 << 20
+
+
+def _spread(cells: DataFrame, source: DataFrame) -> DataFrame:
+    if int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL_BYTES:
+        return cells
+    return cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cx", "cy")
+
+
 def _sides(left: DataFrame, right: DataFrame, r: float) -> tuple[DataFrame, DataFrame]:
     size = r * (1 + 1e-9) if r > 0 else 1.0
     cell = lambda c: F.floor(F.col(c) / size)
@@ -21,7 +32,7 @@ def _sides(left: DataFrame, right: DataFrame, r: float) -> tuple[DataFrame, Data
     around = lambda: F.array(F.lit(-1), F.lit(0), F.lit(1))
     a = a.withColumn("ox", F.explode(around())).withColumn("oy", F.explode(around()))
     a = a.withColumn("cx", F.col("cx") + F.col("ox")).withColumn("cy", F.col("cy") + F.col("oy")).drop("ox", "oy")
-    return a, b
+    return _spread(a, left), b
 
 
 def within(r: float, boundary: bool = True):
