@@ -122,13 +122,15 @@ def _polygon_chunk(a: np.ndarray, d: np.ndarray, x: np.ndarray, y: np.ndarray, r
 
 
 def polygon_weight(spark: SparkSession, region: Polygon):
-    """Function of columns (x, y, r): the weight in a polygon, in Arrow batches."""
+    """Function of columns (x, y, r): the weight in a polygon, in Arrow batches; 1 where r is null."""
     rings = [np.array(ring, float) for ring in region.rings()]
     shared = spark.sparkContext.broadcast(rings)  # the boundary's vertices: one object of the query
 
     def run(x: pa.Array, y: pa.Array, r: pa.Array) -> pa.Array:
-        parts = (c.to_numpy(zero_copy_only=False).astype(float) for c in (x, y, r))
-        return pa.array(polygon_weights(shared.value, *parts))
+        px, py, pr = (c.to_numpy(zero_copy_only=False).astype(float) for c in (x, y, r))
+        out, work = np.ones(len(pr)), ~np.isnan(pr)
+        out[work] = polygon_weights(shared.value, px[work], py[work], pr[work])
+        return pa.array(out)
 
     return F.arrow_udf(run, "double")
 

@@ -75,10 +75,7 @@ def weigh(pairs: DataFrame, region: Region, correction: str = "isotropic") -> Da
         raise ValueError(f"no such correction: {correction}")
     if isinstance(region, Rectangle):
         return with_rectangle_weight(pairs, region, "x_a", "y_a", "d")
-    weight = polygon_weight(pairs.sparkSession, region)
-    easy = pairs.where(d <= F.col("edge_a"))
-    hard = pairs.where(~(d <= F.col("edge_a")))
-    return easy.withColumn("w", F.lit(1.0)).unionByName(hard.withColumn("w", weight(x, y, d)))
+    return pairs.withColumn("w", polygon_weight(pairs.sparkSession, region)(x, y, F.when(d > F.col("edge_a"), d)))
 
 
 def _with_edge(points: DataFrame, region: Region) -> DataFrame:
