@@ -75,6 +75,8 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, chain: np.ndarray, emit) ->
 
 
 BIG_GROUP = 4096
+#: Filed keys that one task holds at most about.
+PART_ROWS = 2_000_000
 
 
 def _finer(fps: np.ndarray, group: np.ndarray, chain: np.ndarray):
@@ -98,7 +100,6 @@ def _links(part: pa.Table) -> pa.Table:
     fps = part.column("fp").to_numpy().view(np.uint64)
     key = part.column("key").to_numpy()
     edges, held = [], 0
-    out: list[tuple[np.ndarray, np.ndarray]] = []
 
     def emit(a, b):
         nonlocal edges, held
@@ -110,9 +111,7 @@ def _links(part: pa.Table) -> pa.Table:
 
     for f, g, c in _finer(fps, key, key >> 25):
         close_pairs(f, g, c, emit)
-    if edges:
-        out.append(star_edges(edges))
-    a, b = out[0] if out else (np.zeros(0, np.uint64),) * 2
+    a, b = star_edges(edges) if edges else (np.zeros(0, np.uint64),) * 2
     return pa.table({"u": a.view(np.int64), "v": b.view(np.int64)})
 
 
@@ -121,8 +120,8 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
 
     Each bucket returns a star per local component, so edges stay linear in the rows.
     """
-    spark = fps.sparkSession
-    parts = shuffle_parts(spark)
+    # a task holds one part, so parts grow with the fingerprints
+    parts = max(shuffle_parts(fps.sparkSession), -(-8 * fps.count() // PART_ROWS))
     keys = []
     for i in range(4):
         j = (i + 1) % 4

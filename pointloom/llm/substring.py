@@ -137,7 +137,7 @@ _REPLY = "pid long, stage long, bucket long, n long, bits binary"
 
 def _send(pid: int, one: np.ndarray, two: np.ndarray | None, local: np.ndarray, buckets: int) -> pa.Table:
     at = _bounds(one, buckets)
-    rows = [b for b in range(buckets) if at[b] < at[b + 1]]
+    rows = np.flatnonzero(at[1:] > at[:-1]).tolist()
     cut = [slice(at[b], at[b + 1]) for b in rows]
     return pa.table(
         {
