@@ -47,6 +47,11 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df to be broadcast if it has no more than so many rows, else as it is. Counts df."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """Number of groups to deal work into: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, col, discard, free_name, materialize
+from .common import WORD_RE, col, discard, free_name, materialize, small
 
 # Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -78,7 +78,7 @@ def thresholds(rows: DataFrame, aims: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         edge = state.select("source", "prefix")
         if level:
-            rows_in = rows.withColumn("prefix", _bucket(level - 1)).join(_small(edge), ["source", "prefix"], "left_semi")
+            rows_in = rows.withColumn("prefix", _bucket(level - 1)).join(small(edge, BROADCAST_SOURCES), ["source", "prefix"], "left_semi")
         else:
             rows_in = rows
         sums = rows_in.groupBy("source", _bucket(level).alias("b")).agg(F.sum("size").alias("s"))
@@ -98,11 +98,6 @@ def thresholds(rows: DataFrame, aims: DataFrame) -> DataFrame:
     return materialize(state.select("source", "source_size", "target", "repeats", cut.cast("long").alias("cut")), "mix-cuts")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a table with a row per source, if there are few enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_SOURCES else df
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All columns of docs plus size, source_size, target, taken (long, long, double, long).
 
@@ -122,5 +117,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cuts = thresholds(flat, targets(sizes))
     repeats = F.col("repeats") + F.when(F.col(h) < F.col("cut"), 1).otherwise(0)
     sized = sized.withColumns({key: F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")), h: id_hash(col(id_col))})
-    out = sized.join(_small(cuts.withColumnRenamed("source", key)), key)
+    out = sized.join(small(cuts.withColumnRenamed("source", key), BROADCAST_SOURCES), key)
     return out.withColumn("taken", F.col("size") * F.least(repeats, F.lit(MAX_REPEATS))).drop(key, h, "repeats", "cut")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, free_name, materialize
+from .common import col, free_name, materialize, small
 
 
 @dataclass(frozen=True)
@@ -33,6 +33,9 @@ RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1),
     Rule("ghtoken", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 1),
 )
+#: Blobs with findings up to this number go to every executor for redaction, some 100 bytes each;
+#: with more of them the texts are shuffled by blob.
+BROADCAST_BLOBS = 200_000
 BASE = ("assign", "access", "hex")
 FINDINGS = "blob string, kind string, rule_version int, start long, end long"
 
@@ -144,8 +147,8 @@ def redact(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n
     """
     key, hits = free_name(docs, "blob"), free_name(docs, "secret_hits")
     _, _, findings = scan(docs.select(col(text_col)), [], text_col)
-    found = spans_of(findings).select(F.col("blob").alias(key), F.col("hits").alias(hits))
-    marked = docs.withColumn(key, blob_of(col(text_col).cast("string"))).join(found, key, "left")
+    found = materialize(spans_of(findings).select(F.col("blob").alias(key), F.col("hits").alias(hits)), "secret-spans")
+    marked = docs.withColumn(key, blob_of(col(text_col).cast("string"))).join(small(found, BROADCAST_BLOBS), key, "left")
     new = F.when(F.col(hits).isNull(), col(text_col)).otherwise(_cut(col(text_col), F.col(hits)))
     out = []
     for c in docs.columns:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, col, free_name, materialize, shuffle_parts
+from .common import byte_texts, col, free_name, materialize, shuffle_parts, small
 from .graph import components, star_edges
 
 SEED = 42
@@ -75,6 +75,8 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, chain: np.ndarray, emit) ->
 
 
 BIG_GROUP = 4096
+#: Ids to drop up to this number go to every executor; with more the texts are shuffled by id.
+BROADCAST_IDS = 1_000_000
 #: Filed keys that one task holds at most about.
 PART_ROWS = 2_000_000
 
@@ -164,6 +166,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key = free_name(docs, "kept_id")
     groups = materialize(near_duplicates(docs.select(col(id_col), col(text_col)), id_col, text_col), "simhash-groups")
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(key)).distinct()
+    gone = small(materialize(gone, "simhash-gone"), BROADCAST_IDS)
     kept = docs.join(gone, col(id_col) == F.col(key), "left_anti")
     again = groups.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key)).count().where("count > 1").select(key)
     if again.isEmpty():
