@@ -153,7 +153,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = comps.withColumnsRenamed({"node": "fp"}).join(reps, "fp")
     low = linked.groupBy("root").agg(F.min("rep").alias("low"))
     named = linked.join(low, "root").select("fp", "low")
-    per_fp = reps.join(named, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
+    # written, so that the last join has plain exchanges on both sides: a hot fingerprint can be split
+    per_fp = materialize(reps.join(named, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id")), "simhash-named")
     return prints.join(per_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
