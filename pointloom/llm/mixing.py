@@ -81,20 +81,22 @@ def thresholds(rows: DataFrame, aims: DataFrame) -> DataFrame:
             rows_in = rows.withColumn("prefix", _bucket(level - 1)).join(small(edge, BROADCAST_SOURCES), ["source", "prefix"], "left_semi")
         else:
             rows_in = rows
-        sums = rows_in.groupBy("source", _bucket(level).alias("b")).agg(F.sum("size").alias("s"))
+        sums = rows_in.groupBy("source", _bucket(level).alias("b")).agg(F.sum("size").alias("s"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         run = F.sum("s").over(Window.partitionBy("source").orderBy("b"))
         found = sums.withColumn("run", run).join(state.select("source", "budget", "below"), "source")
         # the first bucket with which the budget is passed
         over = found.where(F.col("below") + F.col("run") > F.col("budget"))
-        over = over.groupBy("source").agg(F.min(F.struct("b", F.col("run").alias("upto"), "s")).alias("hit"))
+        over = over.groupBy("source").agg(F.min(F.struct("b", F.col("run").alias("upto"), "s", "lo", "hi")).alias("hit"))
         new = state.join(over, "source", "left")
         taken = F.col("below") + F.col("hit.upto") - F.col("hit.s")
         last = F.when(F.col("hit").isNull(), F.col("prefix")).otherwise(F.col("hit.b"))
-        new = new.select("source", "source_size", "target", "repeats", "budget", last.alias("prefix"), F.when(F.col("hit").isNull(), F.col("below")).otherwise(taken).alias("below"), F.col("hit.s").alias("edge_size"))
+        new = new.select("source", "source_size", "target", "repeats", "budget", last.alias("prefix"), F.when(F.col("hit").isNull(), F.col("below")).otherwise(taken).alias("below"), F.col("hit.s").alias("edge_size"), F.col("hit.lo").alias("lo"), F.col("hit.hi").alias("hi"))
         old, state = state, materialize(new, "mix-state")
         discard(old)
+        if state.where("lo < hi").isEmpty():  # every edge is a single hash
+            break
     miss, reach = F.col("budget") - F.col("below"), F.col("below") + F.col("edge_size") - F.col("budget")
-    cut = F.when(F.col("edge_size").isNull(), F.lit(1 << 60)).when(reach < miss, F.col("prefix") + 1).otherwise(F.col("prefix"))
+    cut = F.when(F.col("edge_size").isNull(), F.lit(1 << 60)).when(reach < miss, F.col("hi") + 1).otherwise(F.col("lo"))
     return materialize(state.select("source", "source_size", "target", "repeats", cut.cast("long").alias("cut")), "mix-cuts")
 
 
