@@ -24,12 +24,21 @@ class Rule:
     group: int = 0
 
 
+# A private key from its BEGIN to its END line, whatever stands between but another BEGIN or END;
+# where END is missing, to the last of the header and base64 lines. Breaks may be written as \n.
+_BREAK = r"(?:[\s>]|\\[nrt])"
+_PEM = (
+    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?:{_BREAK}*+[A-Za-z][A-Za-z0-9-]*+: [^\r\n\\]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++(?:{_BREAK}++=?[A-Za-z0-9+/]{{1,15}}={{0,2}}(?![^\s\\\"'<]))?"
+    r")?"
+)
 # The base kinds in their order, then those that the method adds.
 RULES = (
     Rule("assign", 1, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 16),
     Rule("hex", 1, r"[0-9a-f]{32,}", 32),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 1),
+    Rule("pem", 2, _PEM, 1),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1),
     Rule("ghtoken", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 1),
 )
