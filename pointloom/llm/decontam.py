@@ -2,14 +2,16 @@
 
 Fixed masks hash 5 of up to 9 neighbouring tokens and ignore the others, so that a hit
 survives substitutions at the ignored places. Any stretch of 11 tokens with two
-substitutions still has a hit under one of the two masks (tests try all cases). Hits of
-a document's seeds in the benchmark's are verified along their diagonal.
+substitutions still has a hit under one of the two masks (tests try all cases). Shorter
+items have masks of their own, each without some of their pieces. Hits of a document's
+seeds in the benchmark's are verified along their diagonal.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +25,36 @@ from .common import col, mix64
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 7, 8))
 #: Overlap asked for: of so many aligned tokens this share must agree.
 WINDOW, SHARE = 13, 0.8
-#: Items of fewer tokens than TOLERANT must occur verbatim, of fewer than LEAST are left out.
+#: Items of fewer tokens than TOLERANT must occur verbatim, of fewer than LEAST are left out,
+#: unless short items are asked for.
 TOLERANT, LEAST = 11, 5
 #: The benchmark is broadcast in blocks of at most about so many bytes of text; each scans all documents.
 BLOCK_BYTES = 16 << 20
 FILTER_BITS = 22
-_TOKEN = re.compile(r"\w+")
+# Scripts written without blanks: Thai, Lao, Myanmar, Khmer, kana, ideographs.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"(?=\w)[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 
 
 def tokens(text: str) -> np.ndarray:
-    """Hashes of the lower-cased runs of letters, digits and underscores."""
+    """Hashes of the lower-cased runs of letters, digits and underscores; in scripts without
+    blanks every character is a token."""
     found = _TOKEN.findall(text.lower())
     return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
 
 
+def agreeing(width: int) -> int:
+    """How many of so many aligned tokens must agree."""
+    return int(np.ceil(SHARE * width))
+
+
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of an item of n < TOLERANT tokens: whatever may differ, one of them doesn't hash it."""
+    gone = n - agreeing(n)
+    pieces = np.array_split(np.arange(n), 2 * gone + 1)
+    return [tuple(int(o) for k, p in enumerate(pieces) if k not in out for o in p) for out in combinations(range(len(pieces)), gone)]
+
+
 def _weights(k: int) -> list[np.uint64]:
     return [mix64(np.uint64(x + 1)) | np.uint64(1) for x in range(k)]
 
@@ -61,15 +79,19 @@ class Index:
     items: list[np.ndarray]
     masks: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]]  # mask, sorted seeds, item, place
     filters: list[np.ndarray]
+    short: bool = False
 
     @classmethod
-    def build(cls, ids: list[int], texts: list[str]) -> Index:
+    def build(cls, ids: list[int], texts: list[str], short: bool = False) -> Index:
         items = [tokens(t) for t in texts]
         plan = {m: [] for m in MASKS}
         for k, t in enumerate(items):
             if len(t) >= TOLERANT:
                 for m in MASKS:
                     plan[m].append(k)
+            elif short and len(t):
+                for m in short_masks(len(t)):
+                    plan.setdefault(m, []).append(k)
             elif len(t) >= LEAST:
                 plan.setdefault(tuple(range(len(t))), []).append(k)
         masks, filters = [], []
@@ -85,7 +107,7 @@ class Index:
             near = np.zeros(1 << FILTER_BITS, bool)
             near[h >> np.uint64(64 - FILTER_BITS)] = True
             filters.append(near)
-        return cls(np.array(ids), items, masks, filters)
+        return cls(np.array(ids), items, masks, filters, short)
 
     def search(self, text: str) -> list[dict]:
         """Overlaps of a text: item_id, first token, tokens spanned, tokens that agree; by item and place."""
@@ -116,7 +138,7 @@ class Index:
         if hi - lo < width:
             return None
         same = a[lo:hi] == t[diagonal + lo : diagonal + hi]
-        need = len(a) if len(a) < TOLERANT else int(np.ceil(SHARE * width))
+        need = len(a) if len(a) < TOLERANT and not self.short else agreeing(width)
         run = np.convolve(same, np.ones(width, int), "valid")
         good = np.flatnonzero(run >= need)
         if not len(good):
@@ -128,7 +150,7 @@ class Index:
 _FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("matches", pa.int64())]))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, short: bool):
     """Indexes over hash blocks of the benchmark, each of a checked size."""
     items = benchmark.select(col(id_col).cast("long").alias("item_id"), col(text_col).cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -142,7 +164,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
     for b in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").toArrow().to_pydict()
         if part["item_id"]:
-            yield Index.build(part["item_id"], part["text"])
+            yield Index.build(part["item_id"], part["text"], short)
 
 
 def _searcher(shared):
@@ -153,28 +175,35 @@ def _searcher(shared):
     return F.arrow_udf(run, "array<struct<item_id:long,start:long,n_tokens:long,matches:long>>")
 
 
-def overlaps_column(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text"):
+def overlaps_column(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", short_items: bool = False):
     """Column: array of the benchmark items that a text overlaps, empty for none."""
     out = F.array().cast("array<struct<item_id:long,start:long,n_tokens:long,matches:long>>")
-    for index in _blocks(benchmark, item_id, item_text):
+    for index in _blocks(benchmark, item_id, item_text, short_items):
         found = _searcher(docs.sparkSession.sparkContext.broadcast(index))
         out = F.concat(out, found(col(text_col).cast("string")))
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_items: bool = False) -> DataFrame:
     """One row per input row and benchmark item it overlaps: id, item_id, start, n_tokens, matches.
 
     An overlap is a diagonal on which some 13 aligned tokens (the whole item, if shorter)
-    agree in 80 %; items of 5 to 10 tokens must occur verbatim, shorter ones are left out.
+    agree in 80 %. With short_items that holds for items of every length, so that those under
+    5 tokens must occur verbatim; without, items of 5 to 10 tokens must occur verbatim and
+    shorter ones are left out. Items with a null id or without tokens are left out.
     start and n_tokens give the stretch of document tokens, matches how many agree; of several
     overlaps with one item the one with most matches is returned, the first on ties. Null and
     empty texts overlap nothing; repeated rows are repeated; other columns are left out.
     """
-    found = docs.select(col(id_col).alias(id_col), overlaps_column(docs, benchmark, text_col).alias("__hit"))
+    found = docs.select(col(id_col).alias(id_col), overlaps_column(docs, benchmark, text_col, short_items=short_items).alias("__hit"))
     return found.select(col(id_col), F.explode("__hit").alias("__hit")).select(col(id_col), "__hit.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns unchanged, whose text overlaps no benchmark item."""
-    return docs.where(F.size(overlaps_column(docs, benchmark, text_col)) == 0)
+    """The rows of docs, all columns unchanged, whose text overlaps no benchmark item.
+
+    Items of any length count, with a null id too; overlaps are those of contamination() with
+    short_items.
+    """
+    items = benchmark.select(F.lit(0).alias("item_id"), "text")
+    return docs.where(F.size(overlaps_column(docs, items, text_col, short_items=True)) == 0)

@@ -1,6 +1,27 @@
 """Cases that a reviewer found done in part."""
 
-from pointloom.llm import secrets
+from itertools import combinations
+
+from pointloom.llm import decontam, secrets
+
+
+def test_decontam_short_and_unspaced_items(spark):
+    nine = "one two three four five six seven eight nine"
+    chinese = "这是一个没有空格的句子用来测试"
+    items = [(1, nine), (2, "zeta eta theta"), (3, chinese), (None, " ".join(f"n{k}" for k in range(20))), (4, "!?")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, nine.replace("five", "x")), (2, nine.replace("five", "x").replace("six", "y")), (3, "so zeta, ETA theta."), (4, "zeta eta"), (5, "前面" + chinese.replace("空格", "间隔") + "后面"), (6, items[3][1]), (7, "!?")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontam.contamination(docs, bench, short_items=True).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (3, 2), (5, 3)]
+    assert sorted(r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()) == [2, 4, 7]
+
+
+def test_short_masks_tolerate_a_fifth():
+    for n in range(1, decontam.TOLERANT):
+        gone = n - decontam.agreeing(n)
+        for lost in combinations(range(n), gone):
+            assert any(not set(m) & set(lost) for m in decontam.short_masks(n))
 
 
 def test_whole_private_key_is_redacted(spark):
