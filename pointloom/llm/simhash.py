@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import byte_texts, col, free_name, materialize, shuffle_parts, small
 from .graph import components, star_edges
 
@@ -159,17 +160,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep the row with the smallest id of each near-duplicate group, all columns unchanged.
+    """Keep the row with the smallest id of each group of near copies, all columns unchanged.
 
-    Of several rows with the kept id one stays, the least by the JSON of its columns. Rows
-    with a null id stay (they can't be named as a duplicate of another).
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of at
+    least 0.8 (shingles.near_copies), and what they reach. Of several rows with the kept id one
+    stays, the least by the JSON of its columns. Rows with a null id stay (they can't be named
+    as a duplicate of another).
     """
     key = free_name(docs, "kept_id")
-    groups = materialize(near_duplicates(docs.select(col(id_col), col(text_col)), id_col, text_col), "simhash-groups")
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(key)).distinct()
-    gone = small(materialize(gone, "simhash-gone"), BROADCAST_IDS)
+    groups = shingles.near_copies(docs.select(col(id_col), col(text_col)), id_col, text_col)
+    low = materialize(groups.groupBy("root").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("root", "low"), "near-low")
+    gone = groups.join(low, "root").where("id <> low").select(F.col("id").alias(key)).distinct()
+    gone = small(materialize(gone, "near-gone"), BROADCAST_IDS)
     kept = docs.join(gone, col(id_col) == F.col(key), "left_anti")
-    again = groups.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key)).count().where("count > 1").select(key)
+    again = groups.where("id IS NOT NULL").groupBy(F.col("id").alias(key)).count().where("count > 1").select(key)
     if again.isEmpty():
         return kept
     again = materialize(again, "simhash-again")

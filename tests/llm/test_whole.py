@@ -1,8 +1,59 @@
 """Cases that a reviewer found done in part."""
 
+from collections import defaultdict
 from itertools import combinations
 
-from pointloom.llm import decontam, secrets
+from pointloom.llm import decontam, secrets, shingles, simhash
+
+
+def jaccard_components(texts):
+    """{id: smallest id reachable} over five-word Jaccard similarities of at least 0.8."""
+
+    def cut(text):
+        w = (text or "").lower().encode().split()
+        return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, label = {i: cut(t) for i, t in texts.items()}, {i: i for i in texts}
+    at = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            at[g].append(i)
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in {(a, b) for ids in at.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}:
+        n = len(sets[a] & sets[b])
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            low, high = sorted((find(a), find(b)))
+            label[high] = low
+    return {i: find(i) for i in texts}
+
+
+def test_near_copies_by_shingles(spark, sf):
+    """All pairs at 0.8 or more are linked, those beyond three bits of a fingerprint too."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = jaccard_components({r["doc_id"]: r["text"] for r in docs.collect()})
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == sorted(set(want.values()))
+
+
+def test_near_copies_without_a_common_neighbour(spark):
+    """A key's sets may be near copies of each other and not of the one that is compared first."""
+    rounds, shingles.ROUNDS = shingles.ROUNDS, 1
+    base = [f"w{k}" for k in range(400)]
+    texts = {}
+    for k in range(24):
+        w = base.copy()
+        for p in range(6 * (k // 4)):
+            w[(p * 7 + 61 * (k // 4)) % 400] = f"x{k // 4}y{p}"
+        w[k] = f"z{k}"
+        texts[k] = " ".join(w)
+    want = jaccard_components(texts)
+    got = simhash.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    shingles.ROUNDS = rounds
+    assert 1 < len(set(want.values())) < 24 and {r["doc_id"] for r in got.collect()} == set(want.values())
 
 
 def test_decontam_short_and_unspaced_items(spark):
