@@ -163,9 +163,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Keep the row with the smallest id of each group of near copies, all columns unchanged.
 
     Near copies are texts whose sets of five-word shingles have a Jaccard similarity of at
-    least 0.8 (shingles.near_copies), and what they reach. Of several rows with the kept id one
-    stays, the least by the JSON of its columns. Rows with a null id stay (they can't be named
-    as a duplicate of another).
+    least 0.8 (shingles.near_copies), and what they reach. Of several rows with the kept id in a
+    group one stays, the least by the JSON of its columns; an id that stands for texts of several
+    groups is kept or dropped in each. Rows with a null id stay (they can't be named as a
+    duplicate of another).
     """
     key = free_name(docs, "kept_id")
     groups = shingles.near_copies(docs.select(col(id_col), col(text_col)), id_col, text_col)
@@ -176,9 +177,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     again = groups.where("id IS NOT NULL").groupBy(F.col("id").alias(key)).count().where("count > 1").select(key)
     if again.isEmpty():
         return kept
-    again = materialize(again, "simhash-again")
+    # such an id can stand for several texts, so that rows go by id and shingle set
+    again = materialize(again, "near-again")
+    node, root = free_name(docs, "kept_node"), free_name(docs, "kept_root")
     once = kept.join(again, col(id_col) == F.col(key), "left_anti")
+    stay = groups.join(small(again, BROADCAST_IDS), F.col("id") == F.col(key), "left_semi").distinct()
+    stay = stay.join(low, "root", "left").where("id = coalesce(low, id)").select(F.col("id").alias(key), F.col("node").alias(node), F.col("root").alias(root))
+    stay = materialize(stay, "near-stay")
     row = F.struct(*(col(c) for c in docs.columns))
-    more = kept.join(again, col(id_col) == F.col(key), "left_semi")
-    more = more.groupBy(col(id_col).alias(key)).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    more = docs.join(small(again, BROADCAST_IDS), col(id_col) == F.col(key), "left_semi").select(row.alias("row"), col(id_col).cast("long").alias(key), shingles.node_column(text_col).alias(node))
+    more = more.join(small(stay, BROADCAST_IDS), [key, node]).groupBy(root).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return once.unionByName(more)

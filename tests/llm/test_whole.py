@@ -56,6 +56,15 @@ def test_near_copies_without_a_common_neighbour(spark):
     assert 1 < len(set(want.values())) < 24 and {r["doc_id"] for r in got.collect()} == set(want.values())
 
 
+def test_repeated_id_with_different_texts(spark):
+    """A row only goes if its own group keeps another row."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (2, c, "y"), (2, c, "x"), (3, c, "x"), (4, d, "x"), (4, d, "x"), (None, b, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, simhash.drop_near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(1, a, "x"), (2, b, "x"), (2, c, "x"), (4, d, "x"), (None, b, "x")], key=repr)
+
+
 def test_decontam_short_and_unspaced_items(spark):
     nine = "one two three four five six seven eight nine"
     chinese = "这是一个没有空格的句子用来测试"
