@@ -15,10 +15,11 @@ from .common import col, fold_mod, free_name
 
 BITS = 16
 ORDERS = (1, 2, 3)
-#: Documented bounds of the fit: about so many documents a language, and so many languages
-#: (the most frequent ones), so that the broadcast matrix has at most 2 ** BITS * MAX_LANGS entries.
+#: Documented bound of the fit: about so many documents a language.
 DOCS_PER_LANG = 2000
-MAX_LANGS = 64
+#: Languages are fitted and scored in blocks of so many, so that a broadcast matrix has at most
+#: 2 ** BITS * BLOCK_LANGS entries; all languages take part.
+BLOCK_LANGS = 64
 BLOCK = 1 << 19
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -96,18 +97,6 @@ class Model:
         flush()
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.langs else []
-        lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if known:
-            joint = self.joint([texts[i] for i in known])
-            best = joint.argmax(axis=1)
-            odds = np.exp(joint - joint.max(axis=1, keepdims=True))
-            for i, b, p in zip(known, best, 1 / odds.sum(axis=1)):
-                lang[i], score[i] = self.langs[b], p
-        return lang, score
-
-
 def _count(batches):
     """Per batch: (lang, bucket, n) of the n-grams."""
     for batch in batches:
@@ -123,26 +112,47 @@ def _count(batches):
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, max_langs: int = MAX_LANGS) -> Model:
-    """Learn from rows with a language and a non-null text; add-half smoothing.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG):
+    """Models of blocks of languages in code-point order, from rows with a language and a non-null text.
 
-    A language with more rows is thinned by a hash of the id to about docs_per_lang.
+    Add-half smoothing; a language with more rows is thinned by a hash of the id to about
+    docs_per_lang. Each block of BLOCK_LANGS languages takes a scan of docs.
     """
     known = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"), col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not sizes:
-        return Model([], np.zeros((1 << BITS, 0)), np.zeros(0))
-    langs = sorted(r["lang"] for r in sizes)
-    share = F.lit(0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1 << 20, int((1 << 20) * docs_per_lang / r["count"]) + 1)).otherwise(share)
-    sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).select("lang", "text")
-    counts = sample.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.full((1 << BITS, len(langs)), 0.5)
-    place = np.searchsorted(langs, counts.column("lang").to_pylist()) if counts.num_rows else np.zeros(0, int)
-    table[counts.column("bucket").to_numpy(), place] += counts.column("n").to_numpy()
-    rows = np.array([{r["lang"]: r["count"] for r in sizes}[x] for x in langs], float)
-    return Model(langs, np.log(table / table.sum(axis=0)), np.log(rows / rows.sum()))
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    every, rows_in_all = sorted(sizes), sum(sizes.values())
+    for lo in range(0, len(every), BLOCK_LANGS):
+        langs = every[lo : lo + BLOCK_LANGS]
+        share = F.lit(0)
+        for x in langs:
+            share = F.when(F.col("lang") == x, min(1 << 20, int((1 << 20) * docs_per_lang / sizes[x]) + 1)).otherwise(share)
+        sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).select("lang", "text")
+        counts = sample.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        table = np.full((1 << BITS, len(langs)), 0.5)
+        place = np.searchsorted(langs, counts.column("lang").to_pylist()) if counts.num_rows else np.zeros(0, int)
+        table[counts.column("bucket").to_numpy(), place] += counts.column("n").to_numpy()
+        rows = np.array([sizes[x] for x in langs], float)
+        yield Model(langs, np.log(table / table.sum(axis=0)), np.log(rows / rows_in_all))
+
+
+def predict(models, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Best language over all models and its posterior; one model is needed at a time."""
+    lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+    if not known:
+        return lang, score
+    top, odds = np.full(len(known), -np.inf), np.zeros(len(known))
+    for model in models:
+        joint = model.joint([texts[i] for i in known])
+        best, high = joint.argmax(axis=1), joint.max(axis=1)
+        for k in np.flatnonzero(high > top):
+            lang[known[k]] = model.langs[best[k]]
+        new = np.maximum(top, high)
+        odds = odds * np.exp(top - new) + np.exp(joint - new[:, None]).sum(axis=1)
+        top = new
+    if np.isfinite(top).all():
+        score[known] = 1 / odds
+    return lang, score
 
 
 def identify(docs: DataFrame, held_out: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -153,10 +163,16 @@ def identify(docs: DataFrame, held_out: tuple[int, int] | None = None, id_col: s
     Ties go to the first language by code point. Columns of those names are replaced.
     """
     train = docs if held_out is None else docs.where(fold_mod(col(id_col), held_out[0]) != held_out[1])
-    shared = docs.sparkSession.sparkContext.broadcast(fit(train, id_col, text_col, lang_col))
+    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in fit(train, id_col, text_col, lang_col)]
+
+    def models():
+        for block in shared:
+            yield block.value
+            if len(shared) > 1:  # a worker holds one block's matrix
+                block.__dict__.pop("_value", None)
 
     def run(texts: pa.Array) -> pa.Array:
-        lang, score = shared.value.predict([None if t is None else t for t in texts.to_pylist()])
+        lang, score = predict(models(), texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     got = F.arrow_udf(run, "lang_pred string, score double")(col(text_col).cast("string"))

@@ -3,7 +3,7 @@
 from collections import defaultdict
 from itertools import combinations
 
-from pointloom.llm import decontam, secrets, shingles, simhash
+from pointloom.llm import decontam, langid, secrets, shingles, simhash
 
 
 def jaccard_components(texts):
@@ -95,3 +95,10 @@ def test_whole_private_key_is_redacted(spark):
     want = ["a [SECRET] b", "a [SECRET] b", "a [SECRET]\r\nplain words follow", '"[SECRET]\\n"', "[SECRET] and words", "[SECRET]\n[SECRET] b", "[SECRET]"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()] == want
+
+
+def test_more_languages_than_a_block(spark):
+    word = lambda k: "".join(chr(0x4E00 + 20 * k + j) for j in range(12))
+    rows = [(2 * k + j, word(k), f"l{k:03}") for k in range(70) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(r["lang_pred"] == r["lang"] and 0.5 < r["score"] <= 1 for r in langid.identify(docs).collect())
