@@ -69,12 +69,16 @@ class Model:
         out = np.empty((len(texts), len(self.langs)))
         batch: list[np.ndarray] = []
         rows: list[int] = []
+        ahead = max(ORDERS) - 1
+        blanks = np.full(ahead, 32, np.uint32)
 
         def flush() -> None:
             if batch:
                 codes = np.concatenate(batch)
-                first = np.r_[0, np.cumsum([len(b) for b in batch])[:-1]]
-                total = sum(np.add.reduceat(self.log_prob[_buckets(codes, n)], first, axis=0) for n in ORDERS)
+                end = np.cumsum([len(b) for b in batch])
+                # the blanks that the last n-grams look at start none themselves
+                bounds = np.stack([np.r_[0, end[:-1]], end - ahead], axis=1).ravel()
+                total = sum(np.add.reduceat(self.log_prob[_buckets(codes, n)], bounds, axis=0)[::2] for n in ORDERS)
                 out[rows] = self.log_prior + total
                 batch.clear()
                 rows.clear()
@@ -88,7 +92,7 @@ class Model:
                         total = total + self.log_prob[_buckets(part, order)[:n]].sum(axis=0)
                 out[i] = total
                 continue
-            batch.append(_codes(text))
+            batch.append(np.concatenate([_codes(text), blanks]))
             rows.append(i)
             size += len(batch[-1])
             if size > BLOCK:

@@ -3,6 +3,8 @@
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
+
 from pointloom.llm import decontam, langid, secrets, shingles, simhash
 
 
@@ -102,3 +104,9 @@ def test_more_languages_than_a_block(spark):
     rows = [(2 * k + j, word(k), f"l{k:03}") for k in range(70) for j in range(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert all(r["lang_pred"] == r["lang"] and 0.5 < r["score"] <= 1 for r in langid.identify(docs).collect())
+
+
+def test_langid_scores_dont_depend_on_neighbours():
+    model = langid.Model(["a", "b"], np.log(np.random.default_rng(1).dirichlet(np.ones(1 << langid.BITS), 2).T), np.log([0.5, 0.5]))
+    texts = ["abc", "xyz abc", "q"]
+    assert np.allclose(model.joint(texts), [model.joint([t])[0] for t in texts], rtol=0, atol=1e-9)
