@@ -1,20 +1,24 @@
-"""Near copies by the Jaccard similarity of word shingles.
-
-Texts are folded to their sets of five-word shingles. Minima of the set under BANDS x ROWS
-orders file each set under BANDS keys; a pair at similarity s shares one with probability
-1 - (1 - s ** ROWS) ** BANDS, 0.999997 at 0.8. Sets that share a key are compared by their
-whole shingle sets, first with one set of each key, then, between what is still apart, all.
+"""Near copies by five-word shingles at a Jaccard similarity of 0.8: SimHash pruning, exact check.
+
+At 0.8 a SimHash of five-word shingles differs in 9.7 of 64 bits on average, too many for
+exact-match keys of its segments. So minima of the shingle set under BANDS x ROWS orders file
+each set under BANDS keys; a pair at similarity s shares one with probability
+1 - (1 - s ** ROWS) ** BANDS, 0.999997 at 0.8. Of the pairs that share a key, those whose
+fingerprints have no chain of segments within the proportional budgets of BUDGET bits are
+pruned (a pair at 0.8 stays within them with a probability over 0.9998), and whole shingle
+sets decide about the rest: first against the most central set of each key, then between all
+sets of a key that are still apart.
 """
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_texts, col, discard, materialize, mix64, small
@@ -23,12 +27,14 @@ from .graph import components
 # The rule of stages on word shingles.
 WIDTH, SHARE = 5, (4, 5)
 BANDS, ROWS = 24, 4
+#: Bits that fingerprints may differ in, over a ring of SEGMENTS segments.
+BUDGET, SEGMENTS = 21, 8
 SEED = 42
 BLOCK = 1 << 14
-#: Sets and pairs to compare go to every executor up to this number; with more the sets are shuffled.
+#: Keys, sets and pairs up to this number go to every executor; with more the join is shuffled.
 BROADCAST_PAIRS = 500_000
-#: Most rounds that compare with one set of each key, while they still link sets.
-ROUNDS = 4
+#: Rounds that compare with one set of each key.
+ROUNDS = 2
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -63,81 +69,135 @@ def band_keys(grams: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_PRINT = pa.struct([("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
+def fingerprint(grams: np.ndarray) -> int:
+    """SimHash of a shingle set: bits set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(grams), BLOCK):
+        bits = np.unpackbits(grams[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(grams), bitorder="little").view("<i8")[0])
+
+
+def _node(grams: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(grams.tobytes(), SEED) - (1 << 63) if len(grams) else 0
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
 
 
 def _prints(texts: pa.Array) -> pa.Array:
     sets = [shingle_set(t) for t in byte_texts(texts)]
-    node = [xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets]
-    lists = []
-    for parts in ([band_keys(s) for s in sets], [s.view(np.int64) for s in sets]):
-        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))))
-    return pa.StructArray.from_arrays([pa.array(np.array(node, np.uint64).view(np.int64)), *lists], fields=list(_PRINT))
+    longs = lambda values: pa.array(np.fromiter(values, np.int64, len(sets)))
+    cols = [longs(map(_node, sets)), longs(map(len, sets)), longs(map(fingerprint, sets)), _lists([band_keys(s) for s in sets])]
+    return pa.StructArray.from_arrays(cols, names=["node", "n", "fp", "keys"])
+
+
+def _sets(texts: pa.Array) -> pa.Array:
+    sets = [shingle_set(t) for t in byte_texts(texts)]
+    node = pa.array(np.fromiter(map(_node, sets), np.int64, len(sets)))
+    return pa.StructArray.from_arrays([node, _lists([s.view(np.int64) for s in sets])], names=["node", "grams"])
 
 
 def node_column(text_col: str):
     """Column: hash of the text's shingle set, 0 without words."""
 
     def run(texts: pa.Array) -> pa.Array:
-        sets = map(shingle_set, byte_texts(texts))
-        return pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64))
+        return pa.array(np.fromiter((_node(shingle_set(t)) for t in byte_texts(texts)), np.int64, len(texts)))
 
     return F.arrow_udf(run, "long")(col(text_col).cast("string"))
 
 
-def _alike(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+def within_budgets(x: Column, bits: int = BUDGET, segments: int = SEGMENTS) -> Column:
+    """Pigeonring: some chain around the ring of x (the xor of two prints) keeps to every budget."""
+    width = 64 // segments
+
+    def count(first: int, length: int) -> Column:
+        mask = sum(((1 << width) - 1) << (width * ((first + k) % segments)) for k in range(length))
+        return F.bit_count(x.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")))
+
+    chains = [reduce(lambda a, b: a & b, [count(i, m) <= bits * m // segments for m in range(1, segments)]) for i in range(segments)]
+    return (F.bit_count(x) <= bits) & reduce(lambda a, b: a | b, chains)
+
+
+def _wide(df: DataFrame) -> DataFrame:
+    return small(df, BROADCAST_PAIRS)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose shingle sets are similar enough."""
-    ends = small(materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "shingle-ends"), BROADCAST_PAIRS)
-    sets = materialize(prints.join(ends, "node", "left_semi").groupBy("node").agg(F.any_value("grams").alias("grams")), "shingle-sets")
-    both = sets.select(F.col("node").alias("u"), F.col("grams").alias("a")).join(small(pairs, BROADCAST_PAIRS), "u")
+    both = sets.select(F.col("node").alias("u"), F.col("grams").alias("a")).join(_wide(pairs), "u")
     both = both.join(sets.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
     shared, all_ = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
-    out = materialize(both.where((SHARE[0] + SHARE[1]) * shared >= SHARE[0] * all_).select("u", "v"), "shingle-edges")
-    discard(sets)
+    return materialize(both.where((SHARE[0] + SHARE[1]) * shared >= SHARE[0] * all_).select("u", "v"), "shingle-edges")
+
+
+def _apart(named: DataFrame) -> DataFrame:
+    """The rows of keys with sets of several components."""
+    keys = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    keys = materialize(keys, "shingle-apart")
+    out = materialize(named.join(_wide(keys), "key", "left_semi"), "shingle-filed")
+    discard(keys)
     return out
 
 
+def _centres(named: DataFrame, k: int) -> DataFrame:
+    """One set of each key: in the first round the one whose keys have most sets, then any."""
+    if k:
+        rank = F.xxhash64("node", "key", F.lit(k))
+    else:
+        named = named.join(named.groupBy("key").agg(F.count("*").alias("many")), "key")
+        named = named.join(named.groupBy("node").agg(F.sum("many").alias("central")), "node")
+        rank = -F.col("central")
+    pick = F.min(F.struct(rank.alias("rank"), F.col("node").alias("w"), F.col("n").alias("m"), F.col("fp").alias("g"), F.col("root").alias("top")))
+    return named.groupBy("key").agg(pick.alias("p")).select("key", "p.w", "p.m", "p.g", "p.top")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, node (hash of the shingle set), root (its component's node).
 
-    Components join sets of a Jaccard similarity of at least 0.8. Texts without words have
-    node 0 and are copies of each other. Other columns are ignored.
+    Components join sets of a Jaccard similarity of at least 0.8. Null texts and texts without
+    words have node 0 and are copies of each other. Other columns are ignored; ids keep their
+    type and may be null or repeated. Empty input gives an empty result.
     """
-    rows = docs.select(col(id_col).cast("long").alias("id"), F.arrow_udf(_prints, "node long, keys array<long>, grams array<long>")(col(text_col).cast("string")).alias("p"))
-    prints = materialize(rows.select("id", "p.*"), "shingle-prints")
-    sizes = prints.select("node", F.size("grams").alias("n"), "keys").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
-    filed = sizes.select("node", "n", F.explode("keys").alias("key"))
-    shared = filed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
-    filed = materialize(filed.join(shared, "key"), "shingle-filed")
+    text = col(text_col).cast("string")
+    found = F.arrow_udf(_prints, "node long, n long, fp long, keys array<long>")(text)
+    prints = materialize(docs.select(col(id_col).alias("id"), F.xxhash64(text).alias("th"), found.alias("p")).select("id", "th", "p.*"), "shingle-prints")
+    each = prints.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"))
+    filed = _apart(each.select("node", "n", "fp", F.explode("keys").alias("key"), F.col("node").alias("root")))
+    # whole sets of the candidates only, each from one of its texts
+    ends = prints.select("node", "th").join(_wide(materialize(filed.select("node").distinct(), "shingle-ends")), "node", "left_semi")
+    ends = materialize(ends.groupBy("node").agg(F.min("th").alias("th")).select(F.col("th").alias("th_")).distinct(), "shingle-texts")
+    held = docs.select(text.alias("t")).join(_wide(ends), F.xxhash64("t") == F.col("th_"), "left_semi")
+    held = held.select(F.arrow_udf(_sets, "node long, grams array<long>")("t").alias("s")).select("s.*")
+    sets = materialize(held.groupBy("node").agg(F.any_value("grams").alias("grams")), "shingle-sets")
     edges, roots = None, None
-    fits = F.least("n", "m") * SHARE[1] >= F.greatest("n", "m") * SHARE[0]
+    fits = (F.least("n", "m") * SHARE[1] >= F.greatest("n", "m") * SHARE[0]) & within_budgets(F.col("fp").bitwiseXOR(F.col("g")))
     for k in range(ROUNDS + 1):
-        named = filed.withColumn("root", F.col("node")) if roots is None else filed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        filed = named = materialize(named.join(apart, "key"), "shingle-apart")
-        filed = filed.select("node", "n", "key")
-        if named.isEmpty():
+        if k:
+            if roots is not None:
+                filed = filed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            filed = _apart(filed.select("node", "n", "fp", "key", "root"))
+        if filed.isEmpty():
             break
-        other = named.select("key", F.col("node").alias("w"), F.col("n").alias("m"), F.col("root").alias("top"))
-        last = k == ROUNDS or (k > 0 and not linked)
-        if not last:  # one set a key, another in each round; at first the same for all keys of a group
-            pick = F.struct((F.xxhash64("w", "key", F.lit(k)) if k else F.col("w")).alias("h"), "w", "m", "top")
-            other = other.groupBy("key").agg(F.min(pick).alias("p")).select("key", "p.w", "p.m", "p.top")
-        pairs = named.join(other, "key").where((F.col("root") != F.col("top")) & fits)
-        pairs = materialize(pairs.select(F.greatest("node", "w").alias("u"), F.least("node", "w").alias("v")).distinct(), "shingle-pairs")
-        new = _alike(pairs, prints)
+        if k < ROUNDS:
+            near = filed.join(_centres(filed, k), "key").where((F.col("root") != F.col("top")) & fits)
+            many = near.groupBy("node", "w").agg(F.count("*").alias("many"))
+            pairs = many.groupBy("node").agg(F.max(F.struct("many", "w")).alias("p")).select(F.greatest("node", "p.w").alias("u"), F.least("node", "p.w").alias("v"))
+        else:
+            other = filed.select("key", F.col("node").alias("w"), F.col("n").alias("m"), F.col("fp").alias("g"), F.col("root").alias("top"))
+            pairs = filed.join(other, (filed["key"] == other["key"]) & (F.col("root") < F.col("top")) & fits).select(F.greatest("node", "w").alias("u"), F.least("node", "w").alias("v"))
+        pairs = materialize(pairs.distinct(), "shingle-pairs")
+        new = _alike(pairs, sets)
         discard(pairs)
-        linked = not new.isEmpty()
-        if linked:
+        if not new.isEmpty():
             edges = new if edges is None else edges.unionByName(new)
             roots = components(edges)
-        if last:
-            break
     out = prints.select("id", "node").withColumn("root", F.col("node"))
     if roots is not None:
-        per_node = roots.where("node <> root")
-        out = prints.select("id", "node").join(per_node, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+        out = prints.select("id", "node").join(_wide(roots.where("node <> root")), "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
     out = materialize(out, "near-copies")
-    discard(prints)
+    for done in (prints, sets, filed):
+        discard(done)
     return out

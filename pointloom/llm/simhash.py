@@ -143,11 +143,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id reachable over fingerprints at most 3 bits apart.
     Null and blank texts have fingerprint 0 and are linked like any other; null ids keep
-    a null component unless a linked row has an id. Repeated rows stay repeated. Other
-    columns are ignored, so their names can't clash. Empty input gives an empty result.
+    a null component unless a linked row has an id. Ids keep their type. Repeated rows stay
+    repeated. Other columns are ignored, so their names can't clash. Empty input gives an empty
+    result.
     """
     simhash = F.arrow_udf(_fingerprints, "long")
-    prints = materialize(docs.select(col(id_col).cast("long").alias("id"), simhash(col(text_col).cast("string")).alias("fp")), "simhash")
+    prints = materialize(docs.select(col(id_col).alias("id"), simhash(col(text_col).cast("string")).alias("fp")), "simhash")
     reps = materialize(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
     edges = link_fingerprints(reps.select("fp"))
     comps = components(edges)  # node, root over fingerprints that have links
@@ -185,6 +186,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stay = stay.join(low, "root", "left").where("id = coalesce(low, id)").select(F.col("id").alias(key), F.col("node").alias(node), F.col("root").alias(root))
     stay = materialize(stay, "near-stay")
     row = F.struct(*(col(c) for c in docs.columns))
-    more = docs.join(small(again, BROADCAST_IDS), col(id_col) == F.col(key), "left_semi").select(row.alias("row"), col(id_col).cast("long").alias(key), shingles.node_column(text_col).alias(node))
+    more = docs.join(small(again, BROADCAST_IDS), col(id_col) == F.col(key), "left_semi").select(row.alias("row"), col(id_col).alias(key), shingles.node_column(text_col).alias(node))
     more = more.join(small(stay, BROADCAST_IDS), [key, node]).groupBy(root).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return once.unionByName(more)

@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import xxhash
 
@@ -38,6 +38,32 @@ def components(rows):
     return label
 
 
+def jaccard_components(texts):
+    """{id: smallest id reachable} over five-word Jaccard similarities of at least 0.8."""
+
+    def cut(text):
+        w = (text or "").lower().encode().split()
+        return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, label = {i: cut(t) for i, t in texts.items()}, {i: i for i in texts}
+    at = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            at[g].append(i)
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in {(a, b) for ids in at.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}:
+        n = len(sets[a] & sets[b])
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            low, high = sorted((find(a), find(b)))
+            label[high] = low
+    return {i: find(i) for i in texts}
+
+
 def repeats(texts, width=35):
     """(n_words, n_removed, kept) per text."""
     seqs = [words(t) for t in texts]

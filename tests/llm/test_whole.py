@@ -1,43 +1,18 @@
 """Cases that a reviewer found done in part."""
 
-from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
 
 from pointloom.llm import decontam, langid, secrets, shingles, simhash
 
-
-def jaccard_components(texts):
-    """{id: smallest id reachable} over five-word Jaccard similarities of at least 0.8."""
-
-    def cut(text):
-        w = (text or "").lower().encode().split()
-        return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-
-    sets, label = {i: cut(t) for i, t in texts.items()}, {i: i for i in texts}
-    at = defaultdict(list)
-    for i, s in sets.items():
-        for g in s:
-            at[g].append(i)
-
-    def find(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    for a, b in {(a, b) for ids in at.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}:
-        n = len(sets[a] & sets[b])
-        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
-            low, high = sorted((find(a), find(b)))
-            label[high] = low
-    return {i: find(i) for i in texts}
+from . import brute
 
 
 def test_near_copies_by_shingles(spark, sf):
     """All pairs at 0.8 or more are linked, those beyond three bits of a fingerprint too."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    want = jaccard_components({r["doc_id"]: r["text"] for r in docs.collect()})
+    want = brute.jaccard_components({r["doc_id"]: r["text"] for r in docs.collect()})
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == sorted(set(want.values()))
 
 
@@ -52,7 +27,7 @@ def test_near_copies_without_a_common_neighbour(spark):
             w[(p * 7 + 61 * (k // 4)) % 400] = f"x{k // 4}y{p}"
         w[k] = f"z{k}"
         texts[k] = " ".join(w)
-    want = jaccard_components(texts)
+    want = brute.jaccard_components(texts)
     got = simhash.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     shingles.ROUNDS = rounds
     assert 1 < len(set(want.values())) < 24 and {r["doc_id"] for r in got.collect()} == set(want.values())
@@ -110,3 +85,22 @@ def test_langid_scores_dont_depend_on_neighbours():
     model = langid.Model(["a", "b"], np.log(np.random.default_rng(1).dirichlet(np.ones(1 << langid.BITS), 2).T), np.log([0.5, 0.5]))
     texts = ["abc", "xyz abc", "q"]
     assert np.allclose(model.joint(texts), [model.joint([t])[0] for t in texts], rtol=0, atol=1e-9)
+
+
+def test_budgets_keep_pairs_at_the_similarity():
+    """Pairs of sets at 0.8 stay within the budgets of the pigeonring chains, and share a key."""
+    rng = np.random.default_rng(11)
+    lost = keyed = 0
+    for _ in range(300):
+        n = int(rng.integers(40, 900))
+        grams = rng.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)
+        drop = n // 9
+        a, b = np.sort(grams[:n]), np.sort(np.r_[grams[drop:n], grams[n : n + drop]])
+        assert 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+        x = (shingles.fingerprint(a) ^ shingles.fingerprint(b)) & ((1 << 64) - 1)
+        part = [(x >> 8 * k & 255).bit_count() for k in range(8)]
+        chain = any(all(sum(part[(i + k) % 8] for k in range(m)) <= shingles.BUDGET * m // 8 for m in range(1, 9)) for i in range(8))
+        assert chain == (x.bit_count() <= shingles.BUDGET)
+        lost += not chain
+        keyed += bool(set(shingles.band_keys(a)) & set(shingles.band_keys(b)))
+    assert lost <= 1 and keyed >= 299
