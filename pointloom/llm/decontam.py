@@ -3,14 +3,17 @@
 Fixed masks hash 5 of up to 9 neighbouring tokens and ignore the others, so that a hit
 survives substitutions at the ignored places. Any stretch of 11 tokens with two
 substitutions still has a hit under one of the two masks (tests try all cases). Shorter
-items have masks of their own, each without some of their pieces. Hits of a document's
-seeds in the benchmark's are verified along their diagonal.
+items have masks of their own, each without some of their pieces.
+
+A Bloom filter of the benchmark's seed hashes goes to the tasks that read the documents; the
+few seeds that pass it are joined to the benchmark's by their hash, which removes false
+positives, and the hits of a text and an item are verified along their diagonals.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -19,18 +22,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, mix64
+from .common import byte_texts, col, free_name, materialize, mix64, small, starts_of
 
 # Token offsets that each mask hashes.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 7, 8))
 #: Overlap asked for: of so many aligned tokens this share must agree.
 WINDOW, SHARE = 13, 0.8
-#: Items of fewer tokens than TOLERANT must occur verbatim, of fewer than LEAST are left out,
-#: unless short items are asked for.
-TOLERANT, LEAST = 11, 5
-#: The benchmark is broadcast in blocks of at most about so many bytes of text; each scans all documents.
-BLOCK_BYTES = 16 << 20
-FILTER_BITS = 22
+#: Items of fewer tokens than this have masks of their own.
+LONG = 11
+#: The filter's bits per seed, its bounds in bits, and most probes of a seed. Beyond the upper
+#: bound (32 MiB) it lets more pass, and the join decides.
+SEED_BITS, LEAST_BITS, MOST_BITS, PROBES = 64, 1 << 22, 1 << 28, 8
+#: Texts with an overlap up to this number go to every executor; with more the texts are shuffled.
+BROADCAST_TEXTS = 500_000
+#: Tokens that are searched at once, and at least one text.
+BLOCK_TOKENS = 1 << 17
 # Scripts written without blanks: Thai, Lao, Myanmar, Khmer, kana, ideographs.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _TOKEN = re.compile(rf"(?=\w)[{_UNSPACED}]|[^\W{_UNSPACED}]+")
@@ -49,14 +55,14 @@ def agreeing(width: int) -> int:
 
 
 def short_masks(n: int) -> list[tuple[int, ...]]:
-    """Masks of an item of n < TOLERANT tokens: whatever may differ, one of them doesn't hash it."""
+    """Masks of an item of n < LONG tokens: whatever may differ, one of them doesn't hash it."""
     gone = n - agreeing(n)
     pieces = np.array_split(np.arange(n), 2 * gone + 1)
     return [tuple(int(o) for k, p in enumerate(pieces) if k not in out for o in p) for out in combinations(range(len(pieces)), gone)]
 
 
-def _weights(k: int) -> list[np.uint64]:
-    return [mix64(np.uint64(x + 1)) | np.uint64(1) for x in range(k)]
+def masks_of(n: int) -> list[tuple[int, ...]]:
+    return list(MASKS) if n >= LONG else short_masks(n) if n else []
 
 
 def seeds(t: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -64,146 +70,209 @@ def seeds(t: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     n = len(t) - mask[-1]
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, xxhash.xxh3_64_intdigest(repr(mask)), np.uint64)
     with np.errstate(over="ignore"):
-        for off, w in zip(mask, _weights(len(mask))):
-            out += t[off : off + n] * w
+        for k, off in enumerate(mask):
+            out += t[off : off + n] * (mix64(np.uint64(k + 1)) | np.uint64(1))
         return mix64(out)
 
 
-@dataclass
-class Index:
-    """Seeds of one block of items."""
-
-    ids: np.ndarray
-    items: list[np.ndarray]
-    masks: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]]  # mask, sorted seeds, item, place
-    filters: list[np.ndarray]
-    short: bool = False
-
-    @classmethod
-    def build(cls, ids: list[int], texts: list[str], short: bool = False) -> Index:
-        items = [tokens(t) for t in texts]
-        plan = {m: [] for m in MASKS}
-        for k, t in enumerate(items):
-            if len(t) >= TOLERANT:
-                for m in MASKS:
-                    plan[m].append(k)
-            elif short and len(t):
-                for m in short_masks(len(t)):
-                    plan.setdefault(m, []).append(k)
-            elif len(t) >= LEAST:
-                plan.setdefault(tuple(range(len(t))), []).append(k)
-        masks, filters = [], []
-        for m, members in plan.items():
-            if not members:
-                continue
-            got = [seeds(items[k], m) for k in members]
-            h = np.concatenate(got)
-            item = np.repeat(members, [len(g) for g in got])
-            place = np.concatenate([np.arange(len(g)) for g in got])
-            order = np.argsort(h, kind="stable")
-            masks.append((m, h[order], item[order], place[order]))
-            near = np.zeros(1 << FILTER_BITS, bool)
-            near[h >> np.uint64(64 - FILTER_BITS)] = True
-            filters.append(near)
-        return cls(np.array(ids), items, masks, filters, short)
-
-    def search(self, text: str) -> list[dict]:
-        """Overlaps of a text: item_id, first token, tokens spanned, tokens that agree; by item and place."""
-        t = tokens(text)
-        diagonals = set()
-        for (mask, h, item, place), near in zip(self.masks, self.filters):
-            own = seeds(t, mask)
-            at = np.flatnonzero(near[own >> np.uint64(64 - FILTER_BITS)])
-            lo, hi = np.searchsorted(h, own[at]), np.searchsorted(h, own[at], "right")
-            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            step = max(1, (1 << 20) // max(1, int(n.max(initial=1))))
-            for k in range(0, len(at), step):
-                m = n[k : k + step]
-                where = np.repeat(lo[k : k + step] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
-                pairs = np.unique(np.stack([item[where], np.repeat(at[k : k + step], m) - place[where]], axis=1), axis=0)
-                diagonals.update(map(tuple, pairs.tolist()))
-        best: dict[int, dict] = {}
-        for k, d in sorted(diagonals):
-            got = self._verify(t, k, d)
-            if got and (self.ids[k] not in best or got["matches"] > best[self.ids[k]]["matches"]):
-                best[self.ids[k]] = got
-        return [best[i] for i in sorted(best)]
-
-    def _verify(self, t: np.ndarray, k: int, diagonal: int) -> dict | None:
-        a = self.items[k]
-        lo, hi = max(0, -diagonal), min(len(a), len(t) - diagonal)
-        width = min(WINDOW, len(a))
+class Filter:
+    """Bloom filter of 64-bit hashes over 2 ** bits bits."""
+
+    def __init__(self, words: np.ndarray, probes: int):
+        self.words, self.probes = words, probes
+
+    @staticmethod
+    def places(h: np.ndarray, size: int, probe: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (h if probe == 0 else mix64(h + np.uint64(probe))) & np.uint64(size - 1)
+
+    def passing(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be in the filter."""
+        at = np.arange(len(h))
+        for probe in range(self.probes):
+            place = self.places(h[at], 64 * len(self.words), probe)
+            at = at[(self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+            if not len(at):
+                break
+        return at
+
+
+def build_filter(hashes: DataFrame, n: int) -> Filter:
+    """Filter of the n or fewer hashes h (long) of a table, of a bounded size."""
+    size = LEAST_BITS
+    while size < min(MOST_BITS, n * SEED_BITS):
+        size *= 2
+    probes = int(max(1, min(PROBES, round(0.69 * size / max(1, n)))))
+
+    def places(batches):
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64)
+            place = np.unique(np.concatenate([Filter.places(h, size, k) for k in range(probes)]))
+            word = (place >> np.uint64(6)).astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, np.diff(word) != 0])[: len(word)]
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), starts) if len(word) else place
+            yield pa.RecordBatch.from_pydict({"word": pa.array(word[starts]), "bits": pa.array(bits.view(np.int64))})
+
+    rows = hashes.select("h").mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # a row per word at most
+    words = np.zeros(size // 64, np.uint64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return Filter(words, probes)
+
+
+def verify(t: np.ndarray, a: np.ndarray, hits: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
+    """Overlaps of text t and item a, given places of equal seeds in both: start, n_tokens, matches."""
+    width = min(WINDOW, len(a))
+    need = agreeing(width)
+    shifts = [np.zeros(0, np.int64)]
+    for at, place in hits:
+        step = max(1, (1 << 22) // max(1, len(place)))
+        shifts += [np.unique(at[k : k + step, None] - place) for k in range(0, len(at), step)]
+    cover = np.zeros(len(t) + 1, np.int64)
+    link = np.zeros(len(t) + 1, np.int64)
+    same = np.zeros(len(t), bool)
+    for d in np.unique(np.concatenate(shifts)).tolist():
+        lo, hi = max(0, -d), min(len(a), len(t) - d)
         if hi - lo < width:
-            return None
-        same = a[lo:hi] == t[diagonal + lo : diagonal + hi]
-        need = len(a) if len(a) < TOLERANT and not self.short else agreeing(width)
-        run = np.convolve(same, np.ones(width, int), "valid")
-        good = np.flatnonzero(run >= need)
+            continue
+        agree = a[lo:hi] == t[d + lo : d + hi]
+        run = np.r_[0, np.cumsum(agree)]
+        good = np.flatnonzero(run[width:] - run[:-width] >= need) + d + lo
         if not len(good):
-            return None
-        first, end = int(good[0]), int(good[-1]) + width
-        return {"item_id": int(self.ids[k]), "start": int(diagonal + lo + first), "n_tokens": end - first, "matches": int(same[first:end].sum())}
-
-
-_FOUND = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("matches", pa.int64())]))
-
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, short: bool):
-    """Indexes over hash blocks of the benchmark, each of a checked size."""
-    items = benchmark.select(col(id_col).cast("long").alias("item_id"), col(text_col).cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_BYTES))
-    while n > 1:  # dealt by hash: no block may be much larger than meant
-        sizes = items.groupBy(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("b")).agg(F.sum(F.octet_length("text")).alias("s"), F.max(F.octet_length("text")).alias("m"))
-        worst = sizes.agg(F.max("s"), F.max("m")).first()
-        if worst[0] <= 2 * max(BLOCK_BYTES, worst[1]):
-            break
-        n *= 2
-    for b in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").toArrow().to_pydict()
-        if part["item_id"]:
-            yield Index.build(part["item_id"], part["text"], short)
-
-
-def _searcher(shared):
-    def run(texts: pa.Array) -> pa.Array:
-        search = shared.value.search
-        return pa.array((search(t or "") for t in texts.to_pylist()), _FOUND)
-
-    return F.arrow_udf(run, "array<struct<item_id:long,start:long,n_tokens:long,matches:long>>")
-
-
-def overlaps_column(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", short_items: bool = False):
-    """Column: array of the benchmark items that a text overlaps, empty for none."""
-    out = F.array().cast("array<struct<item_id:long,start:long,n_tokens:long,matches:long>>")
-    for index in _blocks(benchmark, item_id, item_text, short_items):
-        found = _searcher(docs.sparkSession.sparkContext.broadcast(index))
-        out = F.concat(out, found(col(text_col).cast("string")))
-    return out
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_items: bool = False) -> DataFrame:
-    """One row per input row and benchmark item it overlaps: id, item_id, start, n_tokens, matches.
-
-    An overlap is a diagonal on which some 13 aligned tokens (the whole item, if shorter)
-    agree in 80 %. With short_items that holds for items of every length, so that those under
-    5 tokens must occur verbatim; without, items of 5 to 10 tokens must occur verbatim and
-    shorter ones are left out. Items with a null id or without tokens are left out.
-    start and n_tokens give the stretch of document tokens, matches how many agree; of several
-    overlaps with one item the one with most matches is returned, the first on ties. Null and
-    empty texts overlap nothing; repeated rows are repeated; other columns are left out.
+            continue
+        cover[good] += 1
+        cover[good + width] -= 1
+        link[good] += 1
+        link[good + width - 1] -= 1
+        inside = np.zeros(hi - lo + 1, np.int64)
+        inside[good - d - lo] += 1
+        inside[good - d - lo + width] -= 1
+        same[d + lo : d + hi] |= agree & (np.cumsum(inside[:-1]) > 0)
+    covered, linked = np.cumsum(cover[:-1]) > 0, np.cumsum(link[:-1]) > 0
+    first = np.flatnonzero(covered & ~np.r_[False, linked[:-1]])
+    last = np.flatnonzero(covered & ~linked)
+    return [{"start": int(b), "n_tokens": int(e - b + 1), "matches": int(same[b : e + 1].sum())} for b, e in zip(first, last)]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(x.astype(np.int64, copy=False) for x in parts)])))
+
+
+def _tokens(texts: pa.Array) -> pa.Array:
+    return _lists([tokens(t).view(np.int64) for t in (b.decode() for b in byte_texts(texts))])
+
+
+def _item_seeds(batches):
+    for batch in batches:
+        for item, t in zip(batch.column("item").to_pylist(), batch.column("tok").to_pylist()):
+            t = np.array(t, np.int64).view(np.uint64)
+            h = [seeds(t, m) for m in masks_of(len(t))]
+            place = np.concatenate([np.zeros(0, np.int64), *map(lambda x: np.arange(len(x)), h)])
+            h = np.concatenate([np.zeros(0, np.uint64), *h])
+            yield pa.RecordBatch.from_pydict({"item": pa.array([item] * len(h), pa.string()), "h": pa.array(h.view(np.int64)), "place": pa.array(place)})
+
+
+_VERIFIED = pa.list_(pa.struct([("start", pa.int64()), ("n_tokens", pa.int64()), ("matches", pa.int64())]))
+
+
+def _verify(tok: pa.Array, item_tok: pa.Array, hits: pa.Array) -> pa.Array:
+    longs = lambda x: np.array(x, np.int64)
+    rows = zip(tok.to_pylist(), item_tok.to_pylist(), hits.to_pylist())
+    return pa.array((verify(longs(t), longs(a), [(longs(p["at"]), longs(p["place"])) for p in found]) for t, a, found in rows), _VERIFIED)
+
+
+def _items(benchmark: DataFrame, text_col: str) -> DataFrame:
+    """(item, tok) of each distinct text: its digest and its tokens."""
+    text = col(text_col).cast("string")
+    one = benchmark.select(text.alias("text")).where("text IS NOT NULL").distinct()
+    out = one.select(F.md5(F.col("text").cast("binary")).alias("item"), F.arrow_udf(_tokens, "array<long>")("text").alias("tok"))
+    return materialize(out.where(F.size("tok") > 0), "decontam-items")
+
+
+def _blocks(texts: list[bytes]):
+    """Tokens of runs of texts of some size, each with the place of its first text."""
+    lo, held, size = 0, [], 0
+    for k, text in enumerate(texts):
+        held.append(tokens(text.decode()))
+        size += len(held[-1])
+        if size > BLOCK_TOKENS or k == len(texts) - 1:
+            yield lo, held
+            lo, held, size = k + 1, [], 0
+
+
+def _search(tok: np.ndarray, starts: np.ndarray, masks: list[tuple[int, ...]], found: Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, hash and place of the seeds that pass the filter, by text; tok holds texts end to end."""
+    parts = []
+    for mask in masks:
+        h = seeds(tok, mask)
+        p = found.passing(h)
+        k = np.searchsorted(starts, p, "right") - 1
+        whole = p + mask[-1] < starts[k + 1]  # a seed over the end of a text is none
+        parts.append((k[whole], h[p[whole]], (p - starts[k])[whole]))
+    whose, h, at = (np.concatenate([np.zeros(0, t), *x]) for x, t in zip(zip(*parts) if parts else ((), (), ()), (np.int64, np.uint64, np.int64)))
+    order = np.argsort(whose, kind="stable")
+    return whose[order], h[order], at[order]
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_cols: list[str], text_col: str = "text", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, found): rows has id_cols and the text's digest key, of each row whose seeds pass the
+    filter; found has key, item (digest of the item's text), start, n_tokens and matches."""
+    items = _items(benchmark, item_text)
+    known = materialize(items.mapInArrow(_item_seeds, "item string, h long, place long").groupBy("h", "item").agg(F.collect_list("place").alias("place")), "decontam-seeds")
+    lengths = [r[0] for r in items.select(F.least(F.size("tok"), F.lit(LONG)).alias("n")).distinct().collect()]  # LONG values at most
+    masks = list(dict.fromkeys(m for n in sorted(lengths) for m in masks_of(n)))
+    shared = docs.sparkSession.sparkContext.broadcast(build_filter(known, known.count()))
+    names = [f"id{k}" for k in range(len(id_cols))]
+
+    def passing(batches):
+        for batch in batches:
+            texts = byte_texts(batch.column("text"))
+            for lo, tok in _blocks(texts):
+                starts = starts_of(np.array(list(map(len, tok)), np.int64))
+                whose, h, at = _search(np.concatenate(tok), starts, masks, shared.value)
+                keep, first = np.unique(whose, return_index=True)
+                rows = batch.take(pa.array(keep + lo)).drop_columns(["text"])
+                cut = lambda x: _lists(np.split(x, first[1:]) if len(keep) else [])
+                key = pa.array([hashlib.md5(texts[lo + k]).hexdigest() for k in keep.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*rows.columns, key, _lists([tok[k].view(np.int64) for k in keep.tolist()]), cut(h.view(np.int64)), cut(at)], [*names, "key", "tok", "h", "at"])
+
+    rows = docs.select(*(col(c).alias(n) for c, n in zip(id_cols, names)), col(text_col).cast("string").alias("text"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1]) + "key string, tok array<long>, h array<long>, at array<long>"
+    rows = materialize(rows.mapInArrow(passing, schema), "decontam-rows")
+    texts = rows.groupBy("key").agg(F.any_value(F.struct("tok", "h", "at")).alias("t")).select("key", "t.*")
+    own = texts.select("key", F.explode(F.arrays_zip("h", "at")).alias("s")).groupBy("key", "s.h").agg(F.collect_list("s.at").alias("at"))
+    hits = own.join(known, "h").groupBy("key", "item").agg(F.collect_list(F.struct("at", "place")).alias("hits"))
+    pairs = hits.join(texts.select("key", "tok"), "key").join(items.select("item", F.col("tok").alias("item_tok")), "item")
+    found = pairs.select("key", "item", F.explode(F.arrow_udf(_verify, "array<struct<start:long,n_tokens:long,matches:long>>")("tok", "item_tok", "hits")).alias("o"))
+    found = materialize(found.select("key", "item", "o.*"), "decontam-found")
+    return rows.select(*(F.col(n).alias(c) for c, n in zip(id_cols, names)), "key"), found
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per input row, benchmark item and overlap: id, item_id, start, n_tokens, matches.
+
+    An item is found where some 13 aligned tokens (all tokens of a shorter item) agree in 80 %;
+    items under 5 tokens must so occur verbatim. Stretches of such windows that share a token
+    are one overlap: start and n_tokens give its document tokens, matches how many of them agree
+    with the item in such a window. Items with a null id or without tokens are left out, equal
+    items count once per id. Ids keep their types. Null and empty texts overlap nothing; repeated
+    rows are repeated; other columns are left out. An empty table gives an empty result.
     """
-    found = docs.select(col(id_col).alias(id_col), overlaps_column(docs, benchmark, text_col, short_items=short_items).alias("__hit"))
-    return found.select(col(id_col), F.explode("__hit").alias("__hit")).select(col(id_col), "__hit.*")
+    rows, found = overlaps(docs, benchmark, [id_col], text_col, item_text)
+    ids = benchmark.select(col(item_id).alias("item_id"), F.md5(col(item_text).cast("string").cast("binary")).alias("item")).where("item_id IS NOT NULL AND item IS NOT NULL").distinct()
+    named = found.join(ids, "item").select(F.col("key").alias("key_"), "item_id", "start", "n_tokens", "matches")
+    return rows.select(col(id_col), "key").join(named, F.col("key") == F.col("key_")).select(col(id_col), "item_id", "start", "n_tokens", "matches")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text") -> DataFrame:
     """The rows of docs, all columns unchanged, whose text overlaps no benchmark item.
 
-    Items of any length count, with a null id too; overlaps are those of contamination() with
-    short_items.
+    Items of any length count, with a null id too; overlaps are those of contamination(). Null
+    texts stay; repeated rows stay or go together.
     """
-    items = benchmark.select(F.lit(0).alias("item_id"), "text")
-    return docs.where(F.size(overlaps_column(docs, items, text_col, short_items=True)) == 0)
+    _, found = overlaps(docs, benchmark, [], text_col, item_text)
+    key = free_name(docs, "found_key")
+    bad = materialize(found.select(F.col("key").alias(key)).distinct(), "decontam-keys")
+    return docs.join(small(bad, BROADCAST_TEXTS), F.md5(col(text_col).cast("string").cast("binary")) == F.col(key), "left_anti")

@@ -96,5 +96,42 @@ FROM parsed p LEFT JOIN fits f ON p.row_id = f.row_id AND rn = 1
 """
 
 
+# Of 13 aligned tokens with two substitutions four neighbours agree, so equal runs of four find
+# all candidates (the items of the test tables have 13 tokens at least).
+OP8 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS t FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS a FROM benchmark WHERE item_id IS NOT NULL
+), runs AS (
+  SELECT row_id, p, t[p] || ' ' || t[p + 1] || ' ' || t[p + 2] || ' ' || t[p + 3] AS run
+  FROM docs, unnest(range(1, len(t) - 2)) r(p) WHERE len(t) >= 4
+), item_runs AS (
+  SELECT item_id, q, a[q] || ' ' || a[q + 1] || ' ' || a[q + 2] || ' ' || a[q + 3] AS run
+  FROM items, unnest(range(1, len(a) - 2)) r(q) WHERE len(a) >= 4
+), lines AS (
+  SELECT DISTINCT row_id, item_id, p - q AS shift FROM runs JOIN item_runs USING (run)
+), wins AS (
+  SELECT row_id, item_id, shift, q, list_sum([CASE WHEN t[shift + q + k] = a[q + k] THEN 1 ELSE 0 END FOR k IN range(13)]) AS n
+  FROM lines JOIN docs USING (row_id) JOIN items USING (item_id), unnest(range(1, len(a) - 11)) w(q)
+  WHERE shift + q >= 1 AND shift + q + 12 <= len(t)
+), good AS (
+  SELECT row_id, item_id, shift, q, shift + q AS p FROM wins WHERE n >= 11
+), steps AS (
+  SELECT row_id, item_id, p, CASE WHEN p <= max(p) OVER (PARTITION BY row_id, item_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 12 THEN 0 ELSE 1 END AS new
+  FROM (SELECT DISTINCT row_id, item_id, p FROM good)
+), parts AS (
+  SELECT row_id, item_id, p, sum(new) OVER (PARTITION BY row_id, item_id ORDER BY p) AS part FROM steps
+), spans AS (
+  SELECT row_id, item_id, part, min(p) AS lo, max(p) + 12 AS hi FROM parts GROUP BY ALL
+), same AS (
+  SELECT DISTINCT row_id, item_id, p + k AS at FROM good JOIN docs USING (row_id) JOIN items USING (item_id), unnest(range(13)) r(k) WHERE t[p + k] = a[q + k]
+)
+SELECT doc_id, item_id, lo - 1 AS start, hi - lo + 1 AS n_tokens, count(*) AS matches
+FROM spans JOIN same s USING (row_id, item_id) JOIN docs USING (row_id) WHERE s.at BETWEEN lo AND hi
+GROUP BY row_id, doc_id, item_id, lo, hi
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3, "op4_substring": OP4, "op5_mixing": OP5, "op6_urls": OP6}
+    return {"op3_chat": OP3, "op4_substring": OP4, "op5_mixing": OP5, "op6_urls": OP6, "op8_decontam": OP8}

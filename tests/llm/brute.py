@@ -95,3 +95,22 @@ def secrets(text):
     joined = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
     count = Counter(k for k, _ in found)
     return tuple(count[k] for k in kinds), hashlib.sha256(joined.encode()).hexdigest(), joined
+
+
+def overlaps(text, item):
+    """(start, n_tokens, matches) of the stretches of text, by every alignment of both lists of tokens."""
+    width = min(13, len(item))
+    spans, same = set(), set()
+    for p in range(len(text) - width + 1):
+        for q in range(len(item) - width + 1):
+            agree = [k for k in range(width) if text[p + k] == item[q + k]]
+            if 5 * len(agree) >= 4 * width:
+                spans.add((p, p + width))
+                same.update(p + k for k in agree)
+    out = []
+    for lo, hi in sorted(spans):
+        if out and lo < out[-1][1]:
+            out[-1][1] = max(hi, out[-1][1])
+        else:
+            out.append([lo, hi])
+    return [(lo, hi - lo, sum(lo <= k < hi for k in same)) for lo, hi in out]

@@ -49,13 +49,13 @@ def test_decontam_short_and_unspaced_items(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = [(1, nine.replace("five", "x")), (2, nine.replace("five", "x").replace("six", "y")), (3, "so zeta, ETA theta."), (4, "zeta eta"), (5, "前面" + chinese.replace("空格", "间隔") + "后面"), (6, items[3][1]), (7, "!?")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = decontam.contamination(docs, bench, short_items=True).collect()
+    got = decontam.contamination(docs, bench).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (3, 2), (5, 3)]
     assert sorted(r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()) == [2, 4, 7]
 
 
 def test_short_masks_tolerate_a_fifth():
-    for n in range(1, decontam.TOLERANT):
+    for n in range(1, decontam.LONG):
         gone = n - decontam.agreeing(n)
         for lost in combinations(range(n), gone):
             assert any(not set(m) & set(lost) for m in decontam.short_masks(n))
@@ -104,3 +104,32 @@ def test_budgets_keep_pairs_at_the_similarity():
         lost += not chain
         keyed += bool(set(shingles.band_keys(a)) & set(shingles.band_keys(b)))
     assert lost <= 1 and keyed >= 299
+
+
+def test_decontam_against_every_alignment(spark):
+    """Items of all lengths, with substitutions, repeats and copies side by side, by brute force."""
+    rng = np.random.default_rng(7)
+    fresh = iter(range(10**6))
+    items = [[f"i{k}t{j % 7 if k == 9 else j}" for j in range(n)] for k, n in enumerate((1, 2, 3, 4, 5, 7, 9, 10, 11, 20, 12, 13, 14, 30))]
+    docs = []
+    for item in items:
+        for _ in range(6):
+            words = [f"d{next(fresh)}" for _ in range(rng.integers(0, 9))]
+            for copy in range(rng.integers(1, 4)):
+                got = list(item)
+                for at in rng.choice(len(got), min(len(got), int(rng.integers(0, 1 + max(1, len(got) // 4)))), replace=False):
+                    got[at] = f"d{next(fresh)}"
+                words += got + [f"d{next(fresh)}" for _ in range(rng.choice([0, 0, 1, 30]))]
+            docs.append(words)
+    docs.append(items[12] + items[9] * 3 + ["x"] + items[12][:12])
+    bench = spark.createDataFrame([(f"q{k}", " ".join(w)) for k, w in enumerate(items)], "item_id string, text string")
+    texts = spark.createDataFrame([(f"d-{k}", " ".join(w)) for k, w in enumerate(docs)], "doc_id string, text string")
+    want = sorted((f"d-{d}", f"q{i}", *hit) for d, t in enumerate(docs) for i, a in enumerate(items) for hit in brute.overlaps(t, a))
+    got = sorted(tuple(r) for r in decontam.contamination(texts, bench).collect())
+    assert got == want and len({w[1] for w in want}) == len(items)
+
+
+def test_decontam_of_equal_words():
+    """Two texts of one repeated word have places x places hits, which are few alignments."""
+    zeros = lambda n: np.zeros(n, np.uint64)
+    assert decontam.verify(zeros(20_000), zeros(200), [(np.arange(19_990), np.arange(190))]) == [{"start": 0, "n_tokens": 20_000, "matches": 20_000}]
