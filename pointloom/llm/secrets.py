@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, free_name, materialize, small
+from .common import col, discard, free_name, materialize
 
 
 @dataclass(frozen=True)
@@ -39,12 +39,13 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 16),
     Rule("hex", 1, r"[0-9a-f]{32,}", 32),
     Rule("pem", 2, _PEM, 1),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1),
+    # from the start of a run of its characters and without going back: linear on any text
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", 1),
     Rule("ghtoken", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 1),
 )
-#: Blobs with findings up to this number go to every executor for redaction, some 100 bytes each;
-#: with more of them the texts are shuffled by blob.
-BROADCAST_BLOBS = 200_000
+#: Spans up to these bytes (100 a blob, 40 a span) go to every executor for redaction; with more
+#: of them the texts are shuffled by blob.
+BROADCAST_BYTES = 32 << 20
 BASE = ("assign", "access", "hex")
 FINDINGS = "blob string, kind string, rule_version int, start long, end long"
 
@@ -66,11 +67,14 @@ def _rule_rows(text: Column, rule: Rule) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Findings of blobs (blob, text): one row per kept match, offsets in code points, end exclusive.
+    """Findings of blobs (blob, text, seen): one row per kept match, offsets in code points, end exclusive.
 
-    Matches that are too short are dropped only after matching went on behind them.
+    Bit k of seen leaves out rule k. Matches that are too short are dropped only after matching
+    went on behind them.
     """
-    per_rule = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version"), _rule_rows(F.col("text"), r).alias("rows")) for r in rules))
+    none = F.array().cast("array<struct<before:bigint,len:bigint,enough:boolean>>")
+    new = lambda k: F.col("seen").bitwiseAND(F.lit(1 << k)) == 0
+    per_rule = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version"), F.when(new(k), _rule_rows(F.col("text"), r)).otherwise(none).alias("rows")) for k, r in enumerate(rules)))
     rows = blobs.select("blob", F.explode(per_rule).alias("r")).where(F.size("r.rows") > 0)
     rows = rows.select("blob", "r.kind", "r.rule_version", F.posexplode("r.rows").alias("at", "m"))
     # a window holds the matches of one kind in one text
@@ -81,32 +85,30 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def scan(versions: DataFrame, path_cols: list[str], text_col: str = "text", ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scan every version of every path; returns (paths, ledger, findings).
+    """Scan every version of every path; returns (paths, ledger, findings), stored in the shared folder.
 
     paths has path_cols and blob, a row per input row; ledger (blob, kind, rule_version) and
     findings (FINDINGS) contain the earlier ones handed in and what this call added: blobs that
-    are new, and old blobs under rules whose version is new. Null texts count as empty; equal
+    are new, and old blobs under rules whose version is new. Texts and the ledger's rows meet
+    in one shuffle by blob, whatever the number of rules. Null texts count as empty; equal
     texts are scanned once, whatever their number; null paths are kept. Other columns of
     versions are ignored. Empty input returns the earlier tables.
     """
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     paths = materialize(versions.select(*(col(c) for c in path_cols), blob_of(text).alias(free_name(versions.select(*map(col, path_cols)), "blob"))), "secret-paths")
-    # equal texts are folded before the shuffle
-    unique = versions.select(blob_of(text).alias("blob"), text.alias("text")).where("text <> ''")
-    unique = unique.groupBy("blob").agg(F.any_value("text").alias("text"))
-    if ledger is None:
-        new = scan_blobs(unique, rules)
-    else:
-        new = None
-        for rule in rules:
-            seen = ledger.where((F.col("kind") == rule.kind) & (F.col("rule_version") == rule.version)).select("blob")
-            part = scan_blobs(unique.join(seen, "blob", "left_anti"), (rule,))
-            new = part if new is None else new.unionByName(part)
-    new = materialize(new, "secret-findings")
+    # equal texts are folded before the shuffle; empty ones match no rule
+    unique = versions.select(blob_of(text).alias("blob"), text.alias("text"), F.lit(0).alias("seen")).where("text <> ''")
+    if ledger is not None:
+        is_rule = [(F.col("kind") == r.kind) & (F.col("rule_version") == r.version) for r in rules]
+        bit = F.coalesce(*(F.when(c, F.lit(1 << k)) for k, c in enumerate(is_rule)), F.lit(0))
+        unique = unique.unionByName(ledger.select("blob", F.lit(None).cast("string").alias("text"), bit.alias("seen")).where("seen > 0"))
+    unique = unique.groupBy("blob").agg(F.any_value("text", True).alias("text"), F.bit_or("seen").alias("seen"))
+    unique = unique.where((F.col("seen") != (1 << len(rules)) - 1) & F.col("text").isNotNull())
+    new = scan_blobs(unique, rules)
     now = F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version")) for r in rules)))
     added = paths.select(F.col(paths.columns[-1]).alias("blob")).distinct().select("blob", now.alias("r")).select("blob", "r.*")
-    ledger = added if ledger is None else ledger.unionByName(added).distinct()
-    return paths, ledger, new if findings is None else findings.unionByName(new)
+    ledger = materialize(added if ledger is None else ledger.unionByName(added).distinct(), "secret-ledger")
+    return paths, ledger, materialize(new if findings is None else findings.unionByName(new), "secret-findings")
 
 
 def spans_of(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -124,14 +126,23 @@ def _joined(hits: Column) -> Column:
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row: id, n_assign, n_access, n_hex, base_sha256, spans, found by scan()."""
-    paths, _, findings = scan(docs, [id_col], text_col)
+    """Per input row: id, n_assign, n_access, n_hex, base_sha256, spans, found by scan().
+
+    The base rules come first; a second call with all rules finds the base ones in the stored
+    ledger and scans the blobs under the added rules only. Ids keep their type; null texts
+    count as empty.
+    """
+    first, ledger, findings = scan(docs, [id_col], text_col, rules=tuple(r for r in RULES if r.kind in BASE))
+    discard(first)
+    paths, _, findings = scan(docs, [id_col], text_col, ledger, findings)
+    discard(ledger)
     per_blob = spans_of(findings)
     base = F.filter("hits", lambda h: h["kind"].isin(*BASE))
     counts = [F.size(F.filter("hits", _is_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
     per_blob = per_blob.select("blob", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("hits")).alias("spans"))
     none = {f"n_{k}": F.lit(0).cast("long") for k in BASE} | {"base_sha256": F.sha2(F.lit("").cast("binary"), 256), "spans": F.lit("")}
-    out = paths.join(per_blob, "blob", "left")
+    blob = paths.columns[-1]
+    out = paths.join(per_blob.withColumnRenamed("blob", "blob_"), F.col(blob) == F.col("blob_"), "left")
     return out.select(col(id_col), *(F.coalesce(F.col(c), v).alias(c) for c, v in none.items()))
 
 
@@ -157,7 +168,9 @@ def redact(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n
     key, hits = free_name(docs, "blob"), free_name(docs, "secret_hits")
     _, _, findings = scan(docs.select(col(text_col)), [], text_col)
     found = materialize(spans_of(findings).select(F.col("blob").alias(key), F.col("hits").alias(hits)), "secret-spans")
-    marked = docs.withColumn(key, blob_of(col(text_col).cast("string"))).join(small(found, BROADCAST_BLOBS), key, "left")
+    size = found.agg(F.sum(100 + 40 * F.size(hits)).alias("b")).first()["b"] or 0
+    found = F.broadcast(found) if size <= BROADCAST_BYTES else found
+    marked = docs.withColumn(key, blob_of(col(text_col).cast("string"))).join(found, key, "left")
     new = F.when(F.col(hits).isNull(), col(text_col)).otherwise(_cut(col(text_col), F.col(hits)))
     out = []
     for c in docs.columns:

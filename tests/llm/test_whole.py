@@ -133,3 +133,27 @@ def test_decontam_of_equal_words():
     """Two texts of one repeated word have places x places hits, which are few alignments."""
     zeros = lambda n: np.zeros(n, np.uint64)
     assert decontam.verify(zeros(20_000), zeros(200), [(np.arange(19_990), np.arange(190))]) == [{"start": 0, "n_tokens": 20_000, "matches": 20_000}]
+
+
+def test_ledger_scans_unseen_pairs_only(spark):
+    """A known pair of blob and rule version isn't scanned again, whatever its pattern finds now."""
+    rule = lambda kind, version, pattern: secrets.Rule(kind, version, pattern, 1)
+    v1 = spark.createDataFrame([("a", "one two"), ("b", "one two"), ("c", "three")], "path string, text string")
+    _, ledger, found = secrets.scan(v1, ["path"], rules=(rule("x", 1, "one"),))
+    assert [tuple(r)[1:] for r in found.collect()] == [("x", 1, 0, 3)] and ledger.count() == 2
+    v2 = spark.createDataFrame([("a", "one two"), ("d", "two one")], "path string, text string")
+    rules = (rule("x", 1, "two"), rule("y", 1, "two"))
+    paths, ledger, found = secrets.scan(v2, ["path"], ledger=ledger, findings=found, rules=rules)
+    got = paths.join(found, "blob").select("path", "kind", "start")
+    assert sorted(map(tuple, got.collect())) == [("a", "x", 0), ("a", "y", 4), ("d", "x", 0), ("d", "y", 0)]
+    assert ledger.count() == 5 == ledger.distinct().count()  # the pair of "three" and y is still open
+
+
+def test_secret_patterns_are_linear(spark):
+    import time
+
+    texts = ["eyJ" * 300_000, "eyJ" * 100_000 + "." + "eyJ" * 100_000, "-----BEGIN " * 50_000, "password" + " " * 500_000, "gh" * 300_000, "AKIA" * 200_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    assert secrets.digest(docs).where("spans <> ''").count() == 1
+    assert time.time() - began < 60
