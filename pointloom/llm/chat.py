@@ -21,7 +21,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_parts
@@ -29,6 +29,8 @@ from .common import shuffle_parts
 # The template's control strings.
 HEAD, COLON, TAIL = "### ", ": ", "</turn>"
 LOSS_ROLES = ("assistant",)
+#: Characters of a streamed delta.
+PIECE = 4096
 _IN_TEXT = re.compile(r"\\|### |</turn>")
 _IN_ROLE = re.compile(r"\\|:|### |</turn>")
 _TOKEN = re.compile(r"\\(\\|:|### |</turn>)|(### )|(: )|(</turn>\n)")
@@ -137,9 +139,26 @@ def format_turns(events: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) ->
     return rows.mapInArrow(_fold(loss_roles), "conv_id long, turn long, part long, formatted string, loss_start long, loss_end long")
 
 
-def events_of(conversations: DataFrame) -> DataFrame:
-    """The log of a table of finished turns: each row is one message event."""
-    return conversations.select("conv_id", "turn", F.lit(0).alias("seq"), F.lit("message").alias("event"), "role", "text")
+def events_of(conversations: DataFrame, streamed_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
+    """A log of events that folds to the finished turns of a table (conv_id, turn, role, text).
+
+    A turn of a streamed role begins empty, gets a first attempt (its text twice over), is
+    regenerated and then streamed in deltas of PIECE characters; any other turn begins with a
+    draft and is edited to its text. Rows of one turn follow each other by role and text, each
+    with places of its own in the log, and repeated rows repeat. Null texts count as empty.
+    """
+    turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # the window takes the range partitions as they are
+    turns = turns.repartitionByRange(shuffle_parts(conversations.sparkSession), "conv_id", "turn")
+    turns = turns.withColumn("first", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")) * F.lit(1 << 32))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("event"), text.alias("text"))
+    text, none = F.col("text"), F.lit(None).cast("string")
+    deltas = F.transform(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda x: event("delta", x))
+    streamed = F.concat(F.array(event("message", none), event("delta", text), event("delta", text), event("regenerate", none)), deltas)
+    edited = F.array(event("message", F.upper(text)), event("edit", text))
+    log = F.when(F.col("role").isin(*streamed_roles), streamed).otherwise(edited)
+    out = turns.select("conv_id", "turn", "first", "role", F.posexplode(log).alias("k", "e"))
+    return out.select("conv_id", "turn", (F.col("first") + F.col("k")).alias("seq"), "e.event", F.when(F.col("e.event") == "message", F.col("role")).alias("role"), "e.text")
 
 
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
