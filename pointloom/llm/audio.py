@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, col
+from .common import byte_texts, col, materialize
 
 RATE = 16_000
 UP, DOWN = 2, 5
@@ -118,24 +118,78 @@ def segments(mel: np.ndarray, margin: float = 0.5) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
-def describe(media: bytes) -> dict:
-    """What the stored form holds, and its features, all read back from the file's bytes."""
+_TENSOR = pa.fixed_shape_tensor(pa.float32(), [TENSOR_FRAMES, MELS])
+_SPAN = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
+_CHUNKS = pa.schema(
+    [("chunk", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int64()), ("active_frames", pa.int64()), ("segments", pa.list_(_SPAN)), ("log_mel", _TENSOR)]
+)
+
+
+def chunks(media: bytes) -> pa.RecordBatch:
+    """Log-mel tensors of a stored file, TENSOR_FRAMES frames each, with their time spans.
+
+    The last tensor is filled up with the floor of log power; frames counts those before. A
+    loud stretch stands with the tensor in which it begins, as its whole time span.
+    """
     payload, rate = from_wav(media)
-    x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-    mel = log_mel(resample(x))
-    spans = segments(mel)
+    mel = log_mel(resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128))
+    loud = segments(mel)
+    second = rate * UP / DOWN
+    begin = lambda f: f * HOP / second
+    end = lambda f: ((f - 1) * HOP + FRAME) / second
+    k = -(-len(mel) // TENSOR_FRAMES)
+    full = np.full((k * TENSOR_FRAMES, MELS), np.float32(np.log(1e-6)), np.float32)
+    full[: len(mel)] = mel
+    first = np.arange(k) * TENSOR_FRAMES
+    last = np.minimum(first + TENSOR_FRAMES, len(mel))
+    on = np.zeros(len(mel) + 1, np.int64)
+    on[loud[:, 0]] += 1
+    on[loud[:, 1]] -= 1
+    active = np.add.reduceat(np.cumsum(on[:-1]), first)
+    spans = pa.StructArray.from_arrays([pa.array(begin(loud[:, 0])), pa.array(end(loud[:, 1]))], fields=list(_SPAN))
+    held = pa.ListArray.from_arrays(np.searchsorted(loud[:, 0], np.r_[first, len(mel)]).astype(np.int32), spans)
+    tensor = pa.ExtensionArray.from_storage(_TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), TENSOR_FRAMES * MELS))
+    cols = [pa.array(np.arange(k)), pa.array(begin(first)), pa.array(end(last)), pa.array(last - first), pa.array(active), held, tensor]
+    return pa.RecordBatch.from_arrays(cols, schema=_CHUNKS.with_metadata({"rate": str(rate)}))
+
+
+def pack(batch: pa.RecordBatch) -> bytes:
+    """The batch as an Arrow stream, extension type included."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data) as stream:
+        return stream.read_next_batch()
+
+
+def feature(batch: pa.RecordBatch) -> str:
+    """Rate, frames, loud stretches and mean log-mel bands of a file's tensors, as text."""
+    rate = batch.schema.metadata[b"rate"].decode()
+    frames = batch.column("frames").to_numpy()
+    mel = batch.column("log_mel").storage.flatten().to_numpy().reshape(-1, MELS)[: frames.sum()]
     means = ",".join(f"{v + 0.0:.2f}" for v in np.round(mel.mean(axis=0, dtype=np.float64), 2))
+    active = int(batch.column("active_frames").to_numpy().sum())
+    return f"rate={rate};frames={len(mel)};segments={len(batch.column('segments').flatten())};active={active};mel={means}"
+
+
+def describe(media: bytes) -> dict:
+    """What the stored form holds, read back from the file's bytes, and its tensors."""
+    payload, _ = from_wav(media)
     return {
         "payload_bytes": len(payload),
         "payload_sha256": hashlib.sha256(payload).hexdigest(),
         "tail_crc32": zlib.crc32(payload[-32:]),
         "media_bytes": len(media),
         "media_sha256": hashlib.sha256(media).hexdigest(),
-        "feature": f"rate={rate};frames={len(mel)};segments={len(spans)};active={int((spans[:, 1] - spans[:, 0]).sum())};mel={means}",
+        "tensors": pack(chunks(media)),
     }
 
 
-_DESCRIBED = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_DESCRIBED = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("tensors", pa.binary())])
 
 
 def _store(texts: pa.Array) -> pa.Array:
@@ -152,55 +206,53 @@ def stored(text_col: str = "text"):
 
 
 def described(media):
-    """Column: struct of sizes, digests and feature text of a non-null WAV column."""
-    kind = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """Column: struct of sizes, digests and packed tensors of a non-null WAV column."""
+    kind = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors binary"
     return F.arrow_udf(_describe, kind)(media)
 
 
+def features(tensors):
+    """Column: feature text of a non-null column of packed tensors."""
+    return F.arrow_udf(lambda x: pa.array((feature(unpack(t)) for t in x.to_pylist()), pa.string()), "string")(tensors)
+
+
+def analysed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: id, n_bytes, sizes and digests of the stored form, tensors, feature.
+
+    tensors is an Arrow stream (unpack() reads it) of fixed_shape_tensor rows with their time
+    spans; they are stored as Parquet and the feature comes from what is read back. Null texts
+    count as empty, and every row has one tensor at least; ids keep their type, repeated rows
+    repeat, other columns are left out. Empty input gives an empty result.
+    """
+    text = col(text_col).cast("string")
+    rows = docs.select(col(id_col).alias("id"), F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes"), described(stored(text_col)).alias("d"))
+    rows = materialize(rows.select("id", "n_bytes", "d.*"), "audio-tensors")
+    return rows.withColumn("feature", features("tensors")).withColumnRenamed("id", id_col)
+
+
 def tensors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Log-mel tensors of the stored form: (id, chunk, start_s, end_s, active_frames, log_mel).
+    """The tensors of analysed() as rows: id, chunk, start_s, end_s, frames, active_frames,
+    segments and log_mel, TENSOR_FRAMES x MELS floats, row-major.
 
-    log_mel is a fixed-shape tensor of TENSOR_FRAMES x MELS floats, row-major, the last one
-    filled up with the floor of log power. Each row of docs gives at least one tensor;
-    other columns are left out. as_tensors() turns a collected column into Arrow's
-    fixed_shape_tensor type.
+    as_tensors() turns a collected column into Arrow's fixed_shape_tensor type.
     """
-    seconds = HOP / (RATE * UP / DOWN)
-    floor = np.float32(np.log(1e-6))
 
     def run(batches):
         for batch in batches:
-            for ident, text in zip(batch.column("id").to_pylist(), byte_texts(batch.column("text"))):
-                payload, _ = from_wav(to_wav(payload_of(text)))
-                mel = log_mel(resample((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128))
-                on = np.zeros(len(mel) + 1, np.int64)
-                for a, b in segments(mel):
-                    on[a:b] = 1
-                for lo in range(0, len(mel), TENSOR_FRAMES * 64):
-                    part = mel[lo : lo + TENSOR_FRAMES * 64]
-                    k = -(-len(part) // TENSOR_FRAMES)
-                    full = np.full((k * TENSOR_FRAMES, MELS), floor, np.float32)
-                    full[: len(part)] = part
-                    first = lo + np.arange(k) * TENSOR_FRAMES
-                    end = np.minimum(first + TENSOR_FRAMES, len(mel))
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "id": pa.array([ident] * k, pa.int64()),
-                            "chunk": pa.array(first // TENSOR_FRAMES, pa.int64()),
-                            "start_s": pa.array(first * seconds),
-                            "end_s": pa.array((end - 1) * seconds + FRAME / (RATE * UP / DOWN)),
-                            "active_frames": pa.array([int(on[a:b].sum()) for a, b in zip(first, end)], pa.int64()),
-                            "log_mel": pa.ListArray.from_arrays(np.arange(k + 1, dtype=np.int32) * TENSOR_FRAMES * MELS, pa.array(full.ravel())),
-                        }
-                    )
-
-    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, chunk long, start_s double, end_s double, active_frames long, log_mel array<float>")
+            for k, data in enumerate(batch.column("tensors").to_pylist()):
+                got = unpack(data)
+                flat = got.column("log_mel").storage.flatten()
+                mel = pa.ListArray.from_arrays(np.arange(got.num_rows + 1, dtype=np.int32) * TENSOR_FRAMES * MELS, flat)
+                ident = batch.column("id").take(pa.array([k] * got.num_rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ident, *got.columns[:-1], mel], ["id", *_CHUNKS.names])
+
+    rows = docs.select(col(id_col).alias("id"), described(stored(text_col)).alias("d")).select("id", "d.tensors")
+    kind = dict(rows.dtypes)["id"]
+    spans = "array<struct<start_s:double,end_s:double>>"
+    return rows.mapInArrow(run, f"id {kind}, chunk long, start_s double, end_s double, frames long, active_frames long, segments {spans}, log_mel array<float>")
 
 
 def as_tensors(column: pa.ChunkedArray) -> pa.Array:
     """A collected log_mel column as an Arrow fixed_shape_tensor array."""
     flat = column.combine_chunks().flatten().cast(pa.float32())
-    size = TENSOR_FRAMES * MELS
-    kind = pa.fixed_shape_tensor(pa.float32(), [TENSOR_FRAMES, MELS])
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, size))
+    return pa.ExtensionArray.from_storage(_TENSOR, pa.FixedSizeListArray.from_arrays(flat, TENSOR_FRAMES * MELS))

@@ -55,9 +55,7 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), audio.described(audio.stored("text")).alias("d"))
-    return got.select("doc_id", "n_bytes", "d.*")
+    return audio.analysed(table(spark, sf_dir, "documents")).drop("tensors")
 
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

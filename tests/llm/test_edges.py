@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,8 +74,6 @@ def test_close_pairs_are_all_found():
             x ^= np.uint64(1) << np.uint64(b)
         ball.append(x)
     fps = np.unique(np.concatenate([far, np.array(ball, np.uint64)]))
-    import pyarrow as pa
-
     for big in (4096, 8):  # with and without the split of large buckets
         simhash.BIG_GROUP, old = big, simhash.BIG_GROUP
         seg = lambda i: (fps >> np.uint64(16 * i)) & np.uint64(0xFFFF)
@@ -273,7 +272,7 @@ def test_bloom_has_no_misses():
     assert urlfilter.may_contain(table, keys).all() and urlfilter.may_contain(table, other).mean() < 0.05
 
 
-def test_audio(docs, empty):
+def test_audio(docs, clash, empty):
     for text in (b"", b"x", b"\xff" * 576, b"a" * 577, LONG.encode()):
         payload = audio.payload_of(text)
         back, rate = audio.from_wav(audio.to_wav(payload))
@@ -281,7 +280,13 @@ def test_audio(docs, empty):
     rows = audio.tensors(docs).toArrow()
     tensors = audio.as_tensors(rows.column("log_mel"))
     assert tensors.to_numpy_ndarray().shape == (rows.num_rows, audio.TENSOR_FRAMES, audio.MELS)
-    assert audio.tensors(empty).count() == 0
+    assert audio.tensors(empty).count() == 0 and audio.analysed(empty).count() == 0
+    assert audio.analysed(clash).count() == len(ROWS) and audio.tensors(clash).where("id IS NULL").count() == 1
+    for r in audio.analysed(docs).collect():
+        got = audio.unpack(r["tensors"])
+        assert got.schema.field("log_mel").type == pa.fixed_shape_tensor(pa.float32(), [audio.TENSOR_FRAMES, audio.MELS])
+        for row in got.drop_columns(["log_mel"]).to_pylist():
+            assert all(row["start_s"] <= s["start_s"] < min(s["end_s"], row["end_s"]) for s in row["segments"])
     spans = rows.to_pylist()
     assert all(r["start_s"] < r["end_s"] and 0 <= r["active_frames"] <= audio.TENSOR_FRAMES for r in spans)
 

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from pointloom.llm import queries as q
@@ -60,7 +61,15 @@ def test_audio(spark, sf, texts):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(full))
         assert r["payload_sha256"] == hashlib.sha256(full).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(full[-32:])
-        assert r["media_bytes"] == 44 + len(full) and len(r["media_sha256"]) == 64 and r["feature"]
+        size = len(full)
+        head = b"RIFF" + (36 + size).to_bytes(4, "little") + b"WAVEfmt " + bytes([16, 0, 0, 0, 1, 0, 1, 0, 128, 62, 0, 0, 128, 62, 0, 0, 1, 0, 8, 0]) + b"data" + size.to_bytes(4, "little")
+        assert r["media_bytes"] == 44 + size and r["media_sha256"] == hashlib.sha256(head + full).hexdigest()
+        rate, frames, count, active, mel = brute.audio_feature(full)
+        parts = dict(p.split("=") for p in r["feature"].split(";"))
+        assert (int(parts["rate"]), int(parts["frames"])) == (rate, frames)
+        # a level within rounding of a threshold may fall to either side
+        assert abs(int(parts["segments"]) - count) <= 1 and abs(int(parts["active"]) - active) <= 1 + frames // 100
+        assert np.abs(np.array(parts["mel"].split(","), float) - mel).max() < 0.02
 
 
 def test_decontam(spark, sf, con):

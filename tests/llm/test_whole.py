@@ -3,8 +3,9 @@
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from pointloom.llm import decontam, langid, secrets, shingles, simhash
+from pointloom.llm import chat, decontam, langid, secrets, shingles, simhash
 
 from . import brute
 
@@ -157,3 +158,18 @@ def test_secret_patterns_are_linear(spark):
     began = time.time()
     assert secrets.digest(docs).where("spans <> ''").count() == 1
     assert time.time() - began < 60
+
+
+def test_turns_come_back_from_streamed_events(spark):
+    """Deltas, regenerations and edits fold to the rows, repeated rows and equal turns included."""
+    rows = [(1, 0, "user", "ß hi"), (1, 1, "assistant", "x" * 10_000 + "\U0001f600\n"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 1, "user", "b"), (2, 0, "assistant", None), (2, None, None, "z"), (None, 0, "user", "")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(1))
+    events = chat.events_of(table)
+    assert {r["event"] for r in events.select("event").distinct().collect()} == {"message", "delta", "regenerate", "edit"}
+    got = {}
+    for r in chat.format_turns(events).orderBy("conv_id", "turn", "part").collect():
+        got.setdefault(r["conv_id"], []).extend(chat.parse(r["formatted"]))
+    want = {}
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        want.setdefault(conv, []).append((role or "", text or ""))
+    assert got == want
