@@ -7,17 +7,17 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, col, fold_mod, mix64
+from .common import byte_texts, col, discard, fold_mod, materialize, mix64
 
 BITS = 18
-#: Rows that a fit may use at most (documented bound; larger label tables are thinned by id hash).
+#: Rows that a fit may use at most about (documented bound; more labelled texts are thinned by hash).
 MAX_LABELS = 4000
-#: Longer labelled texts are left out of the fit's sample (never of the scoring).
-MAX_FIT_BYTES = 1 << 20
+#: Features of these rows at most about, 8 bytes each on the driver: a bound of the same sample,
+#: which is thinned by hash, whatever a text's length.
+MAX_FEATURES = 25_000_000
 BLOCK_WORDS = 1 << 18
 
 #: Letters to their case class, digits to 0, bytes above ASCII count as lower-case letters.
@@ -71,8 +71,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def train(rows: list[tuple[bytes, int]], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, threshold: float = 0.7) -> Model:
-    """Per-coordinate follow-the-regularised-leader over rows (text, label), in the given order.
+def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A text's hashed n-grams and how often each occurs: 2 ** BITS of them at most."""
+    grams = ngrams(text)
+    idx, val = np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return idx.astype(np.int32), val.astype(np.int32)
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, threshold: float = 0.7) -> Model:
+    """Per-coordinate follow-the-regularised-leader over rows (n-grams, counts, label), in the given order.
 
     The smaller class is weighed up to even terms, then the intercept is moved so that the
     labels' best cut on the training scores falls on `threshold`. Without rows of both
@@ -80,17 +87,14 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 3, alpha: float = 0.5, be
     """
     size = 1 << BITS
     z, n, w = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    y = np.array([b for _, b in rows], np.float64)
+    y = np.array([b for _, _, b in rows], np.float64)
     if len(rows) == 0 or y.min() == y.max():
         return Model(np.zeros(size), -30.0 if len(rows) and y[0] == 0 else 30.0)
     weigh = {0: len(y) / (2 * (y == 0).sum()), 1: len(y) / (2 * (y == 1).sum())}
-    feats = []
-    for text, _ in rows:
-        grams = ngrams(text)
-        idx, val = np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.int64), np.zeros(0))
-        feats.append((np.r_[idx, size], np.r_[SCALE * val / max(1, val.sum()), 1.0]))
+    sparse = lambda row: (np.r_[row[0], size], np.r_[SCALE * row[1] / max(1, row[1].sum()), 1.0])
     for _ in range(epochs):
-        for (idx, val), label in zip(feats, y):
+        for row, label in zip(rows, y):
+            idx, val = sparse(row)
             zi, ni = z[idx], n[idx]
             wi = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
             p = 1 / (1 + np.exp(-np.clip(wi @ val, -35, 35)))
@@ -99,7 +103,7 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 3, alpha: float = 0.5, be
             z[idx] = zi + g - step * wi
             n[idx] = ni + g * g
     w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
-    logits = np.array([w[i] @ v for i, v in feats])
+    logits = np.array([w[i] @ v for i, v in map(sparse, rows)])
     order = np.argsort(logits, kind="stable")
     # errors if everything up to a place in the order is rejected, label-0 errors weighed as label-1 ones
     s, lab = logits[order], y[order]
@@ -110,24 +114,37 @@ def train(rows: list[tuple[bytes, int]], epochs: int = 3, alpha: float = 0.5, be
     return Model(w[:size], float(w[size]), cut - float(np.log(threshold / (1 - threshold))))
 
 
+def _features(texts: pa.Array) -> pa.Array:
+    got = [features(t) for t in byte_texts(texts)]
+    ends = pa.array(np.cumsum([0, *(len(i) for i, _ in got)]).astype(np.int32))
+    flat = lambda k: pa.array(np.concatenate([np.zeros(0, np.int32), *(g[k] for g in got)]))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, flat(k)) for k in (0, 1)], names=["grams", "counts"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = MAX_LABELS) -> Model:
-    """Fit on the labelled documents; at most about max_labels of them, thinned by a hash of their id.
+    """Fit on the labelled texts; at most about max_labels of them, thinned by a hash of id and text.
 
-    Null labels and labels without a document don't count; a repeated pair counts as often
-    as it occurs. The bounded sample is collected in id-hash order, so that a fit repeats.
+    Null labels and labels without a document don't count; a text that a label's id has on
+    several rows counts once. Texts are hashed on the executors, and the bounded sample's
+    n-grams are collected in hash order, so that a fit repeats. Ids may be of any type.
     """
-    lab = labels.select(col(id_col).cast("long").alias("id"), col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND id IS NOT NULL")
+    lab = labels.select(col(id_col).cast("string").alias("id"), col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND id IS NOT NULL").distinct()
     n = lab.count()
-    order = F.xxhash64("id")
-    if n > max_labels:
-        lab = lab.where(F.pmod(order, F.lit(1 << 20)) < int((1 << 20) * max_labels / n))
-    text = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
+    thin = lambda df, h, share: df.where(F.pmod(h, F.lit(1 << 20)) < int((1 << 20) * share)) if share < 1 else df
+    lab = thin(lab, F.xxhash64("id"), max_labels / max(1, n))
+    text = docs.select(col(id_col).cast("string").alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
     # the labels kept are bounded by max_labels, so they may go to every executor
-    picked = text.join(F.broadcast(lab), "id").select("id", "label", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    picked = picked.where(F.octet_length("text") <= MAX_FIT_BYTES)
-    rows = picked.toArrow().to_pydict()
-    keyed = sorted(zip(rows["id"], rows["label"], rows["text"]), key=lambda r: (xxhash.xxh64_intdigest(str(r[0]), 7), r))
-    return train([(t, y) for _, y, t in keyed])
+    picked = text.join(F.broadcast(lab), "id").select("id", "label", F.xxhash64("id", "text", F.lit(7)).alias("h"), "text")
+    picked = picked.groupBy("h", "label").agg(F.min("id").alias("id"), F.any_value("text").alias("text"))
+    rows = materialize(picked.select("h", "id", "label", F.arrow_udf(_features, "grams array<int>, counts array<int>")("text").alias("f")).select("h", "id", "label", "f.*"), "quality-features")
+    held = rows.agg(F.count("*"), F.sum(F.size("grams"))).first()
+    rows = thin(rows, F.shiftrightunsigned("h", 40), min(2 * max_labels / max(1, held[0]), MAX_FEATURES / max(1, held[1] or 0)))
+    got = rows.toArrow()
+    keyed = sorted(zip(got.column("h").to_pylist(), got.column("label").to_pylist(), range(got.num_rows)))
+    parts = [[x.values.to_numpy() for x in got.column(c)] for c in ("grams", "counts")]
+    model = train([(parts[0][k], parts[1][k], y) for _, y, k in keyed])
+    discard(rows)
+    return model
 
 
 def score_column(docs: DataFrame, model: Model, text_col: str = "text"):

@@ -1,6 +1,7 @@
 """Plain versions of the operators: slow, short and independent of them."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -139,3 +140,59 @@ def audio_feature(payload, rate=16_000):
         count += on and not was
         active += on
     return rate, n, count, active, mel.mean(axis=0)
+
+
+def ftrl(rows, size, epochs=3, alpha=0.5, beta=1.0, l1=0.02, l2=0.01, threshold=0.7, scale=8.0):
+    """Scores of rows (n-grams, counts, label) by a scalar loop over coordinates; the last one is the bias."""
+    z, n = defaultdict(float), defaultdict(float)
+    share = [len(rows) / (2 * sum(r[2] == k for r in rows)) for k in (0, 1)]
+    feats = [[(int(i), scale * int(c) / max(1, int(sum(r[1])))) for i, c in zip(r[0], r[1])] + [(size, 1.0)] for r in rows]
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for f, r in zip(feats, rows):
+            w = {i: weight(i) for i, _ in f}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in f)))
+            for i, v in f:
+                g = (p - r[2]) * v * share[r[2]]
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    logits = [sum(weight(i) * v for i, v in f) for f in feats]
+    order = sorted(range(len(rows)), key=lambda k: logits[k])
+    s = [logits[k] for k in order]
+    edges = [s[0] - 1, *((a + b) / 2 for a, b in zip(s, s[1:])), s[-1] + 1]
+    errors = [sum(share[1] * (rows[k][2] == 1) for k in order[:c]) + sum(share[0] * (rows[k][2] == 0) for k in order[c:]) for c in range(len(rows) + 1)]
+    best = [c for c, e in enumerate(errors) if abs(e - min(errors)) < 1e-6]
+    cut = edges[best[len(best) // 2]]
+    return [1 / (1 + math.exp(-(x - cut + math.log(threshold / (1 - threshold))))) for x in logits]
+
+
+def language(train, texts, bits=16):
+    """(language, score) of texts by naive Bayes over hashed 1- to 3-grams, counted one by one."""
+
+    def grams(text):
+        c = [ord(x) if x.isalpha() else 32 for x in text.lower()] + [32] * 5
+        for at in range(len(c) - 2):
+            for order in (1, 2, 3):
+                h = (c[at] * 0x9E3779B1 + order) % 2**32
+                for k in range(1, order):
+                    h = ((h ^ h >> 15) * 0x85EBCA6B + c[at + k] * 0xC2B2AE35) % 2**32
+                yield ((h ^ h >> 13) * 0x27D4EB2F % 2**32) >> 32 - bits
+
+    counts, rows = defaultdict(Counter), Counter()
+    for text, lang in train:
+        counts[lang].update(grams(text))
+        rows[lang] += 1
+    total = {x: sum(c.values()) + 0.5 * 2**bits for x, c in counts.items()}
+    out = []
+    for text in texts:
+        if not any(x.isalpha() for x in text):
+            out.append(("und", 0.0))
+            continue
+        seen = Counter(grams(text))
+        joint = {x: math.log(rows[x] / sum(rows.values())) + sum(n * math.log((counts[x][g] + 0.5) / total[x]) for g, n in seen.items()) for x in sorted(counts)}
+        best = max(joint, key=lambda x: joint[x])
+        out.append((best, 1 / sum(math.exp(v - joint[best]) for v in joint.values())))
+    return out

@@ -52,6 +52,12 @@ def test_langid(spark, sf, con):
     assert {r["doc_id"] for r in held} == {i for i in lang if zlib.crc32(str(i).encode()) % 5 == 0}
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.9 * len(held)
     assert all(0 <= r["score"] <= 1 for r in rows)
+    docs = con.sql("SELECT doc_id, text, lang FROM documents ORDER BY doc_id").fetchall()
+    train = [(t, x) for i, t, x in docs if zlib.crc32(str(i).encode()) % 5 and t is not None and x is not None]
+    want = brute.language(train, [t or "" for _, t, _ in docs])
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows}
+    for (i, _, _), (x, score) in zip(docs, want):
+        assert got[i][0] == x and abs(got[i][1] - score) < 1e-6
 
 
 def test_audio(spark, sf, texts):

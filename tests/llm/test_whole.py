@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from pointloom.llm import chat, decontam, langid, secrets, shingles, simhash
+from pointloom.llm import chat, decontam, langid, quality, secrets, shingles, simhash
 
 from . import brute
 
@@ -173,3 +173,33 @@ def test_turns_come_back_from_streamed_events(spark):
     for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
         want.setdefault(conv, []).append((role or "", text or ""))
     assert got == want
+
+
+def test_training_is_ftrl():
+    """Against a scalar loop over coordinates."""
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(40)]
+    rows = []
+    for k in range(60):
+        text = " ".join(rng.choice(words[:25] if k % 3 else words[15:], 30))
+        rows.append((*quality.features(text.encode()), int(k % 3 > 0)))
+    model = quality.train(rows)
+    size = 1 << quality.BITS
+    z = np.array([model.weights[i] @ (quality.SCALE * c / c.sum()) for i, c, _ in rows]) + model.bias - model.shift
+    assert np.allclose(1 / (1 + np.exp(-z)), brute.ftrl(rows, size), atol=1e-9)
+
+
+def test_long_labelled_texts_are_learned(spark):
+    """No labelled text is too long for the fit, and ids may be text."""
+    good, bad = "a calm sentence. " * 120_000, "BUY!!! NOW!!! " * 120_000
+    rows = [(f"id-{k}", x, k % 2) for k, x in enumerate([bad, good] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, quality int")
+    got = quality.classify(docs.drop("quality"), docs.select("doc_id", "quality"))
+    assert all(r["predicted"] == int(r["doc_id"][3:]) % 2 for r in got.select("doc_id", "predicted").collect())
+
+
+def test_a_labelled_id_on_many_rows_counts_once_per_text(spark):
+    docs = spark.createDataFrame([(1, "good words here")] * 500 + [(2, "bad")] * 2 + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, None), (None, 1), (3, 0)], "doc_id long, quality int")
+    got = {(r["doc_id"], r["predicted"]) for r in quality.classify(docs, labels).collect()}
+    assert got == {(1, 1), (2, 0), (3, 0)}
