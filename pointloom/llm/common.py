@@ -17,11 +17,13 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent (a single-machine session, as in tests) a
-    local folder is set up in its place.
+    Only where that setting is absent and the master is local (as in tests) a local folder
+    is set up in its place; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"pointloom-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -1,9 +1,10 @@
 """Mixing sources to target weights by hash-threshold histograms, in DataFrame operations only.
 
-Each row has a 60-bit hash of its id. Per source, sizes are summed by the hash's leading
+Each row has a 60-bit hash of its id and text. Per source, sizes are summed by the hash's leading
 12 bits; the running sums show in which bucket the budget ends, and only that bucket is
 summed again by the next 12 bits, until it holds a single hash. What lies below the
-threshold is taken: a filter, without sorting, and for a larger budget a superset.
+threshold is taken: a filter, without sorting, and for a larger budget a superset. Rows of
+one hash (equal id and text) at the edge are told apart by their other columns and numbered.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
-def id_hash(ident: Column) -> Column:
-    """The leading 60 bits of the md5 of the id's text; null ids count as empty text."""
-    digest = F.md5(F.coalesce(ident.cast("string"), F.lit("")).cast("binary"))
+def row_hash(ident: Column, text: Column) -> Column:
+    """The leading 60 bits of the md5 of the id's text, a zero and the text; nulls count as empty."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("")).cast("binary")
+    digest = F.md5(F.concat(part(ident), F.lit(b"\0"), part(text)))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -63,11 +65,11 @@ def _bucket(level: int) -> Column:
 
 
 def thresholds(rows: DataFrame, aims: DataFrame) -> DataFrame:
-    """source, source_size, target, repeats, cut: a row is taken repeats times, and once more if h < cut.
+    """source, source_size, target, repeats, cut, more: a row is taken repeats times, and once more
+    if h < cut or it is one of the first `more` rows of h = cut.
 
     rows have source (null-free key), size and h; aims come from targets(). The row at the
-    edge is taken if that brings the source nearer to its target. Rows of equal hash (repeated
-    ids) stay together.
+    edge is taken if that brings the source nearer to its target.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     state = aims.withColumn("repeats", F.least(whole, F.lit(MAX_REPEATS)).cast("long"))
@@ -95,29 +97,58 @@ def thresholds(rows: DataFrame, aims: DataFrame) -> DataFrame:
         discard(old)
         if state.where("lo < hi").isEmpty():  # every edge is a single hash
             break
-    miss, reach = F.col("budget") - F.col("below"), F.col("below") + F.col("edge_size") - F.col("budget")
-    cut = F.when(F.col("edge_size").isNull(), F.lit(1 << 60)).when(reach < miss, F.col("hi") + 1).otherwise(F.col("lo"))
-    return materialize(state.select("source", "source_size", "target", "repeats", cut.cast("long").alias("cut")), "mix-cuts")
+    # the edge is one hash (or the budget is never passed): how many of its rows, all of one size, are taken
+    miss = F.col("budget") - F.col("below")
+    edge = state.join(edge_rows(rows, state), "source", "left")
+    more = F.ceil(miss / F.col("row_size") - F.lit(0.5)).cast("long")
+    more = F.when(F.col("edge_size").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(more, F.col("edge_rows"))))
+    cut = F.when(F.col("edge_size").isNull(), F.lit(1 << 60)).otherwise(F.col("lo"))
+    # as many as the edge has: all below the next hash, without numbering
+    full = more == F.col("edge_rows")
+    cut, more = F.when(full, cut + 1).otherwise(cut), F.when(full, F.lit(0)).otherwise(more)
+    return materialize(edge.select("source", "source_size", "target", "repeats", cut.cast("long").alias("cut"), F.coalesce(more, F.lit(0)).cast("long").alias("more")), "mix-cuts")
+
+
+def edge_rows(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """source, edge_rows, row_size: the rows of each source that have its edge's hash."""
+    at = state.select("source", F.col("lo").alias("h")).where("h IS NOT NULL")
+    return rows.join(small(at, BROADCAST_SOURCES), ["source", "h"], "left_semi").groupBy("source").agg(F.count("*").alias("edge_rows"), F.max("size").alias("row_size"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All columns of docs plus size, source_size, target, taken (long, long, double, long).
 
     taken is size times the repeats of the row: 0 to 3. Each source's taken words differ from
-    its target by at most half of the size of its row at the edge (of the rows with that row's
-    id hash). A null source is one source, the last. Null and blank texts have size 0, and a
-    source of size 0 gets target 0. Columns of those names are replaced. Empty input gives an
-    empty result. Reruns take the same rows.
+    its target by at most half of the size of its row at the edge. Rows of equal id and text
+    at the edge go by their other columns, then, if equal in all, by number: rows that equal
+    each other stay unequal in taken only there. A null source is one source, the last. Null
+    and blank texts have size 0, and a source of size 0 gets target 0. Columns of those names
+    are replaced. Empty input gives an empty result. Reruns take the same rows.
     """
-    key, h = free_name(docs, "mix_source"), free_name(docs, "mix_hash")
-    sized = docs.drop("size", "source_size", "target", "taken").withColumns({"size": n_words(col(text_col).cast("string"))})
+    docs = docs.drop("size", "source_size", "target", "taken")
+    text = col(text_col).cast("string")
     # a null-free key: null sources sort last and don't equal any text
-    source = col(source_col).cast("string")
-    flat = sized.select(F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")).alias("source"), "size", id_hash(col(id_col)).alias("h"))
-    flat = materialize(flat, "mix-rows")
-    sizes = flat.groupBy("source").agg(F.sum("size").alias("source_size"))
-    cuts = thresholds(flat, targets(sizes))
-    repeats = F.col("repeats") + F.when(F.col(h) < F.col("cut"), 1).otherwise(0)
-    sized = sized.withColumns({key: F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")), h: id_hash(col(id_col))})
-    out = sized.join(small(cuts.withColumnRenamed("source", key), BROADCAST_SOURCES), key)
-    return out.withColumn("taken", F.col("size") * F.least(repeats, F.lit(MAX_REPEATS))).drop(key, h, "repeats", "cut")
+    name = col(source_col).cast("string")
+    source = F.struct(name.isNull().alias("none"), F.coalesce(name, F.lit("")).alias("name"))
+    h = row_hash(col(id_col), text)
+    flat = materialize(docs.select(source.alias("source"), n_words(text).alias("size"), h.alias("h")), "mix-rows")
+    cuts = thresholds(flat, targets(flat.groupBy("source").agg(F.sum("size").alias("source_size"))))
+    discard(flat)
+    # the columns of docs travel as one struct, so no name of theirs can clash
+    row = F.struct(*(col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)))
+    sized = docs.select(row.alias("row"), source.alias("source"), n_words(text).alias("size"), h.alias("h")).join(small(cuts, BROADCAST_SOURCES), "source")
+    extra = (F.col("h") < F.col("cut")).cast("int")
+    out = sized.withColumn("extra", extra)
+    split = cuts.where("more > 0")
+    if not split.isEmpty():
+        tied = (F.col("h") == F.col("cut")) & (F.col("more") > 0) & (F.col("size") > 0)
+        # equal rows are folded before they are numbered, and unfolded again
+        same = sized.where(tied).groupBy(*sized.columns).agg(F.count("*").alias("copies"))
+        upto = F.sum("copies").over(Window.partitionBy("source").orderBy(F.to_json("row"), F.xxhash64("row")))
+        same = same.withColumn("first", F.greatest(F.lit(0), F.least(F.col("copies"), F.col("more") - (upto - F.col("copies")))))
+        parts = F.array(F.struct(F.lit(1).alias("extra"), F.col("first").alias("n")), F.struct(F.lit(0).alias("extra"), (F.col("copies") - F.col("first")).alias("n")))
+        same = same.withColumn("part", F.explode(parts)).where("part.n > 0")
+        same = same.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("part.n")))).select(*sized.columns, "part.extra")
+        out = out.where(~tied).unionByName(same)
+    taken = F.col("size") * F.least(F.col("repeats") + F.col("extra"), F.lit(MAX_REPEATS))
+    return out.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)), "size", "source_size", "target", taken.alias("taken"))

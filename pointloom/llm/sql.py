@@ -48,7 +48,7 @@ FROM words w LEFT JOIN kept k USING (doc_id)
 OP5 = rf"""
 WITH docs AS (
   SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+    CAST('0x' || substr(md5(encode(coalesce(CAST(doc_id AS VARCHAR), '')) || '\x00'::BLOB || encode(coalesce(text, ''))), 1, 15) AS BIGINT) AS h
   FROM documents
 ), sums AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

@@ -35,7 +35,7 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def clash(docs):
     """Columns whose names the operators use themselves."""
-    names = ["id", "fp", "component_id", "size", "taken", "target", "source_size", "score", "predicted", "lang_pred", "blob", "pid", "kept", "h", "key", "host", "path", "a.b", "rep", "root", "mix_hash"]
+    names = ["id", "fp", "component_id", "size", "taken", "target", "source_size", "score", "predicted", "lang_pred", "blob", "pid", "kept", "h", "key", "host", "path", "a.b", "rep", "root", "mix_hash", "repeats", "cut", "more", "row", "extra", "c0", "th", "node", "found_key"]
     return docs.withColumns({n: F.lit(1) for n in names})
 
 

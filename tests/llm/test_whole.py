@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from pointloom.llm import chat, decontam, langid, quality, secrets, shingles, simhash
+from pointloom.llm import chat, common, decontam, langid, mixing, quality, secrets, shingles, simhash
 
 from . import brute
 
@@ -203,3 +203,34 @@ def test_a_labelled_id_on_many_rows_counts_once_per_text(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, None), (None, 1), (3, 0)], "doc_id long, quality int")
     got = {(r["doc_id"], r["predicted"]) for r in quality.classify(docs, labels).collect()}
     assert got == {(1, 1), (2, 0), (3, 0)}
+
+
+def test_mix_splits_ties(spark):
+    """Repeated and null ids, equal texts and equal rows come as near to the targets as others."""
+    wide = [(None, " ".join(f"w{k}" for k in range(10)) + f" {j}", s, 1) for s in "ab" for j in range(300)]
+    equal = [(7, "one two three", s, 1) for s in "cd" for _ in range(500)]
+    other = [(7, "one two three", "e", j) for j in range(500)]
+    docs = spark.createDataFrame(wide + equal + other, "doc_id long, text string, source string, cut int")
+    rows = mixing.mix(docs).collect()
+    assert sorted(r["cut"] for r in rows) == sorted(r[3] for r in wide + equal + other)
+    by = {}
+    for r in rows:
+        by.setdefault(r["source"], []).append(r)
+    for own in by.values():
+        assert len(own) == len([d for d in wide + equal + other if d[2] == own[0]["source"]])
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own) / 2
+    assert sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=repr) == sorted(map(tuple, rows), key=repr)
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    import pytest
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
