@@ -104,13 +104,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Estimated bytes of the tables that df reads, from the plan's leaves (no job runs).
-
-    Leaves of unknown size, which Spark takes for as large as can be, don't count.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return sum(s for s in sizes if s < 1 << 60)

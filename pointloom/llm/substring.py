@@ -20,14 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, col, input_bytes, mix64, shuffle_parts, starts_of
+from .common import byte_texts, col, mix64, shuffle_parts, starts_of
 
 WINDOW = 35
 # A perfect difference set of order 4.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 ANCHOR = WINDOW - PERIOD + 1
-#: Bytes of input (as stored) that one group of documents holds at most about.
-GROUP_BYTES = 24 << 20
+#: Bytes of text that one group of documents holds at most about, and of text whose anchors (or
+#: windows, of which there can be as many as words) meet in one bucket.
+GROUP_BYTES, BUCKET_BYTES = 48 << 20, (384 << 20, 96 << 20)
 
 _R = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 _INV = tuple(np.uint64(pow(int(r), -1, 1 << 64)) for r in _R)
@@ -189,20 +190,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no words; rows with fewer than 35 words stay whole; repeated rows remove each other. Null
     ids are kept. Other columns are ignored. Empty input gives an empty result.
     """
-    parts = max(shuffle_parts(docs.sparkSession), input_bytes(docs) // GROUP_BYTES)
     rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("pid", F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = shuffle_parts(docs.sparkSession)
+    parts = max(least, size // GROUP_BYTES)
+    buckets = [max(least, size // b) for b in BUCKET_BYTES]
+    # with the input partition, so that repeated rows spread
+    rows = rows.withColumn("pid", F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(parts)))
 
     def anchors(part: pa.Table) -> pa.Table:
         g = _Group(byte_texts(part.column("text").combine_chunks()))
-        return _send(part.column("pid")[0].as_py(), g.distinct, None, g.local, parts)
+        return _send(part.column("pid")[0].as_py(), g.distinct, None, g.local, buckets[0])
 
     def windows(part: pa.Table, replies: pa.Table) -> pa.Table:
         if not part.num_rows:
-            return _send(0, np.zeros(0, np.uint64), None, np.zeros(0, bool), parts)
+            return _send(0, np.zeros(0, np.uint64), None, np.zeros(0, bool), buckets[1])
         g = _Group(byte_texts(part.column("text").combine_chunks()))
         one, two, local, _ = g.windows(_bits(replies, 0))
-        return _send(part.column("pid")[0].as_py(), one, two, local, parts)
+        return _send(part.column("pid")[0].as_py(), one, two, local, buckets[1])
 
     def cut(part: pa.Table, replies: pa.Table) -> pa.Table:
         texts = byte_texts(part.column("text").combine_chunks()) if part.num_rows else []
