@@ -10,14 +10,8 @@ from .common import table
 
 # The rules of the URL query, and the listed hosts behind them.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-URL_LISTED = (
-    ("ads-track.example.com", "/"),
-    ("spam-farm.example.org", "/"),
-    ("casino-win.example.net", "/"),
-    ("adult-x.example.com", "/"),
-    ("cheap-pills.example.net", "/"),
-    ("free-bets.example.net", "/"),
-)
+URL_NAMES = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
+URL_LISTED = tuple((f"{name}.example.{top}", "/") for name in URL_NAMES for top in ("com", "net", "org"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,9 +87,15 @@ WITH entries(e_host, e_path, e_verdict, is_rule) AS (VALUES {_LIST}), parsed AS
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages
+), forms AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS c_host,
+    CASE WHEN path = '' THEN '/' ELSE path END AS c_path
+  FROM parsed
 ), fits AS (
   SELECT p.row_id, e.*, row_number() OVER (PARTITION BY p.row_id ORDER BY is_rule DESC, length(e_host || e_path) DESC, e_verdict = 'block' DESC) AS rn
-  FROM parsed p JOIN entries e ON (host = e_host OR ends_with(host, '.' || e_host)) AND starts_with(path, e_path)
+  FROM forms p JOIN entries e ON CASE WHEN is_rule = 1
+    THEN (host = e_host OR ends_with(host, '.' || e_host)) AND starts_with(path, e_path)
+    ELSE (c_host = e_host OR ends_with(c_host, '.' || e_host)) AND starts_with(c_path, e_path) END
 )
 SELECT page_id, host, path, CASE WHEN is_rule = 1 THEN e_host || e_path END AS rule, coalesce(e_verdict, 'allow') AS verdict
 FROM parsed p LEFT JOIN fits f ON p.row_id = f.row_id AND rn = 1

@@ -1,10 +1,12 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs before an exact join.
 
 A listed entry is host + path, for example `example.org/es/`, and covers its host, all
-subdomains and all paths that start with its path. A URL's candidates are its host's last
-labels with its path's prefixes, for the label counts and prefix lengths that the list has.
-Candidates that pass the filter are joined to the list by their text, so that false
-positives drop out.
+subdomains and all paths that start with its path. The filter has the entries and their hosts.
+A URL's probes are first the last labels of its host; those that pass are joined to the
+list's hosts, which tells how long their listed paths are, and the path's prefixes of these
+lengths are probed in turn. What passes is joined to the list by host and path, so that
+false positives drop out. Rules are compared with the URL as it stands, other entries with
+its canonical form: no user, port or dot after the host, `/` for an empty path.
 """
 
 from __future__ import annotations
@@ -34,6 +36,14 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def canonical_host(host: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", ""), r"\.+$", "")
+
+
+def canonical_path(path: Column) -> Column:
+    return F.when(path == "", "/").otherwise(path)
+
+
 def _slots(h: np.ndarray, blocks: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Block of each 64-bit hash and its bit in each of the block's words."""
     h = mix64(h.view(np.uint64))
@@ -85,31 +95,36 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", default: st
     """
     pages = pages.drop("host", "path", "entry", "entry_kind", "verdict")
     listed = listed.select("host", "path", "verdict", "kind").where("host IS NOT NULL AND path IS NOT NULL AND host <> ''").distinct()
-    listed = listed.withColumn("key", F.concat("host", "path"))
-    shape = listed.agg(F.count("*"), F.max(F.size(F.split("host", r"\.", -1))), F.collect_set(F.length("path"))).first()
-    n, labels, lengths = shape[0], shape[1] or 0, sorted(shape[2])
-    table = build_filter(listed.select(F.xxhash64("key").alias("h")), n)
-    shared = pages.sparkSession.sparkContext.broadcast(table)
+    hosts = listed.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))
+    n, labels = listed.agg(F.count("*"), F.max(F.size(F.split("host", r"\.", -1)))).first()
+    keys = listed.select(F.xxhash64("host", "path").alias("h")).unionByName(hosts.select(F.xxhash64("host").alias("h")))
+    shared = pages.sparkSession.sparkContext.broadcast(build_filter(keys, 2 * n))
 
     def passes(h: pa.Array) -> pa.Array:
         return pa.array(may_contain(shared.value, h.to_numpy(zero_copy_only=False).astype(np.int64)))
 
+    may = F.arrow_udf(passes, "boolean")
     url = col(url_col).cast("string")
-    parts = F.split("host", r"\.", -1)
-    pairs = []
-    for k in range(1, labels + 1):
-        for m in lengths:
-            fits = (F.size("labels") >= k) & (F.length("path") >= m)
-            tail = F.array_join(F.slice("labels", F.greatest(F.size("labels") - (k - 1), F.lit(1)), F.lit(k)), ".")
-            pairs.append(F.when(fits, F.concat(tail, F.substring(F.col("path"), 1, m))))
-    urls = pages.select(url.alias("u")).where(F.col("u").contains("://")).withColumns({"host": host_of(F.col("u")), "path": path_of(F.col("u"))}).withColumn("labels", parts)
-    keys = F.array(*pairs) if pairs else F.array().cast("array<string>")
-    probes = urls.select("u", F.explode(keys).alias("key")).where("key IS NOT NULL")
-    hits = probes.where(F.arrow_udf(passes, "boolean")(F.xxhash64("key"))).distinct()
-    rank = F.struct((F.col("kind") == "rule").cast("int").alias("is_rule"), F.length("key").alias("len"), (F.col("verdict") == "block").cast("int").alias("blocks"), "key", "verdict", "kind")
-    best = hits.join(listed.select("key", "verdict", "kind"), "key").groupBy("u").agg(F.max(rank).alias("best"))
-    key, win = free_name(pages, "judged_url"), free_name(pages, "winner")
-    best = best.select(F.col("u").alias(key), F.col("best").alias(win))
-    out = pages.join(best, url == F.col(key), "left").drop(key)
+    urls = pages.select(url.alias("u")).where(F.col("u").contains("://")).withColumns({"host": host_of(F.col("u")), "path": path_of(F.col("u"))})
+    form = lambda host, path, literal, canonical: F.struct(host.alias("host"), path.alias("path"), literal.alias("literal"), canonical.alias("canonical"))
+    host, path = canonical_host(F.col("host")), canonical_path(F.col("path"))
+    plain = (host == F.col("host")) & (path == F.col("path"))
+    forms = F.when(plain, F.array(form(F.col("host"), F.col("path"), F.lit(True), F.lit(True))))
+    forms = forms.otherwise(F.array(form(F.col("host"), F.col("path"), F.lit(True), F.lit(False)), form(host, path, F.lit(False), F.lit(True))))
+    probes = urls.select("u", F.explode(forms).alias("f")).select("u", "f.*").withColumn("labels", F.split("host", r"\.", -1))
+    upto = F.sequence(F.lit(1), F.least(F.size("labels"), F.lit(labels or 1)))
+    tails = F.transform(upto, lambda k: F.array_join(F.slice("labels", F.size("labels") - k + 1, k), "."))
+    probes = probes.select("u", "path", "literal", "canonical", F.explode(tails).alias("tail")).where(may(F.xxhash64("tail"))).distinct()
+    probes = probes.join(hosts.withColumnRenamed("host", "tail"), "tail")
+    fitting = F.filter("lengths", lambda m: m <= F.length("path"))
+    probes = probes.select("u", "tail", "literal", "canonical", F.explode(F.transform(fitting, lambda m: F.col("path").substr(F.lit(1), m))).alias("start"))
+    hits = probes.where(may(F.xxhash64("tail", "start")))
+    fits = (hits["tail"] == listed["host"]) & (hits["start"] == listed["path"]) & F.when(F.col("kind") == "rule", F.col("literal")).otherwise(F.col("canonical"))
+    key = F.concat("tail", "start")
+    rank = F.struct((F.col("kind") == "rule").cast("int").alias("is_rule"), F.length(key).alias("len"), (F.col("verdict") == "block").cast("int").alias("blocks"), key.alias("key"), "verdict", "kind")
+    best = hits.join(listed, fits).groupBy("u").agg(F.max(rank).alias("best"))
+    mark, win = free_name(pages, "judged_url"), free_name(pages, "winner")
+    best = best.select(F.col("u").alias(mark), F.col("best").alias(win))
+    out = pages.join(best, url == F.col(mark), "left").drop(mark)
     out = out.withColumns({"host": host_of(url), "path": path_of(url), "entry": F.col(f"{win}.key"), "entry_kind": F.col(f"{win}.kind"), "verdict": F.coalesce(f"{win}.verdict", F.lit(default))})
     return out.drop(win)

@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from pointloom.llm import chat, common, decontam, langid, mixing, quality, secrets, shingles, simhash
+from pointloom.llm import chat, common, decontam, langid, mixing, quality, secrets, shingles, simhash, substring, urlfilter
 
 from . import brute
 
@@ -234,3 +234,47 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(ValueError):
         common.shared_dir(Session)
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    """Thousands of equal rows remove each other, and don't land in one group."""
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(None, text)] * 2000 + [(1, text + " end")], "doc_id long, text string").repartition(8)
+    got = {(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring.remove_repeats(docs).collect()}
+    assert got == {(None, 40, 40, ""), (1, 41, 40, "end")}
+
+
+def test_listed_urls_by_their_canonical_form(spark):
+    """Thousands of entries, many paths on one host; rules see the URL as it stands."""
+    rng = np.random.default_rng(4)
+    entries = {(f"h{k}.net", "/"): "block" for k in range(3000)}
+    entries |= {("big.org", "/" + "x" * int(n) + "/"): "block" for n in range(300)}
+    entries |= {("sub.big.org", "/"): "allow", ("h7.net", "/keep/"): "allow"}
+    rules = {("h8.net", "/"): "allow", ("h8.net:8080", "/a"): "block"}
+    rows = [(h, p, v, "list") for (h, p), v in entries.items()] + [(h, p, v, "rule") for (h, p), v in rules.items()]
+    hosts = ["h7.net", "h8.net", "h9.net.", "u:p@h10.net:443", "www.h11.net:80", "xh12.net", "big.org", "a.sub.big.org", "H13.net", "none.com", "h8.net:8080", "net"]
+    paths = ["", "/", "/keep/1", "/a", "?q=/", "/" + "x" * 299 + "/y", "/xx", "/xx/"]
+    urls = [f"http://{h}{p}" for h in hosts for p in paths] + [f"s://h{k}.net/{k}" for k in rng.integers(0, 6000, 300)]
+
+    def judged(url):
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, path = rest[:cut].lower(), rest[cut:].split("?")[0].split("#")[0]
+        bare = host.rsplit("@", 1)[-1]
+        bare = bare.rsplit(":", 1)[0] if ":" in bare and not bare.rsplit(":", 1)[1].strip("0123456789") else bare
+        bare = bare.rstrip(".")
+        under = lambda h, e: h == e or h.endswith("." + e)
+        fit = [(1, len(h + p), v) for (h, p), v in rules.items() if under(host, h) and path.startswith(p)]
+        fit += [(0, len(h + p), v) for (h, p), v in entries.items() if under(bare, h) and (path or "/").startswith(p)]
+        return max(fit)[2] if fit else "allow"
+
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({n: F.lit("x") for n in ("tail", "start", "kind", "winner", "judged_url", "literal")})
+    listed = spark.createDataFrame(rows, "host string, path string, verdict string, kind string")
+    got = {r["url"]: r["verdict"] for r in urlfilter.judge(pages, listed).collect()}
+    assert got == {u: judged(u) for u in urls}
+
+
+def test_url_keys_dont_fuse(spark):
+    listed = spark.createDataFrame([("a.or", "g/x", "block", "list")], "host string, path string, verdict string, kind string")
+    pages = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
+    assert urlfilter.judge(pages, listed).first()["verdict"] == "allow"
