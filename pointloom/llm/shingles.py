@@ -6,8 +6,9 @@ each set under BANDS keys; a pair at similarity s shares one with probability
 1 - (1 - s ** ROWS) ** BANDS, 0.999997 at 0.8. Of the pairs that share a key, those whose
 fingerprints have no chain of segments within the proportional budgets of BUDGET bits are
 pruned (a pair at 0.8 stays within them with a probability over 0.9998), and whole shingle
-sets decide about the rest: first against the most central set of each key, then between all
-sets of a key that are still apart.
+sets decide about the rest: first against the most central set of each key, then against any
+one. Sets of a key that are still apart are compared by signatures of SIGNS minima, and whole
+where these agree.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, col, discard, materialize, mix64, small
+from .common import byte_texts, col, discard, materialize, mix64, shuffle_parts, small
 from .graph import components
 
 # The rule of stages on word shingles.
@@ -29,8 +30,13 @@ WIDTH, SHARE = 5, (4, 5)
 BANDS, ROWS = 24, 4
 #: Bits that fingerprints may differ in, over a ring of SEGMENTS segments.
 BUDGET, SEGMENTS = 21, 8
+#: Minima of a signature, and how many bytes must agree: a pair at 0.8 falls short with a
+#: probability under 0.0001.
+SIGNS, AGREE = 512, 376
 SEED = 42
 BLOCK = 1 << 14
+#: Sets of a key that are compared in one block, and rows of one task at most about.
+BLOCK_SETS, PART_SETS = 2048, 40_000
 #: Keys, sets and pairs up to this number go to every executor; with more the join is shuffled.
 BROADCAST_PAIRS = 500_000
 #: Rounds that compare with one set of each key.
@@ -150,8 +156,69 @@ def _centres(named: DataFrame, k: int) -> DataFrame:
         named = named.join(named.groupBy("key").agg(F.count("*").alias("many")), "key")
         named = named.join(named.groupBy("node").agg(F.sum("many").alias("central")), "node")
         rank = -F.col("central")
-    pick = F.min(F.struct(rank.alias("rank"), F.col("node").alias("w"), F.col("n").alias("m"), F.col("fp").alias("g"), F.col("root").alias("top")))
-    return named.groupBy("key").agg(pick.alias("p")).select("key", "p.w", "p.m", "p.g", "p.top")
+    pick = F.min(F.struct(rank.alias("rank"), F.col("node").alias("w"), F.col("n").alias("m"), F.col("fp").alias("other_fp"), F.col("root").alias("top")))
+    return named.groupBy("key").agg(pick.alias("p")).select("key", "p.w", "p.m", "p.other_fp", "p.top")
+
+
+@cache
+def _finer_orders() -> tuple[np.ndarray, np.ndarray]:
+    x = mix64(np.arange(1, 2 * SIGNS + 1, dtype=np.uint64) + np.uint64(1 << 32))
+    return x[::2, None], x[1::2, None] | np.uint64(1)
+
+
+def signature(grams: np.ndarray) -> np.ndarray:
+    """A byte of each of SIGNS minima; two sets at similarity s agree in s + (1 - s) / 256 of them."""
+    flip, factor = _finer_orders()
+    low = np.full(SIGNS, np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(grams), BLOCK // 4):
+            np.minimum(low, ((grams[None, at : at + BLOCK // 4] ^ flip) * factor).min(axis=1), out=low)
+    return (mix64(low) & np.uint64(255)).astype(np.uint8)
+
+
+def _signatures(grams: pa.Array) -> pa.Array:
+    flat, ends = grams.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(grams.value_lengths().to_numpy())]
+    return pa.array((signature(flat[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])), pa.binary())
+
+
+def _likely(part: pa.Table) -> pa.Table:
+    """Pairs (u, v) of one key and pair of blocks, of different components, whose signatures agree enough."""
+    cols = {c: part.column(c).to_numpy() for c in ("key", "low", "high", "node", "n", "root")}
+    sign = np.frombuffer(b"".join(part.column("sign").to_pylist()), np.uint8).reshape(-1, SIGNS)
+    order = np.lexsort((cols["high"], cols["low"], cols["key"]))
+    new = np.zeros(len(order), bool)
+    for c in ("key", "low", "high"):
+        new[1:] |= np.diff(cols[c][order]) != 0
+    u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for rows in np.split(order, np.flatnonzero(new)):
+        own, node, n, root = sign[rows], cols["node"][rows], cols["n"][rows], cols["root"][rows]
+        for k in range(len(rows) - 1):
+            near = np.flatnonzero((root[k + 1 :] != root[k]) & (SHARE[1] * np.minimum(n[k + 1 :], n[k]) >= SHARE[0] * np.maximum(n[k + 1 :], n[k]))) + k + 1
+            near = near[(own[near] == own[k]).sum(axis=1) >= AGREE]
+            if len(near):
+                u.append(np.maximum(node[near], node[k]))
+                v.append(np.minimum(node[near], node[k]))
+    both = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
+    return pa.table({"u": both[:, 0], "v": both[:, 1]})
+
+
+def _close_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets of different components that share a key and, by their signatures, may be similar.
+
+    Keys with many sets are compared in pairs of blocks, by any number of tasks; only likely
+    pairs leave them.
+    """
+    nodes = _wide(materialize(left.select(F.col("node").alias("node_")).distinct(), "shingle-left"))
+    signs = sets.join(nodes, F.col("node") == F.col("node_"), "left_semi").select("node", F.arrow_udf(_signatures, "binary")("grams").alias("sign"))
+    signs = materialize(signs, "shingle-signs")
+    blocks = left.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK_SETS)).cast("int").alias("blocks"))
+    dealt = left.join(blocks, "key").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "node", "n", "root", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    dealt = dealt.select("key", "node", "n", "root", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high"))
+    dealt = materialize(dealt, "shingle-dealt")
+    parts = max(shuffle_parts(left.sparkSession), dealt.count() // PART_SETS)
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", "low", "high"), F.lit(parts)))
+    return dealt.join(signs, "node").groupBy("part").applyInArrow(_likely, "u long, v long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +240,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     held = held.select(F.arrow_udf(_sets, "node long, grams array<long>")("t").alias("s")).select("s.*")
     sets = materialize(held.groupBy("node").agg(F.any_value("grams").alias("grams")), "shingle-sets")
     edges, roots = None, None
-    fits = (F.least("n", "m") * SHARE[1] >= F.greatest("n", "m") * SHARE[0]) & within_budgets(F.col("fp").bitwiseXOR(F.col("g")))
+    fits = (F.least("n", "m") * SHARE[1] >= F.greatest("n", "m") * SHARE[0]) & within_budgets(F.col("fp").bitwiseXOR(F.col("other_fp")))
     for k in range(ROUNDS + 1):
         if k:
             if roots is not None:
@@ -186,8 +253,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             many = near.groupBy("node", "w").agg(F.count("*").alias("many"))
             pairs = many.groupBy("node").agg(F.max(F.struct("many", "w")).alias("p")).select(F.greatest("node", "p.w").alias("u"), F.least("node", "p.w").alias("v"))
         else:
-            other = filed.select("key", F.col("node").alias("w"), F.col("n").alias("m"), F.col("fp").alias("g"), F.col("root").alias("top"))
-            pairs = filed.join(other, (filed["key"] == other["key"]) & (F.col("root") < F.col("top")) & fits).select(F.greatest("node", "w").alias("u"), F.least("node", "w").alias("v"))
+            pairs = _close_pairs(filed, sets)
         pairs = materialize(pairs.distinct(), "shingle-pairs")
         new = _alike(pairs, sets)
         discard(pairs)

@@ -19,7 +19,8 @@ def test_near_copies_by_shingles(spark, sf):
 
 def test_near_copies_without_a_common_neighbour(spark):
     """A key's sets may be near copies of each other and not of the one that is compared first."""
-    rounds, shingles.ROUNDS = shingles.ROUNDS, 1
+    rounds, blocks = shingles.ROUNDS, shingles.BLOCK_SETS
+    shingles.ROUNDS, shingles.BLOCK_SETS = 0, 5  # all pairs, in several blocks a key
     base = [f"w{k}" for k in range(400)]
     texts = {}
     for k in range(24):
@@ -29,9 +30,9 @@ def test_near_copies_without_a_common_neighbour(spark):
         w[k] = f"z{k}"
         texts[k] = " ".join(w)
     want = brute.jaccard_components(texts)
-    got = simhash.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
-    shingles.ROUNDS = rounds
-    assert 1 < len(set(want.values())) < 24 and {r["doc_id"] for r in got.collect()} == set(want.values())
+    got = simhash.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    shingles.ROUNDS, shingles.BLOCK_SETS = rounds, blocks
+    assert 1 < len(set(want.values())) < 24 and {r["doc_id"] for r in got} == set(want.values())
 
 
 def test_repeated_id_with_different_texts(spark):
@@ -91,7 +92,7 @@ def test_langid_scores_dont_depend_on_neighbours():
 def test_budgets_keep_pairs_at_the_similarity():
     """Pairs of sets at 0.8 stay within the budgets of the pigeonring chains, and share a key."""
     rng = np.random.default_rng(11)
-    lost = keyed = 0
+    lost = keyed = signed = 0
     for _ in range(300):
         n = int(rng.integers(40, 900))
         grams = rng.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)
@@ -104,7 +105,8 @@ def test_budgets_keep_pairs_at_the_similarity():
         assert chain == (x.bit_count() <= shingles.BUDGET)
         lost += not chain
         keyed += bool(set(shingles.band_keys(a)) & set(shingles.band_keys(b)))
-    assert lost <= 1 and keyed >= 299
+        signed += (shingles.signature(a) == shingles.signature(b)).sum() >= shingles.AGREE
+    assert lost <= 1 and keyed >= 299 and signed >= 299
 
 
 def test_decontam_against_every_alignment(spark):
