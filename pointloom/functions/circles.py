@@ -59,3 +59,13 @@ def intersects_ring(c: Column, ring: Column) -> Column:
     idx = F.sequence(F.lit(1), F.size(ring) - 1)
     met = F.exists(idx, lambda k: _meets_segment(c, F.element_at(ring, k), F.element_at(ring, k + 1)))
     return met | inside_ring(c["x"], c["y"], ring)
+
+
+def _rim(c: Column, ring: Column) -> Column:
+    return F.exists(F.sequence(F.lit(1), F.size(ring) - 1), lambda k: _meets_segment(c, F.element_at(ring, k), F.element_at(ring, k + 1)))
+
+
+def intersects_polygon(c: Column, outline: Column, holes: Column) -> Column:
+    """An edge of the outline or of a hole (array of rings) is met, or the centre lies inside and in no hole."""
+    inside = inside_ring(c["x"], c["y"], outline) & ~F.exists(holes, lambda h: inside_ring(c["x"], c["y"], h))
+    return _rim(c, outline) | F.exists(holes, lambda h: _rim(c, h)) | inside

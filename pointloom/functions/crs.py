@@ -25,7 +25,7 @@ def inverse(x: Column, y: Column) -> tuple[Column, Column]:
 def transform(points: DataFrame, source: str, target: str, x: str = "x", y: str = "y") -> DataFrame:
     """Replace columns x, y; in EPSG:4326 x is the latitude and y the longitude.
 
-    Only 4326 and 3857 are known. Anything else is an error, never an untransformed result.
+    The columns' metadata name the target (crs_of() reads it). Only 4326 and 3857 are known. Anything else is an error, never an untransformed result.
     """
     pair = (source.lower(), target.lower())
     if pair == ("epsg:4326", "epsg:3857"):
@@ -36,7 +36,13 @@ def transform(points: DataFrame, source: str, target: str, x: str = "x", y: str
         return points
     else:
         raise ValueError(f"no transformation from {source} to {target}")
-    return points.withColumns({x: new[0], y: new[1]})
+    known = {"crs": target.upper()}
+    return points.withColumns({x: new[0], y: new[1]}).withMetadata(x, known).withMetadata(y, known)
+
+
+def crs_of(points: DataFrame) -> str | None:
+    """Reference system that transform() left with the column x, None where it isn't known."""
+    return points.schema["x"].metadata.get("crs") if "x" in points.columns else None
 
 
 def tile_of(lat: Column, lon: Column, zoom: int, flip_y: bool = False) -> tuple[Column, Column]:

@@ -60,10 +60,30 @@ def truncate(unit: str | Unit, t: Column) -> Column:
     return F.date_trunc(Unit.of(unit).value, t).cast("timestamp_ntz")
 
 
-def from_epoch_ms(ms: Column) -> Column:
-    """UTC wall-clock time of milliseconds since 1970."""
-    return F.timestamp_millis(ms).cast("timestamp_ntz")
+def _epoch(text: str = "1970-01-01") -> Column:
+    return F.lit(text).cast("timestamp_ntz")
 
 
-def to_epoch_ms(t: Column) -> Column:
-    return F.unix_millis(t.cast("timestamp"))
+def from_epoch_ms(ms: Column, zone: str = "UTC") -> Column:
+    """Wall-clock time of a zone at milliseconds since 1970, whatever the session's zone."""
+    utc = F.timestamp_add("MILLISECOND", ms, _epoch())
+    return utc if zone == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+
+
+def to_epoch_ms(t: Column, zone: str = "UTC") -> Column:
+    """Milliseconds since 1970 of a zone's wall-clock time."""
+    utc = t if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), t)
+    return F.timestamp_diff("MILLISECOND", _epoch(), utc)
+
+
+def seconds_of(t: Column) -> Column:
+    """Whole seconds since the year 1, from the zone-free time alone."""
+    return F.timestamp_diff("SECOND", _epoch("0001-01-01"), t)
+
+
+def longest_seconds(unit: str | Unit, n: int) -> int:
+    """Seconds of the longest stretch that n units of calendar arithmetic can span."""
+    unit = Unit.of(unit)
+    if unit in (Unit.YEARS, Unit.MONTHS):
+        return n * (366 if unit is Unit.YEARS else 31) * 86_400
+    return n * (86_400 if unit is Unit.DAYS else _MICROS[unit] // 1_000_000)

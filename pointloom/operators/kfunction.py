@@ -147,11 +147,14 @@ def border_space(points: DataFrame, box: Rectangle, scale: Scale) -> DataFrame:
     lo = space_bin(scale, F.col("d"))
     hi = F.least(F.floor(F.col("edge_a") / scale.step), F.lit(scale.S)).cast("int")
     kept = pairs.select((F.col("cnt_a") * F.col("cnt_b")).alias("c"), lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
-    many = kept.select("c", F.explode(F.sequence("lo", "hi")).alias("i")).groupBy("i").agg(F.sum("c").alias("pairs"))
+    # two changes a pair, whatever the number of thresholds; running sums give the counts
+    steps = F.explode(F.array(F.struct(F.col("lo").alias("i"), F.col("c").alias("c")), F.struct((F.col("hi") + 1).alias("i"), (-F.col("c")).alias("c"))))
+    many = kept.select(steps.alias("s")).groupBy("s.i").agg(F.sum("s.c").alias("pairs"))
     sites_in = sites.where("edge >= 0").select("cnt", F.least(F.floor(F.col("edge") / scale.step), F.lit(scale.S)).cast("int").alias("hi")).where("hi >= 1")
     centres = sites_in.select("cnt", F.explode(F.sequence(F.lit(1), "hi")).alias("i")).groupBy("i").agg(F.sum("cnt").alias("centres"))
     lam = n / box.area
     full = grid.join(many, "i", "left").join(centres, "i", "left").fillna(0, ["pairs", "centres"])
+    full = full.withColumn("pairs", _run(full, "pairs", "i"))
     k = F.when(F.col("centres") > 0, (F.col("pairs") - F.col("centres")) / (F.col("centres") * lam))
     return full.withColumn("k", k).withColumn("l", l_space(F.col("k"), F.col("d")))
 
@@ -202,7 +205,10 @@ def cross_k(first: DataFrame, second: DataFrame, region: Region, scale: Scale, c
 
 
 def local_k(points: DataFrame, region: Region, scale: Scale, include_self: bool = True, correction: str = "isotropic") -> DataFrame:
-    """pid, x, y, i, d, sigma, l per point: sqrt(area / n * sum of its weights / pi) - d."""
+    """pid, x, y, i, d, sigma, l per point: sqrt(area / n * sum of its weights / pi) - d.
+
+    An empty pattern gives an empty result.
+    """
     n = _count(points)
     kept = points.select("pid", "x", "y", *(["cnt"] if "cnt" in points.columns else []))
     right = kept if "cnt" in kept.columns else kept.withColumn("cnt", F.lit(1))
@@ -216,7 +222,7 @@ def local_k(points: DataFrame, region: Region, scale: Scale, include_self: bool
     per = bins.groupBy("pid", "x", "y").agg(F.collect_list(F.struct("i", "sigma")).alias("bins"))
     upto = F.aggregate(F.filter("bins", lambda b: b["i"] <= F.col("i")), F.lit(0.0), lambda s, b: s + b["sigma"])
     out = per.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(scale.S)))).withColumn("sigma", upto).withColumn("d", scale.step * F.col("i"))
-    return out.select("pid", "x", "y", "i", "d", "sigma", (F.sqrt(region.area / n * F.col("sigma") / math.pi) - F.col("d")).alias("l"))
+    return out.select("pid", "x", "y", "i", "d", "sigma", (F.sqrt((region.area / n if n else 0.0) * F.col("sigma") / math.pi) - F.col("d")).alias("l"))
 
 
 def count_global(pairs: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Distance and space-time joins as equi-joins on grid cells.
 
-A cell is just over one radius wide, so partners lie in the 3 x 3 cells around a point:
-the left side is repeated for these nine, the join is a hash or merge join on the cell,
-and the exact test is its residual condition. Each pair is found once.
+A cell is just over one radius wide, so partners lie in the 3 x 3 cells around a point: the
+left side is repeated for these nine, the join is a hash or merge join on the cell, and the
+exact test is its residual condition. In time a cell is as long as the span, or as its longest
+calendar form, and three are looked at. Each pair is found once.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeunits import shift
+from ..functions.crs import crs_of
+from ..functions.timeunits import longest_seconds, seconds_of, shift
+from .slots import slots  # noqa: F401
 
 
 #: Tables below this size are dealt to all shuffle partitions: their pairs are many more than
@@ -18,21 +21,31 @@ from ..functions.timeunits import shift
 SMALL_BYTES = 64 << 20
 
 
-def _spread(cells: DataFrame, source: DataFrame) -> DataFrame:
+def _spread(cells: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     if int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL_BYTES:
         return cells
-    return cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cx", "cy")
+    return cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def _sides(left: DataFrame, right: DataFrame, r: float) -> tuple[DataFrame, DataFrame]:
+def _sides(left: DataFrame, right: DataFrame, r: float, length: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with their cells, the left one repeated for the cells around; length: seconds of a time cell."""
+    require_same_crs(crs_of(left), crs_of(right))
     size = r * (1 + 1e-9) if r > 0 else 1.0
-    cell = lambda c: F.floor(F.col(c) / size)
-    a = left.select(*(F.col(c).alias(f"{c}_a") for c in left.columns), cell("x").alias("cx"), cell("y").alias("cy"))
-    b = right.select(*(F.col(c).alias(f"{c}_b") for c in right.columns), cell("x").alias("cx"), cell("y").alias("cy"))
-    around = lambda: F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = a.withColumn("ox", F.explode(around())).withColumn("oy", F.explode(around()))
-    a = a.withColumn("cx", F.col("cx") + F.col("ox")).withColumn("cy", F.col("cy") + F.col("oy")).drop("ox", "oy")
-    return _spread(a, left), b
+    cells = {"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)}
+    if length is not None:
+        cells["ct"] = F.floor(seconds_of(F.col("t")) / F.lit(length))
+    a = left.select(*(F.col(c).alias(f"{c}_a") for c in left.columns), *(v.alias(k) for k, v in cells.items()))
+    b = right.select(*(F.col(c).alias(f"{c}_b") for c in right.columns), *(v.alias(k) for k, v in cells.items()))
+    for k in cells:
+        a = a.withColumn(k, F.explode(F.array(*(F.col(k) + n for n in (-1, 0, 1)))))
+    return _spread(a, left, list(cells)), b, list(cells)
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]):
+    out = a[keys[0]] == b[keys[0]]
+    for k in keys[1:]:
+        out &= a[k] == b[k]
+    return out
 
 
 def within(r: float, boundary: bool = True):
@@ -45,28 +58,29 @@ def distance_join(left: DataFrame, right: DataFrame, r: float, boundary: bool =
     """All (a, b) at most r apart, columns suffixed _a and _b, and their distance d.
 
     Ordered pairs; a table joined to itself gives the self pairs too. boundary=False asks for
-    less than r. Tables need x and y; rows without them have no partners.
+    less than r. Tables need x and y; rows without them have no partners. Sides of different
+    reference systems (functions.crs) are an error.
     """
     if r < 0:
         raise ValueError("the radius must not be negative")
-    a, b = _sides(left, right, r)
+    a, b, keys = _sides(left, right, r)
     dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")
-    joined = a.join(b, (a["cx"] == b["cx"]) & (a["cy"] == b["cy"]) & within(r, boundary))
-    return joined.drop("cx", "cy").withColumn("d", F.sqrt(dx * dx + dy * dy))
+    joined = a.join(b, _same(a, b, keys) & within(r, boundary))
+    return joined.drop(*keys).withColumn("d", F.sqrt(dx * dx + dy * dy))
 
 
 def st_join(left: DataFrame, right: DataFrame, r: float, span: int, unit: str, boundary: bool = True) -> DataFrame:
     """distance_join() with t_b from t_a - span to t_a + span units of calendar arithmetic."""
     if span < 0:
         raise ValueError("the time span must not be negative")
-    a, b = _sides(left, right, r)
+    a, b, keys = _sides(left, right, r, longest_seconds(unit, span) + 1)
     a = a.withColumns({"lo": shift(unit, F.col("t_a"), -span), "hi": shift(unit, F.col("t_a"), span)})
     when = (F.col("t_b") >= F.col("lo")) & (F.col("t_b") <= F.col("hi"))
     if not boundary:
         when = (F.col("t_b") > F.col("lo")) & (F.col("t_b") < F.col("hi"))
     dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")
-    joined = a.join(b, (a["cx"] == b["cx"]) & (a["cy"] == b["cy"]) & within(r, boundary) & when)
-    return joined.drop("cx", "cy", "lo", "hi").withColumn("d", F.sqrt(dx * dx + dy * dy))
+    joined = a.join(b, _same(a, b, keys) & within(r, boundary) & when)
+    return joined.drop(*keys, "lo", "hi").withColumn("d", F.sqrt(dx * dx + dy * dy))
 
 
 def count_per_left(pairs: DataFrame) -> DataFrame:
@@ -102,20 +116,3 @@ def require_same_crs(left: str | None, right: str | None) -> None:
     """Both sides of a join must be in the same reference system."""
     if left != right:
         raise ValueError(f"the sides have different reference systems: {left}, {right}")
-
-
-def slots(points: DataFrame, key, *within_: str) -> DataFrame:
-    """Add slot: the 1-based place in the order of the text key, within groups if given.
-
-    Rows are counted by the key's first three hexadecimal digits and numbered inside these
-    buckets, so no task sorts a whole pattern. key must start with such digits, as md5 does.
-    """
-    from pyspark.sql import Window
-
-    keyed = points.withColumns({"__key": key}).withColumn("__b", F.substring("__key", 1, 3))
-    counts = keyed.groupBy(*within_, "__b").agg(F.count("*").alias("__n"))
-    upto = Window.partitionBy(*within_).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*within_, "__b", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy(*within_, "__b").orderBy("__key"))
-    numbered = keyed.withColumn("__in", inner).join(counts, [*within_, "__b"])
-    return numbered.withColumn("slot", F.col("__before") + F.col("__in")).drop("__key", "__b", "__n", "__before", "__in")

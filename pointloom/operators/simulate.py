@@ -5,14 +5,15 @@ Draws are hashes of the simulation and the row, so they repeat on every run and
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.circles import inside_ring
 from ..functions.timeunits import distance, shift
-from ..functions.weights import temporal_weight
+from ..functions.weights import polygon_distance, temporal_weight
 from ..sources.boundary import Rectangle, Region
-from .kfunction import Scale, cumulate_space, cumulate_st, l_space, l_st, space_bin, time_bin, weigh
+from .kfunction import Scale, _with_edge, cumulate_space, cumulate_st, l_space, l_st, space_bin, time_bin, weigh
 from .pairs import distance_join, slots
 
 
@@ -20,8 +21,13 @@ def _md5(*parts):
     return F.md5(F.concat_ws("|", *(p.cast("string") for p in parts)))
 
 
+def _numbers(sims: int):
+    """Array of 1 to sims, empty for none."""
+    return F.sequence(F.lit(1), F.lit(sims)) if sims else F.array().cast("array<int>")
+
+
 def _sims(df: DataFrame, sims: int) -> DataFrame:
-    return df.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
+    return df.withColumn("sim", F.explode(_numbers(sims)))
 
 
 def _draw(digest, first: int):
@@ -53,70 +59,98 @@ def monte_carlo(spark: SparkSession, region: Region, n: int, sims: int, spare: f
     """(sim, pid, x, y): n uniform points of the region per simulation (complete randomness).
 
     For polygons more candidates are drawn in its rectangle, by the ratio of the areas with
-    some to spare, and the first n inside stay.
+    some to spare, and the first n inside stay; if a simulation has fewer, twice as many are drawn.
     """
     box = region if isinstance(region, Rectangle) else region.rectangle()
     many = n if region is box else int(n * box.area / region.area * spare) + 64
-    drawn = _sims(spark.range(many).withColumnRenamed("id", "pid"), sims)
-    key = _md5(F.lit("csr"), F.col("sim"), F.col("pid"))
-    unit = lambda first: (_draw(key, first) + F.lit(0.5)) / F.lit(float(1 << 32))
-    drawn = drawn.withColumns({"x": box.x0 + (box.x1 - box.x0) * unit(1), "y": box.y0 + (box.y1 - box.y0) * unit(9)})
-    if region is not box:
-        inside = F.lit(False)
-        for ring in region.rings():
-            ring_col = F.array(*(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ring))
-            inside = inside != inside_ring(F.col("x"), F.col("y"), ring_col)
-        drawn = drawn.where(inside)
-        drawn = slots(drawn, key, "sim").where(F.col("slot") <= n).drop("slot")
+    while True:
+        drawn = _sims(spark.range(many).withColumnRenamed("id", "pid"), sims)
+        key = _md5(F.lit("csr"), F.col("sim"), F.col("pid"))
+        unit = lambda first: (_draw(key, first) + F.lit(0.5)) / F.lit(float(1 << 32))
+        drawn = drawn.withColumns({"x": box.x0 + (box.x1 - box.x0) * unit(1), "y": box.y0 + (box.y1 - box.y0) * unit(9)})
+        if region is box:
+            break
+        drawn = drawn.where(polygon_distance(spark, region)(F.col("x"), F.col("y")) > 0)
+        if drawn.groupBy("sim").count().where(F.col("count") >= n).count() == sims or not n:
+            drawn = slots(drawn, key, "sim").where(F.col("slot") <= n).drop("slot")
+            break
+        many *= 2
     return drawn.select("sim", "pid", "x", "y")
 
 
-def spatial_pairs(points: DataFrame, region: Region, scale: Scale) -> DataFrame:
-    """(pid_a, pid_b, i, w): what no simulation changes as long as locations stay."""
-    from .kfunction import _with_edge
+def _per_point(points: DataFrame, drawn: DataFrame, value: str, sims: int, other=None) -> DataFrame:
+    """points (pid, x, y) with one array, value per simulation; other stands where a point wasn't drawn."""
+    held = F.map_from_entries(F.collect_list(F.struct("sim", value)))
+    per = drawn.groupBy("pid").agg(held.alias("held"))
+    both = points.select("pid", "x", "y").join(per, "pid", "left" if other is not None else "inner")
+    pick = lambda k: F.coalesce(F.try_element_at("held", k), other) if other is not None else F.try_element_at("held", k)
+    return both.select("pid", "x", "y", F.transform(_numbers(sims), pick).alias("drawn"))
 
-    left = _with_edge(points.select("pid", "x", "y"), region)
-    pairs = weigh(distance_join(left, points.select("pid", "x", "y"), scale.R), region)
-    return pairs.select("pid_a", "pid_b", space_bin(scale, F.col("d")).alias("i"), "w")
+
+def simulated_pairs(left: DataFrame, right: DataFrame, region: Region, scale: Scale) -> DataFrame:
+    """(pid_a, x_a, y_a, sim, i, w, a, b): each pair within R by simulation, with both points' draws.
+
+    Places and weights are found once for all simulations: the draws travel with the points, and
+    the simulations of a pair are rows only within the task that sums them up.
+    """
+    pairs = weigh(distance_join(_with_edge(left, region), right, scale.R), region)
+    kept = pairs.select("pid_a", "x_a", "y_a", space_bin(scale, F.col("d")).alias("i"), "w", F.posexplode(F.arrays_zip("drawn_a", "drawn_b")).alias("k", "z"))
+    return kept.select("pid_a", "x_a", "y_a", (F.col("k") + 1).alias("sim"), "i", "w", F.col("z.drawn_a").alias("a"), F.col("z.drawn_b").alias("b"))
 
 
 def _envelope(curves: DataFrame, *cell: str) -> DataFrame:
     return curves.groupBy(*cell).agg(F.min("l").alias("l_min"), F.max("l").alias("l_max"))
 
 
-def space_curves(spairs: DataFrame, drawn: DataFrame, region: Region, scale: Scale, n: int) -> DataFrame:
-    """L curves (sim, i, d, l) of drawn multiplicities over constant pairs."""
-    a = drawn.select("sim", F.col("pid").alias("pid_a"), F.col("cnt").alias("ca"))
-    b = drawn.select("sim", F.col("pid").alias("pid_b"), F.col("cnt").alias("cb"))
-    both = spairs.join(a, "pid_a").join(b, ["sim", "pid_b"])
-    c = F.col("ca") * F.col("cb")
-    sums = cumulate_space(both.groupBy("sim", "i").agg(F.sum(c).alias("pairs"), F.sum(F.col("w") * c).alias("sigma")), scale, "sim")
-    return sums.withColumn("l", l_space((F.col("sigma") - n) / (n * (n / region.area)), F.col("d")))
+def _bootstrapped(points: DataFrame, sims: int, n: int) -> DataFrame:
+    return _per_point(points, bootstrap(points, sims, n), "cnt", sims, F.lit(0).cast("bigint"))
+
+
+def _space_curves(left: DataFrame, right: DataFrame, region: Region, scale: Scale) -> DataFrame:
+    both = simulated_pairs(left, right, region, scale).where("a > 0 AND b > 0")
+    c = F.col("a") * F.col("b")
+    return cumulate_space(both.groupBy("sim", "i").agg(F.sum(c).alias("pairs"), F.sum(F.col("w") * c).alias("sigma")), scale, "sim")
 
 
 def space_envelope(points: DataFrame, region: Region, scale: Scale, sims: int) -> DataFrame:
     """i, d, l_min, l_max of bootstrap patterns; no rows without simulations."""
     n = points.count()
-    curves = space_curves(spatial_pairs(points, region, scale), bootstrap(points, sims, n), region, scale, n)
-    return _envelope(curves, "i", "d")
-
-
-def st_curves(spairs: DataFrame, times: DataFrame, region: Region, scale: Scale, n: int) -> DataFrame:
-    """L surfaces (sim, i, j, d, tau, l) of permuted times over constant spatial pairs."""
-    a = times.select("sim", F.col("pid").alias("pid_a"), F.col("t").alias("t_a"))
-    b = times.select("sim", F.col("pid").alias("pid_b"), F.col("t").alias("t_b"))
-    both = spairs.join(a, "pid_a").join(b, ["sim", "pid_b"])
-    near = (F.col("t_b") >= shift(scale.unit, F.col("t_a"), -scale.T)) & (F.col("t_b") <= shift(scale.unit, F.col("t_a"), scale.T))
-    both = both.where(near).withColumn("tau", distance(scale.unit, F.col("t_a"), F.col("t_b")))
-    w_t = temporal_weight(scale.unit, F.col("t_a"), F.col("tau"), F.lit(region.t0).cast("timestamp_ntz"), F.lit(region.t1).cast("timestamp_ntz"))
-    cells = both.groupBy("sim", "i", time_bin(scale, F.col("tau")).alias("j")).agg(F.sum(F.col("w") * w_t).alias("sigma"))
-    sums = cumulate_st(cells, scale, "sim")
-    volume = region.volume(scale.unit)
-    return sums.withColumn("l", l_st((F.col("sigma") - n) / (n * (n / volume)), F.col("d"), F.col("tau")))
+    drawn = _bootstrapped(points, sims, n)
+    k = (F.col("sigma") - n) / (n * (n / region.area)) if n else F.lit(0.0)
+    return _envelope(_space_curves(drawn, drawn, region, scale).withColumn("l", l_space(k, F.col("d"))), "i", "d")
+
+
+def cross_envelope(first: DataFrame, second: DataFrame, region: Region, scale: Scale, sims: int) -> DataFrame:
+    """i, d, l_min, l_max of cross K, both patterns bootstrapped; no rows without simulations."""
+    n1, n2 = first.count(), second.count()
+    sums = _space_curves(_bootstrapped(first, sims, n1), _bootstrapped(second, sims, n2), region, scale)
+    k = F.col("sigma") * (region.area / (n1 * n2)) if n1 and n2 else F.lit(0.0)
+    return _envelope(sums.withColumn("l", l_space(k, F.col("d"))), "i", "d")
+
+
+def local_envelope(points: DataFrame, region: Region, scale: Scale, sims: int) -> DataFrame:
+    """pid, x, y, i, d, l_min, l_max: local K of every point among bootstrapped neighbours."""
+    n = points.count()
+    drawn = _bootstrapped(points, sims, n)
+    both = simulated_pairs(drawn, drawn, region, scale)
+    bins = both.groupBy("pid_a", "x_a", "y_a", "sim", "i").agg(F.sum(F.col("w") * F.col("b")).alias("sigma"))
+    per = bins.groupBy("pid_a", "x_a", "y_a", "sim").agg(F.collect_list(F.struct("i", "sigma")).alias("bins"))
+    upto = F.aggregate(F.filter("bins", lambda b: b["i"] <= F.col("i")), F.lit(0.0), lambda s, b: s + b["sigma"])
+    curves = per.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(scale.S)))).withColumns({"sigma": upto, "d": scale.step * F.col("i")})
+    level = F.sqrt((region.area / n if n else 0.0) * F.col("sigma") / math.pi) - F.col("d")
+    return _envelope(curves.select(F.col("pid_a").alias("pid"), F.col("x_a").alias("x"), F.col("y_a").alias("y"), "i", "d", level.alias("l")), "pid", "x", "y", "i", "d")
 
 
 def st_envelope(points: DataFrame, region: Region, scale: Scale, sims: int) -> DataFrame:
-    """i, j, d, tau, l_min, l_max of patterns with permuted times."""
+    """i, j, d, tau, l_min, l_max of patterns with permuted times; no rows without simulations."""
     n = points.count()
-    curves = st_curves(spatial_pairs(points, region, scale), permuted_times(points, sims), region, scale, n)
+    drawn = _per_point(points, permuted_times(points, sims), "t", sims)
+    both = simulated_pairs(drawn, drawn, region, scale)
+    near = (F.col("b") >= shift(scale.unit, F.col("a"), -scale.T)) & (F.col("b") <= shift(scale.unit, F.col("a"), scale.T))
+    both = both.where(near).withColumn("tau", distance(scale.unit, F.col("a"), F.col("b")))
+    w_t = temporal_weight(scale.unit, F.col("a"), F.col("tau"), F.lit(region.t0).cast("timestamp_ntz"), F.lit(region.t1).cast("timestamp_ntz"))
+    cells = both.groupBy("sim", "i", time_bin(scale, F.col("tau")).alias("j")).agg(F.sum(F.col("w") * w_t).alias("sigma"))
+    volume = region.volume(scale.unit)
+    k = (F.col("sigma") - n) / (n * (n / volume)) if n else F.lit(0.0)
+    curves = cumulate_st(cells, scale, "sim").withColumn("l", l_st(k, F.col("d"), F.col("tau")))
     return _envelope(curves, "i", "j", "d", "tau")

@@ -18,6 +18,10 @@ def run_kfunction(spark: SparkSession, request: dict, datasets: dict[str, DataFr
     """Compute a request of maxSpatialDistance, maxTemporalDistance, spatialStep, temporalStep,
     simulationTimes, ktype (S, ST, Cross, L), dataName, dataName2 and temporalUnit.
 
+    kest, kmin and kmax are lists (ST: matrices); for L kest is a table of x, y, k, kmin and kmax,
+    a row per point, which results.write_json() writes without collecting it. kmin and kmax are
+    there if simulations are asked for.
+
     Datasets are point tables by name; the region is the data's own, widened, if none is
     given. Unknown kinds and names, and Cross of a dataset with itself, are errors.
     """
@@ -47,16 +51,16 @@ def run_kfunction(spark: SparkSession, request: dict, datasets: dict[str, DataFr
     elif kind == "Cross":
         out |= results.space_arrays(kfunction.cross_k(points, other, region, scale))
     else:
-        by_place: dict[tuple, list] = {}
-        for row in kfunction.local_k(points, region, scale).orderBy("pid", "i").collect():  # the result itself: a list per point
-            by_place.setdefault((row["pid"], row["x"], row["y"]), [0.0]).append(row["l"])
-        out["kest"] = [{"x": x, "y": y, "k": k} for (_, x, y), k in by_place.items()]
+        out["kest"] = results.local_rows(kfunction.local_k(points, region, scale), simulate.local_envelope(points, region, scale, sims) if sims else None)
     out["estimationTime"] = int((time.time() - began) * 1000)
-    if sims and kind in ("S", "ST"):
+    if sims and kind != "L":
         began = time.time()
-        bands = simulate.space_envelope if kind == "S" else simulate.st_envelope
-        arrays = results.space_arrays if kind == "S" else results.st_arrays
-        out |= {k: v for k, v in arrays(bands(points, region, scale, sims)).items() if k != "kest"}
+        if kind == "Cross":
+            band = simulate.cross_envelope(points, other, region, scale, sims)
+        else:
+            band = (simulate.space_envelope if kind == "S" else simulate.st_envelope)(points, region, scale, sims)
+        arrays = results.st_arrays if kind == "ST" else results.space_arrays
+        out |= {k: v for k, v in arrays(band).items() if k != "kest"}
         out["simulationTime"] = int((time.time() - began) * 1000) // sims
     out["numPartitions"] = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return out

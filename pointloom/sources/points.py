@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.slots import slots
+
 CSV_SCHEMA = "latitude double, longitude double, time string"
 CONSTANT_TIME = "07/01/1996 00:00:00"
 FORMAT = "MM/dd/yyyy HH:mm:ss"
@@ -21,22 +23,30 @@ def parse_time(text: Column, formatted: bool = True) -> Column:
 def read_csv(spark: SparkSession, path: str, formatted: bool = True, size: int | None = None, constant_time: bool = False) -> DataFrame:
     """Points of a headerless latitude, longitude, time file; x is the latitude.
 
-    pid follows the order of the rows' contents; with size the first rows in that order stay.
-    With constant_time the time column is ignored. Rows without coordinates (or time) go.
+    pid numbers the rows from 1 in the order of a digest of their contents, so it repeats on every
+    run; with size the first rows in that order stay. With constant_time the time column is ignored. Rows without coordinates (or time) go.
     """
     raw = spark.read.schema(CSV_SCHEMA).csv(path)
     when = parse_time(F.lit(CONSTANT_TIME)) if constant_time else parse_time(F.col("time"), formatted)
     pts = raw.select(F.col("latitude").alias("x"), F.col("longitude").alias("y"), when.alias("t")).where("x IS NOT NULL AND y IS NOT NULL AND t IS NOT NULL")
+    pts = _numbered(pts)
     return first_points(pts, size) if size is not None else pts
 
 
+def _numbered(points: DataFrame) -> DataFrame:
+    """points (x, y, t) with a pid, without sorting them in one task."""
+    content = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in points.columns)))
+    return slots(points, content).select(F.col("slot").alias("pid"), *points.columns)
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Points of lines latitude, longitude, year, possibly quoted; a year means its 30 June."""
+    """Points of lines latitude, longitude, year, possibly quoted; a year means its 30 June. pid as in read_csv()."""
     part = F.split(F.replace(F.col("value"), F.lit('"'), F.lit("")), ",")
     number = lambda k: F.trim(part.getItem(k)).try_cast("double")
     year = F.trim(part.getItem(2)).try_cast("int")
     when = F.make_timestamp_ntz(year, F.lit(6), F.lit(30), F.lit(0), F.lit(0), F.lit(0))
-    return spark.read.text(path).select(number(0).alias("x"), number(1).alias("y"), when.alias("t")).where("x IS NOT NULL AND y IS NOT NULL AND t IS NOT NULL")
+    pts = spark.read.text(path).select(number(0).alias("x"), number(1).alias("y"), when.alias("t")).where("x IS NOT NULL AND y IS NOT NULL AND t IS NOT NULL")
+    return _numbered(pts)
 
 
 def from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:

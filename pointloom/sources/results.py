@@ -31,11 +31,28 @@ def st_arrays(surface: DataFrame) -> dict[str, list]:
     return out
 
 
+def local_rows(curves: DataFrame, band: DataFrame | None = None) -> DataFrame:
+    """x, y, k (and kmin, kmax) of local curves (pid, x, y, i, l) and their band: a row per point, arrays from threshold 0, which is 0."""
+    if band is not None:
+        curves = curves.join(band.select("pid", "i", "l_min", "l_max"), ["pid", "i"], "left")
+    names = {"k": "l"} | ({"kmin": "l_min", "kmax": "l_max"} if band is not None else {})
+    rows = F.array_sort(F.collect_list(F.struct("i", *names.values())))
+    per = curves.groupBy("pid", "x", "y").agg(rows.alias("rows"))
+    return per.select("x", "y", *(F.concat(F.array(F.lit(0.0)), F.col(f"rows.{c}")).alias(k) for k, c in names.items()))
+
+
 def write_json(spark: SparkSession, result: dict, folder: str, size: int, now: datetime | None = None) -> str:
-    """Write <folder>/<size>-<yyyy-MM-dd-HH-mm-ss>.json (a folder of one part file); returns its path."""
+    """Write <folder>/<size>-<yyyy-MM-dd-HH-mm-ss>.json (a folder of one part file); returns its path.
+
+    A table in the result (kest of kind L) is written beside it, a JSON line per row, and named by its path.
+    """
     import json
 
     path = f"{folder.rstrip('/')}/{size}-{(now or datetime.now()).strftime('%Y-%m-%d-%H-%M-%S')}.json"
+    tables = {k: v for k, v in result.items() if isinstance(v, DataFrame)}
+    for k, v in tables.items():
+        v.write.mode("errorifexists").json(f"{path}.{k}")
+    result = result | {k: f"{path}.{k}" for k in tables}
     spark.createDataFrame([(json.dumps(result),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
     return path
 

@@ -179,6 +179,9 @@ def test_simulations(some):
         assert r["l_min"] <= r["l_max"]
     house = Polygon(((0, 0), (0, 4), (2, 6), (4, 4), (4, 0), (0, 0)), (((1, 1), (1, 2), (2, 2), (2, 1), (1, 1)),))
     csr = simulate.monte_carlo(some.sparkSession, house, 50, 2).collect()
+    sliver = Polygon(((0, 0), (100, 99.9), (100, 100), (0, 0)))
+    assert simulate.monte_carlo(some.sparkSession, sliver, 1, 300).count() == 300
+    assert simulate.space_envelope(some, box, Scale(6.0, 3), 0).count() == 0
     assert len(csr) == 100 and not any(1 < r["x"] < 2 and 1 < r["y"] < 2 for r in csr)
 
 
@@ -190,13 +193,13 @@ def test_slots_number_all_rows(some):
 def test_readers(spark, tmp_path):
     (tmp_path / "p.csv").write_text('30.5,114.3,"07/04/2001 10:11:12"\n1,2,bad\n,3,"07/04/2001 10:11:12"\n')
     rows = pts.read_csv(spark, str(tmp_path / "p.csv")).collect()
-    assert [tuple(r) for r in rows] == [(30.5, 114.3, datetime(2001, 7, 4, 10, 11, 12))]
+    assert [tuple(r) for r in rows] == [(1, 30.5, 114.3, datetime(2001, 7, 4, 10, 11, 12))]
     assert pts.read_csv(spark, str(tmp_path / "p.csv"), constant_time=True).count() == 2
     assert pts.read_csv(spark, str(tmp_path / "p.csv"), constant_time=True, size=1).count() == 1
     (tmp_path / "i.csv").write_text("1,2,2001-07-04T10:11:12\n")
     assert pts.read_csv(spark, str(tmp_path / "i.csv"), formatted=False).first()["t"] == datetime(2001, 7, 4, 10, 11, 12)
     (tmp_path / "t.txt").write_text('"30.5","114.3","1999"\nx,y\n')
-    assert [tuple(r) for r in pts.read_text(spark, str(tmp_path / "t.txt")).collect()] == [(30.5, 114.3, datetime(1999, 6, 30))]
+    assert [tuple(r) for r in pts.read_text(spark, str(tmp_path / "t.txt")).collect()] == [(1, 30.5, 114.3, datetime(1999, 6, 30))]
     assert pts.from_rows(spark, [(1, 1.0, 2.0, T)]).count() == 1
 
 
@@ -244,13 +247,94 @@ def test_request_facade(spark, some):
     box = envelope_region(some)
     assert len(run_kfunction(spark, base | {"ktype": "S"}, data, box)["kest"]) == 4
     assert len(run_kfunction(spark, base | {"ktype": "Cross"}, data, box)["kest"]) == 4
-    local = run_kfunction(spark, base | {"ktype": "L"}, data, box)["kest"]
+    local = run_kfunction(spark, base | {"ktype": "L"}, data, box)["kest"].collect()
     assert len(local) == 75 and len(local[0]["k"]) == 4
     for bad in ({"ktype": "X"}, {"ktype": "S", "dataName": "z"}, {"ktype": "Cross", "dataName2": "a"}, {"ktype": "S", "maxSpatialDistance": 0}):
         with pytest.raises(ValueError):
             run_kfunction(spark, base | bad, data, box)
 
 
+def test_all_kinds_from_a_file(spark, some, tmp_path):
+    """CSV points to kest, kmin and kmax of every kind; local results are written as rows."""
+    def write(name, part):
+        lines = [f'{r["x"]},{r["y"]},"{r["t"]:%m/%d/%Y %H:%M:%S}"' for r in part.collect()]
+        (tmp_path / name).write_text("\n".join([*lines, lines[0], "bad,row,"]))
+        return pts.read_csv(spark, str(tmp_path / name))
+
+    data = {"a": write("a.csv", some.where("mark = 'a'")), "b": write("b.csv", some.where("mark = 'b'"))}
+    assert sorted(r["pid"] for r in data["a"].collect()) == list(range(1, 77))
+    base = {"maxSpatialDistance": 6, "spatialStep": 3, "maxTemporalDistance": 4, "temporalStep": 2, "simulationTimes": 3, "dataName": "a", "dataName2": "b"}
+    for kind in ("S", "ST", "Cross"):
+        got = run_kfunction(spark, base | {"ktype": kind}, data)
+        flat = lambda m: [v for r in m for v in r] if kind == "ST" else m
+        low, high = flat(got["kmin"]), flat(got["kmax"])
+        assert len(low) == len(high) == len(flat(got["kest"])) and all(a <= b for a, b in zip(low, high) if a is not None)
+    got = run_kfunction(spark, base | {"ktype": "L"}, data)
+    path = results.write_json(spark, got, str(tmp_path), 76)
+    rows = spark.read.json(f"{path}.kest").collect()
+    assert len(rows) == 76 and all(len(r["k"]) == len(r["kmin"]) == len(r["kmax"]) == 4 for r in rows)
+    assert all(a <= b for r in rows for a, b in zip(r["kmin"], r["kmax"]))
+
+
+def test_envelopes_equal_curves_of_each_pattern(spark, some):
+    """The shared pairs give what K of every drawn pattern alone gives."""
+    box = envelope_region(some)
+    scale = Scale(6.0, 3, 4, 2, "DAYS")
+    drawn = simulate.bootstrap(some, 3)
+    curves = []
+    for k in (1, 2, 3):
+        pattern = some.join(drawn.where(F.col("sim") == k), "pid").select("x", "y", "cnt")
+        curves.append([r["l"] for r in kfunction.space_k(pattern, box, scale).orderBy("i").collect()])
+    band = simulate.space_envelope(some, box, scale, 3).orderBy("i").collect()
+    assert [r["l_min"] for r in band] == pytest.approx([min(c) for c in zip(*curves)])
+    assert [r["l_max"] for r in band] == pytest.approx([max(c) for c in zip(*curves)])
+    times, surfaces = simulate.permuted_times(some, 2), []
+    for k in (1, 2):
+        pattern = some.drop("t").join(times.where(F.col("sim") == k), "pid").select("pid", "x", "y", "t")
+        surfaces.append({(r["i"], r["j"]): r["l"] for r in kfunction.st_k(pattern, box, scale).collect()})
+    for r in simulate.st_envelope(some, box, scale, 2).collect():
+        pair = [s[r["i"], r["j"]] for s in surfaces]
+        assert (r["l_min"], r["l_max"]) == pytest.approx((min(pair), max(pair)))
+
+
+def test_local_of_an_empty_pattern(some):
+    assert kfunction.local_k(some.where("false"), SQUARE, Scale(2.0, 4)).count() == 0
+
+
+def test_reference_systems_must_agree(spark):
+    df = spark.createDataFrame([(1, 30.5, 114.3)], "pid long, x double, y double")
+    metres = crs.transform(df, "EPSG:4326", "EPSG:3857")
+    assert crs.crs_of(metres) == "EPSG:3857" and pairs.distance_join(metres, metres, 1.0).count() == 1
+    with pytest.raises(ValueError):
+        pairs.distance_join(df, metres, 1.0)
+
+
+def test_circles_and_holes(spark):
+    ring = lambda *p: F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in p))
+    outline, hole = ring((0, 0), (0, 10), (10, 10), (10, 0), (0, 0)), ring((3, 3), (3, 7), (7, 7), (7, 3), (3, 3))
+    for x, y, r, want in ((5, 5, 1, False), (5, 5, 2, True), (1, 1, 0.5, True), (20, 5, 1, False), (11, 5, 1, True)):
+        c = circles.circle(F.lit(float(x)), F.lit(float(y)), F.lit(T), r, 0, "DAYS")
+        assert one(spark, circles.intersects_polygon(c, outline, F.array(hole)))[0] is want
+
+
+def test_epochs_of_zones(spark):
+    t = F.lit("2024-07-01 12:00:00").cast("timestamp_ntz")
+    ms = timeunits.to_epoch_ms(t, "Asia/Shanghai")
+    assert tuple(one(spark, ms, timeunits.from_epoch_ms(ms, "Asia/Shanghai"), timeunits.from_epoch_ms(ms))) == (1719806400000, datetime(2024, 7, 1, 12), datetime(2024, 7, 1, 4))
+
+
+def test_time_cells_of_calendar_units(spark):
+    """Partners at the ends of long months and leap years are found."""
+    days = [datetime(2023, 12, 31), datetime(2024, 1, 31), datetime(2024, 2, 29), datetime(2024, 3, 31), datetime(2025, 2, 28), datetime(2025, 3, 1), datetime(1969, 12, 31, 23, 59, 59)]
+    df = spark.createDataFrame([(k, 0.0, 0.0, t) for k, t in enumerate(days)], "pid long, x double, y double, t timestamp_ntz")
+    for unit, span in (("MONTHS", 1), ("YEARS", 1), ("DAYS", 31), ("SECONDS", 0), ("YEARS", 60)):
+        a, b = df.select(F.col("pid").alias("pa"), F.col("t").alias("ta")), df.select(F.col("pid").alias("pb"), F.col("t").alias("tb"))
+        near = (F.col("tb") >= timeunits.shift(unit, F.col("ta"), -span)) & (F.col("tb") <= timeunits.shift(unit, F.col("ta"), span))
+        want = {tuple(r) for r in a.join(b, near).select("pa", "pb").collect()}
+        got = [tuple(r) for r in pairs.st_join(df, df, 1.0, span, unit).select("pid_a", "pid_b").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_cube(some):
     c = cube.Constraints(("a",), box=(0, 20, 0, 30))
     assert cube.total(some, c).first()["n"] == some.where("mark = 'a' AND x <= 20").count()
@@ -273,3 +357,17 @@ def test_rest_stands_without_the_training_operators():
     for f in (root / "pointloom").rglob("*.py"):
         if "llm" not in f.parts:
             assert "llm" not in f.read_text()
+
+
+def test_entry_imports_without_the_training_operators(tmp_path):
+    """The rest, copied without both folders and the pipeline, still offers its queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "pointloom", tmp_path / "pointloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 80 and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
