@@ -177,14 +177,21 @@ def signature(grams: np.ndarray) -> np.ndarray:
 
 
 def _signatures(grams: pa.Array) -> pa.Array:
+    """The signature and the keys of each set, as bytes."""
     flat, ends = grams.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(grams.value_lengths().to_numpy())]
-    return pa.array((signature(flat[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])), pa.binary())
+    own = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    cols = [pa.array((f(g).tobytes() for g in own), pa.binary()) for f in (signature, band_keys)]
+    return pa.StructArray.from_arrays(cols, names=["sign", "keys"])
 
 
 def _likely(part: pa.Table) -> pa.Table:
-    """Pairs (u, v) of one key and pair of blocks, of different components, whose signatures agree enough."""
+    """Pairs (u, v) of one key and pair of blocks, of different components, whose signatures agree enough.
+
+    Of all keys that a pair shares, the first one gives it.
+    """
     cols = {c: part.column(c).to_numpy() for c in ("key", "low", "high", "node", "n", "root")}
     sign = np.frombuffer(b"".join(part.column("sign").to_pylist()), np.uint8).reshape(-1, SIGNS)
+    keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
     order = np.lexsort((cols["high"], cols["low"], cols["key"]))
     new = np.zeros(len(order), bool)
     for c in ("key", "low", "high"):
@@ -195,6 +202,7 @@ def _likely(part: pa.Table) -> pa.Table:
         for k in range(len(rows) - 1):
             near = np.flatnonzero((root[k + 1 :] != root[k]) & (SHARE[1] * np.minimum(n[k + 1 :], n[k]) >= SHARE[0] * np.maximum(n[k + 1 :], n[k]))) + k + 1
             near = near[(own[near] == own[k]).sum(axis=1) >= AGREE]
+            near = near[keys[rows[k], (keys[rows[near]] == keys[rows[k]]).argmax(axis=1)] == cols["key"][rows[k]]]
             if len(near):
                 u.append(np.maximum(node[near], node[k]))
                 v.append(np.minimum(node[near], node[k]))
@@ -209,7 +217,7 @@ def _close_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
     pairs leave them.
     """
     nodes = _wide(materialize(left.select(F.col("node").alias("node_")).distinct(), "shingle-left"))
-    signs = sets.join(nodes, F.col("node") == F.col("node_"), "left_semi").select("node", F.arrow_udf(_signatures, "binary")("grams").alias("sign"))
+    signs = sets.join(nodes, F.col("node") == F.col("node_"), "left_semi").select("node", F.arrow_udf(_signatures, "sign binary, keys binary")("grams").alias("s")).select("node", "s.*")
     signs = materialize(signs, "shingle-signs")
     blocks = left.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK_SETS)).cast("int").alias("blocks"))
     dealt = left.join(blocks, "key").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
