@@ -169,3 +169,9 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | Non
     model = fit(docs, known, id_col, text_col)
     scored = docs.withColumn("score", score_column(docs, model, text_col))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns unchanged, with a score of at least threshold; see classify()."""
+    model = fit(docs, labels, id_col, text_col)
+    return docs.where(score_column(docs, model, text_col) >= threshold)

@@ -370,3 +370,20 @@ def test_secrets_ledger(spark):
 def test_mix64_is_a_bijection_on_a_sample():
     x = np.arange(1 << 16, dtype=np.uint64)
     assert len(np.unique(mix64(x))) == len(x)
+
+
+def test_pipeline_stages_take_any_table(spark, docs, clash, empty, tmp_path):
+    """Nulls, repeated rows, long texts, further columns and empty tables in every stage."""
+    import corpus_pipeline as p
+
+    here = str(tmp_path)
+    labels(spark, [(4, 1, 0), (7, 0, 0), (None, 1, 0), (5, None, None)]).write.parquet(f"{here}/labels.parquet")
+    spark.createDataFrame([(1, "one two three"), (None, None)], "item_id long, text string").write.parquet(f"{here}/benchmark.parquet")
+    for name, stage in p.STAGES:
+        out = stage(spark, clash, here).collect()
+        assert 0 < len(out) <= len(ROWS)
+        if name in ("decontamination", "secrets"):
+            assert len(out) == len(ROWS)
+        if name != "mixing":
+            assert stage(spark, clash, here).columns == clash.columns
+        assert stage(spark, empty, here).count() == 0
