@@ -27,6 +27,8 @@ WHEN = (datetime(2024, 1, 5), datetime(2024, 1, 15))
 MARKS = ("click", "error", "purchase", "signup", "view")
 ZOOM = 4
 #: A concave polygon.
+#: Outline and hole of a polygon, as shares of a rectangle's sides.
+HOUSE = (((0, 0), (0, 0.71), (0.13, 1), (1, 1), (1, 0.23), (0.87, 0), (0, 0)), ((0.41, 0.43), (0.53, 0.43), (0.47, 0.61), (0.41, 0.43)))
 OUTLINE = ((-1.3, -1.7), (-0.9, 500.3), (120.7, 900.1), (340.9, 480.7), (600.3, -2.1), (150.2, 3.3), (-1.3, -1.7))
 
 QUERIES: dict = {}
@@ -387,9 +389,10 @@ def st_l_months(spark, sf_dir):
 
 @query
 def st_text(spark, sf_dir):
-    """The surface as printed lines (rows only: decimals differ in text)."""
+    """The surface as printed lines of four decimals."""
     src = pts.events(spark, sf_dir)
-    return results.pivot_text(kfunction.st_k(src, envelope_region(src), DAYS))
+    got = kfunction.st_k(src, envelope_region(src), DAYS)
+    return results.pivot_text(got.withColumn("l", F.when(F.col("l").isNotNull(), F.format_string("%.4f", "l"))))
 
 
 @query
@@ -409,8 +412,7 @@ def _house(spark, sf_dir) -> Polygon:
     """The events' rectangle with two corners cut off and a hole."""
     box = envelope_region(pts.events(spark, sf_dir))
     at = lambda u, v: (box.x0 + u * (box.x1 - box.x0), box.y0 + v * (box.y1 - box.y0))
-    outline = tuple(at(*p) for p in ((0, 0), (0, 0.71), (0.13, 1), (1, 1), (1, 0.23), (0.87, 0), (0, 0)))
-    hole = tuple(at(*p) for p in ((0.41, 0.43), (0.53, 0.43), (0.47, 0.61), (0.41, 0.43)))
+    outline, hole = (tuple(at(*p) for p in ring) for ring in HOUSE)
     return Polygon(outline, (hole,), box.t0, box.t1)
 
 
@@ -421,7 +423,7 @@ def _inside(points: DataFrame, house: Polygon) -> DataFrame:
 
 @query
 def polygon_l(spark, sf_dir):
-    """Space L in a polygon; rows only, the weight has no SQL form."""
+    """Space L in a polygon."""
     src = pts.events(spark, sf_dir)
     house = _house(spark, sf_dir)
     return kfunction.space_k(_inside(src, house), house, SPACE).select("i", "d", "pairs", _r("l", 5).alias("l"))
@@ -477,7 +479,7 @@ def monte_carlo_draw(spark, sf_dir):
 
 @query
 def monte_carlo_space(spark, sf_dir):
-    """L curves of complete randomness in a polygon; rows only."""
+    """L curves of complete randomness in a polygon."""
     house = _house(spark, sf_dir)
     drawn = simulate.monte_carlo(spark, house, 400, 1)
     return kfunction.space_k(drawn, house, Scale(50.0, 5)).select("i", "d", _r("l", 5).alias("l"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import BOX, OUTLINE, ZOOM
+from .queries import BOX, HOUSE, OUTLINE, ZOOM
 
 PAD = 0.7310585
 _PI = "pi()"
@@ -200,6 +200,8 @@ _KST = "((sigma - n) / (n * (n / volume)))"
 _LST = f"round(CASE WHEN {_KST} >= 0 THEN sqrt({_KST} / (2 * {_PI} * tau)) - d END, 5)"
 SQL["st_k"] = f"{_st(EVENTS, 10.0, 5, 5, 5, 'DAYS')} SELECT i, j, d, tau, round(sigma, 3) AS sigma, round({_KST}, 4) AS k FROM cells, vol"
 SQL["st_l"] = f"{_st(EVENTS, 10.0, 5, 5, 5, 'DAYS')} SELECT i, j, d, tau, {_LST} AS l FROM cells, vol"
+SQL["st_text"] = f"""{_st(EVENTS, 10.0, 5, 5, 5, 'DAYS')}, surface AS (SELECT i, j, CASE WHEN {_KST} >= 0 THEN sqrt({_KST} / (2 * {_PI} * tau)) - d END AS l FROM cells, vol)
+  SELECT i, string_agg(coalesce(printf('%.4f', l), ''), ',' ORDER BY j) AS line FROM surface GROUP BY i"""
 SQL["st_l_months"] = f"{_st(ORDERS, 10.0, 5, 12, 4, 'MONTHS')} SELECT i, j, d, tau, {_LST} AS l FROM cells, vol"
 _MARKED = "(SELECT count(*) FROM pts WHERE mark = '{}')"
 SQL["cross_l"] = f"{_space(EVENTS, 10.0, 5, _ISO, ' AND a.mark = {0} AND b.mark = {1}'.format(chr(39) + 'click' + chr(39), chr(39) + 'error' + chr(39)))} SELECT i, d, pairs, round(sqrt(sigma * ({_AREA} / ({_MARKED.format('click')} * {_MARKED.format('error')})) / {_PI}) - d, 5) AS l FROM curve, box"
@@ -235,6 +237,48 @@ SQL["sim_envelope_st"] = f"""WITH {_box(EVENTS)}, {_PERM}, {_PAIRS5}, weighed AS
   SELECT i, j, d, tau, round(min(l), 5) AS l_min, round(max(l), 5) AS l_max FROM curves GROUP BY i, j, d, tau"""
 _HEX = "(CAST('0x' || substr(h, {}, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
 SQL["monte_carlo_draw"] = f"SELECT sim, pid, round(100.0::DOUBLE * {_HEX.format(1)}, 6) AS x, round(20.0::DOUBLE * {_HEX.format(9)}, 6) AS y FROM (SELECT CAST(sim AS INTEGER) AS sim, pid, md5('csr|' || sim || '|' || pid) AS h FROM range(1, 4) s(sim), range(0, 500) p(pid))"
+
+
+# A polygon's weight: the circle is cut where it meets edges, and arcs count by their midpoints.
+_SIDES = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for ring in HOUSE for a, b in zip(ring, ring[1:]))
+_SHARE = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(HOUSE[0], HOUSE[0][1:]))) / 2 - abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(HOUSE[1], HOUSE[1][1:]))) / 2
+_BORDER = f"""edges AS (SELECT px, py, qx - px AS gx, qy - py AS gy FROM (
+    SELECT bx0 + u * (bx1 - bx0) AS px, by0 + v * (by1 - by0) AS py, bx0 + u2 * (bx1 - bx0) AS qx, by0 + v2 * (by1 - by0) AS qy FROM box, (VALUES {_SIDES}) e(u, v, u2, v2)))"""
+_CROSSES = lambda x, y: f"(py > {y}) <> (py + gy > {y}) AND {x} < px + ({y} - py) / gy * gx"
+_ALONG = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((x - px) * gx + (y - py) * gy) / (gx * gx + gy * gy)))"
+
+
+def _polygon(r: float, s: int) -> str:
+    """CTEs from ins (pid, x, y) and edges up to curve (i, d, pairs, sigma) and size (n, area)."""
+    root = "qb * qb - qa * qc"
+    return f"""sites AS (SELECT pid, x, y, min(sqrt((x - px - {_ALONG} * gx) ** 2 + (y - py - {_ALONG} * gy) ** 2)) AS edge FROM ins, edges GROUP BY pid, x, y),
+  pairs AS (SELECT row_number() OVER () AS k, a.x AS ax, a.y AS ay, a.edge, sqrt({_SQUARE}) AS d FROM sites a JOIN sites b ON {_near(r)}),
+  far AS (SELECT k, ax, ay, d FROM pairs WHERE d > edge),
+  lines AS (SELECT *, gx * gx + gy * gy AS qa, (px - ax) * gx + (py - ay) * gy AS qb, (px - ax) ** 2 + (py - ay) ** 2 - d * d AS qc FROM far, edges),
+  meets AS (SELECT *, unnest([(-qb - sqrt({root})) / qa, (-qb + sqrt({root})) / qa]) AS s FROM lines WHERE {root} > 0),
+  cuts AS (SELECT k, ax, ay, d, atan2(py + s * gy - ay, px + s * gx - ax) AS th FROM meets WHERE s BETWEEN 0 AND 1),
+  arcs AS (
+    SELECT k, ax, ay, d, th AS lo, coalesce(lead(th) OVER w, first_value(th) OVER w + 2 * {_PI}) AS hi FROM cuts WINDOW w AS (PARTITION BY k ORDER BY th)
+    UNION ALL SELECT k, ax, ay, d, 0.7 - {_PI}, 0.7 + {_PI} FROM far WHERE k NOT IN (SELECT k FROM cuts)
+  ),
+  mids AS (SELECT k, lo, hi, ax + d * cos((lo + hi) / 2) AS mx, ay + d * sin((lo + hi) / 2) AS my FROM arcs),
+  kept AS (SELECT k, hi - lo AS arc FROM mids, edges WHERE {_CROSSES("mx", "my")} GROUP BY k, lo, hi HAVING count(*) % 2 = 1),
+  inside AS (SELECT k, sum(arc) AS angle FROM kept GROUP BY k),
+  weighed AS (SELECT d, CASE WHEN d <= edge THEN 1.0::DOUBLE WHEN angle > 1e-12 THEN least(100.0::DOUBLE, 2 * {_PI} / angle) ELSE 100.0::DOUBLE END AS w FROM pairs LEFT JOIN inside USING (k)),
+  grid AS (SELECT CAST(i AS INTEGER) AS i, {r / s}::DOUBLE * i AS d FROM range(1, {s + 1}) g(i)),
+  curve AS (SELECT g.i, g.d, CAST(count(*) AS BIGINT) AS pairs, sum(w) AS sigma FROM grid g JOIN weighed p ON p.d <= g.d GROUP BY g.i, g.d),
+  size AS (SELECT (SELECT count(*) FROM ins) AS n, {_AREA} * {_SHARE}::DOUBLE AS area FROM box)"""
+
+
+_KPOLY = "((sigma - n) / (n * (n / area)))"
+_LPOLY = f"round(CASE WHEN {_KPOLY} >= 0 THEN sqrt({_KPOLY} / {_PI}) - d END, 5)"
+SQL["polygon_l"] = f"""WITH {_box(EVENTS)}, {_BORDER},
+  ins AS (SELECT pid, x, y FROM pts, edges WHERE {_CROSSES("x", "y")} GROUP BY pid, x, y HAVING count(*) % 2 = 1),
+  {_polygon(10.0, 5)} SELECT i, d, pairs, {_LPOLY} AS l FROM curve, size"""
+SQL["monte_carlo_space"] = f"""WITH {_box(EVENTS)}, {_BORDER},
+  drawn AS (SELECT pid, h, bx0 + (bx1 - bx0) * {_HEX.format(1)} AS x, by0 + (by1 - by0) * {_HEX.format(9)} AS y FROM box, (SELECT pid, md5('csr|1|' || pid) AS h FROM range(0, {int(400 / _SHARE * 3) + 64}) p(pid))),
+  ins AS (SELECT pid, x, y FROM drawn, edges WHERE {_CROSSES("x", "y")} GROUP BY pid, h, x, y HAVING count(*) % 2 = 1 ORDER BY h LIMIT 400),
+  {_polygon(50.0, 5)} SELECT i, d, {_LPOLY} AS l FROM curve, size"""
 SQL["result_merge"] = f"""WITH cells AS (SELECT mark, CAST(floor(x / 100) AS INTEGER) AS i, CAST(floor(y / 5) AS INTEGER) AS j, CAST(count(*) AS DOUBLE) AS k, min(x) AS lo, max(x) AS hi FROM ({EVENTS}) GROUP BY 1, 2, 3)
   SELECT i, j, arg_max(k, mark) AS kest, min(lo) AS kmin, max(hi) AS kmax FROM cells GROUP BY i, j"""
 
