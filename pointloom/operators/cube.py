@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.crs import tile_of
 
+# Units of bucket widths in names of time bins.
+SECONDS = {"d": 86400, "h": 3600, "m": 60, "s": 1}
+
 
 @dataclass(frozen=True)
 class Constraints:
@@ -58,6 +62,18 @@ def time_series(points: DataFrame, base: datetime, bucket_s: int, count: int) ->
     return rows.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
+def time_bins(text: str) -> tuple[datetime, int]:
+    """Base and bucket seconds of a name such as 2009-01-01_00:00:00_1h; widths may be joined (1d12h)."""
+    fits = re.match(r"([0-9-]+)_([0-9:]+)_((?:[0-9]+[dhms])+)\Z", text)
+    if not fits:
+        raise ValueError(f"no such time bins: {text}")
+    date, clock, width = fits.groups()
+    bucket_s = sum(int(n) * SECONDS[unit] for n, unit in re.findall(r"([0-9]+)([dhms])", width))
+    if not bucket_s:
+        raise ValueError(f"time bins without a width: {text}")
+    return datetime.fromisoformat(f"{date}T{clock}"), bucket_s
+
+
 def widen(bucket_s: int, span_s: int, pixels: int) -> int:
     """The bucket width, doubled until the span fits into so many pixels."""
     while span_s > bucket_s * pixels:

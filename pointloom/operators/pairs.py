@@ -19,6 +19,8 @@ from .slots import slots  # noqa: F401
 #: Tables below this size are dealt to all shuffle partitions: their pairs are many more than
 #: their bytes suggest. Larger ones are left to adaptive execution, which can split skewed cells.
 SMALL_BYTES = 64 << 20
+#: Rows of the right side of a nested loop.
+NESTED_ROWS = 100_000
 
 
 def _spread(cells: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,6 +71,21 @@ def distance_join(left: DataFrame, right: DataFrame, r: float, boundary: bool =
     return joined.drop(*keys).withColumn("d", F.sqrt(dx * dx + dy * dy))
 
 
+def nested_loop_join(left: DataFrame, right: DataFrame, r: float, boundary: bool = True) -> DataFrame:
+    """distance_join() without cells, for tiny inputs: every point of left against a sent copy of right.
+
+    right is counted; more than NESTED_ROWS rows are an error, so that what is sent has a bound.
+    """
+    if r < 0:
+        raise ValueError("the radius must not be negative")
+    require_same_crs(crs_of(left), crs_of(right))
+    if right.limit(NESTED_ROWS + 1).count() > NESTED_ROWS:
+        raise ValueError(f"a nested loop takes {NESTED_ROWS} rows at most, distance_join() takes any number")
+    a, b = (df.select(*(F.col(c).alias(f"{c}_{side}") for c in df.columns)) for df, side in ((left, "a"), (right, "b")))
+    dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")
+    return a.join(F.broadcast(b), within(r, boundary)).withColumn("d", F.sqrt(dx * dx + dy * dy))
+
+
 def st_join(left: DataFrame, right: DataFrame, r: float, span: int, unit: str, boundary: bool = True) -> DataFrame:
     """distance_join() with t_b from t_a - span to t_a + span units of calendar arithmetic."""
     if span < 0:

@@ -124,6 +124,18 @@ def test_joins_equal_nested_loops(some):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_nested_loop_for_tiny_inputs(some, monkeypatch):
+    cols = ["pid_a", "pid_b", "d"]
+    for boundary in (True, False):
+        want = pairs.distance_join(some, some, 6.0, boundary).select(*cols).collect()
+        assert sorted(pairs.nested_loop_join(some, some, 6.0, boundary).select(*cols).collect()) == sorted(want)
+    monkeypatch.setattr(pairs, "NESTED_ROWS", 5)
+    with pytest.raises(ValueError, match="5 rows at most"):
+        pairs.nested_loop_join(some, some, 6.0)
+    with pytest.raises(ValueError, match="negative"):
+        pairs.nested_loop_join(some, some, -1.0)
+
+
 def test_points_at_exact_distance(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, -5.0, 0.0)], "pid long, x double, y double")
     assert pairs.distance_join(df, df, 5.0).count() == 7
@@ -340,6 +352,11 @@ def test_cube(some):
     assert cube.total(some, c).first()["n"] == some.where("mark = 'a' AND x <= 20").count()
     assert cube.total(some, c.without("categories", "box")).first()["n"] == some.count()
     assert cube.widen(3600, 86400 * 30, 100) == 28800
+    assert cube.time_bins("2009-01-01_00:00:00_1h") == (datetime(2009, 1, 1), 3600)
+    assert cube.time_bins("2009-01-01_06:30:00_1d12h5m2s") == (datetime(2009, 1, 1, 6, 30), 129902)
+    for wrong in ("2009-01-01_00:00:00", "2009-01-01_00:00:00_0h", "2009-01-01_00:00:00_1w"):
+        with pytest.raises(ValueError):
+            cube.time_bins(wrong)
     far = some.select(F.lit(89.9).alias("lat"), F.lit(180.0).alias("lon"), "pid")
     assert [tuple(r) for r in cube.tile_counts(far, 3).collect()] == [(7, 0, some.count())]
 
