@@ -119,7 +119,7 @@ def _count(batches):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG):
     """Models of blocks of languages in code-point order, from rows with a language and a non-null text.
 
-    Add-half smoothing; a language with more rows is thinned by a hash of the id to about
+    Add-half smoothing; a language with more rows is thinned by a hash of id and text to about
     docs_per_lang. Each block of BLOCK_LANGS languages takes a scan of docs.
     """
     known = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"), col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         share = F.lit(0)
         for x in langs:
             share = F.when(F.col("lang") == x, min(1 << 20, int((1 << 20) * docs_per_lang / sizes[x]) + 1)).otherwise(share)
-        sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).select("lang", "text")
+        sample = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < share).select("lang", "text")
         counts = sample.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
         table = np.full((1 << BITS, len(langs)), 0.5)
         place = np.searchsorted(langs, counts.column("lang").to_pylist()) if counts.num_rows else np.zeros(0, int)

@@ -46,6 +46,8 @@ RULES = (
 #: Spans up to these bytes (100 a blob, 40 a span) go to every executor for redaction; with more
 #: of them the texts are shuffled by blob.
 BROADCAST_BYTES = 32 << 20
+#: Characters of a block in which spans are replaced, and what stands for a span.
+BLOCK, MARK = 4096, "[SECRET]"
 BASE = ("assign", "access", "hex")
 FINDINGS = "blob string, kind string, rule_version int, start long, end long"
 
@@ -146,17 +148,35 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.select(col(id_col), *(F.coalesce(F.col(c), v).alias(c) for c, v in none.items()))
 
 
-def _cut(text: Column, hits: Column) -> Column:
-    """The text with its merged spans replaced by [SECRET]."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+def pieces_of(findings: DataFrame) -> DataFrame:
+    """Per blob: pieces, a map from the numbers of its blocks of BLOCK characters to what goes there.
 
-    def step(acc, h):
-        piece = F.when(h["start"] > acc["at"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), (h["start"] - acc["at"]).cast("int")), F.lit("[SECRET]")))
-        piece = piece.when((h["start"] == acc["at"]) & (F.size(acc["out"]) == 0), F.array(F.lit("[SECRET]"))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], h["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+    Spans that overlap or touch are one. Each block has sorted (lo, hi, mark), places in the block
+    and what stands for them: the mark where a span begins, nothing in the blocks that it goes on in.
+    """
+    seen = Window.partitionBy("blob").orderBy("start", "end")
+    before = F.max("end").over(seen.rowsBetween(Window.unboundedPreceding, -1))
+    spans = findings.select("blob", "start", "end", (before.isNull() | (F.col("start") > before)).cast("int").alias("new"))
+    spans = spans.withColumn("island", F.sum("new").over(seen.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("blob", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    block = lambda at: F.floor(at / F.lit(BLOCK)).cast("int")
+    cut = spans.select("blob", "start", "end", F.explode(F.sequence(block(F.col("start")), block(F.col("end") - 1))).alias("k"))
+    lo, hi = F.greatest(F.col("start") - F.col("k") * BLOCK, F.lit(0)), F.least(F.col("end") - F.col("k") * BLOCK, F.lit(BLOCK))
+    mark = F.when(block(F.col("start")) == F.col("k"), MARK).otherwise("")
+    each = cut.groupBy("blob", "k").agg(F.array_sort(F.collect_list(F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), mark.alias("mark")))).alias("p"))
+    return each.groupBy("blob").agg(F.map_from_entries(F.collect_list(F.struct("k", "p"))).alias("pieces"))
+
+
+def _cut(text: Column, pieces: Column) -> Column:
+    """The text with its pieces put in, block by block: linear in the text, however many there are."""
+
+    def put(block: Column, p: Column) -> Column:
+        done = lambda k: F.when(k > 0, F.get(p, k - 1)["hi"]).otherwise(0)
+        kept = F.transform(p, lambda h, k: F.concat(F.substring(block, done(k) + 1, h["lo"] - done(k)), h["mark"]))
+        return F.concat(F.array_join(kept, ""), F.substring(block, F.element_at(p, -1)["hi"] + 1, F.lit(BLOCK)))
 
-    done = F.aggregate(hits, start, step)
-    return F.concat(F.array_join(done["out"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.array_join(F.transform(blocks, lambda b, k: F.coalesce(put(b, F.try_element_at(pieces, k)), b)), "")
 
 
 def redact(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
@@ -165,10 +185,11 @@ def redact(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n
     Rows, columns and their order stay; n_chars_col, if present, is set to the new length
     where a text changed. Texts without findings, null ones included, stay as they are.
     """
-    key, hits = free_name(docs, "blob"), free_name(docs, "secret_hits")
+    key, hits = free_name(docs, "blob"), free_name(docs, "secret_pieces")
     _, _, findings = scan(docs.select(col(text_col)), [], text_col)
-    found = materialize(spans_of(findings).select(F.col("blob").alias(key), F.col("hits").alias(hits)), "secret-spans")
-    size = found.agg(F.sum(100 + 40 * F.size(hits)).alias("b")).first()["b"] or 0
+    found = materialize(pieces_of(findings).select(F.col("blob").alias(key), F.col("pieces").alias(hits)), "secret-pieces")
+    many = F.aggregate(F.map_values(hits), F.lit(0), lambda n, p: n + F.size(p))
+    size = found.agg(F.sum(100 + 40 * many).alias("b")).first()["b"] or 0
     found = F.broadcast(found) if size <= BROADCAST_BYTES else found
     marked = docs.withColumn(key, blob_of(col(text_col).cast("string"))).join(found, key, "left")
     new = F.when(F.col(hits).isNull(), col(text_col)).otherwise(_cut(col(text_col), F.col(hits)))

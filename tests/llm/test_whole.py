@@ -162,6 +162,42 @@ def test_secret_patterns_are_linear(spark):
     assert time.time() - began < 60
 
 
+def test_redaction_of_many_secrets(spark):
+    """A listing of hashes takes linear time; spans over block edges and astral characters are cut exactly."""
+    import time
+
+    b = secrets.BLOCK
+    rng = np.random.default_rng(5)
+    odd = "".join(rng.choice(["\U0001f600", "é", " x ", "a" * 40 + " ", "token=abcdefgh1234 ", "\n"], 4000))
+    key = "-----BEGIN PRIVATE KEY-----\n" + ("Ab9/+" * 8 + "\n") * 300 + "-----END PRIVATE KEY-----"
+    listing = "".join(f"{k:032x}  f{k}\n" for k in range(40_000))
+    texts = [odd, "€" * (b - 8) + " " + key + "!", "0" * 32, "g" * (b - 32) + "0" * 32, "g" * (b - 1) + "0" * 32 + "AKIA" + "B" * 20, "plain", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.digest(docs).collect()}
+    for r in secrets.redact(docs).collect():
+        want, at = texts[r["doc_id"]], 0
+        spans = sorted(tuple(map(int, s.split(":")[1:])) for s in found[r["doc_id"]].split(",") if s)
+        out = []
+        for lo, hi in spans:
+            if lo > at or not out:
+                out += [want[at:lo], "[SECRET]"]
+            at = max(at, hi)
+        assert r["text"] == ("".join(out) + want[at:] if spans else want)
+    began = time.time()
+    got = secrets.redact(spark.createDataFrame([(listing,)], "text string")).first()["text"]
+    assert got == "".join(f"[SECRET]  f{k}\n" for k in range(40_000)) and time.time() - began < 60
+
+
+def test_langid_thins_rows_of_one_id(spark):
+    """Rows that share an id, or have none, are thinned like any others."""
+    docs = spark.createDataFrame([(None, f"wort {chr(97 + k % 26)}{chr(97 + k // 26)}", "de") for k in range(600)], "doc_id long, text string, lang string")
+    (model,) = langid.fit(docs, docs_per_lang=100)
+    p = np.exp(model.log_prob[:, 0])
+    total = 0.5 / p.min()  # the fit's n-grams with the smoothing's 0.5 a bucket
+    rows = (total - 0.5 * len(p)) / (3 * len("wort aa   "))
+    assert 50 < rows < 200
+
+
 def test_turns_come_back_from_streamed_events(spark):
     """Deltas, regenerations and edits fold to the rows, repeated rows and equal turns included."""
     rows = [(1, 0, "user", "ß hi"), (1, 1, "assistant", "x" * 10_000 + "\U0001f600\n"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 1, "user", "b"), (2, 0, "assistant", None), (2, None, None, "z"), (None, 0, "user", "")]
