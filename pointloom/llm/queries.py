@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, decontam, langid, mixing, quality, secrets, simhash, substring, urlfilter
+from . import audio, bpe, chat, decontam, langid, mixing, quality, secrets, simhash, substring, urlfilter
 from .common import table
 
 # The rules of the URL query, and the listed hosts behind them.
@@ -13,6 +14,9 @@ URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 URL_NAMES = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
 URL_LISTED = tuple((f"{name}.example.{top}", "/") for name in URL_NAMES for top in ("com", "net", "org"))
 
+#: Vocabulary of the encoding query.
+BPE_FILE = "word_bpe_49k.json"
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -66,5 +70,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (quality.fold_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BPE_FILE))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_langid, op3_chat, op4_substring, op5_mixing, op6_urls, op7_audio, op8_decontam, op9_secrets, op10_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_langid, op3_chat, op4_substring, op5_mixing, op6_urls, op7_audio, op8_decontam, op9_secrets, op10_quality, op13_bpe)}
