@@ -7,16 +7,17 @@ Two neighbours stay apart if, through the whole history of merges, no rule joins
 face each other at their border.
 
 Texts are cut into words as the tokenizer's file says. What the file asks for goes through its
-library's normaliser and pre-tokeniser; for texts below U+0300 the same steps are done here, faster.
+library's normaliser and pre-tokeniser; for texts below U+0300 the usual steps are done here, and what a
+worker has encoded between two spaces it looks up.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import math
 import re
+import struct
 
 import ahocorasick
 import numpy as np
@@ -30,8 +31,16 @@ from .common import col
 #: Stands for the end of a word in the automaton; byte-level letters are never control characters.
 END = "\n"
 #: Words and pairs that a worker remembers; what it has seen is forgotten at that size.
-MEMORY = 500_000
-_WIDE = re.compile("[^\x00-˿]")
+MEMORY = 400_000
+#: Text that the quick steps don't take: from U+0300 on, and the separators that only Python takes for white space.
+_WIDE = re.compile("[^\x00-\x1b\x20-\u02ff]")
+# The normaliser and pre-tokeniser that have quick steps.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_CUT = [{"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
+_WORDS = regex.compile(_PATTERN)
 
 
 def byte_letters() -> dict[int, str]:
@@ -41,6 +50,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Memo(dict):
     """Remembers what f gave, up to MEMORY entries."""
 
@@ -76,8 +89,10 @@ class Vocabulary:
         self._merges([m.split(" ") if isinstance(m, str) else m for m in model["merges"]])
         self._build()
         self.library = Tokenizer.from_str(spec)
-        self.steps = _plain_steps(whole)
-        self.words = _Memo(lambda word: np.array(self.word(word), "<u4").tobytes())
+        # words then lie between white space and can be told apart in each run of other characters alone
+        self.quick = (whole["normalizer"], (whole["pre_tokenizer"] or {}).get("pretokenizers")) == (_NORMALIZER, _CUT)
+        self.words = _Memo(lambda word: _packed(self.word(word)))
+        self.runs = _Memo(self._run)
         self.apart = _Memo(lambda pair: self._apart(*pair, math.inf))
 
     def _merges(self, merges: list) -> None:
@@ -127,43 +142,48 @@ class Vocabulary:
             alone.add(token)
             ends = self.suffix and text.endswith(self.suffix)
             key = text[: -len(self.suffix)] + END if ends else text
-            self.find.add_word(key, token)
+            self.find.add_word(key, (token, len(key)))
             self.size[token] = len(key)
         self.find.make_automaton()
 
     def word(self, word: str) -> list[int]:
         """Ids of one word in byte letters."""
         text = word + END if self.suffix else word
-        last: list[int | None] = [None] * (len(text) + 1)
-        size, apart = self.size, self.apart
-        for at, token in self.find.iter(text):
-            if last[at + 1] is None:
-                begin = at + 1 - size[token]
-                if begin == 0 or (last[begin] is not None and apart[last[begin], token]):
-                    last[at + 1] = token
-        out, at = [], len(text)
-        while at:
+        last: list[int | None] = [None] * len(text) + [-1]  # what stands at index -1 is before the text
+        apart = self.apart
+        for at, (token, size) in self.find.iter(text):
+            if last[at] is None and (before := last[at - size]) is not None and (before < 0 or apart[before, token]):
+                last[at] = token
+        out, at = [], len(text) - 1
+        while at >= 0:
             out.append(last[at])
-            at -= size[last[at]]
+            at -= self.size[last[at]]
         return out[::-1]
 
-    def _words(self, text: str) -> list[str]:
-        if self.steps and not _WIDE.search(text):
-            return self.steps(text)
+    def _run(self, run: str) -> bytes:
+        """Ids of a text below U+0300 without white space."""
+        words = _WORDS.findall(run.lower())
+        if not (run.isascii() and run.isprintable()):
+            words = [w.encode().decode("latin-1").translate(self.letters) for w in words]
+        return b"".join(map(self.words.__getitem__, words))
+
+    def _part(self, text: str) -> bytes:
+        if self.quick and not _WIDE.search(text):
+            return b"".join(map(self.runs.__getitem__, text.split()))
         if self.library.normalizer:
             text = self.library.normalizer.normalize_str(text)
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return b"".join(self.words[w] for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers; strings of special tokens are these tokens."""
         if self.special is None:
-            return b"".join(map(self.words.__getitem__, self._words(text)))
+            return self._part(text)
         out = []
         for k, part in enumerate(self.special.split(text)):
             if k % 2:
-                out.append(np.array([self.specials[part]], "<u4").tobytes())
+                out.append(_packed([self.specials[part]]))
             elif part:
-                out.extend(map(self.words.__getitem__, self._words(part)))
+                out.append(self._part(part))
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
@@ -172,37 +192,6 @@ class Vocabulary:
         return self.library.decoder.decode(tokens) if self.library.decoder else " ".join(tokens)
 
 
-def _plain_steps(whole: dict):
-    """The file's normaliser and pre-tokeniser for texts below U+0300, or None if they have other steps.
-
-    Such texts are in composed form already, and the libraries' tables of letters agree there.
-    """
-    normal, cut = whole["normalizer"] or {}, whole["pre_tokenizer"] or {}
-    steps = []
-    for x in normal.get("normalizers", [normal] if normal else []):
-        if x["type"] == "Replace" and "Regex" in x["pattern"] and "\\" not in x["content"]:
-            steps.append(functools.partial(regex.compile(x["pattern"]["Regex"]).sub, x["content"]))
-        elif x["type"] == "Lowercase":
-            steps.append(str.lower)
-        elif x["type"] != "NFC":
-            return None
-    parts = cut.get("pretokenizers", [])
-    if [p["type"] for p in parts] != ["Split", "ByteLevel"] or "Regex" not in parts[0]["pattern"]:
-        return None
-    if (parts[0]["behavior"], parts[0]["invert"], parts[1]["add_prefix_space"], parts[1]["use_regex"]) != ("Removed", True, False, False):
-        return None
-    found, letters = regex.compile(parts[0]["pattern"]["Regex"]), byte_letters()
-    mapped = _Memo(lambda word: word.encode().decode("latin-1").translate(letters))
-
-    def run(text: str) -> list[str]:
-        for step in steps:
-            text = step(text)
-        words = [m.group() for m in found.finditer(text)] if found.groups else found.findall(text)
-        return words if text.isascii() and text.isprintable() else [mapped[w] for w in words]
-
-    return run
-
-
 _LOADED: dict[str, Vocabulary] = {}
 
 
@@ -230,7 +219,7 @@ class Bpe:
 
         def encode(texts: pa.Array) -> pa.Array:
             v = _vocabulary(key, shared.value)
-            packed = [v.encode(t) if t else b"" for t in texts.to_pylist()]
+            packed = [v.encode(t.as_py() or "") for t in texts]
             ends = np.cumsum([0, *map(len, packed)]) // 4
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
 
@@ -241,6 +230,15 @@ class Bpe:
         def pack(ids: pa.Array) -> pa.Array:
             return pa.array([None if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for x in ids], pa.binary())
 
+        def digests(texts: pa.Array) -> pa.Array:
+            v, out = _vocabulary(key, shared.value), []
+            for text in texts:
+                ids = v.encode(text.as_py() or "")
+                decoded = v.decode(np.frombuffer(ids, "<u4").tolist())
+                out.append({"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(), "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()})
+            return pa.array(out, pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
+
+        self._digests = F.arrow_udf(digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
         self._encode, self._decode, self._pack = F.arrow_udf(encode, "array<int>"), F.arrow_udf(decode, "string"), F.arrow_udf(pack, "binary")
 
     def encode(self, text: Column) -> Column:
@@ -252,6 +250,10 @@ class Bpe:
     def pack(self, ids: Column) -> Column:
         return self._pack(ids)
 
+    def digests(self, text: Column) -> Column:
+        """Struct of n_tokens, ids_sha256 (of the packed ids) and decoded_sha256 (of what they decode to)."""
+        return self._digests(text.cast("string"))
+
 
 def tokenized(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the ids of their whole texts as an array column.
@@ -267,7 +269,4 @@ def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     Null texts count as empty; ids keep their type and may be null or repeat. Other columns are ignored.
     """
-    bpe = Bpe(docs.sparkSession, path)
-    got = docs.select(col(id_col).alias("id"), bpe.encode(col(text_col)).alias("ids"))
-    got = got.select("id", F.size("ids").cast("long").alias("n_tokens"), bpe.pack(F.col("ids")).alias("packed"), bpe.decode(F.col("ids")).alias("decoded"))
-    return got.select(F.col("id").alias(id_col), "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return docs.select(col(id_col), Bpe(docs.sparkSession, path).digests(col(text_col)).alias("d")).select(col(id_col), "d.*")
