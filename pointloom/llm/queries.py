@@ -6,14 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, decontam, langid, mixing, quality, secrets, simhash, substring, urlfilter
-from .common import table
+from . import audio, bpe, chat, decontam, langid, merkle, mixing, quality, secrets, simhash, substring, urlfilter
+from .common import fold_mod, table
 
 # The rules of the URL query, and the listed hosts behind them.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 URL_NAMES = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
 URL_LISTED = tuple((f"{name}.example.{top}", "/") for name in URL_NAMES for top in ("com", "net", "org"))
 
+#: Columns of a document that its leaf in the manifest hashes.
+MANIFEST = ("doc_id", "source", "lang", "n_chars", "text")
 #: Vocabulary of the encoding query.
 BPE_FILE = "word_bpe_49k.json"
 
@@ -70,9 +72,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (quality.fold_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.audit(docs, {"n_chars": F.col("n_chars") + 1}, fold_mod(F.col("doc_id"), 7) == 0, "lang", "doc_id", MANIFEST)
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BPE_FILE))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_langid, op3_chat, op4_substring, op5_mixing, op6_urls, op7_audio, op8_decontam, op9_secrets, op10_quality, op13_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_langid, op3_chat, op4_substring, op5_mixing, op6_urls, op7_audio, op8_decontam, op9_secrets, op10_quality, op11_merkle, op13_bpe)}

@@ -172,5 +172,54 @@ FROM docs LEFT JOIN per USING (row_id)
 """
 
 
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an SQL text of code points below 256: each byte, then eight shifts (-1)."""
+    shifts = "-1, -1, -1, -1, -1, -1, -1, -1"
+    of = f"CASE WHEN ord(x) < 128 THEN [ord(x), {shifts}] ELSE [192 + (ord(x) >> 6), {shifts}, 128 + (ord(x) & 63), {shifts}] END"
+    ops = f"list_concat([4294967295], CAST(flatten(list_transform(string_split({text}, ''), lambda x: {of})) AS BIGINT[]))"
+    return f"xor(list_reduce({ops}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+
+
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+_LEVEL = """
+  UNION ALL
+  SELECT {key} level + 1, at // 2, (many + 1) // 2, sha256(string_agg(node, '' ORDER BY at)) FROM {name} WHERE many > 1 GROUP BY {key} level, at // 2, many
+"""
+OP11 = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf,
+    CASE WHEN {_crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % 7 = 0 THEN {_LEAF.format(n="(n_chars + 1)")} END AS claim
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY lang) AS many FROM docs
+), up AS (
+  SELECT lang, 0 AS level, at, many, leaf AS node FROM leaves {_LEVEL.format(key="lang,", name="up")}
+), groups AS (
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS at, count(*) OVER () AS many FROM up WHERE many = 1
+), top AS (
+  SELECT 0 AS level, at, many, subroot AS node FROM groups {_LEVEL.format(key="", name="top")}
+), steps AS (
+  SELECT d.row_id, o.level, (d.at >> o.level) & 1 AS side, s.node AS sibling
+  FROM leaves d JOIN up o ON d.lang IS NOT DISTINCT FROM o.lang AND o.at = d.at >> o.level AND o.many > 1
+    LEFT JOIN up s ON d.lang IS NOT DISTINCT FROM s.lang AND s.level = o.level AND s.at = xor(o.at, 1)
+  UNION ALL
+  SELECT d.row_id, 1000 + o.level, (g.at >> o.level) & 1, s.node
+  FROM leaves d JOIN groups g ON d.lang IS NOT DISTINCT FROM g.lang JOIN top o ON o.at = g.at >> o.level AND o.many > 1
+    LEFT JOIN top s ON s.level = o.level AND s.at = xor(o.at, 1)
+), path AS (
+  SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY level) AS n, side, coalesce(sibling, '') AS sibling FROM steps
+), folds AS (
+  SELECT row_id, 0 AS n, coalesce(claim, leaf) AS node FROM docs
+  UNION ALL
+  SELECT row_id, p.n, sha256(CASE WHEN side = 0 THEN node || sibling ELSE sibling || node END) FROM folds f JOIN path p USING (row_id) WHERE p.n = f.n + 1
+)
+SELECT doc_id, leaf, subroot, r.node AS root, sha256(coalesce(proof, '')) AS proof_sha256, f.node AS folded_root, f.node = r.node AS verified
+FROM docs d JOIN groups g ON d.lang IS NOT DISTINCT FROM g.lang JOIN (SELECT node FROM top WHERE many = 1) r ON true
+  LEFT JOIN (SELECT row_id, string_agg(sibling, '' ORDER BY n) AS proof FROM path GROUP BY row_id) p USING (row_id)
+  JOIN (SELECT row_id, max_by(node, n) AS node FROM folds GROUP BY row_id) f USING (row_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3, "op4_substring": OP4, "op5_mixing": OP5, "op6_urls": OP6, "op8_decontam": OP8, "op9_secrets": OP9}
+    return {"op3_chat": OP3, "op4_substring": OP4, "op5_mixing": OP5, "op6_urls": OP6, "op8_decontam": OP8, "op9_secrets": OP9, "op11_merkle": OP11}
