@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, decontam, langid, merkle, mixing, quality, secrets, simhash, substring, urlfilter
+from . import audio, bpe, chat, decontam, langid, merkle, mixing, quality, secrets, simhash, spelling, substring, urlfilter
 from .common import fold_mod, table
 
 # The rules of the URL query, and the listed hosts behind them.
@@ -77,9 +77,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(docs, {"n_chars": F.col("n_chars") + 1}, fold_mod(F.col("doc_id"), 7) == 0, "lang", "doc_id", MANIFEST)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.vocabulary(spelling.occurrences(docs)))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BPE_FILE))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_langid, op3_chat, op4_substring, op5_mixing, op6_urls, op7_audio, op8_decontam, op9_secrets, op10_quality, op11_merkle, op13_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_langid, op3_chat, op4_substring, op5_mixing, op6_urls, op7_audio, op8_decontam, op9_secrets, op10_quality, op11_merkle, op12_spelling, op13_bpe)}

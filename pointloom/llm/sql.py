@@ -184,7 +184,7 @@ _FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR),
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
 _LEVEL = """
   UNION ALL
-  SELECT {key} level + 1, at // 2, (many + 1) // 2, sha256(string_agg(node, '' ORDER BY at)) FROM {name} WHERE many > 1 GROUP BY {key} level, at // 2, many
+  SELECT {key} level + 1, pos // 2, (many + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM {name} WHERE many > 1 GROUP BY {key} level, pos // 2, many
 """
 OP11 = f"""
 WITH RECURSIVE docs AS (
@@ -192,21 +192,21 @@ WITH RECURSIVE docs AS (
     CASE WHEN {_crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % 7 = 0 THEN {_LEAF.format(n="(n_chars + 1)")} END AS claim
   FROM documents
 ), leaves AS (
-  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, count(*) OVER (PARTITION BY lang) AS many FROM docs
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS many FROM docs
 ), up AS (
-  SELECT lang, 0 AS level, at, many, leaf AS node FROM leaves {_LEVEL.format(key="lang,", name="up")}
+  SELECT lang, 0 AS level, pos, many, leaf AS node FROM leaves {_LEVEL.format(key="lang,", name="up")}
 ), groups AS (
-  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS at, count(*) OVER () AS many FROM up WHERE many = 1
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS many FROM up WHERE many = 1
 ), top AS (
-  SELECT 0 AS level, at, many, subroot AS node FROM groups {_LEVEL.format(key="", name="top")}
+  SELECT 0 AS level, pos, many, subroot AS node FROM groups {_LEVEL.format(key="", name="top")}
 ), steps AS (
-  SELECT d.row_id, o.level, (d.at >> o.level) & 1 AS side, s.node AS sibling
-  FROM leaves d JOIN up o ON d.lang IS NOT DISTINCT FROM o.lang AND o.at = d.at >> o.level AND o.many > 1
-    LEFT JOIN up s ON d.lang IS NOT DISTINCT FROM s.lang AND s.level = o.level AND s.at = xor(o.at, 1)
+  SELECT d.row_id, o.level, (d.pos >> o.level) & 1 AS side, s.node AS sibling
+  FROM leaves d JOIN up o ON d.lang IS NOT DISTINCT FROM o.lang AND o.pos = d.pos >> o.level AND o.many > 1
+    LEFT JOIN up s ON d.lang IS NOT DISTINCT FROM s.lang AND s.level = o.level AND s.pos = xor(o.pos, 1)
   UNION ALL
-  SELECT d.row_id, 1000 + o.level, (g.at >> o.level) & 1, s.node
-  FROM leaves d JOIN groups g ON d.lang IS NOT DISTINCT FROM g.lang JOIN top o ON o.at = g.at >> o.level AND o.many > 1
-    LEFT JOIN top s ON s.level = o.level AND s.at = xor(o.at, 1)
+  SELECT d.row_id, 1000 + o.level, (g.pos >> o.level) & 1, s.node
+  FROM leaves d JOIN groups g ON d.lang IS NOT DISTINCT FROM g.lang JOIN top o ON o.pos = g.pos >> o.level AND o.many > 1
+    LEFT JOIN top s ON s.level = o.level AND s.pos = xor(o.pos, 1)
 ), path AS (
   SELECT row_id, row_number() OVER (PARTITION BY row_id ORDER BY level) AS n, side, coalesce(sibling, '') AS sibling FROM steps
 ), folds AS (
@@ -221,5 +221,37 @@ FROM docs d JOIN groups g ON d.lang IS NOT DISTINCT FROM g.lang JOIN (SELECT nod
 """
 
 
+OP12 = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\xC0-\xFF]{{7,}}')) AS run FROM documents
+  ) GROUP BY ALL
+), hashed AS (
+  SELECT run, c, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(c) >= 2
+), holes AS (
+  SELECT word, n, left(word, k - 1) AS a, substr(word, k + 1) AS b FROM words, unnest(range(1, length(word) + 1)) r(k)
+), shorter AS (
+  SELECT DISTINCT h.word, h.n, w.word AS near, w.n AS near_n FROM holes h JOIN words w ON h.a || h.b = w.word
+), near AS (
+  SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM holes x JOIN holes y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT * FROM shorter UNION ALL SELECT near, near_n, word, n FROM shorter
+), best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS most, min(near) FILTER (near_n = top) AS form
+  FROM (SELECT *, max(near_n) OVER (PARTITION BY word) AS top FROM near) GROUP BY word
+), forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN form END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS here, 0 AS k FROM forms
+  UNION ALL
+  SELECT w.word, f.form, k + 1 FROM walk w JOIN forms f ON w.here = f.word WHERE f.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, max_by(here, k) AS root FROM walk GROUP BY word) USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3, "op4_substring": OP4, "op5_mixing": OP5, "op6_urls": OP6, "op8_decontam": OP8, "op9_secrets": OP9, "op11_merkle": OP11}
+    return {"op3_chat": OP3, "op4_substring": OP4, "op5_mixing": OP5, "op6_urls": OP6, "op8_decontam": OP8, "op9_secrets": OP9, "op11_merkle": OP11, "op12_spelling": OP12}
