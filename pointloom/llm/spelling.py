@@ -7,7 +7,7 @@ alone say little (over 1,074,182 words of invented prose the bands gave 3 * 10 *
 also has the half of the word that the edit left alone: with m letters in the shorter word, the
 first m // 2 letters agree, or else the last m - m // 2 do. Both rules are exact; no pair is lost.
 
-Letters are a to z and U+00C0 to U+00FF. Everything is columns and joins.
+Letters with a bit are a to z and U+00C0 to U+00FF. Everything is columns and joins.
 """
 
 from __future__ import annotations
@@ -58,11 +58,11 @@ def letter_bits(words: DataFrame) -> list[int]:
 
 
 def parity_mask(word: Column, bits: list[int]) -> Column:
-    """Bits of the letters that occur an odd number of times."""
+    """Bits of the letters that occur an odd number of times; other characters have no bit."""
     table = F.array(*(F.lit(b).cast("long") for b in bits))
     code = F.ascii
     place = lambda c: F.when(code(c) < 128, code(c) - 97).otherwise(code(c) - 0xC0 + len(LOWER))
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda m, c: m.bitwiseXOR(F.get(table, place(c))))
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda m, c: m.bitwiseXOR(F.coalesce(F.get(table, place(c)), F.lit(0).cast("long"))))
 
 
 def _band(mask: Column, b: int) -> Column:
