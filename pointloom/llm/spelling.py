@@ -19,6 +19,8 @@ from .common import col, discard, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BANDS, BITS = 3, 20
+#: Letters from which on words are compared from their first difference.
+LONG = 100
 #: Letters a to z, then U+00C0 to U+00FF.
 ALPHABET = LOWER + "".join(map(chr, range(0xC0, 0x100)))
 
@@ -76,6 +78,14 @@ def _keys(m: Column) -> Column:
     return F.array(*(F.struct(F.xxhash64(m, F.lit(b), _band(F.col("mask"), b), F.lit(side), end).alias("key"), F.lit(b).alias("b"), F.lit(side).alias("side")) for b in range(BANDS) for side, end in enumerate(ends)))
 
 
+def _one_edit(a: Column, b: Column) -> Column:
+    """a and b, of equal length or b longer by one, are one edit apart; linear for long words, where levenshtein() isn't."""
+    differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
+    at = F.array_position(differ, F.lit(True)).cast("int")
+    rest = F.substring(a, F.when(F.length(a) == F.length(b), at + 1).otherwise(at), F.length(b)) == F.substring(b, at + 1, F.length(b))
+    return F.when(F.length(b) > LONG, rest & (at > 0)).otherwise(F.levenshtein(a, b, 1) == 1)
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n) for all pairs of words (word, n) one edit apart, each in both directions.
 
@@ -95,9 +105,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     first = F.when(equal[0], 0).when(equal[1], 1).when(equal[2], 2)
     half = F.floor(m / 2).cast("int")
     starts = F.substring("wa", F.lit(1), half) == F.substring("wb", F.lit(1), half)
-    fits = (F.col("key") == F.col("key_b")) & (((more == 0) & (F.col("wa") < F.col("wb"))) | (more == 1))
+    fits = (((more == 0) & (F.col("wa") < F.col("wb"))) | (more == 1))
     fits &= (F.bit_count(flips) <= 2) & (first == F.col("b")) & (F.when(starts, 0).otherwise(1) == F.col("side"))
-    pairs = a.join(b, fits).where(F.levenshtein("wa", "wb", 1) == 1)
+    pairs = a.join(b, F.when(fits, _one_edit(F.col("wa"), F.col("wb"))).otherwise(False) & (F.col("key") == F.col("key_b")))
     both = F.array(F.struct(F.col("wa").alias("word"), F.col("na").alias("n"), F.col("wb").alias("near"), F.col("nb").alias("near_n")), F.struct(F.col("wb").alias("word"), F.col("nb").alias("n"), F.col("wa").alias("near"), F.col("na").alias("near_n")))
     return pairs.select(F.explode(both).alias("p")).select("p.*")
 

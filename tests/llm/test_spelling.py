@@ -91,6 +91,15 @@ def test_ties(spark):
     assert found(spelling.variants(words(spark, n))) == brute(n)
 
 
+def test_long_words(spark, monkeypatch):
+    rnd = random.Random(2)
+    long = "".join(rnd.choice("abcd") for _ in range(50_000))
+    n = {long: 3, long[:9] + "x" + long[10:]: 90, long[:-1]: 4, long + "d": 5, "y" + long: 6, long[:-1] + "zz": 7, long[::-1]: 8}
+    assert found(spelling.variants(words(spark, n))) == brute(n)
+    monkeypatch.setattr(spelling, "LONG", 0)
+    test_all_edits(spark, "abc")
+
+
 def test_edges(spark):
     text = "Straße STRAẞE naïveté NAÏVETÉ x" * 50
     docs = [(1, text, "c"), (None, text, "c"), (2, None, None), (3, "", "c"), (4, "z" * 300_000, "c"), (4, "z" * 300_000, "c"), (5, "Wörterbuch " * 40_000, None)]
