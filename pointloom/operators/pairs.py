@@ -1,32 +1,71 @@
-"""Distance and space-time joins as equi-joins on grid cells.
+"""Distance, space-time and box joins as equi-joins on grid cells.
 
-A cell is just over one radius wide, so partners lie in the 3 x 3 cells around a point: the
-left side is repeated for these nine, the join is a hash or merge join on the cell, and the
+A cell of the distance joins is just over one radius wide, so partners lie in the 3 x 3 cells around
+a point: the left side is repeated for these nine, the join is a hash or merge join on the cell, and the
 exact test is its residual condition. In time a cell is as long as the span, or as its longest
 calendar form, and three are looked at. Each pair is found once.
+
+Cells are counted before the join. The left rows of a cell of many pairs are dealt to shares, and
+its right rows are copied to each of them, so that it is pairs that are balanced, not bytes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.crs import crs_of
 from ..functions.timeunits import longest_seconds, seconds_of, shift
 from .slots import slots  # noqa: F401
 
-
-#: Tables below this size are dealt to all shuffle partitions: their pairs are many more than
-#: their bytes suggest. Larger ones are left to adaptive execution, which can split skewed cells.
-SMALL_BYTES = 64 << 20
+#: Pairs of a cell that one task compares, about.
+SHARE_PAIRS = 4_000_000
+#: Cells with more pairs than that are sent to all tasks, up to this number of them.
+DENSE_CELLS = 10_000
 #: Rows of the right side of a nested loop.
 NESTED_ROWS = 100_000
 
 
-def _spread(cells: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    if int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL_BYTES:
-        return cells
-    return cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def dense_cells(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame | None:
+    """(*keys, shares) of the cells in which a and b have more than SHARE_PAIRS pairs; None if there are none.
+
+    One count per cell, summed within tasks first.
+    """
+    both = a.select(*keys, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(b.select(*keys, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    many = both.groupBy(*keys).agg(F.sum("l").cast("double").alias("l"), F.sum("r").cast("double").alias("r"))
+    shares = F.least(F.ceil(F.col("l") * F.col("r") / SHARE_PAIRS), F.col("l")).cast("int")
+    dense = many.where(F.col("l") * F.col("r") > SHARE_PAIRS).select(*keys, shares.alias("shares"))
+    found = dense.limit(DENSE_CELLS + 1).collect()
+    if not found:
+        return None
+    if len(found) > DENSE_CELLS:
+        return dense
+    return F.broadcast(a.sparkSession.createDataFrame(found, dense.schema))
+
+
+def cell_join(a: DataFrame, b: DataFrame, keys: list[str], fits: Column) -> DataFrame:
+    """a and b joined on their cells and the condition fits; both lose the cell columns.
+
+    Rows of a that are equal in all columns go to one share.
+    """
+    share, dense = "cell_share", dense_cells(a, b, keys)
+    if dense is None:
+        a, b = a.withColumn(share, F.lit(0)), b.withColumn(share, F.lit(0))
+    else:
+        dealt = F.pmod(F.xxhash64(*a.columns), F.col("shares").cast("bigint")).cast("int")
+        a = a.join(dense, keys, "left").withColumn(share, F.coalesce(dealt, F.lit(0))).drop("shares")
+        b = b.join(dense, keys, "left").withColumn(share, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("shares") - 1, F.lit(0))))).drop("shares")
+    on = [*keys, share]
+    # dealt to all partitions, whatever the bytes: pairs are many more than rows suggest
+    a = a.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on)
+    same = a[on[0]] == b[on[0]]
+    for k in on[1:]:
+        same &= a[k] == b[k]
+    return a.join(b, same & fits).drop(*on)
+
+
+def _suffixed(df: DataFrame, side: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{side}") for c in df.columns]
 
 
 def _sides(left: DataFrame, right: DataFrame, r: float, length: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -36,18 +75,11 @@ def _sides(left: DataFrame, right: DataFrame, r: float, length: int | None = Non
     cells = {"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)}
     if length is not None:
         cells["ct"] = F.floor(seconds_of(F.col("t")) / F.lit(length))
-    a = left.select(*(F.col(c).alias(f"{c}_a") for c in left.columns), *(v.alias(k) for k, v in cells.items()))
-    b = right.select(*(F.col(c).alias(f"{c}_b") for c in right.columns), *(v.alias(k) for k, v in cells.items()))
+    a = left.select(*_suffixed(left, "a"), *(v.alias(k) for k, v in cells.items()))
+    b = right.select(*_suffixed(right, "b"), *(v.alias(k) for k, v in cells.items()))
     for k in cells:
         a = a.withColumn(k, F.explode(F.array(*(F.col(k) + n for n in (-1, 0, 1)))))
-    return _spread(a, left, list(cells)), b, list(cells)
-
-
-def _same(a: DataFrame, b: DataFrame, keys: list[str]):
-    out = a[keys[0]] == b[keys[0]]
-    for k in keys[1:]:
-        out &= a[k] == b[k]
-    return out
+    return a, b, list(cells)
 
 
 def within(r: float, boundary: bool = True):
@@ -67,8 +99,7 @@ def distance_join(left: DataFrame, right: DataFrame, r: float, boundary: bool =
         raise ValueError("the radius must not be negative")
     a, b, keys = _sides(left, right, r)
     dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")
-    joined = a.join(b, _same(a, b, keys) & within(r, boundary))
-    return joined.drop(*keys).withColumn("d", F.sqrt(dx * dx + dy * dy))
+    return cell_join(a, b, keys, within(r, boundary)).withColumn("d", F.sqrt(dx * dx + dy * dy))
 
 
 def nested_loop_join(left: DataFrame, right: DataFrame, r: float, boundary: bool = True) -> DataFrame:
@@ -96,8 +127,72 @@ def st_join(left: DataFrame, right: DataFrame, r: float, span: int, unit: str, b
     if not boundary:
         when = (F.col("t_b") > F.col("lo")) & (F.col("t_b") < F.col("hi"))
     dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")
-    joined = a.join(b, _same(a, b, keys) & within(r, boundary) & when)
-    return joined.drop(*keys, "lo", "hi").withColumn("d", F.sqrt(dx * dx + dy * dy))
+    joined = cell_join(a, b, keys, within(r, boundary) & when)
+    return joined.drop("lo", "hi").withColumn("d", F.sqrt(dx * dx + dy * dy))
+
+
+def _box_cells(boxes: DataFrame, side: str, levels: list[int]) -> DataFrame:
+    """boxes with a row for each level from their own on and each cell there that they touch: four a level at most."""
+    c = lambda name: F.col(f"{name}_{side}")
+    out = boxes.select(*_suffixed(boxes, side), _level(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1")).alias(f"level_{side}"))
+    out = out.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda m: m >= c("level"))))
+    cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("level"))).cast("bigint")
+    for axis in ("x", "y"):
+        out = out.withColumn(f"c{axis}", F.explode(F.sequence(cell(c(f"{axis}0")), cell(c(f"{axis}1")))))
+    return out
+
+
+def _level(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """Exponent of the power of two that a box's longer side doesn't exceed."""
+    side = F.greatest(x1 - x0, y1 - y0)
+    return F.when(side > LEAST_SIDE, F.ceil(F.log2(side) + 1e-9)).otherwise(F.lit(LEAST_LEVEL)).cast("int")
+
+
+#: Boxes with shorter sides, points among them, are filed in cells of 2 ** LEAST_LEVEL.
+LEAST_LEVEL = -3
+LEAST_SIDE = 2.0**LEAST_LEVEL
+
+
+def box_join(left: DataFrame, right: DataFrame, boundary: bool = True) -> DataFrame:
+    """All (a, b) whose boxes (x0, x1, y0, y1 and, if both sides have them, t0, t1) meet; columns suffixed _a and _b.
+
+    Boxes that touch meet; with boundary=False they must overlap by more than their borders. Boxes of all sizes can be
+    mixed: a pair meets in cells as wide as the larger of the two and is kept in the one that has the low
+    corner of what they share, so it is found once. Boxes with a null have no partners. Sides whose columns
+    x name different reference systems are an error.
+    """
+    require_same_crs(crs_of(left), crs_of(right))
+    whole = "x0 <= x1 AND y0 <= y1"
+    left, right = left.where(whole), right.where(whole)
+    level = _level(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1")).alias("level")
+    # exponents of sizes: a double has some two thousand
+    levels = sorted(r["level"] for r in left.select(level).unionByName(right.select(level)).distinct().collect())
+    if not levels:
+        levels = [LEAST_LEVEL]
+    a, b = _box_cells(left, "a", levels), _box_cells(right, "b", levels)
+    less = (lambda x, y: x <= y) if boundary else (lambda x, y: x < y)
+    axes = ["x", "y"] + (["t"] if {"t0", "t1"} <= set(left.columns) & set(right.columns) else [])
+    col, fits = F.col, F.lit(True)
+    for v in axes:
+        fits &= less(col(f"{v}0_a"), col(f"{v}1_b")) & less(col(f"{v}0_b"), col(f"{v}1_a"))
+    size = F.pow(F.lit(2.0), F.greatest("level_a", "level_b"))
+    owner = [F.floor(F.greatest(col(f"{v}0_a"), col(f"{v}0_b")) / size).cast("bigint") for v in ("x", "y")]
+    fits &= (a["level"] == F.greatest("level_a", "level_b")) & (a["cx"] == owner[0]) & (a["cy"] == owner[1])
+    return cell_join(a, b, ["level", "cx", "cy"], fits).drop("level_a", "level_b")
+
+
+def circle_join(left: DataFrame, right: DataFrame, boundary: bool = True) -> DataFrame:
+    """All (a, b) with the point b (x, y) in the circle a (x, y, r), radii differing by row; as distance_join() otherwise.
+
+    Circles with a null or a radius below 0 have no partners.
+    """
+    circles = left.withColumns({"x0": F.col("x") - F.col("r"), "x1": F.col("x") + F.col("r"), "y0": F.col("y") - F.col("r"), "y1": F.col("y") + F.col("r")}).where("r >= 0")
+    places = right.withColumns({"x0": F.col("x"), "x1": F.col("x"), "y0": F.col("y"), "y1": F.col("y")})
+    near = box_join(circles.drop("t0", "t1"), places.drop("t0", "t1"))
+    dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")
+    square = dx * dx + dy * dy
+    near = near.where(square <= F.col("r_a") * F.col("r_a") if boundary else square < F.col("r_a") * F.col("r_a"))
+    return near.drop(*(f"{c}{k}_{side}" for c in "xy" for k in "01" for side in "ab")).withColumn("d", F.sqrt(square))
 
 
 def count_per_left(pairs: DataFrame) -> DataFrame:

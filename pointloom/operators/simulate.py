@@ -30,9 +30,9 @@ def _sims(df: DataFrame, sims: int) -> DataFrame:
     return df.withColumn("sim", F.explode(_numbers(sims)))
 
 
-def _draw(digest, first: int):
-    """Unsigned 32 bits of a digest as a bigint."""
-    return F.conv(F.substring(digest, first, 8), 16, 10).cast("bigint")
+def _draw(digest, first: int, digits: int = 8):
+    """Unsigned number of so many hexadecimal digits of a digest, 15 at most, as a bigint."""
+    return F.conv(F.substring(digest, first, digits), 16, 10).cast("bigint")
 
 
 def permuted_times(points: DataFrame, sims: int) -> DataFrame:
@@ -44,14 +44,14 @@ def permuted_times(points: DataFrame, sims: int) -> DataFrame:
 
 def bootstrap(points: DataFrame, sims: int, n: int | None = None) -> DataFrame:
     """(sim, pid, cnt): n draws with replacement from the points, per simulation."""
-    n = points.count() if n is None else n
     place = slots(points.select("pid"), _md5(F.lit("place"), F.col("pid")))
     size = points.count()
+    n = size if n is None else n
     if not size:
         return place.select(F.lit(1).alias("sim"), "pid", F.lit(0).cast("bigint").alias("cnt")).where("false")
     spark = points.sparkSession
     draws = _sims(spark.range(n).withColumnRenamed("id", "k"), sims)
-    drawn = draws.groupBy("sim", (_draw(_md5(F.lit("draw"), F.col("sim"), F.col("k")), 1) % size + 1).alias("slot")).agg(F.count("*").alias("cnt"))
+    drawn = draws.groupBy("sim", (_draw(_md5(F.lit("draw"), F.col("sim"), F.col("k")), 1, 15) % size + 1).alias("slot")).agg(F.count("*").alias("cnt"))
     return drawn.join(place, "slot").select("sim", "pid", "cnt")
 
 

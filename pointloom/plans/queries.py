@@ -26,9 +26,9 @@ BOX = (50.0, 150.0, 2.0, 9.0)
 WHEN = (datetime(2024, 1, 5), datetime(2024, 1, 15))
 MARKS = ("click", "error", "purchase", "signup", "view")
 ZOOM = 4
-#: A concave polygon.
 #: Outline and hole of a polygon, as shares of a rectangle's sides.
 HOUSE = (((0, 0), (0, 0.71), (0.13, 1), (1, 1), (1, 0.23), (0.87, 0), (0, 0)), ((0.41, 0.43), (0.53, 0.43), (0.47, 0.61), (0.41, 0.43)))
+#: A concave polygon.
 OUTLINE = ((-1.3, -1.7), (-0.9, 500.3), (120.7, 900.1), (340.9, 480.7), (600.3, -2.1), (150.2, 3.3), (-1.3, -1.7))
 
 QUERIES: dict = {}
@@ -283,6 +283,48 @@ def cross_pairs(spark, sf_dir):
     return p.select("pid_a", "pid_b", _r("d").alias("d"))
 
 
+def _boxes(spark, sf_dir, mark: str, *kept: str) -> DataFrame:
+    """Boxes of very different sizes around the events of a mark, some of them points, with times up to five days long."""
+    p = F.col("pid")
+    far = F.when(p % 97 == 0, 80.0).otherwise(1.0)
+    w, h = (p % 7) * 0.25 * far, (p % 5) * 0.125 * far
+    src = pts.events(spark, sf_dir).where(F.col("mark") == mark)
+    return src.select("pid", (F.col("x") - w).alias("x0"), (F.col("x") + w).alias("x1"), (F.col("y") - h).alias("y0"), (F.col("y") + h).alias("y1"), F.col("t").alias("t0"), F.timestamp_add("DAY", (p % 6).cast("int"), F.col("t")).alias("t1")).select("pid", *kept)
+
+
+PLAN, WHOLE = ("x0", "x1", "y0", "y1"), ("x0", "x1", "y0", "y1", "t0", "t1")
+
+
+@query
+def box_pairs(spark, sf_dir):
+    return pairs.box_join(_boxes(spark, sf_dir, "click", *WHOLE), _boxes(spark, sf_dir, "error", *WHOLE)).select("pid_a", "pid_b")
+
+
+@query
+def box_pairs_open(spark, sf_dir):
+    return pairs.box_join(_boxes(spark, sf_dir, "click", *WHOLE), _boxes(spark, sf_dir, "error", *WHOLE), boundary=False).select("pid_a", "pid_b")
+
+
+@query
+def box_count(spark, sf_dir):
+    return pairs.count_per_left(pairs.box_join(_boxes(spark, sf_dir, "view", *PLAN), _boxes(spark, sf_dir, "error", *PLAN)))
+
+
+@query
+def box_collect(spark, sf_dir):
+    got = pairs.collect_per_left(pairs.box_join(_boxes(spark, sf_dir, "purchase", *WHOLE), _boxes(spark, sf_dir, "view", *WHOLE)))
+    return got.select("pid_a", F.array_join(F.col("partners").cast("array<string>"), ",").alias("partners"))
+
+
+@query
+def circle_pairs(spark, sf_dir):
+    """Radii that differ by row."""
+    src = pts.events(spark, sf_dir)
+    r = (F.col("pid") % 9) * F.when(F.col("pid") % 89 == 0, 10.0).otherwise(0.5)
+    got = pairs.circle_join(src.where("mark = 'click'").select("pid", "x", "y", r.alias("r")), src.where("mark = 'signup'").select("pid", "x", "y"))
+    return got.select("pid_a", "pid_b", _r("d").alias("d"))
+
+
 @query
 def range_query(spark, sf_dir):
     return pairs.range_query(pts.events(spark, sf_dir), *BOX, *WHEN).select("pid", "x", "y")
@@ -473,8 +515,8 @@ def sim_envelope_st(spark, sf_dir):
 
 @query
 def monte_carlo_draw(spark, sf_dir):
-    box = Rectangle(0.0, 100.0, 0.0, 20.0)
-    return simulate.monte_carlo(spark, box, 500, SIMS).select("sim", "pid", _r("x").alias("x"), _r("y").alias("y"))
+    src = pts.events(spark, sf_dir)
+    return simulate.monte_carlo(spark, envelope_region(src), src.count(), SIMS).select("sim", "pid", _r("x").alias("x"), _r("y").alias("y"))
 
 
 @query

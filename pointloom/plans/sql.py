@@ -143,6 +143,16 @@ SQL["distance_count"] = f"SELECT pid_a, count(*) AS n FROM ({_pairs(EVENTS, 5.0)
 SQL["st_distance_count"] = f"SELECT pid_a, count(*) AS n FROM ({_pairs(EVENTS, 5.0, _IN3)}) GROUP BY pid_a"
 SQL["distance_collect"] = f"SELECT pid_a, string_agg(CAST(pid_b AS VARCHAR), ',' ORDER BY pid_b) AS partners FROM ({_pairs(EVENTS, 2.0)}) GROUP BY pid_a"
 SQL["cross_pairs"] = _pairs(EVENTS, 5.0, " AND a.mark = 'click' AND b.mark = 'error'", cols=_DIST)
+_FARTHER = "CASE WHEN pid % 97 = 0 THEN 80.0::DOUBLE ELSE 1.0::DOUBLE END"
+_SIZED = f"""SELECT pid, mark, x - (pid % 7) * 0.25::DOUBLE * {_FARTHER} AS x0, x + (pid % 7) * 0.25::DOUBLE * {_FARTHER} AS x1,
+  y - (pid % 5) * 0.125::DOUBLE * {_FARTHER} AS y0, y + (pid % 5) * 0.125::DOUBLE * {_FARTHER} AS y1, t AS t0, t + to_days(CAST(pid % 6 AS INTEGER)) AS t1 FROM ({EVENTS})"""
+_meet = lambda left, right, axes, less: f"SELECT a.pid AS pid_a, b.pid AS pid_b FROM ({_SIZED}) a JOIN ({_SIZED}) b ON a.mark = '{left}' AND b.mark = '{right}' AND " + " AND ".join(f"a.{v}0 {less} b.{v}1 AND b.{v}0 {less} a.{v}1" for v in axes)
+SQL["box_pairs"] = _meet("click", "error", "xyt", "<=")
+SQL["box_pairs_open"] = _meet("click", "error", "xyt", "<")
+SQL["box_count"] = f"SELECT pid_a, count(*) AS n FROM ({_meet('view', 'error', 'xy', '<=')}) GROUP BY pid_a"
+SQL["box_collect"] = f"SELECT pid_a, string_agg(CAST(pid_b AS VARCHAR), ',' ORDER BY pid_b) AS partners FROM ({_meet('purchase', 'view', 'xyt', '<=')}) GROUP BY pid_a"
+_REACH = "((a.pid % 9) * CASE WHEN a.pid % 89 = 0 THEN 10.0::DOUBLE ELSE 0.5::DOUBLE END)"
+SQL["circle_pairs"] = f"SELECT a.pid AS pid_a, b.pid AS pid_b{_DIST} FROM ({EVENTS}) a JOIN ({EVENTS}) b ON a.mark = 'click' AND b.mark = 'signup' AND abs(a.x - b.x) <= {_REACH} AND {_SQUARE} <= {_REACH} * {_REACH}"
 _INBOX = f"x BETWEEN {BOX[0]} AND {BOX[1]} AND y BETWEEN {BOX[2]} AND {BOX[3]}"
 SQL["range_query"] = f"SELECT pid, x, y FROM ({EVENTS}) WHERE {_INBOX} AND t BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-15'"
 SQL["index_remove"] = f"SELECT pid FROM ({EVENTS}) WHERE NOT ({_INBOX})"
@@ -213,7 +223,7 @@ SQL["polygon_filter"] = f"WITH edges(ax, ay, ex, ey) AS (VALUES {_EDGES}), p AS
 
 _PLACE = "place AS (SELECT pid, row_number() OVER (ORDER BY md5('place|' || pid)) AS slot FROM pts)"
 _DRAWN = f"""{_PLACE}, draws AS (
-  SELECT CAST(sim AS INTEGER) AS sim, CAST('0x' || substr(md5('draw|' || sim || '|' || k), 1, 8) AS BIGINT) % (SELECT count(*) FROM pts) + 1 AS slot
+  SELECT CAST(sim AS INTEGER) AS sim, CAST('0x' || substr(md5('draw|' || sim || '|' || k), 1, 15) AS BIGINT) % (SELECT count(*) FROM pts) + 1 AS slot
   FROM range(1, 4) s(sim), (SELECT row_number() OVER () - 1 AS k FROM pts)
 ), drawn AS (SELECT sim, pid, count(*) AS cnt FROM draws JOIN place USING (slot) GROUP BY sim, pid)"""
 _PERM = f"""{_PLACE}, times AS (
@@ -236,7 +246,8 @@ SQL["sim_envelope_st"] = f"""WITH {_box(EVENTS)}, {_PERM}, {_PAIRS5}, weighed AS
   curves AS (SELECT i, j, d, tau, CASE WHEN {_KST} >= 0 THEN sqrt({_KST} / (2 * {_PI} * tau)) - d END AS l FROM sums, vol)
   SELECT i, j, d, tau, round(min(l), 5) AS l_min, round(max(l), 5) AS l_max FROM curves GROUP BY i, j, d, tau"""
 _HEX = "(CAST('0x' || substr(h, {}, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
-SQL["monte_carlo_draw"] = f"SELECT sim, pid, round(100.0::DOUBLE * {_HEX.format(1)}, 6) AS x, round(20.0::DOUBLE * {_HEX.format(9)}, 6) AS y FROM (SELECT CAST(sim AS INTEGER) AS sim, pid, md5('csr|' || sim || '|' || pid) AS h FROM range(1, 4) s(sim), range(0, 500) p(pid))"
+SQL["monte_carlo_draw"] = f"""WITH {_box(EVENTS)} SELECT sim, pid, round(bx0 + (bx1 - bx0) * {_HEX.format(1)}, 6) AS x, round(by0 + (by1 - by0) * {_HEX.format(9)}, 6) AS y
+  FROM box, (SELECT CAST(sim AS INTEGER) AS sim, pid, md5('csr|' || sim || '|' || pid) AS h FROM range(1, 4) s(sim), range(0, (SELECT count(*) FROM pts)) p(pid))"""
 
 
 # A polygon's weight: the circle is cut where it meets edges, and arcs count by their midpoints.
