@@ -18,14 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from spark.checkpoint.dir.
 
     Only where that setting is absent and the master is local (as in tests) a local folder
-    is set up in its place; on a cluster its absence is an error.
+    takes its place; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"pointloom-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
@@ -39,14 +38,33 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder in whatever store it names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized frame that nothing reads any more."""
     path = getattr(df, "_materialized_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        target.getFileSystem(conf).delete(target, True)
+        files, target = folder(df.sparkSession, path)
+        files.delete(target, True)
+
+
+def sweep(spark: SparkSession, hours: float = 24.0) -> int:
+    """Delete materialized tables that were written longer than so many hours ago; how many there were.
+
+    Results read them for as long as they live, so call it when no result of that age is in use.
+    """
+    files, top = folder(spark, f"{shared_dir(spark)}/tables")
+    if not files.exists(top):
+        return 0
+    limit = spark._jvm.java.lang.System.currentTimeMillis() - int(hours * 3_600_000)
+    old = [x.getPath() for x in files.listStatus(top) if x.getModificationTime() <= limit]
+    for path in old:
+        files.delete(path, True)
+    return len(old)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import cache
 
@@ -22,7 +21,6 @@ DOCS_PER_LANG = 2000
 BLOCK_LANGS = 64
 BLOCK = 1 << 19
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @cache
@@ -142,7 +140,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(models, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Best language over all models and its posterior; one model is needed at a time."""
     lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+    known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
     if not known:
         return lang, score
     top, odds = np.full(len(known), -np.inf), np.zeros(len(known))

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, discard, free_name, materialize
+from .common import col, folder, free_name, materialize
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,8 @@ BROADCAST_BYTES = 32 << 20
 #: Characters of a block in which spans are replaced, and what stands for a span.
 BLOCK, MARK = 4096, "[SECRET]"
 BASE = ("assign", "access", "hex")
+#: File that ends a committed version of a ledger.
+WHOLE = "_WHOLE"
 FINDINGS = "blob string, kind string, rule_version int, start long, end long"
 
 
@@ -86,37 +88,89 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return rows.where("enough").select("blob", "kind", "rule_version", (F.col("end") - F.col("len")).alias("start"), "end")
 
 
+def _bit(rules: tuple[Rule, ...]) -> Column:
+    """Bit of the rule in force of a ledger row (kind, rule_version), 0 for any other rule."""
+    is_rule = [(F.col("kind") == r.kind) & (F.col("rule_version") == r.version) for r in rules]
+    return F.coalesce(*(F.when(c, F.lit(1 << k)) for k, c in enumerate(is_rule)), F.lit(0))
+
+
+def unseen(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, seen) of the distinct blobs that the ledger doesn't hold under all rules; bit k of seen: under rule k."""
+    blobs = blobs.select("blob").distinct()
+    if ledger is None:
+        return blobs.withColumn("seen", F.lit(0))
+    held = ledger.withColumn("bit", _bit(rules)).where("bit > 0").groupBy("blob").agg(F.bit_or("bit").alias("held"))
+    out = blobs.join(held, "blob", "left").select("blob", F.coalesce("held", F.lit(0)).alias("seen"))
+    return out.where(F.col("seen") != (1 << len(rules)) - 1)
+
+
 def scan(versions: DataFrame, path_cols: list[str], text_col: str = "text", ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scan every version of every path; returns (paths, ledger, findings), stored in the shared folder.
 
     paths has path_cols and blob, a row per input row; ledger (blob, kind, rule_version) and
     findings (FINDINGS) contain the earlier ones handed in and what this call added: blobs that
-    are new, and old blobs under rules whose version is new. Texts and the ledger's rows meet
-    in one shuffle by blob, whatever the number of rules. Null texts count as empty; equal
+    are new, and old blobs under rules whose version is new. Findings of superseded rules stay as
+    history; spans_of() and pieces_of() leave them out. Digests meet the ledger first, and only
+    texts that are to be scanned are shuffled, once each. Null texts count as empty; equal
     texts are scanned once, whatever their number; null paths are kept. Other columns of
     versions are ignored. Empty input returns the earlier tables.
     """
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     paths = materialize(versions.select(*(col(c) for c in path_cols), blob_of(text).alias(free_name(versions.select(*map(col, path_cols)), "blob"))), "secret-paths")
-    # equal texts are folded before the shuffle; empty ones match no rule
-    unique = versions.select(blob_of(text).alias("blob"), text.alias("text"), F.lit(0).alias("seen")).where("text <> ''")
-    if ledger is not None:
-        is_rule = [(F.col("kind") == r.kind) & (F.col("rule_version") == r.version) for r in rules]
-        bit = F.coalesce(*(F.when(c, F.lit(1 << k)) for k, c in enumerate(is_rule)), F.lit(0))
-        unique = unique.unionByName(ledger.select("blob", F.lit(None).cast("string").alias("text"), bit.alias("seen")).where("seen > 0"))
-    unique = unique.groupBy("blob").agg(F.any_value("text", True).alias("text"), F.bit_or("seen").alias("seen"))
-    unique = unique.where((F.col("seen") != (1 << len(rules)) - 1) & F.col("text").isNotNull())
-    new = scan_blobs(unique, rules)
+    blobs = paths.select(F.col(paths.columns[-1]).alias("blob"))
+    # empty texts match no rule
+    texts = versions.select(blob_of(text).alias("blob"), text.alias("text")).where("text <> ''")
+    if ledger is None:
+        # equal texts are folded before the shuffle
+        new = texts.groupBy("blob").agg(F.any_value("text").alias("text")).withColumn("seen", F.lit(0))
+    else:
+        todo = materialize(unseen(blobs, ledger, rules), "secret-unseen")
+        todo = F.broadcast(todo) if 100 * todo.count() <= BROADCAST_BYTES else todo
+        new = texts.join(todo, "blob").groupBy("blob").agg(F.any_value("text").alias("text"), F.max("seen").alias("seen"))
     now = F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("rule_version")) for r in rules)))
-    added = paths.select(F.col(paths.columns[-1]).alias("blob")).distinct().select("blob", now.alias("r")).select("blob", "r.*")
+    added = blobs.distinct().select("blob", now.alias("r")).select("blob", "r.*")
+    found = scan_blobs(new, rules)
     ledger = materialize(added if ledger is None else ledger.unionByName(added).distinct(), "secret-ledger")
-    return paths, ledger, materialize(new if findings is None else findings.unionByName(new), "secret-findings")
+    return paths, ledger, materialize(found if findings is None else findings.unionByName(found), "secret-findings")
+
+
+def read_ledger(spark: SparkSession, path: str) -> tuple[int, DataFrame | None, DataFrame | None]:
+    """Last committed version of a ledger's folder with its (ledger, findings); 0 and None if there is none.
+
+    A version is a folder with both tables and, written last, a file that says it is whole.
+    """
+    files, top = folder(spark, path)
+    done = [x.getPath() for x in files.listStatus(top)] if files.exists(top) else []
+    numbers = [int(p.getName().removeprefix("v")) for p in done if files.exists(p.suffix(f"/{WHOLE}"))]
+    if not numbers:
+        return 0, None, None
+    at = f"{path}/v{max(numbers):08d}"
+    return max(numbers), spark.read.parquet(f"{at}/ledger"), spark.read.schema(FINDINGS).parquet(f"{at}/findings")
+
+
+def commit_ledger(path: str, version: int, ledger: DataFrame, findings: DataFrame) -> None:
+    """Write version as the folder's next one; an unfinished write of that number is replaced, a committed one is an error."""
+    at = f"{path}/v{version:08d}"
+    files, mark = folder(ledger.sparkSession, f"{at}/{WHOLE}")
+    if files.exists(mark):
+        raise ValueError(f"another run has committed version {version}")
+    ledger.write.mode("overwrite").parquet(f"{at}/ledger")
+    findings.write.mode("overwrite").parquet(f"{at}/findings")
+    files.create(mark, False).close()
+
+
+def in_force(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings of the rules as they are now, each once: none of earlier versions or of kinds that were given up."""
+    return findings.where(_bit(rules) > 0).distinct()
 
 
 def spans_of(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Per blob: hits, the array of (start, rank of the kind, kind, end) in that order."""
+    """Per blob: hits, the array of (start, rank of the kind, kind, end) in that order.
+
+    Only findings of the rules in force count, repeated ones once; an empty table gives an empty one.
+    """
     rank = F.array_position(F.array(*(F.lit(r.kind) for r in rules)), F.col("kind")).cast("int")
-    return findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("hits"))
+    return in_force(findings, rules).groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("hits"))
 
 
 def _is_kind(kind: str):
@@ -127,36 +181,39 @@ def _joined(hits: Column) -> Column:
     return F.array_join(F.transform(hits, lambda h: F.concat_ws(":", h["kind"], h["start"].cast("string"), h["end"].cast("string"))), ",")
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per input row: id, n_assign, n_access, n_hex, base_sha256, spans, found by scan().
 
-    The base rules come first; a second call with all rules finds the base ones in the stored
-    ledger and scans the blobs under the added rules only. Ids keep their type; null texts
-    count as empty.
+    With ledger_path the last committed version of that ledger is read, extended and committed as
+    the next one, so that a later run scans only texts that are new, or all under rules that are. Without it the
+    ledger is this run's own. Ids keep their type; null texts count as empty. An empty table gives an empty result.
     """
-    first, ledger, findings = scan(docs, [id_col], text_col, rules=tuple(r for r in RULES if r.kind in BASE))
-    discard(first)
-    paths, _, findings = scan(docs, [id_col], text_col, ledger, findings)
-    discard(ledger)
-    per_blob = spans_of(findings)
+    version, ledger, findings = read_ledger(docs.sparkSession, ledger_path) if ledger_path else (0, None, None)
+    paths, ledger, findings = scan(docs, [id_col], text_col, ledger, findings, rules)
+    if ledger_path:
+        commit_ledger(ledger_path, version + 1, ledger, findings)
+    per_blob = spans_of(findings, rules)
     base = F.filter("hits", lambda h: h["kind"].isin(*BASE))
     counts = [F.size(F.filter("hits", _is_kind(k))).cast("long").alias(f"n_{k}") for k in BASE]
     per_blob = per_blob.select("blob", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("hits")).alias("spans"))
     none = {f"n_{k}": F.lit(0).cast("long") for k in BASE} | {"base_sha256": F.sha2(F.lit("").cast("binary"), 256), "spans": F.lit("")}
     blob = paths.columns[-1]
-    out = paths.join(per_blob.withColumnRenamed("blob", "blob_"), F.col(blob) == F.col("blob_"), "left")
+    # written, so that the last join has plain exchanges on both sides: a blob of many paths can be split
+    per_blob = materialize(per_blob.withColumnRenamed("blob", "blob_"), "secret-spans")
+    out = paths.join(per_blob, F.col(blob) == F.col("blob_"), "left")
     return out.select(col(id_col), *(F.coalesce(F.col(c), v).alias(c) for c, v in none.items()))
 
 
-def pieces_of(findings: DataFrame) -> DataFrame:
+def pieces_of(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per blob: pieces, a map from the numbers of its blocks of BLOCK characters to what goes there.
 
     Spans that overlap or touch are one. Each block has sorted (lo, hi, mark), places in the block
     and what stands for them: the mark where a span begins, nothing in the blocks that it goes on in.
+    Only findings of the rules in force count, repeated ones once.
     """
     seen = Window.partitionBy("blob").orderBy("start", "end")
     before = F.max("end").over(seen.rowsBetween(Window.unboundedPreceding, -1))
-    spans = findings.select("blob", "start", "end", (before.isNull() | (F.col("start") > before)).cast("int").alias("new"))
+    spans = in_force(findings, rules).select("blob", "start", "end", (before.isNull() | (F.col("start") > before)).cast("int").alias("new"))
     spans = spans.withColumn("island", F.sum("new").over(seen.rowsBetween(Window.unboundedPreceding, 0)))
     spans = spans.groupBy("blob", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     block = lambda at: F.floor(at / F.lit(BLOCK)).cast("int")

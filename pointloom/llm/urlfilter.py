@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name, mix64
+from .common import col, free_name, materialize, mix64
 
 #: A block is a cache line of eight words; a key sets a bit in each.
 WORDS = 8
@@ -124,7 +124,8 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", default: st
     rank = F.struct((F.col("kind") == "rule").cast("int").alias("is_rule"), F.length(key).alias("len"), (F.col("verdict") == "block").cast("int").alias("blocks"), key.alias("key"), "verdict", "kind")
     best = hits.join(listed, fits).groupBy("u").agg(F.max(rank).alias("best"))
     mark, win = free_name(pages, "judged_url"), free_name(pages, "winner")
-    best = best.select(F.col("u").alias(mark), F.col("best").alias(win))
+    # written, so that the last join has plain exchanges on both sides: a hot url, or null, can be split
+    best = materialize(best.select(F.col("u").alias(mark), F.col("best").alias(win)), "url-verdicts")
     out = pages.join(best, url == F.col(mark), "left").drop(mark)
     out = out.withColumns({"host": host_of(url), "path": path_of(url), "entry": F.col(f"{win}.key"), "entry_kind": F.col(f"{win}.kind"), "verdict": F.coalesce(f"{win}.verdict", F.lit(default))})
     return out.drop(win)
