@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.boundary import Polygon, Rectangle, Region
+from ..sources.boundary import Rectangle, Region
 from .timeunits import shift
 
 MOST = 100.0
@@ -21,8 +21,10 @@ MOST = 100.0
 NO_ANGLE = 1e-12
 #: Direction of the point that stands for a circle without crossings: along no usual edge's normal.
 OFF_AXIS = 0.7310585
-#: Elements of the largest intermediate array of the polygon weight.
-CHUNK = 1 << 22
+#: Elements of the largest intermediate array of the polygon weight, about.
+CHUNK = 1 << 20
+#: Strips of an edge index, and cells along its longer side.
+MOST_STRIPS, MOST_CELLS = 1024, 1000
 
 
 def boundary_distance(box: Rectangle, x: Column, y: Column) -> Column:
@@ -65,94 +67,178 @@ def temporal_weight(unit: str, t: Column, tau: Column, t0: Column, t1: Column) -
     return F.when((t < t0) | (t > t1), 0.0).when((tau == 0) | inside, 1.0).otherwise(2.0)
 
 
-def polygon_weights(rings: list[np.ndarray], x: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Weights of circles (x, y, r) in a polygon; rings (k, 2) are closed, holes by even-odd rule.
+def _ragged(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, item) of runs of items: count[i] items from first[i] on belong to i."""
+    owner = np.repeat(np.arange(len(count)), count)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+
+
+def _filed(key: np.ndarray, edge: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, starts): the edges of key k are edges[starts[k]:starts[k + 1]]."""
+    both = np.unique(key * np.int64(edge.max(initial=0) + 1) + edge)
+    key, edge = np.divmod(both, np.int64(edge.max(initial=0) + 1))
+    return edge, np.searchsorted(key, np.arange(size + 1))
+
 
-    The circle is cut where it crosses an edge; an arc counts if its midpoint lies inside.
+class EdgeIndex:
+    """Edges of closed rings (k, 2) of a region, filed by the strip of y that they pass and by grid cell.
+
+    Inside is decided by even-odd rule with the edges of a point's strip, near edges are looked up in its
+    cell: these are all within reach of any place in it. Without a reach all edges count as near.
     """
-    a = np.concatenate([ring[:-1] for ring in rings])
-    d = np.concatenate([ring[1:] for ring in rings]) - a
-    step = max(1, CHUNK // max(1, 8 * len(a)))
-    out = np.empty(len(x))
-    for lo in range(0, len(x), step):
-        s = slice(lo, lo + step)
-        out[s] = _polygon_chunk(a, d, x[s], y[s], r[s])
-    return out
-
-
-def _inside(a: np.ndarray, d: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
-    ay, by = a[:, 1], a[:, 1] + d[:, 1]
-    straddles = (ay > py[:, None]) != (by > py[:, None])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = a[:, 0] + (py[:, None] - ay) / d[:, 1] * d[:, 0]
-    return (straddles & (px[:, None] < at)).sum(axis=1) % 2 == 1
-
-
-def _polygon_chunk(a: np.ndarray, d: np.ndarray, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
-    fx, fy = a[:, 0] - x[:, None], a[:, 1] - y[:, None]
-    qa = (d * d).sum(axis=1)
-    qb = fx * d[:, 0] + fy * d[:, 1]
-    qc = fx * fx + fy * fy - (r * r)[:, None]
-    root = qb * qb - qa * qc
-    angles = []
-    with np.errstate(invalid="ignore", divide="ignore"):
-        sq = np.sqrt(root)
-        for sign in (-1, 1):
-            s = (-qb + sign * sq) / qa
-            hit = (root > 0) & (s >= 0) & (s <= 1)
-            theta = np.arctan2(fy + s * d[:, 1], fx + s * d[:, 0])
-            angles.append(np.where(hit, theta, np.inf))
-    cuts = np.sort(np.concatenate(angles, axis=1), axis=1)
-    many = np.isfinite(cuts).sum(axis=1)
-    width = int(many.max(initial=0))
-    inside = np.zeros(len(x))
-    none = many == 0
-    if none.any():  # no crossing: all or nothing, as any point that isn't one of contact
-        inside[none] = np.where(_inside(a, d, x[none] + r[none] * np.cos(OFF_AXIS), y[none] + r[none] * np.sin(OFF_AXIS)), 2 * np.pi, 0.0)
-    for k in range(width):
-        rows = np.flatnonzero(many > k)
-        begin = cuts[rows, k]
-        last = many[rows] == k + 1
-        end = np.where(last, cuts[rows, 0] + 2 * np.pi, cuts[rows, np.minimum(k + 1, cuts.shape[1] - 1)])
+
+    def __init__(self, rings: list[np.ndarray], reach: float | None = None):
+        self.a = np.concatenate([ring[:-1] for ring in rings])
+        self.d = np.concatenate([ring[1:] for ring in rings]) - self.a
+        proper = (self.d != 0).any(axis=1)
+        self.a, self.d, self.reach = self.a[proper], self.d[proper], reach
+        self.low, high = self.a.min(axis=0), self.a.max(axis=0)
+        n = len(self.a)
+        self.strips = min(n, MOST_STRIPS)
+        self.strip = max((high[1] - self.low[1]) / self.strips, 1e-300)
+        ends = np.sort(np.stack([self.a[:, 1], self.a[:, 1] + self.d[:, 1]]), axis=0)
+        lo, hi = (self._strip_of(v) for v in ends)
+        edge, key = _ragged(lo, hi - lo + 1)
+        self.by_strip, self.strip_at = _filed(key, edge, self.strips)
+        if reach is not None:
+            self._grid(high, n)
+
+    def _strip_of(self, y: np.ndarray) -> np.ndarray:
+        return np.clip((y - self.low[1]) / self.strip, 0, self.strips - 1).astype(np.int64)
+
+    def _grid(self, high: np.ndarray, n: int) -> None:
+        """Edges go in pieces no longer than a cell; a piece is near to at most four by four cells."""
+        self.cell = max(self.reach, float((high - self.low).max()) / MOST_CELLS, 1e-300)
+        self.wide = ((high - self.low) / self.cell).astype(np.int64) + 3
+        many = np.ceil(np.hypot(self.d[:, 0], self.d[:, 1]) / self.cell).astype(np.int64).clip(1)
+        edge, k = _ragged(np.zeros(n, np.int64), many)
+        corners = [self.a[edge] + self.d[edge] * ((k + s) / many[edge])[:, None] for s in (0, 1)]
+        lo = self._cell_of(np.minimum(*corners) - self.reach)
+        hi = self._cell_of(np.maximum(*corners) + self.reach)
+        span = hi - lo + 1
+        owner, place = _ragged(np.zeros(len(edge), np.int64), span[:, 0] * span[:, 1])
+        cells = (lo[owner, 0] + place // span[owner, 1]) * self.wide[1] + lo[owner, 1] + place % span[owner, 1]
+        self.by_cell, self.cell_at = _filed(cells, edge[owner], int(self.wide[0] * self.wide[1]))
+
+    def _cell_of(self, p: np.ndarray) -> np.ndarray:
+        """Cells of places, those beyond the region's box in a border of one cell around it."""
+        return np.clip(np.floor((p - self.low) / self.cell).astype(np.int64) + 1, 0, self.wide - 1)
+
+    def _near(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First item and number of the near edges of each place, in self.by_cell."""
+        if self.reach is None:
+            return np.zeros(len(x), np.int64), np.full(len(x), len(self.a))
+        c = self._cell_of(np.stack([x, y], axis=1))
+        key = c[:, 0] * self.wide[1] + c[:, 1]
+        return self.cell_at[key], self.cell_at[key + 1] - self.cell_at[key]
+
+    def _edges(self, item: np.ndarray) -> np.ndarray:
+        return item if self.reach is None else self.by_cell[item]
+
+    def inside(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), bool)
+        strip = self._strip_of(y)
+        first, count = self.strip_at[strip], self.strip_at[strip + 1] - self.strip_at[strip]
+        for s in _chunks(count):
+            owner, item = _ragged(first[s], count[s])
+            e = self.by_strip[item]
+            py, ay = y[s][owner], self.a[e, 1]
+            by = ay + self.d[e, 1]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                at = self.a[e, 0] + (py - ay) / self.d[e, 1] * self.d[e, 0]
+            crossed = ((ay > py) != (by > py)) & (x[s][owner] < at)
+            out[s] = np.bincount(owner[crossed], minlength=len(count[s])) % 2 == 1
+        return out
+
+    def distance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Distance to the nearest edge, negative outside, no more than reach."""
+        out = np.full(len(x), np.inf if self.reach is None else self.reach)
+        first, count = self._near(x, y)
+        for s in _chunks(count):
+            owner, item = _ragged(first[s], count[s])
+            e, part = self._edges(item), out[s]
+            fx, fy, dx, dy = x[s][owner] - self.a[e, 0], y[s][owner] - self.a[e, 1], self.d[e, 0], self.d[e, 1]
+            along = np.clip((fx * dx + fy * dy) / (dx * dx + dy * dy), 0, 1)
+            np.minimum.at(part, owner, np.hypot(fx - along * dx, fy - along * dy))
+        return np.where(self.inside(x, y), out, -out)
+
+    def weights(self, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Weights of circles (x, y, r), r within reach: each is cut where it crosses an edge, and an arc counts if its midpoint lies inside."""
+        angle = np.zeros(len(x))
+        first, count = self._near(x, y)
+        for s in _chunks(count):
+            angle[s] = self._angles(x[s], y[s], r[s], *_ragged(first[s], count[s]))
+        with np.errstate(divide="ignore"):
+            return np.where(angle > NO_ANGLE, np.minimum(MOST, 2 * np.pi / angle), MOST)
+
+    def _angles(self, x: np.ndarray, y: np.ndarray, r: np.ndarray, owner: np.ndarray, item: np.ndarray) -> np.ndarray:
+        e = self._edges(item)
+        dx, dy = self.d[e, 0], self.d[e, 1]
+        fx, fy = self.a[e, 0] - x[owner], self.a[e, 1] - y[owner]
+        qa, qb = dx * dx + dy * dy, fx * dx + fy * dy
+        root = qb * qb - qa * (fx * fx + fy * fy - r[owner] ** 2)
+        who, cut = [], []
+        with np.errstate(invalid="ignore"):
+            sq = np.sqrt(root)
+            for sign in (-1, 1):
+                t = (-qb + sign * sq) / qa
+                hit = (root > 0) & (t >= 0) & (t <= 1)
+                who.append(owner[hit])
+                cut.append(np.arctan2(fy[hit] + t[hit] * dy[hit], fx[hit] + t[hit] * dx[hit]))
+        who, cut = np.concatenate(who), np.concatenate(cut)
+        order = np.lexsort((cut, who))
+        who, cut = who[order], cut[order]
+        many = np.bincount(who, minlength=len(x))
+        # an arc goes from one cut to the next, the last one on to the first
+        end, last = np.roll(cut, -1), np.cumsum(many)[many > 0] - 1
+        end[last] = cut[last - many[many > 0] + 1] + 2 * np.pi
+        none = np.flatnonzero(many == 0)  # no crossing: all or nothing, as any point that isn't one of contact
+        who = np.concatenate([who, none])
+        begin = np.concatenate([cut, np.full(len(none), OFF_AXIS - np.pi)])
+        end = np.concatenate([end, np.full(len(none), OFF_AXIS + np.pi)])
         mid = (begin + end) / 2
-        within = _inside(a, d, x[rows] + r[rows] * np.cos(mid), y[rows] + r[rows] * np.sin(mid))
-        inside[rows] += np.where(within, end - begin, 0.0)
-    with np.errstate(divide="ignore"):
-        return np.where(inside > NO_ANGLE, np.minimum(MOST, 2 * np.pi / inside), MOST)
+        kept = self.inside(x[who] + r[who] * np.cos(mid), y[who] + r[who] * np.sin(mid))
+        return np.bincount(who[kept], (end - begin)[kept], minlength=len(x))
+
 
+def _chunks(count: np.ndarray):
+    """Slices of rows whose counts add up to about CHUNK."""
+    upto = np.cumsum(count)
+    lo = 0
+    while lo < len(count):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CHUNK, "right")))
+        yield slice(lo, hi)
+        lo = hi
 
-def polygon_weight(spark: SparkSession, region: Polygon):
-    """Function of columns (x, y, r): the weight in a polygon, in Arrow batches; 1 where r is null."""
-    rings = [np.array(ring, float) for ring in region.rings()]
-    shared = spark.sparkContext.broadcast(rings)  # the boundary's vertices: one object of the query
+
+def polygon_weights(rings: list[np.ndarray], x: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Weights of circles (x, y, r) in a polygon; rings (k, 2) are closed, holes by even-odd rule."""
+    return EdgeIndex(rings).weights(x, y, r)
+
+
+def edge_index(region: Region, reach: float | None = None) -> EdgeIndex:
+    return EdgeIndex([np.array(ring, float) for ring in region.rings()], reach)
+
+
+def polygon_weight(spark: SparkSession, region: Region, reach: float | None = None):
+    """Function of columns (x, y, r): the weight in a polygon, in Arrow batches; 1 where r is null. reach bounds all r."""
+    shared = spark.sparkContext.broadcast(edge_index(region, reach))  # the boundary's edges: one object of the query
 
     def run(x: pa.Array, y: pa.Array, r: pa.Array) -> pa.Array:
         px, py, pr = (c.to_numpy(zero_copy_only=False).astype(float) for c in (x, y, r))
         out, work = np.ones(len(pr)), ~np.isnan(pr)
-        out[work] = polygon_weights(shared.value, px[work], py[work], pr[work])
+        out[work] = shared.value.weights(px[work], py[work], pr[work])
         return pa.array(out)
 
     return F.arrow_udf(run, "double")
 
 
-def polygon_distance(spark: SparkSession, region: Polygon):
-    """Function of columns (x, y): distance to the boundary, negative outside."""
-    rings = [np.array(ring, float) for ring in region.rings()]
-    shared = spark.sparkContext.broadcast(rings)
+def polygon_distance(spark: SparkSession, region: Region, reach: float | None = None):
+    """Function of columns (x, y): distance to the boundary, negative outside, no more than reach."""
+    shared = spark.sparkContext.broadcast(edge_index(region, reach))
 
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        px, py = (c.to_numpy(zero_copy_only=False).astype(float) for c in (x, y))
-        a = np.concatenate([ring[:-1] for ring in shared.value])
-        d = np.concatenate([ring[1:] for ring in shared.value]) - a
-        out = np.empty(len(px))
-        step = max(1, CHUNK // max(1, 4 * len(a)))
-        for lo in range(0, len(px), step):
-            s = slice(lo, lo + step)
-            fx, fy = px[s, None] - a[:, 0], py[s, None] - a[:, 1]
-            along = np.clip((fx * d[:, 0] + fy * d[:, 1]) / np.maximum((d * d).sum(axis=1), 1e-300), 0, 1)
-            near = np.hypot(fx - along * d[:, 0], fy - along * d[:, 1]).min(axis=1)
-            out[s] = np.where(_inside(a, d, px[s], py[s]), near, -near)
-        return pa.array(out)
+        return pa.array(shared.value.distance(*(c.to_numpy(zero_copy_only=False).astype(float) for c in (x, y))))
 
     return F.arrow_udf(run, "double")
 
@@ -166,5 +252,4 @@ def translation_weight(box: Rectangle, dx: Column, dy: Column) -> Column:
 
 def register(spark: SparkSession, region: Region) -> None:
     """Offer `polygon_weight(x, y, r)` to SQL for a region (a rectangle as its ring)."""
-    poly = region if isinstance(region, Polygon) else Polygon(region.rings()[0], (), region.t0, region.t1)
-    spark.udf.register("polygon_weight", polygon_weight(spark, poly))
+    spark.udf.register("polygon_weight", polygon_weight(spark, region))

@@ -7,6 +7,7 @@ threshold that admits it) -> sums per bin -> running sums over thresholds -> K -
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -57,11 +58,11 @@ def time_bin(scale: Scale, tau: Column) -> Column:
     return F.greatest(F.ceil(tau / F.lit(scale.lag)), F.lit(1)).cast("int") if scale.lag else F.lit(1)
 
 
-def weigh(pairs: DataFrame, region: Region, correction: str = "isotropic") -> DataFrame:
+def weigh(pairs: DataFrame, region: Region, correction: str = "isotropic", reach: float | None = None) -> DataFrame:
     """Add the spatial weight w of pairs (a, b).
 
     Pairs whose circle lies in the region by the centre's distance to the boundary get 1 without
-    further work. Corrections: isotropic, translation (rectangles), none; border is a choice of
+    further work (polygons: column edge_a). reach is the largest distance of a pair. Corrections: isotropic, translation (rectangles), none; border is a choice of
     centres, see border_space().
     """
     x, y, d = F.col("x_a"), F.col("y_a"), F.col("d")
@@ -75,14 +76,20 @@ def weigh(pairs: DataFrame, region: Region, correction: str = "isotropic") -> Da
         raise ValueError(f"no such correction: {correction}")
     if isinstance(region, Rectangle):
         return with_rectangle_weight(pairs, region, "x_a", "y_a", "d")
-    return pairs.withColumn("w", polygon_weight(pairs.sparkSession, region)(x, y, F.when(d > F.col("edge_a"), d)))
+    return pairs.withColumn("w", polygon_weight(pairs.sparkSession, region, reach)(x, y, F.when(d > F.col("edge_a"), d)))
 
 
-def _with_edge(points: DataFrame, region: Region) -> DataFrame:
-    """For polygons: each centre's distance to the boundary, once per point."""
-    if isinstance(region, Rectangle):
-        return points
-    return points.withColumn("edge", polygon_distance(points.sparkSession, region)(F.col("x"), F.col("y")))
+def weighed_pairs(left: DataFrame, right: DataFrame, region: Region, join: Callable[[DataFrame, DataFrame], DataFrame], reach: float, correction: str = "isotropic") -> DataFrame:
+    """Pairs that join finds, at most reach apart, with their spatial weight w.
+
+    In a polygon the centres at least reach inside are joined apart: their weight is 1, and their pairs
+    never leave the JVM. Only pairs of centres near the boundary go through Arrow.
+    """
+    if isinstance(region, Rectangle) or correction != "isotropic":
+        return weigh(join(left, right), region, correction)
+    sites = left.withColumn("edge", polygon_distance(left.sparkSession, region, reach)(F.col("x"), F.col("y")))
+    clear = join(sites.where(F.col("edge") >= reach), right).withColumn("w", F.lit(1.0))
+    return clear.unionByName(weigh(join(sites.where(F.col("edge") < reach), right), region, correction, reach))
 
 
 def _run(df: DataFrame, value: str, along: str, *within: str) -> Column:
@@ -94,8 +101,8 @@ def space_sums(left: DataFrame, right: DataFrame, region: Region, scale: Scale,
 
     Sides are folded to distinct places first, with multiplicities.
     """
-    a = _with_edge(fold(left, "x", "y"), region)
-    pairs = weigh(distance_join(a, fold(right, "x", "y"), scale.R), region, correction)
+    near = lambda a, b: distance_join(a, b, scale.R)
+    pairs = weighed_pairs(fold(left, "x", "y"), fold(right, "x", "y"), region, near, scale.R, correction)
     both = F.col("cnt_a") * F.col("cnt_b")
     binned = pairs.groupBy(space_bin(scale, F.col("d")).alias("i")).agg(F.sum(both).alias("pairs"), F.sum(F.col("w") * both).alias("sigma"))
     return cumulate_space(binned, scale)
@@ -162,8 +169,7 @@ def border_space(points: DataFrame, box: Rectangle, scale: Scale) -> DataFrame:
 def st_sums(points: DataFrame, region: Region, scale: Scale, correction: str = "isotropic") -> DataFrame:
     """Weighted sums per cell: i, j, d, tau, sigma, for all i from 1 to S and j from 1 to U."""
     sites = fold(points, "x", "y", "t")
-    pairs = st_join(_with_edge(sites, region), sites, scale.R, scale.T, scale.unit)
-    pairs = weigh(pairs, region, correction)
+    pairs = weighed_pairs(sites, sites, region, lambda a, b: st_join(a, b, scale.R, scale.T, scale.unit), scale.R, correction)
     tau = distance(scale.unit, F.col("t_a"), F.col("t_b"))
     w_t = temporal_weight(scale.unit, F.col("t_a"), F.col("tau"), F.lit(region.t0).cast("timestamp_ntz"), F.lit(region.t1).cast("timestamp_ntz"))
     value = F.col("w") * w_t * F.col("cnt_a") * F.col("cnt_b")
@@ -212,8 +218,7 @@ def local_k(points: DataFrame, region: Region, scale: Scale, include_self: bool
     n = _count(points)
     kept = points.select("pid", "x", "y", *(["cnt"] if "cnt" in points.columns else []))
     right = kept if "cnt" in kept.columns else kept.withColumn("cnt", F.lit(1))
-    left = _with_edge(kept.select("pid", "x", "y"), region)
-    pairs = weigh(distance_join(left, right, scale.R), region, correction)
+    pairs = weighed_pairs(kept.select("pid", "x", "y"), right, region, lambda a, b: distance_join(a, b, scale.R), scale.R, correction)
     if not include_self:
         pairs = pairs.withColumn("cnt_b", F.col("cnt_b") - (F.col("pid_a") == F.col("pid_b")).cast("int"))
     bins = pairs.groupBy(F.col("pid_a").alias("pid"), F.col("x_a").alias("x"), F.col("y_a").alias("y"), space_bin(scale, F.col("d")).alias("i"))

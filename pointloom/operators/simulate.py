@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.timeunits import distance, shift
 from ..functions.weights import polygon_distance, temporal_weight
 from ..sources.boundary import Rectangle, Region
-from .kfunction import Scale, _with_edge, cumulate_space, cumulate_st, l_space, l_st, space_bin, time_bin, weigh
+from .kfunction import Scale, cumulate_space, cumulate_st, l_space, l_st, space_bin, time_bin, weighed_pairs
 from .pairs import distance_join, slots
 
 
@@ -93,7 +93,7 @@ def simulated_pairs(left: DataFrame, right: DataFrame, region: Region, scale: Sc
     Places and weights are found once for all simulations: the draws travel with the points, and
     the simulations of a pair are rows only within the task that sums them up.
     """
-    pairs = weigh(distance_join(_with_edge(left, region), right, scale.R), region)
+    pairs = weighed_pairs(left, right, region, lambda a, b: distance_join(a, b, scale.R), scale.R)
     kept = pairs.select("pid_a", "x_a", "y_a", space_bin(scale, F.col("d")).alias("i"), "w", F.posexplode(F.arrays_zip("drawn_a", "drawn_b")).alias("k", "z"))
     return kept.select("pid_a", "x_a", "y_a", (F.col("k") + 1).alias("sim"), "i", "w", F.col("z.drawn_a").alias("a"), F.col("z.drawn_b").alias("b"))
 
