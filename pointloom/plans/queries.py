@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import circles, crs, envelopes, timeunits, weights
-from ..operators import cube, kfunction, pairs, simulate
+from ..operators import cube, kfunction, pairs, regions, simulate
 from ..operators.kfunction import Scale
 from ..sources import points as pts
 from ..sources import results
@@ -450,6 +450,35 @@ def local_l(spark, sf_dir):
     return kfunction.local_k(src, envelope_region(src), SIM).select("pid", "i", _r("l", 5).alias("l"))
 
 
+def _districts(spark, sf_dir) -> DataFrame:
+    """A house-shaped polygon with a hole for each region of the table, side by side across the events' rectangle."""
+    box = envelope_region(pts.events(spark, sf_dir))
+    rings = F.array(*(F.array(*(F.struct(F.lit(float(u)).alias("u"), F.lit(float(v)).alias("v")) for u, v in ring)) for ring in HOUSE))
+    rows = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("bigint").alias("region"), F.posexplode(rings).alias("ring", "line"))
+    rows = rows.select("region", "ring", F.posexplode("line").alias("vertex", "p"))
+    x = box.x0 + (F.col("region") + F.col("p.u")) * ((box.x1 - box.x0) / 5)
+    return rows.select("region", "ring", "vertex", x.alias("x"), (box.y0 + F.col("p.v") * (box.y1 - box.y0)).alias("y"))
+
+
+@query
+def polygon_members(spark, sf_dir):
+    """Every event with the polygon of a table that it lies in."""
+    return regions.points_in(pts.events(spark, sf_dir).select("pid", "x", "y"), _districts(spark, sf_dir)).select("pid", "region")
+
+
+@query
+def polygon_counts(spark, sf_dir):
+    return regions.count_in(pts.events(spark, sf_dir), _districts(spark, sf_dir))
+
+
+@query
+def multipolygon_filter(spark, sf_dir):
+    """Events in a region of several parts, holes left out."""
+    whole = _districts(spark, sf_dir).select(F.lit("all").alias("region"), F.col("region").alias("part"), "ring", "vertex", "x", "y").where("part <> 2")
+    return regions.points_in(pts.events(spark, sf_dir).select("pid", "x", "y"), whole).select("pid")
+
+
+
 def _house(spark, sf_dir) -> Polygon:
     """The events' rectangle with two corners cut off and a hole."""
     box = envelope_region(pts.events(spark, sf_dir))

@@ -290,6 +290,13 @@ SQL["monte_carlo_space"] = f"""WITH {_box(EVENTS)}, {_BORDER},
   drawn AS (SELECT pid, h, bx0 + (bx1 - bx0) * {_HEX.format(1)} AS x, by0 + (by1 - by0) * {_HEX.format(9)} AS y FROM box, (SELECT pid, md5('csr|1|' || pid) AS h FROM range(0, {int(400 / _SHARE * 3) + 64}) p(pid))),
   ins AS (SELECT pid, x, y FROM drawn, edges WHERE {_CROSSES("x", "y")} GROUP BY pid, h, x, y HAVING count(*) % 2 = 1 ORDER BY h LIMIT 400),
   {_polygon(50.0, 5)} SELECT i, d, {_LPOLY} AS l FROM curve, size"""
+_DISTRICTS = f"""{_box(EVENTS)}, edges AS (SELECT region, px, py, qx - px AS gx, qy - py AS gy FROM (
+    SELECT r_regionkey AS region, bx0 + (r_regionkey + u) * ((bx1 - bx0) / 5) AS px, by0 + v * (by1 - by0) AS py, bx0 + (r_regionkey + u2) * ((bx1 - bx0) / 5) AS qx, by0 + v2 * (by1 - by0) AS qy
+    FROM box, region, (VALUES {_SIDES}) e(u, v, u2, v2))),
+  members AS (SELECT pid, CAST(region AS BIGINT) AS region FROM pts, edges WHERE {_CROSSES("x", "y")} GROUP BY pid, region HAVING count(*) % 2 = 1)"""
+SQL["polygon_members"] = f"WITH {_DISTRICTS} SELECT pid, region FROM members"
+SQL["polygon_counts"] = f"WITH {_DISTRICTS} SELECT region, count(*) AS n FROM members GROUP BY region"
+SQL["multipolygon_filter"] = f"WITH {_DISTRICTS} SELECT pid FROM members WHERE region <> 2"
 SQL["result_merge"] = f"""WITH cells AS (SELECT mark, CAST(floor(x / 100) AS INTEGER) AS i, CAST(floor(y / 5) AS INTEGER) AS j, CAST(count(*) AS DOUBLE) AS k, min(x) AS lo, max(x) AS hi FROM ({EVENTS}) GROUP BY 1, 2, 3)
   SELECT i, j, arg_max(k, mark) AS kest, min(lo) AS kmin, max(hi) AS kmax FROM cells GROUP BY i, j"""
 

@@ -90,6 +90,30 @@ class Polygon(Region):
         return Rectangle(min(xs), max(xs), min(ys), max(ys), self.t0, self.t1)
 
 
+@dataclass(frozen=True)
+class MultiPolygon(Region):
+    """Polygons that don't overlap, as one region."""
+
+    parts: tuple
+    t0: datetime | None = None
+    t1: datetime | None = None
+
+    def __post_init__(self):
+        if not self.parts:
+            raise ValueError("a region needs a part")
+
+    def rings(self) -> tuple:
+        return tuple(ring for part in self.parts for ring in part.rings())
+
+    @property
+    def area(self) -> float:
+        return sum(part.area for part in self.parts)
+
+    def rectangle(self) -> Rectangle:
+        boxes = [part.rectangle() for part in self.parts]
+        return Rectangle(min(b.x0 for b in boxes), max(b.x1 for b in boxes), min(b.y0 for b in boxes), max(b.y1 for b in boxes), self.t0, self.t1)
+
+
 def envelope_region(points: DataFrame, pad: float = PAD) -> Rectangle:
     """The points' own rectangle, widened by pad, and their time interval."""
     cols = [F.min("x"), F.max("x"), F.min("y"), F.max("y")]
@@ -100,33 +124,55 @@ def envelope_region(points: DataFrame, pad: float = PAD) -> Rectangle:
     return Rectangle(x0 - pad, x1 + pad, y0 - pad, y1 + pad, t0, t1)
 
 
-def geojson_vertices(spark: SparkSession, path: str) -> DataFrame:
-    """(feature, ring, vertex, lon, lat) of the polygons of a GeoJSON feature collection."""
-    schema = "features array<struct<geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
+def geojson_vertices(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
+    """(feature, part, ring, vertex, lon, lat) of the Polygons and MultiPolygons of a GeoJSON feature collection.
+
+    feature is the feature's number, or its property of the name label. Other geometries are left out.
+    """
+    schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
     doc = spark.read.schema(schema).option("multiLine", True).json(path)
-    feats = doc.select(F.posexplode("features").alias("feature", "f"))
-    rings = feats.where("f.geometry.type = 'Polygon'").select("feature", F.posexplode("f.geometry.coordinates").alias("ring", "line"))
-    return rings.select("feature", "ring", F.posexplode("line").alias("vertex", "p")).select("feature", "ring", "vertex", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
+    feats = doc.select(F.posexplode("features").alias("number", "f"))
+    name = F.col("number") if label is None else F.try_element_at("f.properties", F.lit(label))
+    ring = "array<array<array<double>>>"
+    one = F.array(F.from_json("f.geometry.coordinates", ring))
+    many = F.from_json("f.geometry.coordinates", f"array<{ring}>")
+    parts = F.when(F.col("f.geometry.type") == "Polygon", one).when(F.col("f.geometry.type") == "MultiPolygon", many)
+    out = feats.select(name.alias("feature"), F.posexplode(parts).alias("part", "rings"))
+    out = out.select("feature", "part", F.posexplode("rings").alias("ring", "line"))
+    out = out.select("feature", "part", "ring", F.posexplode("line").alias("vertex", "p"))
+    return out.select("feature", "part", "ring", "vertex", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
+
+
+def geojson_regions(spark: SparkSession, path: str, label: str, project: bool = False) -> DataFrame:
+    """Labelled regions of a feature collection as a table for operators.regions: region, part, ring, vertex, x, y.
+
+    x and y are (lat, lon), or metres if project. Features without the label have none and are left out.
+    """
+    from ..functions.crs import forward
+
+    x, y = forward(F.col("lat"), F.col("lon")) if project else (F.col("lat"), F.col("lon"))
+    rows = geojson_vertices(spark, path, label).where("feature IS NOT NULL")
+    return rows.select(F.col("feature").alias("region"), "part", "ring", "vertex", x.alias("x"), y.alias("y"))
 
 
-def read_geojson(spark: SparkSession, path: str, project: bool = False, t0: datetime | None = None, t1: datetime | None = None) -> Polygon:
-    """The polygon of a GeoJSON file with one feature; its further rings are holes.
+def read_geojson(spark: SparkSession, path: str, project: bool = False, t0: datetime | None = None, t1: datetime | None = None, several: bool = False) -> Polygon | MultiPolygon:
+    """The region of a GeoJSON file with one feature, a Polygon or a MultiPolygon; further rings are holes.
 
-    Vertices become (lat, lon), or metres if project. A boundary is one object of the query,
-    so its vertices are collected. More than one feature is an error, as is none.
+    With several all features are one region, otherwise more than one is an error, as is none.
+    Vertices become (lat, lon), or metres if project. A boundary is one object of the query, so its vertices are collected.
     """
     from ..functions.crs import forward
 
-    rows = geojson_vertices(spark, path)
-    if project:
-        x, y = forward(F.col("lat"), F.col("lon"))
-        rows = rows.select("feature", "ring", "vertex", x.alias("a"), y.alias("b"))
-    else:
-        rows = rows.select("feature", "ring", "vertex", F.col("lat").alias("a"), F.col("lon").alias("b"))
-    rings: dict[tuple, list] = {}
-    for r in rows.orderBy("feature", "ring", "vertex").collect():
-        rings.setdefault((r["feature"], r["ring"]), []).append((r["a"], r["b"]))
-    if len({k[0] for k in rings}) != 1:
+    x, y = forward(F.col("lat"), F.col("lon")) if project else (F.col("lat"), F.col("lon"))
+    rows = geojson_vertices(spark, path).select("feature", "part", "ring", "vertex", x.alias("a"), y.alias("b"))
+    parts: dict[tuple, dict[int, list]] = {}
+    for r in rows.orderBy("feature", "part", "ring", "vertex").collect():
+        parts.setdefault((r["feature"], r["part"]), {}).setdefault(r["ring"], []).append((r["a"], r["b"]))
+    features = len({k[0] for k in parts})
+    if not features or (features > 1 and not several):
         raise ValueError("a boundary file needs exactly one polygon feature")
-    outline, *holes = (tuple(v) for _, v in sorted(rings.items()))
-    return Polygon(outline, tuple(holes), t0, t1)
+    found = []
+    for _, rings in sorted(parts.items()):
+        outline, *holes = (tuple(v) for _, v in sorted(rings.items()))
+        found.append(Polygon(outline, tuple(holes), t0, t1))
+    return found[0] if len(found) == 1 else MultiPolygon(tuple(found), t0, t1)
