@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import circles, crs, envelopes, timeunits, weights
-from ..operators import cube, kfunction, pairs, regions, simulate
+from ..operators import cube, kfunction, pairs, regions, simulate, weighttable
 from ..operators.kfunction import Scale
 from ..sources import points as pts
 from ..sources import results
@@ -542,6 +542,30 @@ def sim_envelope_st(spark, sf_dir):
     return got.select("i", "j", "d", "tau", _r("l_min", 5).alias("l_min"), _r("l_max", 5).alias("l_max"))
 
 
+#: Step of rounded weights.
+STEP = 0.25
+
+
+@query
+def weight_table_l(spark, sf_dir):
+    """L curve by weights of a table that the clicks' run has left and this one extends."""
+    src = pts.events(spark, sf_dir)
+    box = envelope_region(src)
+    table = weighttable.new_weights(weighttable.pattern_pairs(src.where("mark = 'click'"), box, SPACE, STEP), box, STEP)
+    curve, _ = weighttable.space_k(src, box, SPACE, STEP, table)
+    return curve.select("i", "d", "pairs", _r("l", 5).alias("l"))
+
+
+@query
+def weight_table_hits(spark, sf_dir):
+    """Of all events' pairs, how many find their weight in the table that the clicks' run has left."""
+    src = pts.events(spark, sf_dir)
+    box = envelope_region(src)
+    table = weighttable.new_weights(weighttable.pattern_pairs(src.where("mark = 'click'"), box, SPACE, STEP), box, STEP)
+    got = weighttable.hit_rates(weighttable.pattern_pairs(src, box, SPACE, STEP), table)
+    return got.select("pairs", "misses", "hits", _r("hit_percent", 4).alias("hit_percent"))
+
+
 @query
 def monte_carlo_draw(spark, sf_dir):
     src = pts.events(spark, sf_dir)
@@ -617,11 +641,22 @@ def cube_total(spark, sf_dir):
 
 @query
 def cube_crossfilter(spark, sf_dir):
-    found = cube.cross_filter(pts.events(spark, sf_dir), cube.Constraints(("click",), *WHEN, BOX), BASE, 86400, 40)
-    cat = found["categories"].select(F.lit("category").alias("chart"), F.col("mark").alias("key"), "n")
-    series = found["series"].select(F.lit("series").alias("chart"), F.col("bucket").cast("string").alias("key"), "n")
-    whole = found["total"].select(F.lit("total").alias("chart"), F.lit("").alias("key"), "n")
-    return cat.unionByName(series).unionByName(whole)
+    return cube.cross_filter_table(pts.events(spark, sf_dir), cube.Constraints(("click",), *WHEN, BOX), BASE, 86400, 40)
+
+
+@query
+def cube_pyramid(spark, sf_dir):
+    """Every zoom level by category, from a cube of the finest one."""
+    return cube.pyramid(cube.tile_cube(pts.latlon(spark, sf_dir), 7, "mark"), 7)
+
+
+@query
+def cube_merge(spark, sf_dir):
+    """A cube of some categories merged with the others' points, one tile drilled down."""
+    src = pts.latlon(spark, sf_dir)
+    old = cube.tile_cube(src.where("mark <> 'click'"), 7)
+    both = cube.merge_cubes(old, cube.tile_cube(src.where("mark = 'click'"), 7))
+    return cube.drill_down(cube.pyramid(both, 7), 2, 1, 2, 3)
 
 
 @query

@@ -232,6 +232,17 @@ _PERM = f"""{_PLACE}, times AS (
 SQL["perm_times"] = f"WITH pts AS ({EVENTS}), {_PERM} SELECT sim, pid, t FROM perm"
 SQL["bootstrap_draw"] = f"WITH pts AS ({EVENTS}), {_DRAWN} SELECT sim, pid, cnt FROM drawn"
 _PAIRS5 = f"spairs AS (SELECT a.pid AS pid_a, b.pid AS pid_b, sqrt({_SQUARE}) AS d, a.x AS ax, a.y AS ay FROM pts a JOIN pts b ON {_near(5.0)})"
+_STEP = "0.25::DOUBLE"
+_ROUNDED = f"""{_box(EVENTS)}, rp AS (SELECT a.x AS ex, a.y AS ey, sqrt({_SQUARE}) AS ed, a.mark = 'click' AND b.mark = 'click' AS old FROM pts a JOIN pts b ON {_near(10.0)}),
+  rk AS (SELECT *, least(ex - bx0, bx1 - ex, ey - by0, by1 - ey) < {_STEP} AS loose, floor(ex / {_STEP} + 0.5::DOUBLE) AS kx, floor(ey / {_STEP} + 0.5::DOUBLE) AS ky, floor(ed / {_STEP} + 0.5::DOUBLE) AS kr FROM rp, box)"""
+SQL["weight_table_l"] = f"""WITH {_ROUNDED}, moved AS (SELECT ed, CASE WHEN loose THEN ex ELSE kx * {_STEP} END AS ax, CASE WHEN loose THEN ey ELSE ky * {_STEP} END AS ay, CASE WHEN loose THEN ed ELSE kr * {_STEP} END AS d FROM rk),
+  weighed AS (SELECT ed, {_ISO} AS w FROM moved, box), grid AS (SELECT CAST(i AS INTEGER) AS i, 2.0::DOUBLE * i AS d FROM range(1, 6) g(i)),
+  sums AS (SELECT g.i, g.d, count(*) AS pairs, sum(w) AS sigma FROM grid g JOIN weighed p ON p.ed <= g.d GROUP BY g.i, g.d)
+  SELECT i, d, pairs, {_L} AS l FROM sums, box"""
+_FOLDED = _ROUNDED.replace("pts a JOIN pts b", "sites a JOIN sites b").replace("a.mark = 'click' AND b.mark = 'click'", "a.old AND b.old").replace("rp AS", "sites AS (SELECT x, y, bool_or(mark = 'click') AS old FROM pts GROUP BY x, y), rp AS")
+SQL["weight_table_hits"] = f"""WITH {_FOLDED}, each AS (SELECT count(*) AS n, bool_or(old) AS known, bool_or(loose) AS loose FROM rk GROUP BY kx, ky, kr, loose),
+  sums AS (SELECT CAST(sum(n) AS BIGINT) AS pairs, CAST(sum(CASE WHEN loose THEN n WHEN known THEN 0 ELSE 1 END) AS BIGINT) AS misses FROM each)
+  SELECT pairs, misses, pairs - misses AS hits, round(100.0::DOUBLE * (pairs - misses) / pairs, 4) AS hit_percent FROM sums"""
 SQL["sim_envelope_space"] = f"""WITH {_box(EVENTS)}, {_DRAWN}, {_PAIRS5}, weighed AS (SELECT pid_a, pid_b, d, {_ISO} AS w FROM spairs, box),
   grid AS (SELECT CAST(i AS INTEGER) AS i, 1.0::DOUBLE * i AS d FROM range(1, 6) g(i)),
   sums AS (SELECT a.sim, g.i, g.d, sum(w * a.cnt * b.cnt) AS sigma FROM weighed p JOIN drawn a ON a.pid = p.pid_a JOIN drawn b ON b.pid = p.pid_b AND a.sim = b.sim JOIN grid g ON p.d <= g.d GROUP BY a.sim, g.i, g.d),
@@ -316,6 +327,9 @@ SQL["cube_total"] = f"SELECT count(*) AS n FROM ({EVENTS}) WHERE {_INBOX} AND {_
 SQL["cube_crossfilter"] = f"""SELECT 'category' AS chart, mark AS key, count(*) AS n FROM ({EVENTS}) WHERE {_INBOX} AND {_WHEN} GROUP BY mark
   UNION ALL SELECT 'series', CAST({_BUCKET.format(86400)} AS VARCHAR), count(*) FROM ({EVENTS}) WHERE {_INBOX} AND mark = 'click' AND {_BUCKET.format(86400)} BETWEEN 0 AND 39 GROUP BY 2
   UNION ALL SELECT 'total', '', count(*) FROM ({EVENTS}) WHERE {_INBOX} AND {_WHEN} AND mark = 'click'"""
+_zoom = lambda z: f"SELECT {z} AS zoom, CAST(tile_x AS BIGINT) AS tile_x, CAST(tile_y AS BIGINT) AS tile_y, mark FROM ({_tiles(z)})"
+SQL["cube_pyramid"] = "SELECT zoom, tile_x, tile_y, mark, count(*) AS n FROM (" + " UNION ALL ".join(map(_zoom, range(8))) + ") GROUP BY ALL"
+SQL["cube_merge"] = f"SELECT zoom, tile_x, tile_y, count(*) AS n FROM ({_zoom(5)}) WHERE tile_x BETWEEN 8 AND 15 AND tile_y BETWEEN 16 AND 23 GROUP BY ALL"
 SQL["cube_time_bounds"] = f"SELECT min(t) AS first, max(t) AS last FROM ({EVENTS})"
 SQL["cube_bbox"] = f"SELECT min(lat) AS min_x, max(lat) AS max_x, min(lon) AS min_y, max(lon) AS max_y FROM ({LATLON})"
 SQL["cube_pivot_grid"] = "SELECT *, round(sqrt(total), 5) AS height FROM (SELECT tile_x, tile_y, " + ", ".join(f"count(*) FILTER (mark = '{m}') AS {m}" for m in ("click", "error", "purchase", "signup", "view")) + f", count(*) AS total FROM ({_tiles(ZOOM)}) GROUP BY 1, 2)"
