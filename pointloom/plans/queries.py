@@ -283,7 +283,7 @@ def cross_pairs(spark, sf_dir):
     return p.select("pid_a", "pid_b", _r("d").alias("d"))
 
 
-def _boxes(spark, sf_dir, mark: str, *kept: str) -> DataFrame:
+def _sized(spark, sf_dir, mark: str, *kept: str) -> DataFrame:
     """Boxes of very different sizes around the events of a mark, some of them points, with times up to five days long."""
     p = F.col("pid")
     far = F.when(p % 97 == 0, 80.0).otherwise(1.0)
@@ -297,22 +297,22 @@ PLAN, WHOLE = ("x0", "x1", "y0", "y1"), ("x0", "x1", "y0", "y1", "t0", "t1")
 
 @query
 def box_pairs(spark, sf_dir):
-    return pairs.box_join(_boxes(spark, sf_dir, "click", *WHOLE), _boxes(spark, sf_dir, "error", *WHOLE)).select("pid_a", "pid_b")
+    return pairs.box_join(_sized(spark, sf_dir, "click", *WHOLE), _sized(spark, sf_dir, "error", *WHOLE)).select("pid_a", "pid_b")
 
 
 @query
 def box_pairs_open(spark, sf_dir):
-    return pairs.box_join(_boxes(spark, sf_dir, "click", *WHOLE), _boxes(spark, sf_dir, "error", *WHOLE), boundary=False).select("pid_a", "pid_b")
+    return pairs.box_join(_sized(spark, sf_dir, "click", *WHOLE), _sized(spark, sf_dir, "error", *WHOLE), boundary=False).select("pid_a", "pid_b")
 
 
 @query
 def box_count(spark, sf_dir):
-    return pairs.count_per_left(pairs.box_join(_boxes(spark, sf_dir, "view", *PLAN), _boxes(spark, sf_dir, "error", *PLAN)))
+    return pairs.count_per_left(pairs.box_join(_sized(spark, sf_dir, "view", *PLAN), _sized(spark, sf_dir, "error", *PLAN)))
 
 
 @query
 def box_collect(spark, sf_dir):
-    got = pairs.collect_per_left(pairs.box_join(_boxes(spark, sf_dir, "purchase", *WHOLE), _boxes(spark, sf_dir, "view", *WHOLE)))
+    got = pairs.collect_per_left(pairs.box_join(_sized(spark, sf_dir, "purchase", *WHOLE), _sized(spark, sf_dir, "view", *WHOLE)))
     return got.select("pid_a", F.array_join(F.col("partners").cast("array<string>"), ",").alias("partners"))
 
 

@@ -6,7 +6,7 @@ import pytest
 from pointloom.plans.queries import QUERIES
 from pointloom.plans.sql import SQL
 
-TABLES = ("events", "orders")
+TABLES = ("region", "events", "orders")
 
 
 @pytest.fixture(scope="module")
