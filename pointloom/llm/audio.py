@@ -216,16 +216,26 @@ def features(tensors):
     return F.arrow_udf(lambda x: pa.array((feature(unpack(t)) for t in x.to_pylist()), pa.string()), "string")(tensors)
 
 
+def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_bytes and media (a WAV file) of every row of docs, as a stored table.
+
+    Null texts count as empty; ids keep their type, repeated rows repeat, other columns are left out.
+    Empty input gives an empty table.
+    """
+    size = F.octet_length(F.coalesce(col(text_col).cast("string"), F.lit(""))).cast("long")
+    return materialize(docs.select(col(id_col).alias("id"), size.alias("n_bytes"), stored(text_col).alias("media")), "audio-media")
+
+
 def analysed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, n_bytes, sizes and digests of the stored form, tensors, feature.
 
+    The WAV files are stored as Parquet (media_table()) and read back for sizes, digests and tensors.
     tensors is an Arrow stream (unpack() reads it) of fixed_shape_tensor rows with their time
-    spans; they are stored as Parquet and the feature comes from what is read back. Null texts
+    spans; they are stored as well and the feature comes from what is read back. Null texts
     count as empty, and every row has one tensor at least; ids keep their type, repeated rows
     repeat, other columns are left out. Empty input gives an empty result.
     """
-    text = col(text_col).cast("string")
-    rows = docs.select(col(id_col).alias("id"), F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes"), described(stored(text_col)).alias("d"))
+    rows = media_table(docs, id_col, text_col).select("id", "n_bytes", described(F.col("media")).alias("d"))
     rows = materialize(rows.select("id", "n_bytes", "d.*"), "audio-tensors")
     return rows.withColumn("feature", features("tensors")).withColumnRenamed("id", id_col)
 
@@ -234,7 +244,8 @@ def tensors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The tensors of analysed() as rows: id, chunk, start_s, end_s, frames, active_frames,
     segments and log_mel, TENSOR_FRAMES x MELS floats, row-major.
 
-    as_tensors() turns a collected column into Arrow's fixed_shape_tensor type.
+    as_tensors() turns a collected column into Arrow's fixed_shape_tensor type. Null texts count as empty,
+    repeated rows repeat, empty input gives an empty result.
     """
 
     def run(batches):
@@ -246,7 +257,7 @@ def tensors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 ident = batch.column("id").take(pa.array([k] * got.num_rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ident, *got.columns[:-1], mel], ["id", *_CHUNKS.names])
 
-    rows = docs.select(col(id_col).alias("id"), described(stored(text_col)).alias("d")).select("id", "d.tensors")
+    rows = media_table(docs, id_col, text_col).select("id", described(F.col("media")).alias("d")).select("id", "d.tensors")
     kind = dict(rows.dtypes)["id"]
     spans = "array<struct<start_s:double,end_s:double>>"
     return rows.mapInArrow(run, f"id {kind}, chunk long, start_s double, end_s double, frames long, active_frames long, segments {spans}, log_mel array<float>")
