@@ -51,57 +51,65 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array(got.view(np.int64))
 
 
+def _turned(fps: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    """Fingerprints as rings that begin with their chain's first segment."""
+    turn = chain.astype(np.uint64) * np.uint64(16)
+    return np.where(turn > 0, (fps >> turn) | (fps << ((np.uint64(64) - turn) & np.uint64(63))), fps)
+
+
+def _within_budgets(ring: np.ndarray) -> np.ndarray:
+    """Places of rings of differences whose chains of three and of four segments keep to their budgets."""
+    at = np.flatnonzero(np.bitwise_count(ring & np.uint64(0xFFFFFFFFFFFF)) <= 2)
+    return at[np.bitwise_count(ring[at]) <= MAX_BITS]
+
+
 def close_pairs(fps: np.ndarray, group: np.ndarray, chain: np.ndarray, emit) -> None:
     """Call emit(a, b) with the pairs of equal group at most 3 bits apart.
 
     fps are sorted by group; chain holds the segment at which each row's chain starts.
     Memory stays linear in the rows for any group size.
     """
+    rings = _turned(fps, chain)
     at = np.arange(len(fps))
     d = 0
     while len(at):
         d += 1
         at = at[at < len(fps) - d]
         at = at[group[at] == group[at + d]]
-        a, b = fps[at], fps[at + d]
-        turn = chain[at].astype(np.uint64) * np.uint64(16)
-        x = a ^ b
-        ring = np.where(turn > 0, (x >> turn) | (x << ((np.uint64(64) - turn) & np.uint64(63))), x)
-        near = np.bitwise_count(ring & np.uint64(0xFFFFFFFF)) <= 1
-        near &= np.bitwise_count(ring & np.uint64(0xFFFFFFFFFFFF)) <= 2
-        a, b, ring = a[near], b[near], ring[near]
-        near = np.bitwise_count(ring) <= MAX_BITS
-        if near.any():
-            emit(a[near], b[near])
+        ring = rings[at] ^ rings[at + d]
+        near = np.flatnonzero(np.bitwise_count(ring & np.uint64(0xFFFFFFFF)) <= 1)
+        near = near[_within_budgets(ring[near])]
+        if len(near):
+            emit(fps[at[near]], fps[at[near] + d])
+
+
+def cross_pairs(a: np.ndarray, b: np.ndarray, chain: int, emit) -> None:
+    """Call emit(x, y) with the pairs of an x of a and a y of b at most 3 bits apart, both filed under this chain."""
+    ra, rb = (_turned(side, np.full(len(side), chain)) for side in (a, b))
+    la, lb = ra.astype(np.uint32), rb.astype(np.uint32)  # the chain's first two segments
+    for lo in range(0, len(a), CROSS_ROWS):
+        i, j = np.nonzero(np.bitwise_count(la[lo : lo + CROSS_ROWS, None] ^ lb[None]) <= 1)
+        near = _within_budgets(ra[lo + i] ^ rb[j])
+        if len(near):
+            emit(a[lo + i[near]], b[j[near]])
 
 
+#: Fingerprints of a group that are compared as one; larger groups are split, and then dealt in blocks of this size.
 BIG_GROUP = 4096
+#: Rows of one side that cross_pairs() compares at once.
+CROSS_ROWS = 64
 #: Ids to drop up to this number go to every executor; with more the texts are shuffled by id.
 BROADCAST_IDS = 1_000_000
 #: Filed keys that one task holds at most about.
 PART_ROWS = 2_000_000
-
-
-def _finer(fps: np.ndarray, group: np.ndarray, chain: np.ndarray):
-    """Split large groups: of four further 16-bit pieces one agrees within 3 bits' difference."""
-    order = np.argsort(group, kind="stable")
-    fps, group, chain = fps[order], group[order], chain[order]
-    ids, first, count = np.unique(group, return_index=True, return_counts=True)
-    big = np.repeat(count > BIG_GROUP, count)
-    yield fps[~big], group[~big], chain[~big]
-    if big.any():
-        f, g, c = fps[big], np.repeat(np.arange(len(ids)), count)[big], chain[big]
-        # all 64 bits dealt round-robin to four pieces, so that no piece lies in the part already equal
-        for piece in range(4):
-            key = f & np.uint64(int("0001" * 16, 2) << piece)
-            order = np.lexsort((key, g))
-            sub = np.cumsum(np.r_[0, (np.diff(key[order]) != 0) | (np.diff(g[order]) != 0)])
-            yield f[order], sub, c[order]
+#: What a row of a part is: of a group compared as one, or of the first or second block of two.
+WHOLE, FIRST, SECOND = 0, 1, 2
 
 
 def _links(part: pa.Table) -> pa.Table:
+    """Edges of a part of rows (fp, chain, grp, side)."""
     fps = part.column("fp").to_numpy().view(np.uint64)
-    key = part.column("key").to_numpy()
+    chain, group, side = (part.column(c).to_numpy() for c in ("chain", "grp", "side"))
     edges, held = [], 0
 
     def emit(a, b):
@@ -112,19 +120,44 @@ def _links(part: pa.Table) -> pa.Table:
             edges = [star_edges(edges)]
             held = len(edges[0][0])
 
-    for f, g, c in _finer(fps, key, key >> 25):
-        close_pairs(f, g, c, emit)
+    whole = np.flatnonzero(side == WHOLE)
+    whole = whole[np.argsort(group[whole], kind="stable")]
+    close_pairs(fps[whole], group[whole], chain[whole], emit)
+    dealt = np.flatnonzero(side != WHOLE)
+    dealt = dealt[np.lexsort((side[dealt], group[dealt]))]
+    for rows in np.split(dealt, np.flatnonzero(np.diff(group[dealt])) + 1) if len(dealt) else ():
+        first = int(np.searchsorted(side[rows], SECOND))
+        cross_pairs(fps[rows[:first]], fps[rows[first:]], int(chain[rows[0]]), emit)
     a, b = star_edges(edges) if edges else (np.zeros(0, np.uint64),) * 2
     return pa.table({"u": a.view(np.int64), "v": b.view(np.int64)})
 
 
-def link_fingerprints(fps: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect distinct fingerprints (column fp) exactly as all pairs within 3 bits do.
+def _split(rows: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of groups up to BIG_GROUP, the others with their group's count many). Counted, within tasks first."""
+    large = materialize(rows.groupBy("grp").agg(F.count("*").alias("many")).where(F.col("many") > BIG_GROUP), tag)
+    large = small(large, BROADCAST_IDS)
+    return rows.join(large.select("grp"), "grp", "left_anti"), rows.join(large, "grp")
+
 
-    Each bucket returns a star per local component, so edges stay linear in the rows.
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows of large groups, dealt to blocks by a hash: one row for each block that a row's own one meets, itself included.
+
+    Every two blocks of a group are a group of their own, so any number of tasks compares them.
+    """
+    blocks = F.ceil(F.col("many") / BIG_GROUP)
+    own = rows.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("fp"), blocks)})
+    met = own.withColumn("met", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    lo, hi = F.least("own", "met"), F.greatest("own", "met")
+    side = F.when(lo == hi, WHOLE).when(F.col("own") == lo, FIRST).otherwise(SECOND)
+    return met.select("fp", "chain", F.xxhash64("grp", lo, hi).alias("grp"), side.alias("side"))
+
+
+def filed_rows(fps: DataFrame) -> DataFrame:
+    """(fp, chain, grp, side): fingerprints under the groups whose pairs are to be compared.
+
+    Groups are the eight keys of a fingerprint. One of more than BIG_GROUP fingerprints is split: of four
+    further 16-bit pieces one agrees within 3 bits' difference. What is still as large goes in blocks.
     """
-    # a task holds one part, so parts grow with the fingerprints
-    parts = max(shuffle_parts(fps.sparkSession), -(-8 * fps.count() // PART_ROWS))
     keys = []
     for i in range(4):
         j = (i + 1) % 4
@@ -134,8 +167,28 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
             tag = (i << 25) | (half << 24)
             keys.append(F.lit(tag) + F.shiftleft(first, 8) + part)
     filed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    filed = filed.select("fp", "key", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"))
-    return filed.groupBy("part").applyInArrow(_links, "u long, v long")
+    filed = filed.select("fp", F.shiftright("key", 25).cast("int").alias("chain"), F.col("key").cast("bigint").alias("grp"))
+    few, many = _split(filed, "simhash-keys")
+    # all 64 bits dealt round-robin to four pieces, so that no piece lies in the part already equal
+    masks = [int("0001" * 16, 2) << piece for piece in range(4)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    pieces = F.array(*(F.xxhash64("grp", F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)))
+    finer = many.select("fp", "chain", F.explode(pieces).alias("grp"))
+    fine, dense = _split(finer, "simhash-pieces")
+    whole = few.select("fp", "chain", "grp").unionByName(fine.select("fp", "chain", "grp"))
+    return whole.withColumn("side", F.lit(WHOLE)).unionByName(_blocks(dense))
+
+
+def link_fingerprints(fps: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect distinct fingerprints (column fp) exactly as all pairs within 3 bits do.
+
+    Each part returns a star per local component, so edges stay linear in the rows.
+    """
+    rows = filed_rows(fps)
+    # a task holds one part, so parts grow with the rows
+    parts = max(shuffle_parts(fps.sparkSession), -(-rows.count() // PART_ROWS))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("grp"), F.lit(parts)))
+    return rows.groupBy("part").applyInArrow(_links, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pointloom.llm import audio, chat, decontam, langid, mixing, quality, secrets, simhash, substring, urlfilter
 from pointloom.llm.common import mix64
+from pointloom.llm.graph import star_edges
 
 from . import brute
 
@@ -63,7 +64,7 @@ def test_simhash(docs, clash, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
-def test_close_pairs_are_all_found():
+def test_close_pairs_are_all_found(spark, monkeypatch):
     """All pairs within three bits are linked, in dense balls of any size too."""
     rng = np.random.default_rng(3)
     far = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
@@ -74,17 +75,12 @@ def test_close_pairs_are_all_found():
             x ^= np.uint64(1) << np.uint64(b)
         ball.append(x)
     fps = np.unique(np.concatenate([far, np.array(ball, np.uint64)]))
-    for big in (4096, 8):  # with and without the split of large buckets
-        simhash.BIG_GROUP, old = big, simhash.BIG_GROUP
-        seg = lambda i: (fps >> np.uint64(16 * i)) & np.uint64(0xFFFF)
-        keys, who = [], []
-        for i in range(4):
-            for half in range(2):
-                part = (seg((i + 1) % 4) >> np.uint64(8 * half)) & np.uint64(0xFF)
-                keys.append((np.uint64((i << 25) | (half << 24)) + (seg(i) << np.uint64(8)) + part).astype(np.int64))
-                who.append(fps)
-        got = simhash._links(pa.table({"fp": np.concatenate(who).view(np.int64), "key": np.concatenate(keys)}))
-        simhash.BIG_GROUP = old
+    table = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    for big in (4096, 2):  # with and without the split of large buckets and the deal to blocks
+        monkeypatch.setattr(simhash, "BIG_GROUP", big)
+        sides = {r["side"] for r in simhash.filed_rows(table).select("side").distinct().collect()}
+        assert sides == ({0} if big == 4096 else {0, 1, 2})
+        got = simhash.link_fingerprints(table).toArrow()
         links = list(zip(got.column("u").to_numpy().view(np.uint64).tolist(), got.column("v").to_numpy().view(np.uint64).tolist()))
         root = {int(f): int(f) for f in fps}
 
@@ -100,6 +96,27 @@ def test_close_pairs_are_all_found():
         assert {f: find(f) for f in want} == want
 
 
+def test_dense_bucket_goes_to_many_tasks(spark):
+    """Fingerprints that share a key and a further piece are compared in blocks, each link found."""
+    rng = np.random.default_rng(5)
+    free = [b for b in range(24, 64) if b % 4]  # neither in the key of the first segment nor in the first piece
+    fps = np.zeros(20_000, np.uint64)
+    for b in free:
+        fps |= rng.integers(0, 2, len(fps), dtype=np.uint64) << np.uint64(b)
+    fps[10_000:10_040] = fps[:40] ^ np.uint64((1 << 25) | (1 << 38) | (1 << 63))
+    fps = np.unique(fps)
+    table = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long").repartition(4)
+    rows = simhash.filed_rows(table)
+    most = rows.groupBy("grp").agg(F.count("*").alias("n"), F.max("side").alias("side")).groupBy("side").agg(F.max("n").alias("n"), F.count("*").alias("groups"))
+    most = {r["side"]: r for r in most.collect()}
+    assert most[simhash.SECOND]["groups"] >= 10 and all(r["n"] < 2.5 * simhash.BIG_GROUP for r in most.values())
+    got = simhash.link_fingerprints(table).toArrow()
+    pairs = [np.nonzero(np.bitwise_count(fps[at : at + 500, None] ^ fps[None]) <= simhash.MAX_BITS) for at in range(0, len(fps), 500)]
+    want = star_edges([(fps[500 * k + i].view(np.int64), fps[j].view(np.int64)) for k, (i, j) in enumerate(pairs)])
+    found = star_edges([tuple(got.column(c).to_numpy() for c in "uv")])
+    assert len(want[0]) >= 40 and set(zip(*map(np.ndarray.tolist, found))) == set(zip(*map(np.ndarray.tolist, want)))
+
+
 def test_components_of_chains(spark):
     from pointloom.llm.graph import components
 
@@ -281,6 +298,8 @@ def test_audio(docs, clash, empty):
     tensors = audio.as_tensors(rows.column("log_mel"))
     assert tensors.to_numpy_ndarray().shape == (rows.num_rows, audio.TENSOR_FRAMES, audio.MELS)
     assert audio.tensors(empty).count() == 0 and audio.analysed(empty).count() == 0
+    held = {(r["id"], hashlib.sha256(r["media"]).hexdigest(), len(r["media"])) for r in audio.media_table(clash).collect()}
+    assert held == {(r["doc_id"], r["media_sha256"], r["media_bytes"]) for r in audio.analysed(docs).collect()} and audio.media_table(empty).count() == 0
     assert audio.analysed(clash).count() == len(ROWS) and audio.tensors(clash).where("id IS NULL").count() == 1
     for r in audio.analysed(docs).collect():
         got = audio.unpack(r["tensors"])
