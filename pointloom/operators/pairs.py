@@ -68,18 +68,22 @@ def _suffixed(df: DataFrame, side: str) -> list[Column]:
     return [F.col(c).alias(f"{c}_{side}") for c in df.columns]
 
 
-def _sides(left: DataFrame, right: DataFrame, r: float, length: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with their cells, the left one repeated for the cells around; length: seconds of a time cell."""
+def _sides(left: DataFrame, right: DataFrame, r: float, length: int | None = None, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with their cells, the left one repeated for the cells around; length: seconds of a time cell.
+
+    Columns by, which both sides have, are further keys.
+    """
     require_same_crs(crs_of(left), crs_of(right))
     size = r * (1 + 1e-9) if r > 0 else 1.0
     cells = {"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)}
     if length is not None:
         cells["ct"] = F.floor(seconds_of(F.col("t")) / F.lit(length))
-    a = left.select(*_suffixed(left, "a"), *(v.alias(k) for k, v in cells.items()))
-    b = right.select(*_suffixed(right, "b"), *(v.alias(k) for k, v in cells.items()))
+    keys = cells | {f"cell_{c}": F.col(c) for c in by}
+    a = left.select(*_suffixed(left, "a"), *(v.alias(k) for k, v in keys.items()))
+    b = right.select(*_suffixed(right, "b"), *(v.alias(k) for k, v in keys.items()))
     for k in cells:
         a = a.withColumn(k, F.explode(F.array(*(F.col(k) + n for n in (-1, 0, 1)))))
-    return a, b, list(cells)
+    return a, b, list(keys)
 
 
 def within(r: float, boundary: bool = True):
@@ -88,16 +92,16 @@ def within(r: float, boundary: bool = True):
     return square <= r * r if boundary else square < r * r
 
 
-def distance_join(left: DataFrame, right: DataFrame, r: float, boundary: bool = True) -> DataFrame:
+def distance_join(left: DataFrame, right: DataFrame, r: float, boundary: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """All (a, b) at most r apart, columns suffixed _a and _b, and their distance d.
 
     Ordered pairs; a table joined to itself gives the self pairs too. boundary=False asks for
-    less than r. Tables need x and y; rows without them have no partners. Sides of different
-    reference systems (functions.crs) are an error.
+    less than r. Tables need x and y; rows without them have no partners. Pairs agree in the
+    columns by. Sides of different reference systems (functions.crs) are an error.
     """
     if r < 0:
         raise ValueError("the radius must not be negative")
-    a, b, keys = _sides(left, right, r)
+    a, b, keys = _sides(left, right, r, by=by)
     dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")
     return cell_join(a, b, keys, within(r, boundary)).withColumn("d", F.sqrt(dx * dx + dy * dy))
 
@@ -117,11 +121,11 @@ def nested_loop_join(left: DataFrame, right: DataFrame, r: float, boundary: bool
     return a.join(F.broadcast(b), within(r, boundary)).withColumn("d", F.sqrt(dx * dx + dy * dy))
 
 
-def st_join(left: DataFrame, right: DataFrame, r: float, span: int, unit: str, boundary: bool = True) -> DataFrame:
+def st_join(left: DataFrame, right: DataFrame, r: float, span: int, unit: str, boundary: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """distance_join() with t_b from t_a - span to t_a + span units of calendar arithmetic."""
     if span < 0:
         raise ValueError("the time span must not be negative")
-    a, b, keys = _sides(left, right, r, longest_seconds(unit, span) + 1)
+    a, b, keys = _sides(left, right, r, longest_seconds(unit, span) + 1, by)
     a = a.withColumns({"lo": shift(unit, F.col("t_a"), -span), "hi": shift(unit, F.col("t_a"), span)})
     when = (F.col("t_b") >= F.col("lo")) & (F.col("t_b") <= F.col("hi"))
     if not boundary:

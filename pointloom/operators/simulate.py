@@ -14,7 +14,7 @@ from ..functions.timeunits import distance, shift
 from ..functions.weights import polygon_distance, temporal_weight
 from ..sources.boundary import Rectangle, Region
 from .kfunction import Scale, cumulate_space, cumulate_st, l_space, l_st, space_bin, time_bin, weighed_pairs
-from .pairs import distance_join, slots
+from .pairs import distance_join, slots, st_join
 
 
 def _md5(*parts):
@@ -55,19 +55,23 @@ def bootstrap(points: DataFrame, sims: int, n: int | None = None) -> DataFrame:
     return drawn.join(place, "slot").select("sim", "pid", "cnt")
 
 
-def monte_carlo(spark: SparkSession, region: Region, n: int, sims: int, spare: float = 3.0) -> DataFrame:
-    """(sim, pid, x, y): n uniform points of the region per simulation (complete randomness).
+def monte_carlo(spark: SparkSession, region: Region, n: int, sims: int, spare: float = 3.0, name: str = "csr") -> DataFrame:
+    """(sim, pid, x, y, t): n uniform points of the region per simulation (complete randomness).
 
-    For polygons more candidates are drawn in its rectangle, by the ratio of the areas with
+    t, in whole seconds from the region's begin, is there if the region has a time interval. Patterns of
+    different names are drawn apart. For polygons more candidates are drawn in its rectangle, by the ratio of the areas with
     some to spare, and the first n inside stay; if a simulation has fewer, twice as many are drawn.
     """
     box = region if isinstance(region, Rectangle) else region.rectangle()
     many = n if region is box else int(n * box.area / region.area * spare) + 64
     while True:
         drawn = _sims(spark.range(many).withColumnRenamed("id", "pid"), sims)
-        key = _md5(F.lit("csr"), F.col("sim"), F.col("pid"))
+        key = _md5(F.lit(name), F.col("sim"), F.col("pid"))
         unit = lambda first: (_draw(key, first) + F.lit(0.5)) / F.lit(float(1 << 32))
         drawn = drawn.withColumns({"x": box.x0 + (box.x1 - box.x0) * unit(1), "y": box.y0 + (box.y1 - box.y0) * unit(9)})
+        if region.t0 is not None:
+            later = F.floor(int((region.t1 - region.t0).total_seconds()) * unit(17)).cast("decimal(18,6)")
+            drawn = drawn.withColumn("t", F.lit(region.t0).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), later))
         if region is box:
             break
         drawn = drawn.where(polygon_distance(spark, region)(F.col("x"), F.col("y")) > 0)
@@ -75,7 +79,7 @@ def monte_carlo(spark: SparkSession, region: Region, n: int, sims: int, spare: f
             drawn = slots(drawn, key, "sim").where(F.col("slot") <= n).drop("slot")
             break
         many *= 2
-    return drawn.select("sim", "pid", "x", "y")
+    return drawn.select("sim", "pid", "x", "y", *(["t"] if region.t0 is not None else []))
 
 
 def _per_point(points: DataFrame, drawn: DataFrame, value: str, sims: int, other=None) -> DataFrame:
@@ -154,3 +158,38 @@ def st_envelope(points: DataFrame, region: Region, scale: Scale, sims: int) -> D
     k = (F.col("sigma") - n) / (n * (n / volume)) if n else F.lit(0.0)
     curves = cumulate_st(cells, scale, "sim").withColumn("l", l_st(k, F.col("d"), F.col("tau")))
     return _envelope(curves, "i", "j", "d", "tau")
+
+
+def _random_curves(left: DataFrame, right: DataFrame, region: Region, scale: Scale) -> DataFrame:
+    """Sums per simulation of patterns whose places differ by simulation, which is part of the grid's key."""
+    pairs = weighed_pairs(left, right, region, lambda a, b: distance_join(a, b, scale.R, by=("sim",)), scale.R)
+    bins = pairs.groupBy(F.col("sim_a").alias("sim"), space_bin(scale, F.col("d")).alias("i"))
+    return cumulate_space(bins.agg(F.count("*").alias("pairs"), F.sum("w").alias("sigma")), scale, "sim")
+
+
+def csr_envelope(spark: SparkSession, region: Region, n: int, scale: Scale, sims: int) -> DataFrame:
+    """i, d, l_min, l_max of n random points of the region; no rows without simulations or points."""
+    drawn = monte_carlo(spark, region, n, sims).select("sim", "x", "y")
+    k = (F.col("sigma") - n) / (n * (n / region.area)) if n else F.lit(0.0)
+    return _envelope(_random_curves(drawn, drawn, region, scale).withColumn("l", l_space(k, F.col("d"))), "i", "d")
+
+
+def csr_cross_envelope(spark: SparkSession, region: Region, n1: int, n2: int, scale: Scale, sims: int) -> DataFrame:
+    """i, d, l_min, l_max of cross K between n1 and n2 random points; no rows without simulations or pairs."""
+    first, second = (monte_carlo(spark, region, n, sims, name=name).select("sim", "x", "y") for n, name in ((n1, "csr"), (n2, "csr2")))
+    k = F.col("sigma") * (region.area / (n1 * n2)) if n1 and n2 else F.lit(0.0)
+    return _envelope(_random_curves(first, second, region, scale).withColumn("l", l_space(k, F.col("d"))), "i", "d")
+
+
+def csr_st_envelope(spark: SparkSession, region: Region, n: int, scale: Scale, sims: int) -> DataFrame:
+    """i, j, d, tau, l_min, l_max of n points random in the region and its time; no rows without simulations or points."""
+    if region.t0 is None:
+        raise ValueError("the region needs a time interval")
+    drawn = monte_carlo(spark, region, n, sims).select("sim", "x", "y", "t")
+    near = lambda a, b: st_join(a, b, scale.R, scale.T, scale.unit, by=("sim",))
+    pairs = weighed_pairs(drawn, drawn, region, near, scale.R).withColumn("tau", distance(scale.unit, F.col("t_a"), F.col("t_b")))
+    w_t = temporal_weight(scale.unit, F.col("t_a"), F.col("tau"), F.lit(region.t0).cast("timestamp_ntz"), F.lit(region.t1).cast("timestamp_ntz"))
+    cells = pairs.groupBy(F.col("sim_a").alias("sim"), space_bin(scale, F.col("d")).alias("i"), time_bin(scale, F.col("tau")).alias("j"))
+    sums = cumulate_st(cells.agg(F.sum(F.col("w") * w_t).alias("sigma")), scale, "sim")
+    k = (F.col("sigma") - n) / (n * (n / region.volume(scale.unit))) if n else F.lit(0.0)
+    return _envelope(sums.withColumn("l", l_st(k, F.col("d"), F.col("tau"))), "i", "j", "d", "tau")

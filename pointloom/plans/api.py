@@ -12,11 +12,14 @@ from ..sources import results
 from ..sources.boundary import Region, envelope_region
 
 KINDS = ("S", "ST", "Cross", "L")
+#: How patterns are simulated: drawn from the data (ST: times dealt anew), or at random in the region.
+SIMULATIONS = ("data", "random")
 
 
 def run_kfunction(spark: SparkSession, request: dict, datasets: dict[str, DataFrame], region: Region | None = None) -> dict:
     """Compute a request of maxSpatialDistance, maxTemporalDistance, spatialStep, temporalStep,
-    simulationTimes, ktype (S, ST, Cross, L), dataName, dataName2 and temporalUnit.
+    simulationTimes, ktype (S, ST, Cross, L), dataName, dataName2, temporalUnit and
+    simulationType (data, which is the default, or random; local K knows data only).
 
     kest, kmin and kmax are lists (ST: matrices); for L kest is a table of x, y, k, kmin and kmax,
     a row per point, which results.write_json() writes without collecting it. kmin and kmax are
@@ -31,6 +34,9 @@ def run_kfunction(spark: SparkSession, request: dict, datasets: dict[str, DataFr
     r, sims = float(request["maxSpatialDistance"]), int(request.get("simulationTimes", 0))
     if not 1 <= r <= 100_000 or not 0 <= sims <= 1000:
         raise ValueError("maxSpatialDistance goes from 1 to 100000, simulationTimes to 1000")
+    how = request.get("simulationType", "data")
+    if how not in SIMULATIONS or (how == "random" and kind == "L"):
+        raise ValueError("simulationType must be data or, but for local K, random")
     unit = request.get("temporalUnit", "DAYS")
     t = int(request.get("maxTemporalDistance", 0)) if kind == "ST" else 0
     scale = Scale(r, int(request["spatialStep"]), t, int(request.get("temporalStep", 1)) if kind == "ST" else 1, unit)
@@ -55,7 +61,13 @@ def run_kfunction(spark: SparkSession, request: dict, datasets: dict[str, DataFr
     out["estimationTime"] = int((time.time() - began) * 1000)
     if sims and kind != "L":
         began = time.time()
-        if kind == "Cross":
+        if how == "random":
+            n = points.count()
+            if kind == "Cross":
+                band = simulate.csr_cross_envelope(spark, region, n, other.count(), scale, sims)
+            else:
+                band = (simulate.csr_envelope if kind == "S" else simulate.csr_st_envelope)(spark, region, n, scale, sims)
+        elif kind == "Cross":
             band = simulate.cross_envelope(points, other, region, scale, sims)
         else:
             band = (simulate.space_envelope if kind == "S" else simulate.st_envelope)(points, region, scale, sims)

@@ -580,6 +580,29 @@ def monte_carlo_space(spark, sf_dir):
     return kfunction.space_k(drawn, house, Scale(50.0, 5)).select("i", "d", _r("l", 5).alias("l"))
 
 
+@query
+def csr_envelope(spark, sf_dir):
+    """As many random points as there are events, in their box."""
+    src = pts.events(spark, sf_dir)
+    got = simulate.csr_envelope(spark, envelope_region(src), src.count(), SIM, SIMS)
+    return got.select("i", "d", _r("l_min", 5).alias("l_min"), _r("l_max", 5).alias("l_max"))
+
+
+@query
+def csr_cross_envelope(spark, sf_dir):
+    src = pts.events(spark, sf_dir)
+    many = [src.where(F.col("mark") == mark).count() for mark in ("click", "error")]
+    got = simulate.csr_cross_envelope(spark, envelope_region(src), *many, SIM, SIMS)
+    return got.select("i", "d", _r("l_min", 5).alias("l_min"), _r("l_max", 5).alias("l_max"))
+
+
+@query
+def csr_st_envelope(spark, sf_dir):
+    src = pts.events(spark, sf_dir)
+    got = simulate.csr_st_envelope(spark, envelope_region(src), src.count(), SIM_ST, SIMS)
+    return got.select("i", "j", "d", "tau", _r("l_min", 5).alias("l_min"), _r("l_max", 5).alias("l_max"))
+
+
 @query
 def result_merge(spark, sf_dir):
     """Merging K results: the categories' pair counts stand for files, in their names' order."""

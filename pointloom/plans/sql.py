@@ -261,6 +261,35 @@ SQL["monte_carlo_draw"] = f"""WITH {_box(EVENTS)} SELECT sim, pid, round(bx0 + (
   FROM box, (SELECT CAST(sim AS INTEGER) AS sim, pid, md5('csr|' || sim || '|' || pid) AS h FROM range(1, 4) s(sim), range(0, (SELECT count(*) FROM pts)) p(pid))"""
 
 
+
+def _random(name: str, many: str) -> str:
+    """(sim, x, y, t) of random points in box; many: how many of them a simulation."""
+    return f"""(SELECT sim, bx0 + (bx1 - bx0) * {_HEX.format(1)} AS x, by0 + (by1 - by0) * {_HEX.format(9)} AS y, bt0 + to_seconds(CAST(floor((epoch_us(bt1) - epoch_us(bt0)) // 1000000 * ({_HEX.format(17)})) AS BIGINT)) AS t
+    FROM box, (SELECT CAST(sim AS INTEGER) AS sim, md5('{name}|' || sim || '|' || pid) AS h FROM range(1, 4) s(sim), range(0, {many}) p(pid)))"""
+
+
+def _random_space(first: str, second: str, k: str) -> str:
+    return f"""WITH {_box(EVENTS)}, ra AS {first}, rb AS {second}, pairs AS (SELECT a.sim, a.x AS ax, a.y AS ay, sqrt({_SQUARE}) AS d FROM ra a JOIN rb b ON a.sim = b.sim AND {_near(5.0)}),
+  weighed AS (SELECT sim, d, {_ISO} AS w FROM pairs, box), grid AS (SELECT CAST(i AS INTEGER) AS i, 1.0::DOUBLE * i AS d FROM range(1, 6) g(i)),
+  sums AS (SELECT sim, g.i, g.d, sum(w) AS sigma FROM weighed p JOIN grid g ON p.d <= g.d GROUP BY sim, g.i, g.d),
+  curves AS (SELECT i, d, CASE WHEN {k} >= 0 THEN sqrt({k} / {_PI}) - d END AS l FROM sums, box)
+  SELECT i, d, round(min(l), 5) AS l_min, round(max(l), 5) AS l_max FROM curves GROUP BY i, d"""
+
+
+_ALL = _random("csr", "(SELECT count(*) FROM pts)")
+_MARKED = "(SELECT count(*) FROM pts WHERE mark = '{}')"
+SQL["csr_envelope"] = _random_space(_ALL, _ALL, _K)
+SQL["csr_cross_envelope"] = _random_space(_random("csr", _MARKED.format("click")), _random("csr2", _MARKED.format("error")), f"(sigma * ({_AREA} / ({_MARKED.format('click')} * {_MARKED.format('error')})))")
+SQL["csr_st_envelope"] = f"""WITH {_box(EVENTS)}, ra AS {_ALL}, pairs AS (SELECT a.sim, a.x AS ax, a.y AS ay, a.t AS ta, {_tau('DAYS', 'a.t', 'b.t')} AS tau, sqrt({_SQUARE}) AS d
+    FROM ra a JOIN ra b ON a.sim = b.sim AND {_near(5.0)} AND b.t BETWEEN a.t - INTERVAL 5 DAY AND a.t + INTERVAL 5 DAY),
+  weighed AS (SELECT sim, d, tau, {_ISO} * {_temporal('DAYS', 'ta', 'tau')} AS w FROM pairs, box),
+  grid AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 1.0::DOUBLE * i AS d, CAST(j AS BIGINT) AS tau FROM range(1, 6) g(i), range(1, 6) h(j)),
+  sums AS (SELECT sim, g.i, g.j, g.d, g.tau, sum(w) AS sigma FROM grid g JOIN weighed p ON p.d <= g.d AND p.tau <= g.tau GROUP BY ALL),
+  vol AS (SELECT *, {_AREA} * coalesce(nullif({_tau('DAYS', 'bt0', 'bt1')}, 0), 1) AS volume FROM box),
+  curves AS (SELECT i, j, d, tau, CASE WHEN {_KST} >= 0 THEN sqrt({_KST} / (2 * {_PI} * tau)) - d END AS l FROM sums, vol)
+  SELECT i, j, d, tau, round(min(l), 5) AS l_min, round(max(l), 5) AS l_max FROM curves GROUP BY i, j, d, tau"""
+
+
 # A polygon's weight: the circle is cut where it meets edges, and arcs count by their midpoints.
 _SIDES = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for ring in HOUSE for a, b in zip(ring, ring[1:]))
 _SHARE = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(HOUSE[0], HOUSE[0][1:]))) / 2 - abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(HOUSE[1], HOUSE[1][1:]))) / 2

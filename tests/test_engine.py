@@ -1,7 +1,7 @@
 """Golden values, properties and error cases of the point-pattern engine."""
 
 import math
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -261,11 +261,28 @@ def test_request_facade(spark, some):
     assert len(run_kfunction(spark, base | {"ktype": "Cross"}, data, box)["kest"]) == 4
     local = run_kfunction(spark, base | {"ktype": "L"}, data, box)["kest"].collect()
     assert len(local) == 75 and len(local[0]["k"]) == 4
-    for bad in ({"ktype": "X"}, {"ktype": "S", "dataName": "z"}, {"ktype": "Cross", "dataName2": "a"}, {"ktype": "S", "maxSpatialDistance": 0}):
+    for kind in ("S", "Cross", "ST"):
+        got = run_kfunction(spark, base | {"ktype": kind, "simulationTimes": 2, "simulationType": "random", "maxTemporalDistance": 4, "temporalStep": 2}, data, box)
+        assert len(got["kmin"]) == len(got["kmax"]) == len(got["kest"])
+    for bad in ({"ktype": "X"}, {"ktype": "L", "simulationType": "random"}, {"ktype": "S", "simulationType": "z"}, {"ktype": "S", "dataName": "z"}, {"ktype": "Cross", "dataName2": "a"}, {"ktype": "S", "maxSpatialDistance": 0}):
         with pytest.raises(ValueError):
             run_kfunction(spark, base | bad, data, box)
 
 
+def test_random_patterns_stay_apart(spark):
+    """Each simulation has n points of the region and its time, paired within the simulation only."""
+    box = Rectangle(0.0, 40.0, 0.0, 20.0, T, T + timedelta(days=9))
+    drawn = simulate.monte_carlo(spark, box, 60, 3)
+    rows = drawn.collect()
+    assert len({(r["sim"], r["pid"]) for r in rows}) == 180 and all(T <= r["t"] < T + timedelta(days=9) and 0 < r["x"] < 40 and 0 < r["y"] < 20 for r in rows)
+    want = sum(a["sim"] == b["sim"] and (a["x"] - b["x"]) ** 2 + (a["y"] - b["y"]) ** 2 <= 9 for a in rows for b in rows)
+    joined = pairs.distance_join(drawn, drawn, 3.0, by=("sim",))
+    assert joined.count() == want and joined.where("sim_a <> sim_b").count() == 0
+    assert simulate.csr_envelope(spark, box, 60, Scale(3.0, 3), 0).count() == 0 and simulate.csr_envelope(spark, box, 0, Scale(3.0, 3), 2).count() == 0
+    with pytest.raises(ValueError):
+        simulate.csr_st_envelope(spark, Rectangle(0.0, 1.0, 0.0, 1.0), 5, Scale(1.0, 1, 2, 1), 2)
+
+
 def test_all_kinds_from_a_file(spark, some, tmp_path):
     """CSV points to kest, kmin and kmax of every kind; local results are written as rows."""
     def write(name, part):
