@@ -223,7 +223,7 @@ def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Empty input gives an empty table.
     """
     size = F.octet_length(F.coalesce(col(text_col).cast("string"), F.lit(""))).cast("long")
-    return materialize(docs.select(col(id_col).alias("id"), size.alias("n_bytes"), stored(text_col).alias("media")), "audio-media")
+    return materialize(docs.select(col(id_col).alias("id"), size.alias("n_bytes"), stored(text_col).alias("media")), "audio-media", "zstd")
 
 
 def analysed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,7 +236,7 @@ def analysed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     repeat, other columns are left out. Empty input gives an empty result.
     """
     rows = media_table(docs, id_col, text_col).select("id", "n_bytes", described(F.col("media")).alias("d"))
-    rows = materialize(rows.select("id", "n_bytes", "d.*"), "audio-tensors")
+    rows = materialize(rows.select("id", "n_bytes", "d.*"), "audio-tensors", "zstd")
     return rows.withColumn("feature", features("tensors")).withColumnRenamed("id", id_col)
 
 
