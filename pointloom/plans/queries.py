@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import circles, crs, envelopes, timeunits, weights
-from ..operators import cube, kfunction, pairs, regions, simulate, weighttable
+from ..operators import cube, kfunction, layout, pairs, regions, simulate, weighttable
 from ..operators.kfunction import Scale
 from ..sources import points as pts
 from ..sources import results
@@ -330,6 +330,14 @@ def range_query(spark, sf_dir):
     return pairs.range_query(pts.events(spark, sf_dir), *BOX, *WHEN).select("pid", "x", "y")
 
 
+@query
+def hilbert_range(spark, sf_dir):
+    """A range query by intervals of Hilbert keys."""
+    src = pts.events(spark, sf_dir)
+    frame = envelope_region(src)
+    return layout.layout_query(layout.along_curve(src, frame), frame, *BOX, *WHEN).select("pid", "x", "y")
+
+
 @query
 def index_remove(spark, sf_dir):
     src = pts.events(spark, sf_dir)

@@ -155,6 +155,7 @@ _REACH = "((a.pid % 9) * CASE WHEN a.pid % 89 = 0 THEN 10.0::DOUBLE ELSE 0.5::DO
 SQL["circle_pairs"] = f"SELECT a.pid AS pid_a, b.pid AS pid_b{_DIST} FROM ({EVENTS}) a JOIN ({EVENTS}) b ON a.mark = 'click' AND b.mark = 'signup' AND abs(a.x - b.x) <= {_REACH} AND {_SQUARE} <= {_REACH} * {_REACH}"
 _INBOX = f"x BETWEEN {BOX[0]} AND {BOX[1]} AND y BETWEEN {BOX[2]} AND {BOX[3]}"
 SQL["range_query"] = f"SELECT pid, x, y FROM ({EVENTS}) WHERE {_INBOX} AND t BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-15'"
+SQL["hilbert_range"] = SQL["range_query"]
 SQL["index_remove"] = f"SELECT pid FROM ({EVENTS}) WHERE NOT ({_INBOX})"
 SQL["partition_envelopes"] = f"SELECT CAST(floor(x / 50) AS BIGINT) AS cx, CAST(floor(y / 50) AS BIGINT) AS cy, count(*) AS n, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM ({EVENTS}) GROUP BY 1, 2"
 SQL["local_count_global_sum"] = f"SELECT CAST(count(*) AS BIGINT) AS total, count(DISTINCT pid_a) AS points FROM ({_pairs(EVENTS, 5.0)})"
