@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.timeunits import Unit, distance
+from ..functions.shared import with_translation_weight
+from ..functions.timeunits import Unit, distance, shift
 from ..functions.weights import boundary_distance, polygon_distance, polygon_weight, temporal_weight, translation_weight, with_rectangle_weight
 from ..sources.boundary import Rectangle, Region
 from ..sources.points import fold
@@ -62,16 +63,16 @@ def weigh(pairs: DataFrame, region: Region, correction: str = "isotropic", reach
     """Add the spatial weight w of pairs (a, b).
 
     Pairs whose circle lies in the region by the centre's distance to the boundary get 1 without
-    further work (polygons: column edge_a). reach is the largest distance of a pair. Corrections: isotropic, translation (rectangles), none; border is a choice of
-    centres, see border_space().
+    further work (polygons: column edge_a). reach is the largest distance of a pair. Corrections:
+    isotropic, translation, none; border is a choice of centres, see border_space() and border_st().
     """
     x, y, d = F.col("x_a"), F.col("y_a"), F.col("d")
     if correction == "none":
         return pairs.withColumn("w", F.lit(1.0))
     if correction == "translation":
-        if not isinstance(region, Rectangle):
-            raise ValueError("the translation correction needs a rectangle")
-        return pairs.withColumn("w", translation_weight(region, F.col("x_b") - x, F.col("y_b") - y))
+        if isinstance(region, Rectangle):
+            return pairs.withColumn("w", translation_weight(region, F.col("x_b") - x, F.col("y_b") - y))
+        return with_translation_weight(pairs, region, reach)
     if correction != "isotropic":
         raise ValueError(f"no such correction: {correction}")
     if isinstance(region, Rectangle):
@@ -86,7 +87,7 @@ def weighed_pairs(left: DataFrame, right: DataFrame, region: Region, join: Calla
     never leave the JVM. Only pairs of centres near the boundary go through Arrow.
     """
     if isinstance(region, Rectangle) or correction != "isotropic":
-        return weigh(join(left, right), region, correction)
+        return weigh(join(left, right), region, correction, reach)
     sites = left.withColumn("edge", polygon_distance(left.sparkSession, region, reach)(F.col("x"), F.col("y")))
     clear = join(sites.where(F.col("edge") >= reach), right).withColumn("w", F.lit(1.0))
     return clear.unionByName(weigh(join(sites.where(F.col("edge") < reach), right), region, correction, reach))
@@ -143,29 +144,69 @@ def _count(points: DataFrame) -> int:
     return points.count()
 
 
-def border_space(points: DataFrame, box: Rectangle, scale: Scale) -> DataFrame:
-    """K and L with the border correction: per threshold only centres at least d inside count."""
+def _border_sites(points: DataFrame, region: Region, scale: Scale, *places: str) -> DataFrame:
+    """Distinct places with hi, the last threshold that is no farther than the boundary; outside: below 0."""
+    sites = fold(points, *places)
+    x, y = F.col("x"), F.col("y")
+    edge = boundary_distance(region, x, y) if isinstance(region, Rectangle) else polygon_distance(points.sparkSession, region, scale.R)(x, y)
+    return sites.withColumn("edge", edge).withColumn("hi", F.least(F.floor(F.col("edge") / scale.step), F.lit(scale.S)).cast("int"))
+
+
+def border_space(points: DataFrame, region: Region, scale: Scale) -> DataFrame:
+    """K and L with the border correction: per threshold only centres at least d inside count.
+
+    i, d, pairs, centres, k, l for every i from 1 to S; k and l are null where no centre counts.
+    """
     n = _count(points)
-    sites = fold(points, "x", "y").withColumn("edge", boundary_distance(box, F.col("x"), F.col("y")))
-    pairs = distance_join(sites, fold(points, "x", "y"), scale.R)
-    spark = points.sparkSession
-    grid = space_grid(spark, scale).withColumn("d", scale.step * F.col("i"))
+    sites = _border_sites(points, region, scale, "x", "y")
+    pairs = distance_join(sites.where("hi >= 1"), fold(points, "x", "y"), scale.R)
+    grid = space_grid(points.sparkSession, scale).withColumn("d", scale.step * F.col("i"))
     # a pair counts for thresholds from its distance up to the centre's distance to the border
-    lo = space_bin(scale, F.col("d"))
-    hi = F.least(F.floor(F.col("edge_a") / scale.step), F.lit(scale.S)).cast("int")
-    kept = pairs.select((F.col("cnt_a") * F.col("cnt_b")).alias("c"), lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    kept = pairs.select((F.col("cnt_a") * F.col("cnt_b")).alias("c"), space_bin(scale, F.col("d")).alias("lo"), F.col("hi_a").alias("hi")).where("lo <= hi")
     # two changes a pair, whatever the number of thresholds; running sums give the counts
     steps = F.explode(F.array(F.struct(F.col("lo").alias("i"), F.col("c").alias("c")), F.struct((F.col("hi") + 1).alias("i"), (-F.col("c")).alias("c"))))
     many = kept.select(steps.alias("s")).groupBy("s.i").agg(F.sum("s.c").alias("pairs"))
-    sites_in = sites.where("edge >= 0").select("cnt", F.least(F.floor(F.col("edge") / scale.step), F.lit(scale.S)).cast("int").alias("hi")).where("hi >= 1")
-    centres = sites_in.select("cnt", F.explode(F.sequence(F.lit(1), "hi")).alias("i")).groupBy("i").agg(F.sum("cnt").alias("centres"))
-    lam = n / box.area
+    centres = sites.where("hi >= 1").select("cnt", F.explode(F.sequence(F.lit(1), "hi")).alias("i")).groupBy("i").agg(F.sum("cnt").alias("centres"))
+    lam = n / region.area
     full = grid.join(many, "i", "left").join(centres, "i", "left").fillna(0, ["pairs", "centres"])
     full = full.withColumn("pairs", _run(full, "pairs", "i"))
     k = F.when(F.col("centres") > 0, (F.col("pairs") - F.col("centres")) / (F.col("centres") * lam))
     return full.withColumn("k", k).withColumn("l", l_space(F.col("k"), F.col("d")))
 
 
+def border_st(points: DataFrame, region: Region, scale: Scale) -> DataFrame:
+    """K and L over distance and time with the border correction.
+
+    A centre counts for thresholds (d, tau) if it lies at least d inside the region and its time at
+    least tau from both ends of the interval. i, j, d, tau, pairs, centres, k, l for all i
+    from 1 to S and j from 1 to U; k and l are null where no centre counts.
+    """
+    n = _count(points)
+    volume = region.volume(scale.unit)
+    t0, t1 = (F.lit(t).cast("timestamp_ntz") for t in (region.t0, region.t1))
+    lag = lambda j: j.cast("bigint") * F.lit(scale.lag)
+    fits = lambda j: (shift(scale.unit, F.col("t"), -lag(j)) >= t0) & (shift(scale.unit, F.col("t"), lag(j)) <= t1)
+    sites = _border_sites(points, region, scale, "x", "y", "t").where("hi >= 1")
+    sites = sites.withColumn("late", F.size(F.filter(F.sequence(F.lit(1), F.lit(scale.U)), fits))).where("late >= 1")
+    pairs = st_join(sites, fold(points, "x", "y", "t"), scale.R, scale.T, scale.unit)
+    tau = distance(scale.unit, F.col("t_a"), F.col("t_b"))
+    kept = pairs.select((F.col("cnt_a") * F.col("cnt_b")).alias("c"), space_bin(scale, F.col("d")).alias("i0"), F.col("hi_a").alias("i1"), time_bin(scale, tau).alias("j0"), F.col("late_a").alias("j1"))
+    kept = kept.where("i0 <= i1 AND j0 <= j1")
+    # four changes a pair, at the corners of its block of thresholds; running sums along both axes give the counts
+    corner = lambda i, j, sign: F.struct(i.alias("i"), j.alias("j"), (F.col("c") * sign).alias("c"))
+    low, high = (F.col("i0"), F.col("j0")), (F.col("i1") + 1, F.col("j1") + 1)
+    changes = F.array(corner(low[0], low[1], 1), corner(high[0], low[1], -1), corner(low[0], high[1], -1), corner(high[0], high[1], 1))
+    many = kept.select(F.explode(changes).alias("s")).groupBy("s.i", "s.j").agg(F.sum("s.c").cast("double").alias("sigma"))
+    full = cumulate_st(many, scale).withColumn("pairs", F.col("sigma").cast("bigint")).drop("sigma")
+    block = sites.groupBy("hi", "late").agg(F.sum("cnt").alias("cnt"))
+    block = block.select("cnt", "late", F.explode(F.sequence(F.lit(1), "hi")).alias("i")).select("cnt", "i", F.explode(F.sequence(F.lit(1), "late")).alias("j"))
+    centres = block.groupBy("i", "j").agg(F.sum("cnt").alias("centres"))
+    full = full.join(centres, ["i", "j"], "left").fillna(0, ["centres"])
+    lam = n / volume if volume else n
+    k = F.when(F.col("centres") > 0, (F.col("pairs") - F.col("centres")) / (F.col("centres") * lam))
+    return full.withColumn("k", k).withColumn("l", l_st(F.col("k"), F.col("d"), F.col("tau")))
+
+
 def st_sums(points: DataFrame, region: Region, scale: Scale, correction: str = "isotropic") -> DataFrame:
     """Weighted sums per cell: i, j, d, tau, sigma, for all i from 1 to S and j from 1 to U."""
     sites = fold(points, "x", "y", "t")

@@ -14,12 +14,15 @@ from ..sources.boundary import Region, envelope_region
 KINDS = ("S", "ST", "Cross", "L")
 #: How patterns are simulated: drawn from the data (ST: times dealt anew), or at random in the region.
 SIMULATIONS = ("data", "random")
+CORRECTIONS = ("isotropic", "translation", "border", "none")
 
 
 def run_kfunction(spark: SparkSession, request: dict, datasets: dict[str, DataFrame], region: Region | None = None) -> dict:
     """Compute a request of maxSpatialDistance, maxTemporalDistance, spatialStep, temporalStep,
-    simulationTimes, ktype (S, ST, Cross, L), dataName, dataName2, temporalUnit and
-    simulationType (data, which is the default, or random; local K knows data only).
+    simulationTimes, ktype (S, ST, Cross, L), dataName, dataName2, temporalUnit,
+    simulationType (data, which is the default, or random; local K knows data only) and
+    edgeCorrection (isotropic, which is the default and the only one of simulations, translation,
+    none, and of S and ST border).
 
     kest, kmin and kmax are lists (ST: matrices); for L kest is a table of x, y, k, kmin and kmax,
     a row per point, which results.write_json() writes without collecting it. kmin and kmax are
@@ -37,6 +40,11 @@ def run_kfunction(spark: SparkSession, request: dict, datasets: dict[str, DataFr
     how = request.get("simulationType", "data")
     if how not in SIMULATIONS or (how == "random" and kind == "L"):
         raise ValueError("simulationType must be data or, but for local K, random")
+    correction = request.get("edgeCorrection", "isotropic")
+    if correction not in CORRECTIONS or (correction == "border" and kind not in ("S", "ST")):
+        raise ValueError("edgeCorrection must be isotropic, translation, none or, of S and ST, border")
+    if sims and correction != "isotropic":
+        raise ValueError("simulations have the isotropic correction only")
     unit = request.get("temporalUnit", "DAYS")
     t = int(request.get("maxTemporalDistance", 0)) if kind == "ST" else 0
     scale = Scale(r, int(request["spatialStep"]), t, int(request.get("temporalStep", 1)) if kind == "ST" else 1, unit)
@@ -48,16 +56,18 @@ def run_kfunction(spark: SparkSession, request: dict, datasets: dict[str, DataFr
     if kind == "Cross" and request["dataName"] == request["dataName2"]:
         raise ValueError("Cross needs two different datasets")
     region = region or envelope_region(points)
-    out = {"KType": kind, "maxSpatialDistance": r, "maxTemporalDistance": t, "temporalUnit": unit}
+    out = {"KType": kind, "edgeCorrection": correction, "maxSpatialDistance": r, "maxTemporalDistance": t, "temporalUnit": unit}
     began = time.time()
     if kind == "S":
-        out |= results.space_arrays(kfunction.space_k(points, region, scale))
+        curve = kfunction.border_space(points, region, scale) if correction == "border" else kfunction.space_k(points, region, scale, correction=correction)
+        out |= results.space_arrays(curve)
     elif kind == "ST":
-        out |= results.st_arrays(kfunction.st_k(points, region, scale))
+        surface = kfunction.border_st(points, region, scale) if correction == "border" else kfunction.st_k(points, region, scale, correction=correction)
+        out |= results.st_arrays(surface)
     elif kind == "Cross":
-        out |= results.space_arrays(kfunction.cross_k(points, other, region, scale))
+        out |= results.space_arrays(kfunction.cross_k(points, other, region, scale, correction))
     else:
-        out["kest"] = results.local_rows(kfunction.local_k(points, region, scale), simulate.local_envelope(points, region, scale, sims) if sims else None)
+        out["kest"] = results.local_rows(kfunction.local_k(points, region, scale, correction=correction), simulate.local_envelope(points, region, scale, sims) if sims else None)
     out["estimationTime"] = int((time.time() - began) * 1000)
     if sims and kind != "L":
         began = time.time()

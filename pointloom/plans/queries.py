@@ -418,6 +418,13 @@ def space_l_border(spark, sf_dir):
     return kfunction.border_space(src, envelope_region(src), Scale(5.0, 5)).select("i", "d", "pairs", "centres", _r("l", 5).alias("l"))
 
 
+@query
+def st_l_border(spark, sf_dir):
+    src = pts.events(spark, sf_dir)
+    got = kfunction.border_st(src, envelope_region(src), SIM_ST)
+    return got.select("i", "j", "d", "tau", "pairs", "centres", _r("l", 5).alias("l"))
+
+
 @query
 def st_k(spark, sf_dir):
     src = pts.events(spark, sf_dir)
@@ -508,6 +515,29 @@ def polygon_l(spark, sf_dir):
     return kfunction.space_k(_inside(src, house), house, SPACE).select("i", "d", "pairs", _r("l", 5).alias("l"))
 
 
+@query
+def polygon_l_translation(spark, sf_dir):
+    """Space L in a polygon by the area that it shares with its moved copies."""
+    src = pts.events(spark, sf_dir)
+    house = _house(spark, sf_dir)
+    return kfunction.space_k(_inside(src, house), house, SPACE, correction="translation").select("i", "d", "pairs", _r("l", 5).alias("l"))
+
+
+@query
+def polygon_l_border(spark, sf_dir):
+    src = pts.events(spark, sf_dir)
+    house = _house(spark, sf_dir)
+    return kfunction.border_space(_inside(src, house), house, Scale(5.0, 5)).select("i", "d", "pairs", "centres", _r("l", 5).alias("l"))
+
+
+@query
+def polygon_as_rectangle_translation(spark, sf_dir):
+    """The shared area of a rectangle's ring: the closed form's SQL holds for it too."""
+    src = pts.events(spark, sf_dir)
+    box = envelope_region(src)
+    return kfunction.space_k(src, Polygon(box.rings()[0], (), box.t0, box.t1), SPACE, correction="translation").select("i", "d", _r("l", 5).alias("l"))
+
+
 @query
 def polygon_as_rectangle_l(spark, sf_dir):
     """The polygon weight on a rectangle's ring: the closed form's SQL holds for it too."""

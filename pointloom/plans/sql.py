@@ -188,6 +188,7 @@ _L = f"round(CASE WHEN {_K} >= 0 THEN sqrt({_K} / {_PI}) - d END, 5)"
 SQL["space_k"] = f"{_space(EVENTS, 10.0, 5, _ISO)} SELECT i, d, pairs, round(sigma, 3) AS sigma, round({_K}, 4) AS k FROM curve, box"
 SQL["space_l"] = f"{_space(EVENTS, 10.0, 5, _ISO)} SELECT i, d, {_L} AS l FROM curve, box"
 SQL["polygon_as_rectangle_l"] = SQL["space_l"]
+SQL["polygon_as_rectangle_translation"] = f"{_space(EVENTS, 10.0, 5, _MOVED('(ox - ax)', '(oy - ay)'))} SELECT i, d, {_L} AS l FROM curve, box"
 SQL["space_l_translation"] = f"{_space(EVENTS, 10.0, 5, _MOVED('(ox - ax)', '(oy - ay)'))} SELECT i, d, {_L} AS l FROM curve, box"
 _EDGE = "least(a.x - bx0, bx1 - a.x, a.y - by0, by1 - a.y)"
 SQL["space_l_border"] = f"""WITH {_box(EVENTS)}, grid AS (SELECT CAST(i AS INTEGER) AS i, 1.0::DOUBLE * i AS d FROM range(1, 6) g(i)),
@@ -214,6 +215,14 @@ SQL["st_l"] = f"{_st(EVENTS, 10.0, 5, 5, 5, 'DAYS')} SELECT i, j, d, tau, {_LST}
 SQL["st_text"] = f"""{_st(EVENTS, 10.0, 5, 5, 5, 'DAYS')}, surface AS (SELECT i, j, CASE WHEN {_KST} >= 0 THEN sqrt({_KST} / (2 * {_PI} * tau)) - d END AS l FROM cells, vol)
   SELECT i, string_agg(coalesce(printf('%.4f', l), ''), ',' ORDER BY j) AS line FROM surface GROUP BY i"""
 SQL["st_l_months"] = f"{_st(ORDERS, 10.0, 5, 12, 4, 'MONTHS')} SELECT i, j, d, tau, {_LST} AS l FROM cells, vol"
+SQL["st_l_border"] = f"""WITH {_box(EVENTS)}, sites AS (SELECT a.*, {_EDGE} AS edge FROM pts a, box),
+  grid AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 1.0::DOUBLE * i AS d, CAST(j AS BIGINT) AS tau FROM range(1, 6) g(i), range(1, 6) h(j)),
+  c AS (SELECT i, j, count(*) AS centres FROM grid JOIN sites ON edge >= d AND t - to_days(CAST(tau AS INTEGER)) >= (SELECT bt0 FROM box) AND t + to_days(CAST(tau AS INTEGER)) <= (SELECT bt1 FROM box) GROUP BY i, j),
+  near AS (SELECT a.edge, a.t, sqrt({_SQUARE}) AS dist, {_tau('DAYS', 'a.t', 'b.t')} AS apart FROM sites a JOIN sites b ON {_near(5.0)} AND b.t BETWEEN a.t - {_span('DAYS', '5')} AND a.t + {_span('DAYS', '5')}),
+  p AS (SELECT i, j, count(*) AS pairs FROM grid JOIN near ON edge >= d AND dist <= d AND apart <= tau AND t - to_days(CAST(tau AS INTEGER)) >= (SELECT bt0 FROM box) AND t + to_days(CAST(tau AS INTEGER)) <= (SELECT bt1 FROM box) GROUP BY i, j),
+  vol AS (SELECT {_AREA} * coalesce(nullif({_tau('DAYS', 'bt0', 'bt1')}, 0), 1) AS volume, n FROM box),
+  k AS (SELECT g.*, CAST(coalesce(pairs, 0) AS BIGINT) AS pairs, coalesce(centres, 0) AS centres, (pairs - centres) / (centres * (n / volume)) AS k FROM vol, grid g LEFT JOIN c USING (i, j) LEFT JOIN p USING (i, j))
+  SELECT i, j, d, tau, pairs, centres, round(CASE WHEN k >= 0 THEN sqrt(k / (2 * {_PI} * tau)) - d END, 5) AS l FROM k"""
 _MARKED = "(SELECT count(*) FROM pts WHERE mark = '{}')"
 SQL["cross_l"] = f"{_space(EVENTS, 10.0, 5, _ISO, ' AND a.mark = {0} AND b.mark = {1}'.format(chr(39) + 'click' + chr(39), chr(39) + 'error' + chr(39)))} SELECT i, d, pairs, round(sqrt(sigma * ({_AREA} / ({_MARKED.format('click')} * {_MARKED.format('error')})) / {_PI}) - d, 5) AS l FROM curve, box"
 SQL["local_l"] = f"{_space(EVENTS, 5.0, 5, _ISO)} SELECT p.pid_a AS pid, g.i, round(sqrt(any_value({_AREA} / n) * sum(w) / {_PI}) - g.d, 5) AS l FROM box, grid g JOIN weighed p ON p.d <= g.d GROUP BY p.pid_a, g.i, g.d"
@@ -331,6 +340,38 @@ SQL["monte_carlo_space"] = f"""WITH {_box(EVENTS)}, {_BORDER},
   drawn AS (SELECT pid, h, bx0 + (bx1 - bx0) * {_HEX.format(1)} AS x, by0 + (by1 - by0) * {_HEX.format(9)} AS y FROM box, (SELECT pid, md5('csr|1|' || pid) AS h FROM range(0, {int(400 / _SHARE * 3) + 64}) p(pid))),
   ins AS (SELECT pid, x, y FROM drawn, edges WHERE {_CROSSES("x", "y")} GROUP BY pid, h, x, y HAVING count(*) % 2 = 1 ORDER BY h LIMIT 400),
   {_polygon(50.0, 5)} SELECT i, d, {_LPOLY} AS l FROM curve, size"""
+_TURN = lambda ring: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:])) > 0
+# 1 where an edge bounds the region on its left
+_BOUNDS = ", ".join(
+    f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE, {1 if (_TURN(ring) == (k == 0)) == (b[1] < a[1]) else -1})" for k, ring in enumerate(HOUSE) for a, b in zip(ring, ring[1:]) if a[1] != b[1]
+)
+_GAP = lambda y: f"(e.xl + ({y} - e.yl) * e.slope - f.xl - hx - ({y} - f.yl - hy) * f.slope)"
+_SHARED = f"""sides AS (SELECT side, CASE WHEN v < v2 THEN u ELSE u2 END * (bx1 - bx0) + bx0 AS xl, by0 + least(v, v2) * (by1 - by0) AS yl, by0 + greatest(v, v2) * (by1 - by0) AS yh,
+    (u2 - u) * (bx1 - bx0) / ((v2 - v) * (by1 - by0)) AS slope FROM box, (VALUES {_BOUNDS}) e(u, v, u2, v2, side)),
+  shifts AS (SELECT i, j, i * (10.0::DOUBLE / 64) AS hx, j * (10.0::DOUBLE / 64) AS hy FROM range(-64, 65) g(i), range(0, 65) h(j)),
+  gaps AS (SELECT i, j, e.side * f.side AS s, high - low AS tall, {_GAP("low")} AS d0, {_GAP("high")} AS d1
+    FROM shifts, sides e, sides f, LATERAL (SELECT greatest(e.yl, f.yl + hy) AS low, least(e.yh, f.yh + hy) AS high) WHERE low < high),
+  areas AS (SELECT i, j, greatest(0.0::DOUBLE, -sum(s * tall * CASE WHEN d0 > 0 AND d1 < 0 THEN d0 * d0 / (d0 - d1) WHEN d0 < 0 AND d1 > 0 THEN d1 * d1 / (d1 - d0) ELSE greatest(d0, 0) + greatest(d1, 0) END) / 2) AS area FROM gaps GROUP BY i, j)"""
+SQL["polygon_l_translation"] = f"""WITH {_box(EVENTS)}, {_BORDER}, {_SHARED},
+  ins AS (SELECT pid, x, y FROM pts, edges WHERE {_CROSSES("x", "y")} GROUP BY pid, x, y HAVING count(*) % 2 = 1),
+  size AS (SELECT (SELECT count(*) FROM ins) AS n, {_AREA} * {_SHARE}::DOUBLE AS area FROM box),
+  moves AS (SELECT sqrt({_SQUARE}) AS d, CASE WHEN b.y < a.y THEN -1 ELSE 1 END * (b.x - a.x) / (10.0::DOUBLE / 64) AS u, abs(b.y - a.y) / (10.0::DOUBLE / 64) AS v FROM ins a JOIN ins b ON {_near(10.0)}),
+  placed AS (SELECT *, CAST(least(63, floor(u)) AS BIGINT) AS ci, CAST(least(63, floor(v)) AS BIGINT) AS cj FROM moves),
+  mixed AS (SELECT d, (1 - (u - ci)) * (1 - (v - cj)) * a.area + (u - ci) * (1 - (v - cj)) * b.area + (1 - (u - ci)) * (v - cj) * c.area + (u - ci) * (v - cj) * e.area AS shared FROM placed
+    JOIN areas a ON a.i = ci AND a.j = cj JOIN areas b ON b.i = ci + 1 AND b.j = cj JOIN areas c ON c.i = ci AND c.j = cj + 1 JOIN areas e ON e.i = ci + 1 AND e.j = cj + 1),
+  weighed AS (SELECT d, CASE WHEN shared > 0 THEN least(100.0::DOUBLE, area / shared) ELSE 100.0::DOUBLE END AS w FROM mixed, size),
+  grid AS (SELECT CAST(i AS INTEGER) AS i, 2.0::DOUBLE * i AS d FROM range(1, 6) g(i)),
+  curve AS (SELECT g.i, g.d, CAST(count(*) AS BIGINT) AS pairs, sum(w) AS sigma FROM grid g JOIN weighed p ON p.d <= g.d GROUP BY g.i, g.d)
+  SELECT i, d, pairs, {_LPOLY} AS l FROM curve, size"""
+SQL["polygon_l_border"] = f"""WITH {_box(EVENTS)}, {_BORDER},
+  ins AS (SELECT pid, x, y FROM pts, edges WHERE {_CROSSES("x", "y")} GROUP BY pid, x, y HAVING count(*) % 2 = 1),
+  sites AS (SELECT pid, x, y, min(sqrt((x - px - {_ALONG} * gx) ** 2 + (y - py - {_ALONG} * gy) ** 2)) AS edge FROM ins, edges GROUP BY pid, x, y),
+  size AS (SELECT (SELECT count(*) FROM ins) AS n, {_AREA} * {_SHARE}::DOUBLE AS area FROM box),
+  grid AS (SELECT CAST(i AS INTEGER) AS i, 1.0::DOUBLE * i AS d FROM range(1, 6) g(i)),
+  c AS (SELECT i, count(*) AS centres FROM grid g JOIN sites e ON e.edge >= g.d GROUP BY i),
+  p AS (SELECT i, count(*) AS pairs FROM grid g JOIN (SELECT a.edge, sqrt({_SQUARE}) AS dist FROM sites a JOIN sites b ON {_near(5.0)}) e ON e.edge >= g.d AND e.dist <= g.d GROUP BY i),
+  k AS (SELECT g.i, g.d, coalesce(pairs, 0) AS pairs, coalesce(centres, 0) AS centres, (pairs - centres) / (centres * (n / area)) AS k FROM size, grid g LEFT JOIN c ON g.i = c.i LEFT JOIN p ON g.i = p.i)
+  SELECT i, d, pairs, centres, round(CASE WHEN k >= 0 THEN sqrt(k / {_PI}) - d END, 5) AS l FROM k"""
 _DISTRICTS = f"""{_box(EVENTS)}, edges AS (SELECT region, px, py, qx - px AS gx, qy - py AS gy FROM (
     SELECT r_regionkey AS region, bx0 + (r_regionkey + u) * ((bx1 - bx0) / 5) AS px, by0 + v * (by1 - by0) AS py, bx0 + (r_regionkey + u2) * ((bx1 - bx0) / 5) AS qx, by0 + v2 * (by1 - by0) AS qy
     FROM box, region, (VALUES {_SIDES}) e(u, v, u2, v2))),

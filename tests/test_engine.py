@@ -264,7 +264,9 @@ def test_request_facade(spark, some):
     for kind in ("S", "Cross", "ST"):
         got = run_kfunction(spark, base | {"ktype": kind, "simulationTimes": 2, "simulationType": "random", "maxTemporalDistance": 4, "temporalStep": 2}, data, box)
         assert len(got["kmin"]) == len(got["kmax"]) == len(got["kest"])
-    for bad in ({"ktype": "X"}, {"ktype": "L", "simulationType": "random"}, {"ktype": "S", "simulationType": "z"}, {"ktype": "S", "dataName": "z"}, {"ktype": "Cross", "dataName2": "a"}, {"ktype": "S", "maxSpatialDistance": 0}):
+    edges = {(k, c): run_kfunction(spark, base | {"ktype": k, "edgeCorrection": c, "maxTemporalDistance": 4, "temporalStep": 2}, data, box)["kest"] for k in ("S", "ST", "Cross") for c in ("none", "translation", "border") if (k, c) != ("Cross", "border")}
+    assert all(edges[k, "none"][3] != edges[k, "translation"][3] for k in ("S", "ST", "Cross")) and edges["S", "border"][3] != edges["S", "translation"][3]
+    for bad in ({"ktype": "S", "edgeCorrection": "z"}, {"ktype": "L", "edgeCorrection": "border"}, {"ktype": "S", "edgeCorrection": "border", "simulationTimes": 2}, {"ktype": "X"}, {"ktype": "L", "simulationType": "random"}, {"ktype": "S", "simulationType": "z"}, {"ktype": "S", "dataName": "z"}, {"ktype": "Cross", "dataName2": "a"}, {"ktype": "S", "maxSpatialDistance": 0}):
         with pytest.raises(ValueError):
             run_kfunction(spark, base | bad, data, box)
 
