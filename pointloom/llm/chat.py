@@ -123,7 +123,7 @@ def _fold(loss_roles: tuple[str, ...]):
     return run
 
 
-def format_turns(events: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
+def format_turns(events: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES, dealt: bool = False) -> DataFrame:
     """Formatted turns (conv_id, turn, part, formatted, loss_start, loss_end).
 
     A conversation's formatted text is the concatenation of its pieces by turn and part; a span
@@ -131,11 +131,15 @@ def format_turns(events: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) ->
     count as empty. Events of equal place and seq go by kind (in the order above), role and
     text; two message events of one turn are two messages, and repeated rows repeat. Events
     other than message before the turn's first message, and unknown ones, change nothing.
-    Null ids form one conversation, null turns come first. Other columns are ignored.
+    Null ids form one conversation, null turns come first. Other columns are ignored. An empty
+    log gives an empty result. dealt: all events of a turn lie in one partition and partitions
+    hold ranges of (conv_id, turn), as events_of() gives them; the log isn't moved then.
     """
     rank = F.coalesce(*(F.when(F.col("event") == k, v) for k, v in _RANK.items()), F.lit(9))
     rows = events.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("seq").cast("long"), F.col("event").cast("string"), rank.alias("rank"), F.col("role").cast("string"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange(shuffle_parts(events.sparkSession), "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "seq", "rank", "role", "text")
+    if not dealt:
+        rows = rows.repartitionByRange(shuffle_parts(events.sparkSession), "conv_id", "turn")
+    rows = rows.sortWithinPartitions("conv_id", "turn", "seq", "rank", "role", "text")
     return rows.mapInArrow(_fold(loss_roles), "conv_id long, turn long, part long, formatted string, loss_start long, loss_end long")
 
 
@@ -145,7 +149,9 @@ def events_of(conversations: DataFrame, streamed_roles: tuple[str, ...] = LOSS_R
     A turn of a streamed role begins empty, gets a first attempt (its text twice over), is
     regenerated and then streamed in deltas of PIECE characters; any other turn begins with a
     draft and is edited to its text. Rows of one turn follow each other by role and text, each
-    with places of its own in the log, and repeated rows repeat. Null texts count as empty.
+    with places of its own in the log, and repeated rows repeat. Null texts count as empty, null
+    ids and turns stay null. Other columns are ignored; an empty table gives an empty log. The log
+    lies by ranges of (conv_id, turn).
     """
     turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # the window takes the range partitions as they are

@@ -270,7 +270,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """The rows of docs, all columns unchanged, whose text overlaps no benchmark item.
 
     Items of any length count, with a null id too; overlaps are those of contamination(). Null
-    texts stay; repeated rows stay or go together.
+    texts stay; repeated rows stay or go together. Columns may have any names; an empty
+    benchmark keeps all rows, an empty table gives an empty result.
     """
     _, found = overlaps(docs, benchmark, [], text_col, item_text)
     key = free_name(docs, "found_key")

@@ -35,7 +35,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     log = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_turns(chat.events_of(log.unionByName(extra))))
+    return chat.read_back(chat.format_turns(chat.events_of(log.unionByName(extra)), dealt=True))
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

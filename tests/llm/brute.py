@@ -1,8 +1,10 @@
 """Plain versions of the operators: slow, short and independent of them."""
 
 import hashlib
+import itertools
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -142,11 +144,12 @@ def audio_feature(payload, rate=16_000):
     return rate, n, count, active, mel.mean(axis=0)
 
 
-def ftrl(rows, size, epochs=3, alpha=0.5, beta=1.0, l1=0.02, l2=0.01, threshold=0.7, scale=8.0):
-    """Scores of rows (n-grams, counts, label) by a scalar loop over coordinates; the last one is the bias."""
+def ftrl(rows, size, epochs=3, alpha=0.5, beta=1.0, l1=0.02, l2=0.01, threshold=0.7, scale=8.0, others=None):
+    """Scores of rows (n-grams, counts, label), or of others, by a scalar loop over coordinates; the last one is the bias."""
     z, n = defaultdict(float), defaultdict(float)
     share = [len(rows) / (2 * sum(r[2] == k for r in rows)) for k in (0, 1)]
-    feats = [[(int(i), scale * int(c) / max(1, int(sum(r[1])))) for i, c in zip(r[0], r[1])] + [(size, 1.0)] for r in rows]
+    featured = lambda rows: [[(int(i), scale * int(c) / max(1, int(sum(r[1])))) for i, c in zip(r[0], r[1])] + [(size, 1.0)] for r in rows]
+    feats = featured(rows)
 
     def weight(i):
         return 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
@@ -166,9 +169,51 @@ def ftrl(rows, size, epochs=3, alpha=0.5, beta=1.0, l1=0.02, l2=0.01, threshold=
     errors = [sum(share[1] * (rows[k][2] == 1) for k in order[:c]) + sum(share[0] * (rows[k][2] == 0) for k in order[c:]) for c in range(len(rows) + 1)]
     best = [c for c, e in enumerate(errors) if abs(e - min(errors)) < 1e-6]
     cut = edges[best[len(best) // 2]]
+    if others is not None:
+        logits = [sum(weight(i) * v for i, v in f) for f in featured(others)]
     return [1 / (1 + math.exp(-(x - cut + math.log(threshold / (1 - threshold))))) for x in logits]
 
 
+def quality_features(text, bits=18):
+    """{hashed n-gram: count} of a text's words and of their shapes, word by word."""
+    raw = (text or "").encode()
+
+    def mix(x):
+        x %= 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    def shape(b):
+        c = chr(b)
+        return b"a" if b >= 128 or c in "abcdefghijklmnopqrstuvwxyz" else b"A" if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else b"0" if c in "0123456789" else c.encode()
+
+    shapes = b"".join(k for k, _ in itertools.groupby(map(shape, raw)))
+    out = Counter()
+    for seed, parts in ((1, raw.lower().split()), (2, shapes.split())):
+        h = [mix(zlib.crc32(w) + seed * 2**32) for w in parts]
+        out.update(x >> 64 - bits for x in h)
+        out.update(mix(3 * a + b) >> 64 - bits for a, b in zip(h, h[1:]))
+    return out
+
+
+def quality_scores(texts, labels, bits=18):
+    """{id: score} of {id: text} after a fit on all of (id, label): each text and label of an id once, in hash order."""
+    rows = {}
+    for i, label in labels:
+        if i in texts and label in (0, 1):
+            h = xxhash.xxh64_intdigest(str(i).encode(), 42)
+            h = xxhash.xxh64_intdigest((texts[i] or "").encode(), h)
+            h = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), h)
+            rows[h - 2**64 if h >= 2**63 else h, label] = quality_features(texts[i], bits)
+    kept = sorted(rows, key=lambda k: k)
+    sets = {i: quality_features(t, bits) for i, t in texts.items()}
+    train = [(list(rows[k]), list(rows[k].values()), k[1]) for k in kept]
+    ids = list(sets)
+    scores = ftrl(train, 1 << bits, others=[(list(sets[i]), list(sets[i].values())) for i in ids])
+    return dict(zip(ids, scores))
+
+
 def language(train, texts, bits=16):
     """(language, score) of texts by naive Bayes over hashed 1- to 3-grams, counted one by one."""
 

@@ -108,6 +108,20 @@ def test_quality(spark, sf, con):
     assert sum(r["predicted"] == want[r["doc_id"]] for r in held) >= 0.85 * len(held)
 
 
+def test_quality_against_brute_force(spark, sf, con, texts):
+    """Features, label join, fit and score of every document; the tables' labels are fewer than a fit may use."""
+    labels = [r for r in con.sql("SELECT doc_id, quality FROM labels").fetchall() if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    want = brute.quality_scores(texts, labels)
+    got = {r["doc_id"]: r["score"] for r in q.op10_quality(spark, sf).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-9
+
+
+def test_chat_moves_turns_once(spark, sf):
+    """One exchange by ranges of turns, one by conversation."""
+    plan = q.op3_chat(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning(") == 1 and plan.count("hashpartitioning(") == 1
+
+
 def test_mix_comes_near(spark, sf):
     rows = q.op5_mixing(spark, sf).collect()
     by = {}
@@ -139,6 +153,15 @@ def test_pipeline(spark, sf, texts, con):
             assert set(after) == set(brute.jaccard_components(before).values())
         elif name == "decontamination":
             assert all(before[i] == after[i] for i in after)
+            stage_con = duckdb.connect()
+            stage_con.register("documents", docs.select("doc_id", "text").toArrow())
+            stage_con.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{sf}/benchmark.parquet'")
+            assert set(before) - set(after) == {r[0] for r in stage_con.sql(f"SELECT DISTINCT doc_id FROM ({oracle_sql()['op8_decontam']})").fetchall()}
+        elif name == "mixing":
+            stage_con = duckdb.connect()
+            stage_con.register("documents", docs.toArrow())
+            taken = stage_con.sql(f"SELECT doc_id, taken FROM ({oracle_sql()['op5_mixing']}) WHERE taken > 0").fetchall()
+            assert sorted(taken) == sorted((r["doc_id"], r["taken"]) for r in out.collect())
         elif name == "secrets":
             assert set(after) == set(before)
             for i, text in before.items():

@@ -211,6 +211,10 @@ def test_turns_come_back_from_streamed_events(spark):
     for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
         want.setdefault(conv, []).append((role or "", text or ""))
     assert got == want
+    cols = ("conv_id", "turn", "part", "formatted", "loss_start", "loss_end")
+    kept = sorted(chat.format_turns(events, dealt=True).select(*cols).collect(), key=repr)
+    assert kept == sorted(chat.format_turns(events).select(*cols).collect(), key=repr)
+    assert chat.events_of(table.where("false")).count() == 0 and chat.format_turns(chat.events_of(table.where("false")), dealt=True).count() == 0
 
 
 def test_training_is_ftrl():
