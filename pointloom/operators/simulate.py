@@ -6,6 +6,8 @@ Draws are hashes of the simulation and the row, so they repeat on every run and
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +19,27 @@ from .kfunction import Scale, cumulate_space, cumulate_st, l_space, l_st, space_
 from .pairs import distance_join, slots, st_join
 
 
+#: Simulations whose draws travel with the points at once. More go in blocks, each with a join of its own,
+#: so a row of a shuffle has this many values at most.
+BLOCK_SIMS = 100
+
+
 def _md5(*parts):
     return F.md5(F.concat_ws("|", *(p.cast("string") for p in parts)))
 
 
-def _numbers(sims: int):
-    """Array of 1 to sims, empty for none."""
-    return F.sequence(F.lit(1), F.lit(sims)) if sims else F.array().cast("array<int>")
+def _numbers(sims: int, first: int = 1):
+    """Array of sims numbers from first on, empty for none."""
+    return F.sequence(F.lit(first), F.lit(first + sims - 1)) if sims else F.array().cast("array<int>")
+
 
+def _sims(df: DataFrame, sims: int, first: int = 1) -> DataFrame:
+    return df.withColumn("sim", F.explode(_numbers(sims, first)))
 
-def _sims(df: DataFrame, sims: int) -> DataFrame:
-    return df.withColumn("sim", F.explode(_numbers(sims)))
+
+def _in_blocks(sims: int, sums: Callable[[int, int], DataFrame]) -> DataFrame:
+    """Union of sums(first, number of simulations) over blocks of simulations."""
+    return reduce(DataFrame.unionByName, [sums(k, min(BLOCK_SIMS, sims + 1 - k)) for k in range(1, max(1, sims) + 1, BLOCK_SIMS)])
 
 
 def _draw(digest, first: int, digits: int = 8):
@@ -35,22 +47,25 @@ def _draw(digest, first: int, digits: int = 8):
     return F.conv(F.substring(digest, first, digits), 16, 10).cast("bigint")
 
 
-def permuted_times(points: DataFrame, sims: int) -> DataFrame:
-    """(sim, pid, t): per simulation the same times, dealt anew to the points."""
+def permuted_times(points: DataFrame, sims: int, first: int = 1) -> DataFrame:
+    """(sim, pid, t): per simulation, numbered from first on, the same times, dealt anew to the points."""
     place = slots(points.select("pid"), _md5(F.lit("place"), F.col("pid")))
-    times = slots(_sims(points.select(F.col("pid").alias("from"), "t"), sims), _md5(F.col("sim"), F.col("from")), "sim")
+    times = slots(_sims(points.select(F.col("pid").alias("from"), "t"), sims, first), _md5(F.col("sim"), F.col("from")), "sim")
     return times.select("sim", "slot", "t").join(place, "slot").select("sim", "pid", "t")
 
 
-def bootstrap(points: DataFrame, sims: int, n: int | None = None) -> DataFrame:
-    """(sim, pid, cnt): n draws with replacement from the points, per simulation."""
+def bootstrap(points: DataFrame, sims: int, n: int | None = None, size: int | None = None, first: int = 1) -> DataFrame:
+    """(sim, pid, cnt): n draws with replacement from the points, per simulation, numbered from first on.
+
+    size is the number of the points, counted if it isn't given; n is as many if it isn't.
+    """
     place = slots(points.select("pid"), _md5(F.lit("place"), F.col("pid")))
-    size = points.count()
+    size = points.count() if size is None else size
     n = size if n is None else n
     if not size:
         return place.select(F.lit(1).alias("sim"), "pid", F.lit(0).cast("bigint").alias("cnt")).where("false")
     spark = points.sparkSession
-    draws = _sims(spark.range(n).withColumnRenamed("id", "k"), sims)
+    draws = _sims(spark.range(n).withColumnRenamed("id", "k"), sims, first)
     drawn = draws.groupBy("sim", (_draw(_md5(F.lit("draw"), F.col("sim"), F.col("k")), 1, 15) % size + 1).alias("slot")).agg(F.count("*").alias("cnt"))
     return drawn.join(place, "slot").select("sim", "pid", "cnt")
 
@@ -82,52 +97,60 @@ def monte_carlo(spark: SparkSession, region: Region, n: int, sims: int, spare: f
     return drawn.select("sim", "pid", "x", "y", *(["t"] if region.t0 is not None else []))
 
 
-def _per_point(points: DataFrame, drawn: DataFrame, value: str, sims: int, other=None) -> DataFrame:
+def _per_point(points: DataFrame, drawn: DataFrame, value: str, sims: int, first: int, other=None) -> DataFrame:
     """points (pid, x, y) with one array, value per simulation; other stands where a point wasn't drawn."""
     held = F.map_from_entries(F.collect_list(F.struct("sim", value)))
     per = drawn.groupBy("pid").agg(held.alias("held"))
     both = points.select("pid", "x", "y").join(per, "pid", "left" if other is not None else "inner")
     pick = lambda k: F.coalesce(F.try_element_at("held", k), other) if other is not None else F.try_element_at("held", k)
-    return both.select("pid", "x", "y", F.transform(_numbers(sims), pick).alias("drawn"))
+    return both.select("pid", "x", "y", F.transform(_numbers(sims, first), pick).alias("drawn"))
 
 
-def simulated_pairs(left: DataFrame, right: DataFrame, region: Region, scale: Scale) -> DataFrame:
+def simulated_pairs(left: DataFrame, right: DataFrame, region: Region, scale: Scale, first: int) -> DataFrame:
     """(pid_a, x_a, y_a, sim, i, w, a, b): each pair within R by simulation, with both points' draws.
 
-    Places and weights are found once for all simulations: the draws travel with the points, and
+    Places and weights are found once for all simulations of a block, which begins with first: the draws travel with the points, and
     the simulations of a pair are rows only within the task that sums them up.
     """
     pairs = weighed_pairs(left, right, region, lambda a, b: distance_join(a, b, scale.R), scale.R)
     kept = pairs.select("pid_a", "x_a", "y_a", space_bin(scale, F.col("d")).alias("i"), "w", F.posexplode(F.arrays_zip("drawn_a", "drawn_b")).alias("k", "z"))
-    return kept.select("pid_a", "x_a", "y_a", (F.col("k") + 1).alias("sim"), "i", "w", F.col("z.drawn_a").alias("a"), F.col("z.drawn_b").alias("b"))
+    return kept.select("pid_a", "x_a", "y_a", (F.col("k") + first).alias("sim"), "i", "w", F.col("z.drawn_a").alias("a"), F.col("z.drawn_b").alias("b"))
 
 
 def _envelope(curves: DataFrame, *cell: str) -> DataFrame:
     return curves.groupBy(*cell).agg(F.min("l").alias("l_min"), F.max("l").alias("l_max"))
 
 
-def _bootstrapped(points: DataFrame, sims: int, n: int) -> DataFrame:
-    return _per_point(points, bootstrap(points, sims, n), "cnt", sims, F.lit(0).cast("bigint"))
+def _bootstrapped(points: DataFrame, size: int, first: int, sims: int) -> DataFrame:
+    """points with the times that each is drawn per simulation, as 32-bit numbers."""
+    per = _per_point(points, bootstrap(points, sims, size, size, first), "cnt", sims, first, F.lit(0).cast("bigint"))
+    return per.withColumn("drawn", F.col("drawn").cast("array<int>"))
 
 
-def _space_curves(left: DataFrame, right: DataFrame, region: Region, scale: Scale) -> DataFrame:
-    both = simulated_pairs(left, right, region, scale).where("a > 0 AND b > 0")
-    c = F.col("a") * F.col("b")
-    return cumulate_space(both.groupBy("sim", "i").agg(F.sum(c).alias("pairs"), F.sum(F.col("w") * c).alias("sigma")), scale, "sim")
+def _space_curves(left: DataFrame, right: DataFrame, sizes: tuple[int, int], region: Region, scale: Scale, sims: int) -> DataFrame:
+    """Sums per simulation; a pattern drawn with itself is drawn once."""
+
+    def sums(first: int, many: int) -> DataFrame:
+        a = _bootstrapped(left, sizes[0], first, many)
+        b = a if right is left else _bootstrapped(right, sizes[1], first, many)
+        both = simulated_pairs(a, b, region, scale, first).where("a > 0 AND b > 0")
+        c = F.col("a").cast("bigint") * F.col("b")
+        return both.groupBy("sim", "i").agg(F.sum(c).alias("pairs"), F.sum(F.col("w") * c).alias("sigma"))
+
+    return cumulate_space(_in_blocks(sims, sums), scale, "sim")
 
 
 def space_envelope(points: DataFrame, region: Region, scale: Scale, sims: int) -> DataFrame:
     """i, d, l_min, l_max of bootstrap patterns; no rows without simulations."""
     n = points.count()
-    drawn = _bootstrapped(points, sims, n)
     k = (F.col("sigma") - n) / (n * (n / region.area)) if n else F.lit(0.0)
-    return _envelope(_space_curves(drawn, drawn, region, scale).withColumn("l", l_space(k, F.col("d"))), "i", "d")
+    return _envelope(_space_curves(points, points, (n, n), region, scale, sims).withColumn("l", l_space(k, F.col("d"))), "i", "d")
 
 
 def cross_envelope(first: DataFrame, second: DataFrame, region: Region, scale: Scale, sims: int) -> DataFrame:
     """i, d, l_min, l_max of cross K, both patterns bootstrapped; no rows without simulations."""
     n1, n2 = first.count(), second.count()
-    sums = _space_curves(_bootstrapped(first, sims, n1), _bootstrapped(second, sims, n2), region, scale)
+    sums = _space_curves(first, second, (n1, n2), region, scale, sims)
     k = F.col("sigma") * (region.area / (n1 * n2)) if n1 and n2 else F.lit(0.0)
     return _envelope(sums.withColumn("l", l_space(k, F.col("d"))), "i", "d")
 
@@ -135,10 +158,13 @@ def cross_envelope(first: DataFrame, second: DataFrame, region: Region, scale: S
 def local_envelope(points: DataFrame, region: Region, scale: Scale, sims: int) -> DataFrame:
     """pid, x, y, i, d, l_min, l_max: local K of every point among bootstrapped neighbours."""
     n = points.count()
-    drawn = _bootstrapped(points, sims, n)
-    both = simulated_pairs(drawn, drawn, region, scale)
-    bins = both.groupBy("pid_a", "x_a", "y_a", "sim", "i").agg(F.sum(F.col("w") * F.col("b")).alias("sigma"))
-    per = bins.groupBy("pid_a", "x_a", "y_a", "sim").agg(F.collect_list(F.struct("i", "sigma")).alias("bins"))
+
+    def sums(first: int, many: int) -> DataFrame:
+        drawn = _bootstrapped(points, n, first, many)
+        both = simulated_pairs(drawn, drawn, region, scale, first)
+        return both.groupBy("pid_a", "x_a", "y_a", "sim", "i").agg(F.sum(F.col("w") * F.col("b")).alias("sigma"))
+
+    per = _in_blocks(sims, sums).groupBy("pid_a", "x_a", "y_a", "sim").agg(F.collect_list(F.struct("i", "sigma")).alias("bins"))
     upto = F.aggregate(F.filter("bins", lambda b: b["i"] <= F.col("i")), F.lit(0.0), lambda s, b: s + b["sigma"])
     curves = per.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(scale.S)))).withColumns({"sigma": upto, "d": scale.step * F.col("i")})
     level = F.sqrt((region.area / n if n else 0.0) * F.col("sigma") / math.pi) - F.col("d")
@@ -148,12 +174,17 @@ def local_envelope(points: DataFrame, region: Region, scale: Scale, sims: int) -
 def st_envelope(points: DataFrame, region: Region, scale: Scale, sims: int) -> DataFrame:
     """i, j, d, tau, l_min, l_max of patterns with permuted times; no rows without simulations."""
     n = points.count()
-    drawn = _per_point(points, permuted_times(points, sims), "t", sims)
-    both = simulated_pairs(drawn, drawn, region, scale)
-    near = (F.col("b") >= shift(scale.unit, F.col("a"), -scale.T)) & (F.col("b") <= shift(scale.unit, F.col("a"), scale.T))
-    both = both.where(near).withColumn("tau", distance(scale.unit, F.col("a"), F.col("b")))
-    w_t = temporal_weight(scale.unit, F.col("a"), F.col("tau"), F.lit(region.t0).cast("timestamp_ntz"), F.lit(region.t1).cast("timestamp_ntz"))
-    cells = both.groupBy("sim", "i", time_bin(scale, F.col("tau")).alias("j")).agg(F.sum(F.col("w") * w_t).alias("sigma"))
+    t0, t1 = (F.lit(t).cast("timestamp_ntz") for t in (region.t0, region.t1))
+
+    def sums(first: int, many: int) -> DataFrame:
+        drawn = _per_point(points, permuted_times(points, many, first), "t", many, first)
+        both = simulated_pairs(drawn, drawn, region, scale, first)
+        near = (F.col("b") >= shift(scale.unit, F.col("a"), -scale.T)) & (F.col("b") <= shift(scale.unit, F.col("a"), scale.T))
+        both = both.where(near).withColumn("tau", distance(scale.unit, F.col("a"), F.col("b")))
+        w_t = temporal_weight(scale.unit, F.col("a"), F.col("tau"), t0, t1)
+        return both.groupBy("sim", "i", time_bin(scale, F.col("tau")).alias("j")).agg(F.sum(F.col("w") * w_t).alias("sigma"))
+
+    cells = _in_blocks(sims, sums)
     volume = region.volume(scale.unit)
     k = (F.col("sigma") - n) / (n * (n / volume)) if n else F.lit(0.0)
     curves = cumulate_st(cells, scale, "sim").withColumn("l", l_st(k, F.col("d"), F.col("tau")))

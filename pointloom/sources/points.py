@@ -48,6 +48,9 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     pts = spark.read.text(path).select(number(0).alias("x"), number(1).alias("y"), when.alias("t")).where("x IS NOT NULL AND y IS NOT NULL AND t IS NOT NULL")
     return _numbered(pts)
 
+#: Ranges of pids that first_points() counts.
+PID_RANGES = 4096
+
 
 def from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """In-memory points: (pid, x, y, t)."""
@@ -55,9 +58,30 @@ def from_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def first_points(points: DataFrame, size: int) -> DataFrame:
-    """The first points by pid, or by all columns where there is none: a limit that repeats."""
-    order = ["pid"] if "pid" in points.columns else list(points.columns)
-    return points.orderBy(*order).limit(size)
+    """The first points by pid, or by all columns where there is none: a limit that repeats.
+
+    Whole numbers as pids are counted in PID_RANGES equal ranges: those before the last one that is needed stay
+    as they are, and only that one's points are put in order, so a large size needs no task that holds
+    it. Points of one pid are taken in the order of the other columns; null pids come first.
+    """
+    order = ["pid", *(c for c in points.columns if c != "pid")] if "pid" in points.columns else list(points.columns)
+    if "pid" not in points.columns or points.schema["pid"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return points.orderBy(*order).limit(size)
+    low, high = points.agg(F.min("pid"), F.max("pid")).first()
+    if low is None or size <= 0:
+        return points.orderBy(*order).limit(max(0, size))
+    width = (high - low) // PID_RANGES + 1
+    place = F.coalesce(F.floor((F.col("pid").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("int"), F.lit(-1))
+    counts = sorted(points.groupBy(place.alias("k")).count().collect())  # a row per range
+    before, edge = 0, None
+    for k, n in counts:
+        if before + n > size:
+            edge = k
+            break
+        before += n
+    if edge is None:
+        return points
+    return points.where(place < edge).unionByName(points.where(place == edge).orderBy(*order).limit(size - before))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

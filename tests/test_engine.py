@@ -271,6 +271,36 @@ def test_request_facade(spark, some):
             run_kfunction(spark, base | bad, data, box)
 
 
+def test_simulations_in_blocks(spark, some, monkeypatch):
+    """Blocks of simulations give the rows of one block."""
+    box, scale = envelope_region(some), Scale(6.0, 3, 4, 2)
+    a, b = some.where("mark = 'a'"), some.where("mark = 'b'")
+    forms = {
+        "space": lambda: simulate.space_envelope(a, box, scale, 5),
+        "cross": lambda: simulate.cross_envelope(a, b, box, scale, 5),
+        "local": lambda: simulate.local_envelope(a, box, scale, 5),
+        "st": lambda: simulate.st_envelope(a, box, scale, 5),
+    }
+    flat = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    want = {k: flat(f()) for k, f in forms.items()}
+    monkeypatch.setattr(simulate, "BLOCK_SIMS", 2)
+    assert all(want[k] and flat(f()) == want[k] for k, f in forms.items())
+    assert simulate.space_envelope(a, box, scale, 0).count() == 0
+
+
+def test_first_points_of_many(spark):
+    """A large size isn't sorted whole; ties, nulls and far-off pids keep their order."""
+    rows = [(None, 1.0, 0.0), (5, 3.0, 0.0), (5, 2.0, 1.0), (5, 2.0, 0.0), (-(2**63), 9.0, 9.0), (2**63 - 1, 8.0, 8.0), (7, 1.0, 1.0)]
+    table = spark.createDataFrame(rows, "pid long, x double, y double")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    for size in range(9):
+        assert sorted(map(tuple, pts.first_points(table, size).collect()), key=repr) == sorted(order[:size], key=repr)
+    many = spark.range(100_000).select((F.col("id") * 3).alias("pid"), F.lit(0.0).alias("x"))
+    got = pts.first_points(many, 70_001)
+    assert got.count() == 70_001 and got.agg(F.max("pid")).first()[0] == 210_000
+    assert pts.first_points(many.drop("pid"), 3).count() == 3 and pts.first_points(many.where("false"), 3).count() == 0
+
+
 def test_random_patterns_stay_apart(spark):
     """Each simulation has n points of the region and its time, paired within the simulation only."""
     box = Rectangle(0.0, 40.0, 0.0, 20.0, T, T + timedelta(days=9))
