@@ -6,7 +6,8 @@ A URL's probes are first the last labels of its host; those that pass are joined
 list's hosts, which tells how long their listed paths are, and the path's prefixes of these
 lengths are probed in turn. What passes is joined to the list by host and path, so that
 false positives drop out. Rules are compared with the URL as it stands, other entries with
-its canonical form: no user, port or dot after the host, `/` for an empty path.
+its canonical form: no user, port or dot after the host, `/` for an empty path, in a path no
+`.` and `..` segments, letters, digits and `-._~` unescaped and other escapes in upper case.
 """
 
 from __future__ import annotations
@@ -40,8 +41,34 @@ def canonical_host(host: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", ""), r"\.+$", "")
 
 
+def _unescaped(path: Column) -> Column:
+    """Escapes of characters that need none undone, the hexadecimal digits of others in upper case."""
+
+    def one(part: Column, k: Column) -> Column:
+        letter = F.char(F.conv(F.substring(part, 1, 2), 16, 10).cast("bigint"))
+        free = F.when(letter.rlike(r"\A[A-Za-z0-9._~-]\z"), letter).otherwise(F.concat(F.lit("%"), F.upper(F.substring(part, 1, 2))))
+        escape = F.when(part.rlike(r"\A[0-9A-Fa-f]{2}"), F.concat(free, part.substr(F.lit(3), F.length(part)))).otherwise(F.concat(F.lit("%"), part))
+        return F.when(k == 0, part).otherwise(escape)
+
+    return F.array_join(F.transform(F.split(path, "%", -1), one), "")
+
+
+def _straight(path: Column) -> Column:
+    """Segments `.` left out, `..` with the segment before; one at the end leaves a slash."""
+
+    def step(held: Column, part: Column) -> Column:
+        back = F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))
+        return F.when(part == ".", held).when(part == "..", back).otherwise(F.concat(held, F.array(part)))
+
+    parts = F.slice(F.split(path, "/", -1), 2, F.size(F.split(path, "/", -1)))  # a path begins with a slash
+    joined = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.when(path.rlike(r"/\.\.?\z") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+
 def canonical_path(path: Column) -> Column:
-    return F.when(path == "", "/").otherwise(path)
+    """A URL's path, which is empty or begins with a slash; paths without escapes and dot segments cost two searches."""
+    plain = F.when(path.contains("%"), _unescaped(path)).otherwise(path)
+    return F.when(path == "", "/").when(plain.rlike(r"/\.\.?(/|\z)"), _straight(plain)).otherwise(plain)
 
 
 def _slots(h: np.ndarray, blocks: int) -> tuple[np.ndarray, list[np.ndarray]]:

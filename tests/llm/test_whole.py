@@ -286,6 +286,18 @@ def test_repeated_rows_spread_over_groups(spark):
     assert got == {(None, 40, 40, ""), (1, 41, 40, "end")}
 
 
+def test_paths_in_canonical_form(spark):
+    want = {
+        "": "/", "/": "/", "/a/b": "/a/b", "/a/./b": "/a/b", "/a/../b": "/b", "/../../b": "/b", "/a/b/..": "/a/", "/a/.": "/a/", "/.": "/", "/..": "/",
+        "/%61%2e%2E/x": "/a../x", "/%2e%2e/x": "/x", "/a%2fb%zz%4": "/a%2Fb%zz%4", "/%c3%a9%": "/%C3%A9%", "/a//b/../": "/a//", "/.a/..b/c.": "/.a/..b/c.", "/a%252e": "/a%252e", "/%7eu": "/~u", "/%0Ax\n": "/%0Ax\n",
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "path string")
+    assert {r["path"]: r["c"] for r in rows.select("path", urlfilter.canonical_path(F.col("path")).alias("c")).collect()} == want
+    listed = spark.createDataFrame([("x.org", "/bad/", "block", "list")], "host string, path string, verdict string, kind string")
+    pages = spark.createDataFrame([("http://x.org/ok/%2e%2E/b%61d/y",), ("http://x.org/bad/../ok",), ("http://x.org/bad",)], "url string")
+    assert [r["verdict"] for r in urlfilter.judge(pages, listed).orderBy(F.length("url").desc()).collect()] == ["block", "allow", "allow"]
+
+
 def test_listed_urls_by_their_canonical_form(spark):
     """Thousands of entries, many paths on one host; rules see the URL as it stands."""
     rng = np.random.default_rng(4)
