@@ -1,27 +1,33 @@
 """Distance, space-time and box joins as equi-joins on grid cells.
 
 A cell of the distance joins is just over one radius wide, so partners lie in the 3 x 3 cells around
-a point: the left side is repeated for these nine, the join is a hash or merge join on the cell, and the
-exact test is its residual condition. In time a cell is as long as the span, or as its longest
-calendar form, and three are looked at. Each pair is found once.
-
-Cells are counted before the join. The left rows of a cell of many pairs are dealt to shares, and
-its right rows are copied to each of them, so that it is pairs that are balanced, not bytes.
+a point. In time a cell is as long as the span, or as its longest calendar form, and three are looked at.
+What is shuffled are tiles of TILE_CELLS cells a side: a left row goes to its own tile, a right row
+also to those that it borders on. Only within a task is a left row repeated for the cells around it,
+each of which is looked up in a hash table of the right rows; the exact test is the join's residual
+condition. Each pair is found once.
+
+Tiles, and cells of box joins, are counted before the join. The left rows of one with many pairs are dealt
+to shares, and its right rows are copied to each of them, so that it is pairs that are balanced, not bytes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.crs import crs_of
 from ..functions.timeunits import longest_seconds, seconds_of, shift
 from .slots import slots  # noqa: F401
 
-#: Pairs of a cell that one task compares, about.
+#: Pairs of a cell or tile that one task compares, about.
 SHARE_PAIRS = 4_000_000
 #: Cells with more pairs than that are sent to all tasks, up to this number of them.
 DENSE_CELLS = 10_000
+#: Cells along a side of a tile, in space and in time.
+TILE_CELLS = 8
+#: Rows of a side that one task of a tile join holds, about; more rows make more tasks.
+PART_ROWS = 250_000
 #: Rows of the right side of a nested loop.
 NESTED_ROWS = 100_000
 
@@ -68,8 +74,13 @@ def _suffixed(df: DataFrame, side: str) -> list[Column]:
     return [F.col(c).alias(f"{c}_{side}") for c in df.columns]
 
 
+def parts_of(spark: SparkSession, rows: int) -> int:
+    """Number of partitions in which so many rows are about PART_ROWS each, at least the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+
+
 def _sides(left: DataFrame, right: DataFrame, r: float, length: int | None = None, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with their cells, the left one repeated for the cells around; length: seconds of a time cell.
+    """Both sides with their cells; length: seconds of a time cell.
 
     Columns by, which both sides have, are further keys.
     """
@@ -81,9 +92,83 @@ def _sides(left: DataFrame, right: DataFrame, r: float, length: int | None = Non
     keys = cells | {f"cell_{c}": F.col(c) for c in by}
     a = left.select(*_suffixed(left, "a"), *(v.alias(k) for k, v in keys.items()))
     b = right.select(*_suffixed(right, "b"), *(v.alias(k) for k, v in keys.items()))
-    for k in cells:
-        a = a.withColumn(k, F.explode(F.array(*(F.col(k) + n for n in (-1, 0, 1)))))
-    return a, b, list(keys)
+    # rows without a place or a time have no partners
+    placed = " AND ".join(f"{k} IS NOT NULL" for k in cells)
+    return a.where(placed), b.where(placed), list(keys)
+
+
+def _tile(c: Column) -> Column:
+    return F.floor(c / TILE_CELLS)
+
+
+def _tiled(df: DataFrame, cells: list[str], around: bool) -> DataFrame:
+    """df with its tile (tile_cx and so on); around: a row for each tile with a cell next to the row's own."""
+    for c in cells:
+        own = _tile(F.col(c))
+        if around:
+            own = F.explode(F.array_distinct(F.array(_tile(F.col(c) - 1), _tile(F.col(c) + 1))))
+        df = df.withColumn(f"tile_{c}", own)
+    return df
+
+
+def _dealt(a: DataFrame, b: DataFrame, cells: list[str], more: list[str]) -> tuple[DataFrame | None, int, int]:
+    """(tiles, left rows, right rows): (tile, shares_a, shares_b) of the tiles that are dealt to several shares, None if there are none.
+
+    Rows are counted by cell before they are copied to the tiles around. A tile has no more pairs to compare than rows of a by rows of b, nor
+    than 3 ** axes / 2 times the squares of its cells' counts.
+    """
+    tile = [f"tile_{c}" for c in cells] + more
+    each = lambda df, side: df.groupBy(*cells, *more).agg(F.count("*").cast("double").alias(side))
+    left = _tiled(each(a, "l"), cells, False).withColumn("r", F.lit(0.0))
+    right = _tiled(each(b, "r"), cells, True).withColumn("l", F.lit(0.0))
+    sums = left.select(*tile, "l", "r").unionByName(right.select(*tile, "l", "r")).groupBy(*tile)
+    many = sums.agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum(F.col("l") * F.col("l") + F.col("r") * F.col("r")).alias("q"))
+    work = F.least(F.col("l") * F.col("r"), F.col("q") * (3 ** len(cells) / 2))
+    shares_b = F.greatest(F.ceil(F.col("r") / PART_ROWS), F.lit(1))
+    many = many.where("l > 0 AND r > 0").withColumn("shares_b", shares_b.cast("int"))
+    shares_a = F.greatest(F.least(F.ceil(work / F.col("shares_b") / SHARE_PAIRS), F.col("l")), F.lit(1))
+    many = many.withColumn("shares_a", shares_a.cast("int"))
+    split = F.col("shares_a") * F.col("shares_b") > 1
+    held = many.agg(F.sum(F.col("l") * F.col("shares_b")), F.sum(F.col("r") * F.col("shares_a")), F.sum(split.cast("int"))).first()
+    rows = int(held[0] or 0), int(held[1] or 0)
+    if not held[2]:
+        return None, *rows
+    dense = many.where(split).select(*tile, "shares_a", "shares_b")
+    if held[2] > DENSE_CELLS:
+        return dense, *rows
+    return F.broadcast(a.sparkSession.createDataFrame(dense.collect(), dense.schema)), *rows
+
+
+def tile_join(a: DataFrame, b: DataFrame, keys: list[str], fits: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """a and b of neighbouring cells joined on the condition fits; both lose the columns of cells and keys.
+
+    The rows of a tile are dealt by both sides' hashes, so that no task holds more than some PART_ROWS of its right rows;
+    rows that are equal in all columns go to one share.
+    """
+    spark, more = a.sparkSession, [f"cell_{c}" for c in by]
+    cells = [k for k in keys if k not in more]
+    tile = [f"tile_{c}" for c in cells] + more
+    dense, left_rows, right_rows = _dealt(a, b, cells, more)
+    number = {side: F.pmod(F.xxhash64(*df.columns), F.col(f"shares_{side}").cast("bigint")).cast("int") for side, df in (("a", a), ("b", b))}
+    a, b = _tiled(a, cells, False), _tiled(b, cells, True)
+    place = list(tile)
+    if dense is not None:
+        place += ["share_a", "share_b"]
+        every = lambda side: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"shares_{side}") - 1, F.lit(0))))
+        own = lambda side: F.coalesce(number[side], F.lit(0))
+        a = a.join(dense, tile, "left").withColumn("share_a", own("a")).withColumn("share_b", every("b")).drop("shares_a", "shares_b")
+        b = b.join(dense, tile, "left").withColumn("share_b", own("b")).withColumn("share_a", every("a")).drop("shares_a", "shares_b")
+    parts = parts_of(spark, max(left_rows, right_rows))
+    # by number, so that the join on tiles and cells keeps this partitioning
+    part = F.pmod(F.xxhash64(*place), F.lit(parts)).cast("int")
+    a, b = (df.withColumn("part", part).repartitionById(parts, F.col("part")) for df in (a, b))
+    for c in cells:
+        a = a.withColumn(c, F.explode(F.array(*(F.col(c) + n for n in (-1, 0, 1)))))
+    on = ["part", *place, *cells]
+    same = a[on[0]] == b[on[0]]
+    for k in on[1:]:
+        same &= a[k] == b[k]
+    return a.join(b.hint("shuffle_hash"), same & fits).drop(*on)
 
 
 def within(r: float, boundary: bool = True):
@@ -101,9 +186,8 @@ def distance_join(left: DataFrame, right: DataFrame, r: float, boundary: bool =
     """
     if r < 0:
         raise ValueError("the radius must not be negative")
-    a, b, keys = _sides(left, right, r, by=by)
     dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")
-    return cell_join(a, b, keys, within(r, boundary)).withColumn("d", F.sqrt(dx * dx + dy * dy))
+    return tile_join(*_sides(left, right, r, by=by), within(r, boundary), by).withColumn("d", F.sqrt(dx * dx + dy * dy))
 
 
 def nested_loop_join(left: DataFrame, right: DataFrame, r: float, boundary: bool = True) -> DataFrame:
@@ -131,7 +215,7 @@ def st_join(left: DataFrame, right: DataFrame, r: float, span: int, unit: str, b
     if not boundary:
         when = (F.col("t_b") > F.col("lo")) & (F.col("t_b") < F.col("hi"))
     dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")
-    joined = cell_join(a, b, keys, within(r, boundary) & when)
+    joined = tile_join(a, b, keys, within(r, boundary) & when, by)
     return joined.drop("lo", "hi").withColumn("d", F.sqrt(dx * dx + dy * dy))
 
 

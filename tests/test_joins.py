@@ -98,3 +98,26 @@ def test_reference_systems_must_agree(spark):
 
 def test_queries_are_registered():
     assert {"box_pairs", "box_pairs_open", "box_count", "box_collect", "circle_pairs"} <= set(QUERIES)
+
+
+def test_points_are_shuffled_by_tile_not_by_cell(spark):
+    """Nothing is shuffled or sorted once a left row is repeated for the cells around it."""
+    q = crowd(spark, 50).withColumn("t", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    for joined in (pairs.distance_join(q.drop("t"), q.drop("t"), 1.5), pairs.st_join(q, q, 1.5, 2, "DAYS")):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 2 and "Sort" not in plan and "Broadcast" not in plan
+        left = plan[plan.index("ShuffledHashJoin"): plan.index("Exchange ")]
+        assert "+ -1)" in left  # cells around are made above the exchange
+
+
+@pytest.mark.parametrize("rows", [7, 60])
+def test_both_sides_of_a_tile_are_dealt(spark, monkeypatch, rows):
+    monkeypatch.setattr(pairs, "PART_ROWS", rows)
+    monkeypatch.setattr(pairs, "SHARE_PAIRS", 500)
+    p, q = crowd(spark, 200), crowd(spark, 100, 2)
+    assert pairs._dealt(*pairs._sides(p, q, 1.5)[:2], ["cx", "cy"], [])[0] is not None
+    assert some(pairs.distance_join(p, q, 1.5), "pid_a", "pid_b") == some(pairs.nested_loop_join(p, q, 1.5), "pid_a", "pid_b")
+    by = [df.withColumn("sim", F.col("pid") % 2) for df in (p, q)]
+    got = pairs.distance_join(*by, 1.5, by=("sim",))
+    want = pairs.nested_loop_join(*by, 1.5).where("sim_a = sim_b")
+    assert some(got, "pid_a", "pid_b") == some(want, "pid_a", "pid_b")
