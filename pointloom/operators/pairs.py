@@ -274,7 +274,9 @@ def circle_join(left: DataFrame, right: DataFrame, boundary: bool = True) -> Dat
 
     Circles with a null or a radius below 0 have no partners.
     """
-    circles = left.withColumns({"x0": F.col("x") - F.col("r"), "x1": F.col("x") + F.col("r"), "y0": F.col("y") - F.col("r"), "y1": F.col("y") + F.col("r")}).where("r >= 0")
+    # wider by far more than rounding: the box only finds candidates
+    wide = lambda c: F.col("r") + (F.abs(F.col(c)) + F.col("r")) * F.lit(1e-12)
+    circles = left.withColumns({f"{c}{k}": F.col(c) + sign * wide(c) for c in "xy" for k, sign in ((0, F.lit(-1.0)), (1, F.lit(1.0)))}).where("r >= 0")
     places = right.withColumns({"x0": F.col("x"), "x1": F.col("x"), "y0": F.col("y"), "y1": F.col("y")})
     near = box_join(circles.drop("t0", "t1"), places.drop("t0", "t1"))
     dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")

@@ -121,3 +121,16 @@ def test_both_sides_of_a_tile_are_dealt(spark, monkeypatch, rows):
     got = pairs.distance_join(*by, 1.5, by=("sim",))
     want = pairs.nested_loop_join(*by, 1.5).where("sim_a = sim_b")
     assert some(got, "pid_a", "pid_b") == some(want, "pid_a", "pid_b")
+
+
+def test_points_on_a_circle_are_not_lost_by_rounding(spark):
+    """Centre less radius lies right of the point, their difference is the radius all the same."""
+    rows = [(k, x, 7.0, r) for k, (x, _, r) in enumerate(EDGE_ON)]
+    circles = spark.createDataFrame(rows, "pid long, x double, y double, r double")
+    places = spark.createDataFrame([(k, x, 7.0) for k, (_, x, _) in enumerate(EDGE_ON)], "pid long, x double, y double")
+    assert all(x - r > near and (x - near) ** 2 <= r * r for x, near, r in EDGE_ON)
+    got = pairs.circle_join(circles, places).where("pid_a = pid_b")
+    assert sorted(r["pid_a"] for r in got.collect()) == list(range(len(EDGE_ON)))
+
+
+EDGE_ON = ((6.73, 2.73, 4.0), (0.45, -0.05, 0.5), (0.68, -0.32, 1.0), (2.85, 0.85, 2.0))
