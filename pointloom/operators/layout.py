@@ -85,8 +85,12 @@ def key_intervals(frame: Rectangle, x0: float, x1: float, y0: float, y1: float)
 
 
 def along_curve(points: DataFrame, frame: Rectangle) -> DataFrame:
-    """points with their key as column hkey."""
-    return points.withColumn("hkey", hilbert_key(frame, F.col("x"), F.col("y")))
+    """points with their key as column hkey.
+
+    The key comes out of a list of one, so that a filter with many intervals reads the column and doesn't repeat the
+    key's expression for each of them.
+    """
+    return points.withColumn("hkey", F.explode(F.array(hilbert_key(frame, F.col("x"), F.col("y")))))
 
 
 def write_layout(points: DataFrame, path: str, frame: Rectangle) -> None:

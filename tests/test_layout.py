@@ -43,3 +43,9 @@ def test_a_box_reads_few_row_groups(spark, tmp_path):
     assert len(groups) >= 4 and 1 <= len(read) < len(groups) / 2
     plan = layout.layout_query(stored, FRAME, 1000.0, 4000.0, 1000.0, 3000.0)._jdf.queryExecution().toString()
     assert "hkey" in plan.split("PushedFilters")[1]
+
+
+def test_a_key_is_computed_once_a_row(spark):
+    pts = spark.range(100).select(F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    plan = layout.layout_query(layout.along_curve(pts, FRAME), FRAME, 10.0, 50.0, 5.0, 70.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
