@@ -18,7 +18,7 @@ from ..functions.timeunits import Unit, distance, shift
 from ..functions.weights import boundary_distance, polygon_distance, polygon_weight, temporal_weight, translation_weight, with_rectangle_weight
 from ..sources.boundary import Rectangle, Region
 from ..sources.points import fold
-from .pairs import distance_join, st_join
+from .pairs import distance_join, parts_of, st_join
 
 
 @dataclass(frozen=True)
@@ -259,11 +259,13 @@ def local_k(points: DataFrame, region: Region, scale: Scale, include_self: bool
     n = _count(points)
     kept = points.select("pid", "x", "y", *(["cnt"] if "cnt" in points.columns else []))
     right = kept if "cnt" in kept.columns else kept.withColumn("cnt", F.lit(1))
-    pairs = weighed_pairs(kept.select("pid", "x", "y"), right, region, lambda a, b: distance_join(a, b, scale.R), scale.R, correction)
+    pairs = weighed_pairs(kept.select("pid", "x", "y"), right, region, lambda a, b: distance_join(a, b, scale.R, part=True), scale.R, correction)
     if not include_self:
         pairs = pairs.withColumn("cnt_b", F.col("cnt_b") - (F.col("pid_a") == F.col("pid_b")).cast("int"))
-    bins = pairs.groupBy(F.col("pid_a").alias("pid"), F.col("x_a").alias("x"), F.col("y_a").alias("y"), space_bin(scale, F.col("d")).alias("i"))
-    bins = bins.agg(F.sum("cnt_b").alias("pairs"), F.sum(F.col("w") * F.col("cnt_b")).alias("sigma"))
+    bins = pairs.groupBy("part", F.col("pid_a").alias("pid"), F.col("x_a").alias("x"), F.col("y_a").alias("y"), space_bin(scale, F.col("d")).alias("i"))
+    bins = bins.agg(F.sum(F.col("w") * F.col("cnt_b")).alias("sigma"))
+    # summed where the pairs are, then dealt once, to as many tasks as the rows need
+    bins = bins.repartition(parts_of(points.sparkSession, n * scale.S), "pid", "x", "y").groupBy("pid", "x", "y", "i").agg(F.sum("sigma").alias("sigma"))
     # the thresholds of one point are one array: no join back and no window over all points
     per = bins.groupBy("pid", "x", "y").agg(F.collect_list(F.struct("i", "sigma")).alias("bins"))
     upto = F.aggregate(F.filter("bins", lambda b: b["i"] <= F.col("i")), F.lit(0.0), lambda s, b: s + b["sigma"])

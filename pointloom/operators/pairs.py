@@ -139,11 +139,12 @@ def _dealt(a: DataFrame, b: DataFrame, cells: list[str], more: list[str]) -> tup
     return F.broadcast(a.sparkSession.createDataFrame(dense.collect(), dense.schema)), *rows
 
 
-def tile_join(a: DataFrame, b: DataFrame, keys: list[str], fits: Column, by: tuple[str, ...] = ()) -> DataFrame:
+def tile_join(a: DataFrame, b: DataFrame, keys: list[str], fits: Column, by: tuple[str, ...] = (), part: bool = False) -> DataFrame:
     """a and b of neighbouring cells joined on the condition fits; both lose the columns of cells and keys.
 
     The rows of a tile are dealt by both sides' hashes, so that no task holds more than some PART_ROWS of its right rows;
-    rows that are equal in all columns go to one share.
+    rows that are equal in all columns go to one share. With part the number of the task stays as a column: groups
+    by it and others need no shuffle.
     """
     spark, more = a.sparkSession, [f"cell_{c}" for c in by]
     cells = [k for k in keys if k not in more]
@@ -160,15 +161,18 @@ def tile_join(a: DataFrame, b: DataFrame, keys: list[str], fits: Column, by: tup
         b = b.join(dense, tile, "left").withColumn("share_b", own("b")).withColumn("share_a", every("a")).drop("shares_a", "shares_b")
     parts = parts_of(spark, max(left_rows, right_rows))
     # by number, so that the join on tiles and cells keeps this partitioning
-    part = F.pmod(F.xxhash64(*place), F.lit(parts)).cast("int")
-    a, b = (df.withColumn("part", part).repartitionById(parts, F.col("part")) for df in (a, b))
+    task = F.pmod(F.xxhash64(*place), F.lit(parts)).cast("int")
+    a, b = (df.withColumn("part", task).repartitionById(parts, F.col("part")) for df in (a, b))
     for c in cells:
         a = a.withColumn(c, F.explode(F.array(*(F.col(c) + n for n in (-1, 0, 1)))))
     on = ["part", *place, *cells]
     same = a[on[0]] == b[on[0]]
     for k in on[1:]:
         same &= a[k] == b[k]
-    return a.join(b.hint("shuffle_hash"), same & fits).drop(*on)
+    joined = a.join(b.hint("shuffle_hash"), same & fits)
+    if part:
+        return joined.select(a["part"], *(c for c in joined.columns if c not in on))
+    return joined.drop(*on)
 
 
 def within(r: float, boundary: bool = True):
@@ -177,17 +181,17 @@ def within(r: float, boundary: bool = True):
     return square <= r * r if boundary else square < r * r
 
 
-def distance_join(left: DataFrame, right: DataFrame, r: float, boundary: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+def distance_join(left: DataFrame, right: DataFrame, r: float, boundary: bool = True, by: tuple[str, ...] = (), part: bool = False) -> DataFrame:
     """All (a, b) at most r apart, columns suffixed _a and _b, and their distance d.
 
     Ordered pairs; a table joined to itself gives the self pairs too. boundary=False asks for
     less than r. Tables need x and y; rows without them have no partners. Pairs agree in the
-    columns by. Sides of different reference systems (functions.crs) are an error.
+    columns by; part is that of tile_join(). Sides of different reference systems (functions.crs) are an error.
     """
     if r < 0:
         raise ValueError("the radius must not be negative")
     dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")
-    return tile_join(*_sides(left, right, r, by=by), within(r, boundary), by).withColumn("d", F.sqrt(dx * dx + dy * dy))
+    return tile_join(*_sides(left, right, r, by=by), within(r, boundary), by, part).withColumn("d", F.sqrt(dx * dx + dy * dy))
 
 
 def nested_loop_join(left: DataFrame, right: DataFrame, r: float, boundary: bool = True) -> DataFrame:
