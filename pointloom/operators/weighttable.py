@@ -15,7 +15,7 @@ from ..functions.weights import boundary_distance, polygon_weight, with_rectangl
 from ..sources.boundary import Rectangle, Region
 from ..sources.points import fold
 from .kfunction import Scale, _count, cumulate_space, l_space, space_bin
-from .pairs import distance_join
+from .pairs import distance_join, parts_of
 
 KEYS = ["kx", "ky", "kr"]
 SCHEMA = "kx bigint, ky bigint, kr bigint, w double"
@@ -26,12 +26,15 @@ def error_bound(step: float, r: Column) -> Column:
     return F.least(F.lit(1.0), 2.83 * F.sqrt(F.lit(step) / r))
 
 
+def _rounded(c: str, step: float) -> Column:
+    return F.floor(F.col(c) / step + 0.5).cast("bigint")
+
+
 def keyed(pairs: DataFrame, region: Region, step: float) -> DataFrame:
     """pairs (x_a, y_a, d) with KEYS, which are null where the exact weight is needed."""
-    near = lambda c: F.floor(F.col(c) / step + 0.5).cast("bigint")
     out = pairs
     for k, c in zip(KEYS, ("x_a", "y_a", "d")):
-        key = near(c)
+        key = _rounded(c, step)
         if isinstance(region, Rectangle):
             key = F.when(boundary_distance(region, F.col("x_a"), F.col("y_a")) >= step, key)
         out = out.withColumn(k, key)
@@ -81,26 +84,39 @@ def hit_rates(keys: DataFrame, table: DataFrame | None = None) -> DataFrame:
     return got.select("pairs", "misses", hits.alias("hits"), F.when(F.col("pairs") > 0, 100.0 * hits / F.col("pairs")).alias("hit_percent"))
 
 
-def pattern_pairs(points: DataFrame, region: Region, scale: Scale, step: float) -> DataFrame:
-    """Keyed pairs of a pattern with itself up to the scale's largest distance, with multiplicities."""
+def pattern_pairs(points: DataFrame, region: Region, scale: Scale, step: float, part: bool = False) -> DataFrame:
+    """Keyed pairs of a pattern with itself up to the scale's largest distance, with multiplicities; part as in distance_join()."""
     sites = fold(points, "x", "y")
-    return keyed(distance_join(sites, sites, scale.R), region, step)
+    return keyed(distance_join(sites, sites, scale.R, part=part), region, step)
 
 
 def space_k(points: DataFrame, region: Region, scale: Scale, step: float, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(curve, added): kfunction.space_k() by rounded weights, and what the table lacked.
 
-    Pairs of one key and bin are summed before they meet the table. extended(table, added) serves the next run. An empty
+    Pairs of one key and bin are summed, first where they are found, and dealt once, by key; the table is looked up there and what
+    it lacks is computed in place. extended(table, added) serves the next run. An empty
     pattern gives a curve of zeros.
     """
     n = _count(points)
-    pairs = pattern_pairs(points, region, scale, step)
+    pairs = pattern_pairs(points, region, scale, step, part=True)
     added = new_weights(pairs, region, step, table)
     both = F.col("cnt_a") * F.col("cnt_b")
     loose = F.when(F.col("kr").isNull(), F.struct("x_a", "y_a", "d"))
-    summed = pairs.groupBy(*KEYS, space_bin(scale, F.col("d")).alias("i"), loose.alias("own")).agg(F.sum(both).alias("many"))
-    summed = summed.select(*KEYS, "i", "own.*", "many")
-    value = weighed(summed, region, extended(table, added))
+    # rounded places deal the pairs that have no key, too
+    at = [f"{k}_at" for k in KEYS]
+    place = [_rounded(c, step).alias(k) for k, c in zip(at, ("x_a", "y_a", "d"))]
+    bins = pairs.groupBy("part", *place, space_bin(scale, F.col("d")).alias("i"), loose.alias("own")).agg(F.sum(both).alias("many"))
+    summed = bins.repartition(parts_of(points.sparkSession, n * scale.S), *at).groupBy(*at, "i", "own").agg(F.sum("many").alias("many"))
+    held = F.lit(None).cast("double")
+    if table is not None:
+        known = table.select(*KEYS, F.col("w").alias("held"))
+        same = F.col("own").isNull()
+        for k, key in zip(at, KEYS):
+            same &= summed[k] == known[key]
+        summed, held = summed.join(known, same, "left").drop(*KEYS), F.col("held")
+    own = lambda c, k: F.coalesce(F.col(f"own.{c}"), F.col(k) * step)
+    todo = summed.withColumns({"x": own("x_a", at[0]), "y": own("y_a", at[1]), "r": F.when(held.isNull(), own("d", at[2]))})
+    value = _exact(todo, region, "x", "y", "r").withColumn("w", F.coalesce(held, F.col("w")))
     sums = cumulate_space(value.groupBy("i").agg(F.sum("many").alias("pairs"), F.sum(F.col("w") * F.col("many")).alias("sigma")), scale)
     lam = n / region.area if region.area else n
     k = (F.col("sigma") - n) / (n * lam) if n else F.lit(0.0)

@@ -134,3 +134,18 @@ def test_points_on_a_circle_are_not_lost_by_rounding(spark):
 
 
 EDGE_ON = ((6.73, 2.73, 4.0), (0.45, -0.05, 0.5), (0.68, -0.32, 1.0), (2.85, 0.85, 2.0))
+
+
+def test_sums_per_point_and_per_key_are_dealt_once(spark):
+    from pointloom.operators import kfunction, weighttable
+    from pointloom.sources.boundary import Rectangle
+
+    p, box, scale = crowd(spark, 60), Rectangle(-1.0, 41.0, -1.0, 41.0), kfunction.Scale(3.0, 3)
+    plan = kfunction.local_k(p, box, scale)._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan and plan.count("Exchange ") == 3
+    table = weighttable.new_weights(weighttable.pattern_pairs(p.where("pid < 30"), box, scale, 0.25), box, 0.25)
+    curve, _ = weighttable.space_k(p, box, scale, 0.25, table)
+    plan = curve._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2  # the table's pairs and the pattern's, each found once
+    alone, _ = weighttable.space_k(p, box, scale, 0.25)
+    assert [(r["pairs"], round(r["sigma"], 6)) for r in curve.orderBy("i").collect()] == [(r["pairs"], round(r["sigma"], 6)) for r in alone.orderBy("i").collect()]
