@@ -67,6 +67,11 @@ def temporal_weight(unit: str, t: Column, tau: Column, t0: Column, t1: Column) -
     return F.when((t < t0) | (t > t1), 0.0).when((tau == 0) | inside, 1.0).otherwise(2.0)
 
 
+def free_weight(tau: Column, free: Column) -> Column:
+    """temporal_weight() of a time with free_units()."""
+    return F.when(free < 0, 0.0).when(tau <= free, 1.0).otherwise(2.0)
+
+
 def _ragged(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, item) of runs of items: count[i] items from first[i] on belong to i."""
     owner = np.repeat(np.arange(len(count)), count)

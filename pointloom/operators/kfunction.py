@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.shared import with_translation_weight
-from ..functions.timeunits import Unit, distance, shift
-from ..functions.weights import boundary_distance, polygon_distance, polygon_weight, temporal_weight, translation_weight, with_rectangle_weight
+from ..functions.timeunits import Unit, clock, clock_distance, free_units, shift
+from ..functions.weights import boundary_distance, free_weight, polygon_distance, polygon_weight, translation_weight, with_rectangle_weight
 from ..sources.boundary import Rectangle, Region
 from ..sources.points import fold
 from .pairs import distance_join, parts_of, st_join
@@ -59,6 +59,22 @@ def time_bin(scale: Scale, tau: Column) -> Column:
     return F.greatest(F.ceil(tau / F.lit(scale.lag)), F.lit(1)).cast("int") if scale.lag else F.lit(1)
 
 
+def timed(points: DataFrame, scale: Scale) -> DataFrame:
+    """points with the clock of their time: worked out once a point, not once a pair."""
+    return points.withColumn("clock", clock(scale.unit, F.col("t")))
+
+
+def with_free(points: DataFrame, region: Region, scale: Scale) -> DataFrame:
+    """points with free, the units up to T that they are inside the region's interval."""
+    t0, t1 = (F.lit(t).cast("timestamp_ntz") for t in (region.t0, region.t1))
+    return points.withColumn("free", free_units(scale.unit, F.col("t"), t0, t1, scale.T))
+
+
+def tau_of(scale: Scale) -> Column:
+    """Distance in time of the pairs of timed() points."""
+    return clock_distance(scale.unit, F.col("clock_a"), F.col("clock_b"))
+
+
 def weigh(pairs: DataFrame, region: Region, correction: str = "isotropic", reach: float | None = None) -> DataFrame:
     """Add the spatial weight w of pairs (a, b).
 
@@ -113,14 +129,29 @@ def space_grid(spark: SparkSession, scale: Scale) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(scale.S))).alias("i"))
 
 
+def _upto(n: int) -> Column:
+    return F.sequence(F.lit(1), F.lit(n))
+
+
+def _with_zeros(cells: DataFrame, within: tuple[str, ...], zeros: Column) -> DataFrame:
+    """cells and, for each of their groups, those of the array zeros that it lacks.
+
+    A join with the groups' list would find all pairs of points once more to get that list.
+    """
+    names = [c for c in cells.columns if c not in within]
+    per = cells.groupBy(*within).agg(F.collect_list(F.struct(*names)).alias("held"))
+    every = per.select(*within, F.explode(F.concat("held", zeros.cast(per.schema["held"].dataType))).alias("c")).select(*within, "c.*")
+    keys, sums = [c for c in names if c in ("i", "j")], [c for c in names if c not in ("i", "j")]
+    return every.groupBy(*within, *keys).agg(*(F.sum(c).alias(c) for c in sums))
+
+
 def cumulate_space(binned: DataFrame, scale: Scale, *within: str) -> DataFrame:
     """Running sums of binned (i, pairs, sigma) over all thresholds, empty ones included."""
-    spark = binned.sparkSession
-    grid = space_grid(spark, scale)
+    kept = binned.where(F.col("i") <= scale.S)
     if within:
-        groups = binned.select(*within).distinct()
-        grid = groups.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(scale.S))))
-    full = grid.join(binned.where(F.col("i") <= scale.S), [*within, "i"], "left").fillna({"pairs": 0, "sigma": 0.0})
+        full = _with_zeros(kept, within, F.transform(_upto(scale.S), lambda i: F.struct(i.alias("i"), F.lit(0).cast("bigint").alias("pairs"), F.lit(0.0).alias("sigma"))))
+    else:
+        full = space_grid(binned.sparkSession, scale).join(kept, "i", "left").fillna({"pairs": 0, "sigma": 0.0})
     return full.select(*within, "i", (scale.step * F.col("i")).alias("d"), _run(full, "pairs", "i", *within).alias("pairs"), _run(full, "sigma", "i", *within).alias("sigma"))
 
 
@@ -188,9 +219,8 @@ def border_st(points: DataFrame, region: Region, scale: Scale) -> DataFrame:
     fits = lambda j: (shift(scale.unit, F.col("t"), -lag(j)) >= t0) & (shift(scale.unit, F.col("t"), lag(j)) <= t1)
     sites = _border_sites(points, region, scale, "x", "y", "t").where("hi >= 1")
     sites = sites.withColumn("late", F.size(F.filter(F.sequence(F.lit(1), F.lit(scale.U)), fits))).where("late >= 1")
-    pairs = st_join(sites, fold(points, "x", "y", "t"), scale.R, scale.T, scale.unit)
-    tau = distance(scale.unit, F.col("t_a"), F.col("t_b"))
-    kept = pairs.select((F.col("cnt_a") * F.col("cnt_b")).alias("c"), space_bin(scale, F.col("d")).alias("i0"), F.col("hi_a").alias("i1"), time_bin(scale, tau).alias("j0"), F.col("late_a").alias("j1"))
+    pairs = st_join(timed(sites, scale), timed(fold(points, "x", "y", "t"), scale), scale.R, scale.T, scale.unit)
+    kept = pairs.select((F.col("cnt_a") * F.col("cnt_b")).alias("c"), space_bin(scale, F.col("d")).alias("i0"), F.col("hi_a").alias("i1"), time_bin(scale, tau_of(scale)).alias("j0"), F.col("late_a").alias("j1"))
     kept = kept.where("i0 <= i1 AND j0 <= j1")
     # four changes a pair, at the corners of its block of thresholds; running sums along both axes give the counts
     corner = lambda i, j, sign: F.struct(i.alias("i"), j.alias("j"), (F.col("c") * sign).alias("c"))
@@ -209,22 +239,22 @@ def border_st(points: DataFrame, region: Region, scale: Scale) -> DataFrame:
 
 def st_sums(points: DataFrame, region: Region, scale: Scale, correction: str = "isotropic") -> DataFrame:
     """Weighted sums per cell: i, j, d, tau, sigma, for all i from 1 to S and j from 1 to U."""
-    sites = fold(points, "x", "y", "t")
-    pairs = weighed_pairs(sites, sites, region, lambda a, b: st_join(a, b, scale.R, scale.T, scale.unit), scale.R, correction)
-    tau = distance(scale.unit, F.col("t_a"), F.col("t_b"))
-    w_t = temporal_weight(scale.unit, F.col("t_a"), F.col("tau"), F.lit(region.t0).cast("timestamp_ntz"), F.lit(region.t1).cast("timestamp_ntz"))
-    value = F.col("w") * w_t * F.col("cnt_a") * F.col("cnt_b")
-    cells = pairs.withColumn("tau", tau).groupBy(space_bin(scale, F.col("d")).alias("i"), time_bin(scale, F.col("tau")).alias("j")).agg(F.sum(value).alias("sigma"))
+    sites = timed(fold(points, "x", "y", "t"), scale)
+    pairs = weighed_pairs(with_free(sites, region, scale), sites, region, lambda a, b: st_join(a, b, scale.R, scale.T, scale.unit), scale.R, correction)
+    value = F.col("w") * free_weight(F.col("tau"), F.col("free_a")) * F.col("cnt_a") * F.col("cnt_b")
+    cells = pairs.withColumn("tau", tau_of(scale)).groupBy(space_bin(scale, F.col("d")).alias("i"), time_bin(scale, F.col("tau")).alias("j")).agg(F.sum(value).alias("sigma"))
     return cumulate_st(cells, scale)
 
 
 def cumulate_st(cells: DataFrame, scale: Scale, *within: str) -> DataFrame:
     """Running sums of cells (i, j, sigma) along both axes, over the full grid."""
-    spark = cells.sparkSession
-    base = cells.select(*within).distinct() if within else spark.range(1).select()
-    grid = base.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(scale.S)))).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(scale.U))))
     kept = cells.where((F.col("i") <= scale.S) & (F.col("j") <= scale.U))
-    full = grid.join(kept, [*within, "i", "j"], "left").fillna({"sigma": 0.0})
+    if within:
+        row = lambda i: F.transform(_upto(scale.U), lambda j: F.struct(i.alias("i"), j.alias("j"), F.lit(0.0).alias("sigma")))
+        full = _with_zeros(kept, within, F.flatten(F.transform(_upto(scale.S), row)))
+    else:
+        grid = space_grid(cells.sparkSession, scale).withColumn("j", F.explode(_upto(scale.U)))
+        full = grid.join(kept, ["i", "j"], "left").fillna({"sigma": 0.0})
     full = full.withColumn("sigma", _run(full, "sigma", "i", *within, "j"))
     full = full.withColumn("sigma", _run(full, "sigma", "j", *within, "i"))
     return full.select(*within, "i", "j", (scale.step * F.col("i")).alias("d"), (F.lit(scale.lag).cast("bigint") * F.col("j")).alias("tau"), "sigma")
