@@ -12,10 +12,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timeunits import distance, shift
-from ..functions.weights import polygon_distance, temporal_weight
+from ..functions.timeunits import Unit, clock_distance, day_of, distance, micros, shift, unit_micros
+from ..functions.weights import free_weight, polygon_distance, temporal_weight
 from ..sources.boundary import Rectangle, Region
-from .kfunction import Scale, cumulate_space, cumulate_st, l_space, l_st, space_bin, time_bin, weighed_pairs
+from .kfunction import Scale, cumulate_space, cumulate_st, l_space, l_st, space_bin, tau_of, time_bin, timed, weighed_pairs, with_free
 from .pairs import distance_join, slots, st_join
 
 
@@ -98,10 +98,10 @@ def monte_carlo(spark: SparkSession, region: Region, n: int, sims: int, spare: f
 
 
 def _per_point(points: DataFrame, drawn: DataFrame, value: str, sims: int, first: int, other=None) -> DataFrame:
-    """points (pid, x, y) with one array, value per simulation; other stands where a point wasn't drawn."""
+    """points (pid, x, y) with one array, value per simulation; other, or null, stands where a point wasn't drawn."""
     held = F.map_from_entries(F.collect_list(F.struct("sim", value)))
     per = drawn.groupBy("pid").agg(held.alias("held"))
-    both = points.select("pid", "x", "y").join(per, "pid", "left" if other is not None else "inner")
+    both = points.select("pid", "x", "y").join(per, "pid", "left")  # to count the points, no draws are needed
     pick = lambda k: F.coalesce(F.try_element_at("held", k), other) if other is not None else F.try_element_at("held", k)
     return both.select("pid", "x", "y", F.transform(_numbers(sims, first), pick).alias("drawn"))
 
@@ -113,8 +113,8 @@ def simulated_pairs(left: DataFrame, right: DataFrame, region: Region, scale: Sc
     the simulations of a pair are rows only within the task that sums them up.
     """
     pairs = weighed_pairs(left, right, region, lambda a, b: distance_join(a, b, scale.R), scale.R)
-    kept = pairs.select("pid_a", "x_a", "y_a", space_bin(scale, F.col("d")).alias("i"), "w", F.posexplode(F.arrays_zip("drawn_a", "drawn_b")).alias("k", "z"))
-    return kept.select("pid_a", "x_a", "y_a", (F.col("k") + first).alias("sim"), "i", "w", F.col("z.drawn_a").alias("a"), F.col("z.drawn_b").alias("b"))
+    kept = pairs.select("pid_a", "x_a", "y_a", space_bin(scale, F.col("d")).alias("i"), "w", "drawn_b", F.posexplode("drawn_a").alias("k", "a"))
+    return kept.select("pid_a", "x_a", "y_a", (F.col("k") + first).alias("sim"), "i", "w", "a", F.get("drawn_b", F.col("k")).alias("b"))
 
 
 def _envelope(curves: DataFrame, *cell: str) -> DataFrame:
@@ -174,14 +174,21 @@ def local_envelope(points: DataFrame, region: Region, scale: Scale, sims: int) -
 def st_envelope(points: DataFrame, region: Region, scale: Scale, sims: int) -> DataFrame:
     """i, j, d, tau, l_min, l_max of patterns with permuted times; no rows without simulations."""
     n = points.count()
-    t0, t1 = (F.lit(t).cast("timestamp_ntz") for t in (region.t0, region.t1))
+    u, a, b = unit_micros(scale.unit), F.col("a"), F.col("b")
+    if u:  # draws are microseconds: no calendar arithmetic per pair and simulation
+        begin, end = micros(region.t0), micros(region.t1)
+        near, reach = F.abs(b - a) <= F.lit(scale.T * u).cast("bigint"), F.col("tau") * F.lit(u).cast("bigint")
+        tau = clock_distance(scale.unit, *((day_of(a), day_of(b)) if Unit.of(scale.unit) is Unit.DAYS else (a, b)))
+        w_t = F.when((a < begin) | (a > end), 0.0).when((a - reach >= begin) & (a + reach <= end), 1.0).otherwise(2.0)
+    else:
+        t0, t1 = (F.lit(t).cast("timestamp_ntz") for t in (region.t0, region.t1))
+        near, tau = (b >= shift(scale.unit, a, -scale.T)) & (b <= shift(scale.unit, a, scale.T)), distance(scale.unit, a, b)
+        w_t = temporal_weight(scale.unit, a, F.col("tau"), t0, t1)
 
     def sums(first: int, many: int) -> DataFrame:
-        drawn = _per_point(points, permuted_times(points, many, first), "t", many, first)
-        both = simulated_pairs(drawn, drawn, region, scale, first)
-        near = (F.col("b") >= shift(scale.unit, F.col("a"), -scale.T)) & (F.col("b") <= shift(scale.unit, F.col("a"), scale.T))
-        both = both.where(near).withColumn("tau", distance(scale.unit, F.col("a"), F.col("b")))
-        w_t = temporal_weight(scale.unit, F.col("a"), F.col("tau"), t0, t1)
+        dealt = permuted_times(points, many, first)
+        drawn = _per_point(points, dealt.withColumn("t", micros(F.col("t"))) if u else dealt, "t", many, first)
+        both = simulated_pairs(drawn, drawn, region, scale, first).where(near).withColumn("tau", tau)
         return both.groupBy("sim", "i", time_bin(scale, F.col("tau")).alias("j")).agg(F.sum(F.col("w") * w_t).alias("sigma"))
 
     cells = _in_blocks(sims, sums)
@@ -216,10 +223,10 @@ def csr_st_envelope(spark: SparkSession, region: Region, n: int, scale: Scale, s
     """i, j, d, tau, l_min, l_max of n points random in the region and its time; no rows without simulations or points."""
     if region.t0 is None:
         raise ValueError("the region needs a time interval")
-    drawn = monte_carlo(spark, region, n, sims).select("sim", "x", "y", "t")
+    drawn = timed(monte_carlo(spark, region, n, sims).select("sim", "x", "y", "t"), scale)
     near = lambda a, b: st_join(a, b, scale.R, scale.T, scale.unit, by=("sim",))
-    pairs = weighed_pairs(drawn, drawn, region, near, scale.R).withColumn("tau", distance(scale.unit, F.col("t_a"), F.col("t_b")))
-    w_t = temporal_weight(scale.unit, F.col("t_a"), F.col("tau"), F.lit(region.t0).cast("timestamp_ntz"), F.lit(region.t1).cast("timestamp_ntz"))
+    pairs = weighed_pairs(with_free(drawn, region, scale), drawn, region, near, scale.R).withColumn("tau", tau_of(scale))
+    w_t = free_weight(F.col("tau"), F.col("free_a"))
     cells = pairs.groupBy(F.col("sim_a").alias("sim"), space_bin(scale, F.col("d")).alias("i"), time_bin(scale, F.col("tau")).alias("j"))
     sums = cumulate_st(cells.agg(F.sum(F.col("w") * w_t).alias("sigma")), scale, "sim")
     k = (F.col("sigma") - n) / (n * (n / region.volume(scale.unit))) if n else F.lit(0.0)

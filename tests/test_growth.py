@@ -47,3 +47,31 @@ def test_no_calendar_functions_above_the_join(spark, unit):
         plan = plan_of(got)
         work = plan[: plan.index("ShuffledHashJoin")].lower()
         assert not any(f in work for f in ("timestampadd", "timestampdiff", "datediff", "dayofmonth", "month("))
+
+
+def test_an_envelope_finds_pairs_once(spark):
+    p = crowd(spark, 60).withColumn("t", F.lit(BEGIN).cast("timestamp_ntz") + F.make_dt_interval((F.col("pid") % 50).cast("int")))
+    scale = kfunction.Scale(1.5, 3, 4, 2)
+    for got in (simulate.st_envelope(p, BOX, scale, 3), simulate.space_envelope(p, BOX, scale, 3), simulate.csr_envelope(spark, BOX, 30, scale, 3)):
+        assert plan_of(got).count("ShuffledHashJoin") == 1
+    # groups of simulations: empty thresholds are there, simulations without any cell are not
+    cells = spark.createDataFrame([(1, 2, 1, 5.0), (4, 1, 2, 7.0)], "sim int, i int, j int, sigma double")
+    full = kfunction.cumulate_st(cells, scale, "sim")
+    assert full.count() == 2 * 3 * 2
+    assert some(full.where("sigma > 0"), "sim", "i", "j", "sigma") == [(1, 2, 1, 5.0), (1, 2, 2, 5.0), (1, 3, 1, 5.0), (1, 3, 2, 5.0), (4, 1, 2, 7.0), (4, 2, 2, 7.0), (4, 3, 2, 7.0)]
+
+
+@pytest.mark.parametrize("unit", ["DAYS", "HOURS", "MONTHS"])
+def test_space_time_envelope_equals_the_curves(spark, unit):
+    rnd = random.Random(9)
+    rows = [(k, rnd.uniform(0, 9), rnd.uniform(0, 9), BEGIN + timedelta(minutes=rnd.randint(0, 86_000))) for k in range(80)]
+    p = spark.createDataFrame(rows, "pid long, x double, y double, t timestamp_ntz")
+    box, scale = Rectangle(-1.0, 10.0, -1.0, 10.0, BEGIN, END), kfunction.Scale(3.0, 3, {"DAYS": 6, "HOURS": 90, "MONTHS": 2}[unit], 2, unit)
+    times = {(r["sim"], r["pid"]): r["t"] for r in simulate.permuted_times(p, 2).collect()}
+    curves = []
+    for sim in (1, 2):
+        q = spark.createDataFrame([(k, x, y, times[sim, k]) for k, x, y, _ in rows], p.schema)
+        curves.append({(r["i"], r["j"]): r["l"] for r in kfunction.st_k(q, box, scale).collect()})
+    for r in simulate.st_envelope(p, box, scale, 2).collect():
+        both = [c[r["i"], r["j"]] for c in curves]
+        assert (r["l_min"], r["l_max"]) == (pytest.approx(min(both)), pytest.approx(max(both)))
