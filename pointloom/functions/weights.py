@@ -157,15 +157,25 @@ class EdgeIndex:
 
     def distance(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Distance to the nearest edge, negative outside, no more than reach."""
-        out = np.full(len(x), np.inf if self.reach is None else self.reach)
+        return self.distances(x, y)[0]
+
+    def distances(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distance(), distance to the second nearest edge), both no more than reach."""
+        out = np.full((2, len(x)), np.inf if self.reach is None else self.reach)
         first, count = self._near(x, y)
         for s in _chunks(count):
             owner, item = _ragged(first[s], count[s])
-            e, part = self._edges(item), out[s]
+            e = self._edges(item)
             fx, fy, dx, dy = x[s][owner] - self.a[e, 0], y[s][owner] - self.a[e, 1], self.d[e, 0], self.d[e, 1]
             along = np.clip((fx * dx + fy * dy) / (dx * dx + dy * dy), 0, 1)
-            np.minimum.at(part, owner, np.hypot(fx - along * dx, fy - along * dy))
-        return np.where(self.inside(x, y), out, -out)
+            far = np.hypot(fx - along * dx, fy - along * dy)
+            far = far[np.lexsort((far, owner))]
+            begin = np.cumsum(count[s]) - count[s]
+            for k in (0, 1):
+                has = count[s] > k
+                part = out[k, s]
+                part[has] = np.minimum(part[has], far[begin[has] + k])
+        return np.where(self.inside(x, y), out[0], -out[0]), out[1]
 
     def weights(self, x: np.ndarray, y: np.ndarray, r: np.ndarray) -> np.ndarray:
         """Weights of circles (x, y, r), r within reach: each is cut where it crosses an edge, and an arc counts if its midpoint lies inside."""
@@ -248,6 +258,22 @@ def polygon_distance(spark: SparkSession, region: Region, reach: float | None =
     return F.arrow_udf(run, "double")
 
 
+def polygon_distances(spark: SparkSession, region: Region, reach: float):
+    """Function of columns (x, y): struct of edge, as polygon_distance(), and second, the distance to the second nearest edge."""
+    shared = spark.sparkContext.broadcast(edge_index(region, reach))
+
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        both = shared.value.distances(*(c.to_numpy(zero_copy_only=False).astype(float) for c in (x, y)))
+        return pa.StructArray.from_arrays([pa.array(d) for d in both], ["edge", "second"])
+
+    return F.arrow_udf(run, "edge double, second double")
+
+
+def one_edge_weight(edge: Column, r: Column) -> Column:
+    """Weight of a circle that no edge but the nearest one, edge away, can cross: a chord cuts off the rest."""
+    return F.when(r <= edge, 1.0).otherwise(math.pi / (math.pi - F.acos(F.least(edge / r, F.lit(1.0)))))
+
+
 def translation_weight(box: Rectangle, dx: Column, dy: Column) -> Column:
     """Area over the area shared with the rectangle moved by (dx, dy); 100 at most."""
     w, h = box.x1 - box.x0, box.y1 - box.y0

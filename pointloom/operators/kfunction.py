@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import with_translation_weight
 from ..functions.timeunits import Unit, clock, clock_distance, free_units, shift
-from ..functions.weights import boundary_distance, free_weight, polygon_distance, polygon_weight, translation_weight, with_rectangle_weight
+from ..functions.weights import boundary_distance, free_weight, one_edge_weight, polygon_distance, polygon_distances, polygon_weight, translation_weight, with_rectangle_weight
 from ..sources.boundary import Rectangle, Region
 from ..sources.points import fold
 from .pairs import distance_join, parts_of, st_join
@@ -78,8 +78,8 @@ def tau_of(scale: Scale) -> Column:
 def weigh(pairs: DataFrame, region: Region, correction: str = "isotropic", reach: float | None = None) -> DataFrame:
     """Add the spatial weight w of pairs (a, b).
 
-    Pairs whose circle lies in the region by the centre's distance to the boundary get 1 without
-    further work (polygons: column edge_a). reach is the largest distance of a pair. Corrections:
+    Pairs whose circle lies in the region by the centre's distance to the boundary, or meets no edge but the nearest, have
+    a closed form (polygons: columns edge_a and second_a). reach is the largest distance of a pair. Corrections:
     isotropic, translation, none; border is a choice of centres, see border_space() and border_st().
     """
     x, y, d = F.col("x_a"), F.col("y_a"), F.col("d")
@@ -93,20 +93,25 @@ def weigh(pairs: DataFrame, region: Region, correction: str = "isotropic", reach
         raise ValueError(f"no such correction: {correction}")
     if isinstance(region, Rectangle):
         return with_rectangle_weight(pairs, region, "x_a", "y_a", "d")
-    return pairs.withColumn("w", polygon_weight(pairs.sparkSession, region, reach)(x, y, F.when(d > F.col("edge_a"), d)))
+    plain = (F.col("edge_a") > 0) & (d <= F.col("second_a"))
+    cut = polygon_weight(pairs.sparkSession, region, reach)(x, y, F.when(~plain, d))
+    return pairs.withColumn("w", F.when(plain, one_edge_weight(F.col("edge_a"), d)).otherwise(cut))
 
 
 def weighed_pairs(left: DataFrame, right: DataFrame, region: Region, join: Callable[[DataFrame, DataFrame], DataFrame], reach: float, correction: str = "isotropic") -> DataFrame:
     """Pairs that join finds, at most reach apart, with their spatial weight w.
 
-    In a polygon the centres at least reach inside are joined apart: their weight is 1, and their pairs
-    never leave the JVM. Only pairs of centres near the boundary go through Arrow.
+    In a polygon the centres with one edge at most within reach are joined apart: their weights have a closed form, and their
+    pairs never leave the JVM. Only pairs of centres near corners, between edges or outside go through Arrow.
     """
     if isinstance(region, Rectangle) or correction != "isotropic":
         return weigh(join(left, right), region, correction, reach)
-    sites = left.withColumn("edge", polygon_distance(left.sparkSession, region, reach)(F.col("x"), F.col("y")))
-    clear = join(sites.where(F.col("edge") >= reach), right).withColumn("w", F.lit(1.0))
-    return clear.unionByName(weigh(join(sites.where(F.col("edge") < reach), right), region, correction, reach))
+    near = polygon_distances(left.sparkSession, region, reach)(F.col("x"), F.col("y"))
+    sites = left.withColumn("near", near).select(*left.columns, "near.edge", "near.second")
+    alone = (F.col("edge") > 0) & (F.col("second") >= reach)
+    plain = join(sites.where(alone), right)
+    plain = plain.withColumn("w", one_edge_weight(F.col("edge_a"), F.col("d")))
+    return plain.unionByName(weigh(join(sites.where(~alone), right), region, correction, reach))
 
 
 def _run(df: DataFrame, value: str, along: str, *within: str) -> Column:

@@ -75,3 +75,35 @@ def test_space_time_envelope_equals_the_curves(spark, unit):
     for r in simulate.st_envelope(p, box, scale, 2).collect():
         both = [c[r["i"], r["j"]] for c in curves]
         assert (r["l_min"], r["l_max"]) == (pytest.approx(min(both)), pytest.approx(max(both)))
+
+
+def test_weights_at_one_edge_are_a_closed_form(spark, monkeypatch):
+    """Circles that cross one edge only never leave the JVM."""
+
+    def refuse(*_):
+        def run(x, y, r):
+            raise AssertionError("sent to Arrow")
+
+        return F.arrow_udf(run, "double")
+
+    rnd = random.Random(2)
+    p = spark.createDataFrame([(k, rnd.uniform(0.1, 3), rnd.uniform(20, 30)) for k in range(80)], "pid long, x double, y double")
+    house = Polygon(((0, 0), (0, 50), (40, 50), (40, 0), (0, 0)))
+    scale = kfunction.Scale(4.0, 2)
+    want = [r["sigma"] for r in kfunction.space_sums(p, p, Rectangle(0.0, 40.0, 0.0, 50.0), scale).orderBy("i").collect()]
+    monkeypatch.setattr(kfunction, "polygon_weight", refuse)
+    got = [r["sigma"] for r in kfunction.space_sums(p, p, house, scale).orderBy("i").collect()]
+    assert got == pytest.approx(want)
+
+
+def test_weights_at_corners_holes_and_outside(spark):
+    """The pairs' weights by parts equal those of the polygon's circles."""
+    rnd = random.Random(4)
+    rings = (((0, 0), (0, 12), (5, 12), (5, 5), (6, 5), (6, 12), (14, 12), (14, 0), (0, 0)), ((7, 2), (9, 2), (9, 3), (7, 3), (7, 2)))
+    house = Polygon(rings[0], (rings[1],))
+    p = spark.createDataFrame([(k, rnd.uniform(-1, 15), rnd.uniform(-1, 13)) for k in range(250)], "pid long, x double, y double")
+    found = kfunction.weighed_pairs(p, p, house, lambda a, b: pairs.distance_join(a, b, 2.0), 2.0).collect()
+    x, y, d, w = (np.array([r[c] for r in found]) for c in ("x_a", "y_a", "d", "w"))
+    apart = d > 0
+    assert len(found) > 2000
+    assert np.allclose(w[apart], weights.edge_index(house, 2.0).weights(x[apart], y[apart], d[apart]), rtol=1e-6)
