@@ -113,9 +113,12 @@ def with_translation_weight(pairs: DataFrame, region: Region, reach: float, step
     out = pairs.withColumns({"__u": up * (F.col("x_b") - F.col("x_a")) / step, "__v": up * (F.col("y_b") - F.col("y_a")) / step})
     cell = lambda c, least: F.least(F.greatest(F.floor(c), F.lit(least)), F.lit(steps - 1))
     out = out.withColumns({"ci": cell("__u", -steps), "cj": cell("__v", 0)})
-    out = out.join(F.broadcast(shared_cells(pairs, region, reach, steps)), ["ci", "cj"])
+    # one whole number as the key: a table of these is looked up by place, not by hash
+    number = F.col("ci") * F.lit(steps) + F.col("cj")
+    areas = shared_cells(pairs, region, reach, steps).select(number.alias("__cell"), "s00", "s10", "s01", "s11")
+    out = out.withColumn("__cell", number).join(F.broadcast(areas), "__cell")
     u, v = F.col("__u") - F.col("ci"), F.col("__v") - F.col("cj")
     area = (1 - u) * (1 - v) * F.col("s00") + u * (1 - v) * F.col("s10") + (1 - u) * v * F.col("s01") + u * v * F.col("s11")
     out = out.withColumn("__s", area)
     w = F.when(F.col("__s") > 0, F.least(F.lit(MOST), F.lit(region.area) / F.col("__s"))).otherwise(MOST)
-    return out.withColumn("w", w).drop("ci", "cj", "__u", "__v", "__s", "s00", "s01", "s10", "s11")
+    return out.withColumn("w", w).drop("__cell", "ci", "cj", "__u", "__v", "__s", "s00", "s01", "s10", "s11")

@@ -107,3 +107,12 @@ def test_weights_at_corners_holes_and_outside(spark):
     apart = d > 0
     assert len(found) > 2000
     assert np.allclose(w[apart], weights.edge_index(house, 2.0).weights(x[apart], y[apart], d[apart]), rtol=1e-6)
+
+
+def test_shared_areas_are_looked_up_by_place(spark):
+    from pointloom.functions.shared import with_translation_weight
+
+    p = crowd(spark, 60)
+    house = Polygon(((-1, -1), (-1, 41), (41, 41), (41, -1), (-1, -1)))
+    plan = plan_of(with_translation_weight(pairs.distance_join(p, p, 1.5), house, 1.5))
+    assert "BroadcastHashJoin [__cell#" in plan
