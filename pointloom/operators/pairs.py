@@ -3,9 +3,10 @@
 A cell of the distance joins is just over one radius wide, so partners lie in the 3 x 3 cells around
 a point. In time a cell is as long as the span, or as its longest calendar form, and three are looked at.
 What is shuffled are tiles of TILE_CELLS cells a side: a left row goes to its own tile, a right row
-also to those that it borders on. Only within a task is a left row repeated for the cells around it,
+also to those that it borders on. Rows travel without cells in space, tiles and limits of time, which a task works out
+again. Only there is a left row repeated for the cells around it,
 each of which is looked up in a hash table of the right rows; the exact test is the join's residual
-condition. Each pair is found once.
+condition. Each pair is found once. The cell in time does travel: it costs more to work out than to send.
 
 Tiles, and cells of box joins, are counted before the join. The left rows of one with many pairs are dealt
 to shares, and its right rows are copied to each of them, so that it is pairs that are balanced, not bytes.
@@ -79,16 +80,22 @@ def parts_of(spark: SparkSession, rows: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
 
 
+def _cells(r: float, length: int | None, side: str = "") -> dict[str, Column]:
+    """Cells of a row in space and, if there is a length, in time; side: suffix of the row's columns."""
+    size = r * (1 + 1e-9) if r > 0 else 1.0
+    cells = {"cx": F.floor(F.col(f"x{side}") / size), "cy": F.floor(F.col(f"y{side}") / size)}
+    if length is not None:
+        cells["ct"] = F.floor(seconds_of(F.col(f"t{side}")) / F.lit(length))
+    return cells
+
+
 def _sides(left: DataFrame, right: DataFrame, r: float, length: int | None = None, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides with their cells; length: seconds of a time cell.
 
     Columns by, which both sides have, are further keys.
     """
     require_same_crs(crs_of(left), crs_of(right))
-    size = r * (1 + 1e-9) if r > 0 else 1.0
-    cells = {"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)}
-    if length is not None:
-        cells["ct"] = F.floor(seconds_of(F.col("t")) / F.lit(length))
+    cells = _cells(r, length)
     keys = cells | {f"cell_{c}": F.col(c) for c in by}
     a = left.select(*_suffixed(left, "a"), *(v.alias(k) for k, v in keys.items()))
     b = right.select(*_suffixed(right, "b"), *(v.alias(k) for k, v in keys.items()))
@@ -111,6 +118,17 @@ def _tiled(df: DataFrame, cells: list[str], around: bool) -> DataFrame:
     return df
 
 
+def _steps(cells: list[str]) -> Column:
+    """One number for how far a row's tile lies from that of its cell: two bits for each axis."""
+    far = [F.shiftleft((F.col(f"tile_{c}") - _tile(F.col(c)) + 1).cast("int"), 2 * k) for k, c in enumerate(cells)]
+    return sum(far[1:], far[0])
+
+
+def _stepped(cells: list[str], steps: Column) -> dict[str, Column]:
+    """The tile that _steps() was made of."""
+    return {f"tile_{c}": _tile(F.col(c)) + F.shiftright(steps, 2 * k).bitwiseAND(3) - 1 for k, c in enumerate(cells)}
+
+
 def _dealt(a: DataFrame, b: DataFrame, cells: list[str], more: list[str]) -> tuple[DataFrame | None, int, int]:
     """(tiles, left rows, right rows): (tile, shares_a, shares_b) of the tiles that are dealt to several shares, None if there are none.
 
@@ -139,40 +157,45 @@ def _dealt(a: DataFrame, b: DataFrame, cells: list[str], more: list[str]) -> tup
     return F.broadcast(a.sparkSession.createDataFrame(dense.collect(), dense.schema)), *rows
 
 
-def tile_join(a: DataFrame, b: DataFrame, keys: list[str], fits: Column, by: tuple[str, ...] = (), part: bool = False) -> DataFrame:
-    """a and b of neighbouring cells joined on the condition fits; both lose the columns of cells and keys.
+def tile_join(left: DataFrame, right: DataFrame, r: float, fits: Column, length: int | None = None, by: tuple[str, ...] = (), part: bool = False, limits: dict[str, Column] | None = None) -> DataFrame:
+    """The rows of neighbouring cells joined on the condition fits, columns suffixed _a and _b; length and by are those of _sides().
 
     The rows of a tile are dealt by both sides' hashes, so that no task holds more than some PART_ROWS of its right rows;
     rows that are equal in all columns go to one share. With part the number of the task stays as a column: groups
-    by it and others need no shuffle.
+    by it and others need no shuffle. limits are columns of left rows that only fits needs.
     """
+    a, b, keys = _sides(left, right, r, length, by)
     spark, more = a.sparkSession, [f"cell_{c}" for c in by]
     cells = [k for k in keys if k not in more]
     tile = [f"tile_{c}" for c in cells] + more
     dense, left_rows, right_rows = _dealt(a, b, cells, more)
     number = {side: F.pmod(F.xxhash64(*df.columns), F.col(f"shares_{side}").cast("bigint")).cast("int") for side, df in (("a", a), ("b", b))}
     a, b = _tiled(a, cells, False), _tiled(b, cells, True)
-    place = list(tile)
+    shares = []
     if dense is not None:
-        place += ["share_a", "share_b"]
+        shares = ["share_a", "share_b"]
         every = lambda side: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"shares_{side}") - 1, F.lit(0))))
         own = lambda side: F.coalesce(number[side], F.lit(0))
         a = a.join(dense, tile, "left").withColumn("share_a", own("a")).withColumn("share_b", every("b")).drop("shares_a", "shares_b")
         b = b.join(dense, tile, "left").withColumn("share_b", own("b")).withColumn("share_a", every("a")).drop("shares_a", "shares_b")
     parts = parts_of(spark, max(left_rows, right_rows))
     # by number, so that the join on tiles and cells keeps this partitioning
-    task = F.pmod(F.xxhash64(*place), F.lit(parts)).cast("int")
-    a, b = (df.withColumn("part", task).repartitionById(parts, F.col("part")) for df in (a, b))
+    task = F.pmod(F.xxhash64(*tile, *shares), F.lit(parts)).cast("int")
+    a, b = (df.withColumns({"part": task, "steps": _steps(cells)}).drop(*tile, "cx", "cy") for df in (a, b))
+    # a left row's tile is its cell's own
+    a, b = (df.repartitionById(parts, F.col("part")) for df in (a.drop("steps"), b))
+    again = lambda side: _cells(r, None, side) | {f"cell_{c}": F.col(f"{c}{side}") for c in by}
+    a = a.withColumns(again("_a") | (limits or {})).withColumns({f"tile_{c}": _tile(F.col(c)) for c in cells})
+    b = b.withColumns(again("_b")).withColumns(_stepped(cells, F.col("steps"))).drop("steps")
     for c in cells:
         a = a.withColumn(c, F.explode(F.array(*(F.col(c) + n for n in (-1, 0, 1)))))
-    on = ["part", *place, *cells]
+    on = ["part", *tile, *shares, *cells]
     same = a[on[0]] == b[on[0]]
     for k in on[1:]:
         same &= a[k] == b[k]
     joined = a.join(b.hint("shuffle_hash"), same & fits)
-    if part:
-        return joined.select(a["part"], *(c for c in joined.columns if c not in on))
-    return joined.drop(*on)
+    kept = [c for c in joined.columns if c not in on and c not in (limits or {})]
+    return joined.select(*([a["part"]] if part else []), *kept)
 
 
 def within(r: float, boundary: bool = True):
@@ -191,7 +214,7 @@ def distance_join(left: DataFrame, right: DataFrame, r: float, boundary: bool =
     if r < 0:
         raise ValueError("the radius must not be negative")
     dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")
-    return tile_join(*_sides(left, right, r, by=by), within(r, boundary), by, part).withColumn("d", F.sqrt(dx * dx + dy * dy))
+    return tile_join(left, right, r, within(r, boundary), by=by, part=part).withColumn("d", F.sqrt(dx * dx + dy * dy))
 
 
 def nested_loop_join(left: DataFrame, right: DataFrame, r: float, boundary: bool = True) -> DataFrame:
@@ -213,14 +236,13 @@ def st_join(left: DataFrame, right: DataFrame, r: float, span: int, unit: str, b
     """distance_join() with t_b from t_a - span to t_a + span units of calendar arithmetic."""
     if span < 0:
         raise ValueError("the time span must not be negative")
-    a, b, keys = _sides(left, right, r, longest_seconds(unit, span) + 1, by)
-    a = a.withColumns({"lo": shift(unit, F.col("t_a"), -span), "hi": shift(unit, F.col("t_a"), span)})
+    limits = {"lo": shift(unit, F.col("t_a"), -span), "hi": shift(unit, F.col("t_a"), span)}
     when = (F.col("t_b") >= F.col("lo")) & (F.col("t_b") <= F.col("hi"))
     if not boundary:
         when = (F.col("t_b") > F.col("lo")) & (F.col("t_b") < F.col("hi"))
     dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")
-    joined = tile_join(a, b, keys, within(r, boundary) & when, by)
-    return joined.drop("lo", "hi").withColumn("d", F.sqrt(dx * dx + dy * dy))
+    joined = tile_join(left, right, r, within(r, boundary) & when, longest_seconds(unit, span) + 1, by, limits=limits)
+    return joined.withColumn("d", F.sqrt(dx * dx + dy * dy))
 
 
 def _box_cells(boxes: DataFrame, side: str, levels: list[int]) -> DataFrame:

@@ -149,3 +149,27 @@ def test_sums_per_point_and_per_key_are_dealt_once(spark):
     assert plan.count("ShuffledHashJoin") == 2  # the table's pairs and the pattern's, each found once
     alone, _ = weighttable.space_k(p, box, scale, 0.25)
     assert [(r["pairs"], round(r["sigma"], 6)) for r in curve.orderBy("i").collect()] == [(r["pairs"], round(r["sigma"], 6)) for r in alone.orderBy("i").collect()]
+
+
+def test_rows_travel_without_cells_and_tiles(spark):
+    q = crowd(spark, 50).withColumn("t", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    q = q.select(*(F.expr(f"CASE WHEN pid >= 0 THEN {c} END").alias(c) for c in q.columns))  # not a constant
+    for joined, own in ((pairs.distance_join(q.drop("t"), q.drop("t"), 1.5), ["pid", "x", "y"]), (pairs.st_join(q, q, 1.5, 2, "MONTHS"), ["pid", "x", "y", "t"])):
+        lines = joined._jdf.queryExecution().executedPlan().toString().splitlines()
+        sent = [lines[k + 1] for k, line in enumerate(lines) if "Exchange " in line]
+        assert len(sent) == 2
+        for line, side, more in zip(sent, "ab", (["part"], ["part", "steps"])):
+            for c in [f"{c}_{side}" for c in own] + more:
+                assert f" {c}#" in line or f"[{c}#" in line
+            assert not any(f" AS {c}" in line or f", {c}#" in line.split(" AS ")[0] for c in ("cx", "cy", "tile_", "lo#", "hi#"))
+
+
+def test_tiles_of_rows_are_found_again(spark):
+    rnd = random.Random(8)
+    p = spark.createDataFrame([(k, rnd.choice([-1e-9, 0.0, 8.0, -8.0, rnd.uniform(-40, 40)]), rnd.uniform(-40, 40)) for k in range(300)], "pid long, x double, y double")
+    cells = ["cx", "cy"]
+    got = pairs._tiled(pairs._sides(p, p, 1.0)[1], cells, True).withColumn("steps", pairs._steps(cells))
+    again = got.select("tile_cx", "tile_cy", *(v.alias(f"{k}_again") for k, v in pairs._stepped(cells, F.col("steps")).items()))
+    assert got.count() > 300
+    assert again.where("tile_cx_again != tile_cx OR tile_cy_again != tile_cy").count() == 0
+    assert some(pairs.distance_join(p, p, 1.0), "pid_a", "pid_b") == some(pairs.nested_loop_join(p, p, 1.0), "pid_a", "pid_b")
