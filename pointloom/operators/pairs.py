@@ -8,7 +8,7 @@ again. Only there is a left row repeated for the cells around it,
 each of which is looked up in a hash table of the right rows; the exact test is the join's residual
 condition. Each pair is found once. The cell in time does travel: it costs more to work out than to send.
 
-Tiles, and cells of box joins, are counted before the join. The left rows of one with many pairs are dealt
+Tiles (of one that may have many pairs its cells, too), and cells of box joins, are counted before the join. The left rows of one with many pairs are dealt
 to shares, and its right rows are copied to each of them, so that it is pairs that are balanced, not bytes.
 """
 
@@ -129,26 +129,40 @@ def _stepped(cells: list[str], steps: Column) -> dict[str, Column]:
     return {f"tile_{c}": _tile(F.col(c)) + F.shiftright(steps, 2 * k).bitwiseAND(3) - 1 for k, c in enumerate(cells)}
 
 
+def _rows_by(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, l, r): the rows of a and b."""
+    one, none = F.lit(1.0), F.lit(0.0)
+    both = a.select(*keys, one.alias("l"), none.alias("r")).unionByName(b.select(*keys, none.alias("l"), one.alias("r")))
+    return both.groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+
+
 def _dealt(a: DataFrame, b: DataFrame, cells: list[str], more: list[str]) -> tuple[DataFrame | None, int, int]:
     """(tiles, left rows, right rows): (tile, shares_a, shares_b) of the tiles that are dealt to several shares, None if there are none.
 
-    Rows are counted by cell before they are copied to the tiles around. A tile has no more pairs to compare than rows of a by rows of b, nor
-    than 3 ** axes / 2 times the squares of its cells' counts.
+    A tile has no more pairs to compare than rows of a by rows of b, nor than 3 ** axes / 2 times the squares of its cells' counts.
+    Cells are counted only in tiles whose rows leave it open: where points are sparse there are about as many cells as rows.
     """
     tile = [f"tile_{c}" for c in cells] + more
-    each = lambda df, side: df.groupBy(*cells, *more).agg(F.count("*").cast("double").alias(side))
-    left = _tiled(each(a, "l"), cells, False).withColumn("r", F.lit(0.0))
-    right = _tiled(each(b, "r"), cells, True).withColumn("l", F.lit(0.0))
-    sums = left.select(*tile, "l", "r").unionByName(right.select(*tile, "l", "r")).groupBy(*tile)
-    many = sums.agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum(F.col("l") * F.col("l") + F.col("r") * F.col("r")).alias("q"))
+    a, b = _tiled(a.select(*cells, *more), cells, False), _tiled(b.select(*cells, *more), cells, True)
+    tiles = _rows_by(a, b, tile).where("l > 0 AND r > 0")
+    open_ = (F.col("l") * F.col("r") > SHARE_PAIRS) | (F.col("r") > PART_ROWS)
+    sure = tiles.agg(F.sum(F.when(~open_, F.col("l"))), F.sum(F.when(~open_, F.col("r"))), F.count_if(open_)).first()
+    rows = int(sure[0] or 0), int(sure[1] or 0)
+    if not sure[2]:
+        return None, *rows
+    large = tiles.where(open_).select(*tile)
+    if sure[2] <= DENSE_CELLS:
+        large = F.broadcast(a.sparkSession.createDataFrame(large.collect(), large.schema))
+    each = _rows_by(a.join(large, tile, "left_semi"), b.join(large, tile, "left_semi"), [*tile, *cells])
+    many = each.groupBy(*tile).agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum(F.col("l") * F.col("l") + F.col("r") * F.col("r")).alias("q"))
     work = F.least(F.col("l") * F.col("r"), F.col("q") * (3 ** len(cells) / 2))
     shares_b = F.greatest(F.ceil(F.col("r") / PART_ROWS), F.lit(1))
-    many = many.where("l > 0 AND r > 0").withColumn("shares_b", shares_b.cast("int"))
+    many = many.withColumn("shares_b", shares_b.cast("int"))
     shares_a = F.greatest(F.least(F.ceil(work / F.col("shares_b") / SHARE_PAIRS), F.col("l")), F.lit(1))
     many = many.withColumn("shares_a", shares_a.cast("int"))
     split = F.col("shares_a") * F.col("shares_b") > 1
-    held = many.agg(F.sum(F.col("l") * F.col("shares_b")), F.sum(F.col("r") * F.col("shares_a")), F.sum(split.cast("int"))).first()
-    rows = int(held[0] or 0), int(held[1] or 0)
+    held = many.agg(F.sum(F.col("l") * F.col("shares_b")), F.sum(F.col("r") * F.col("shares_a")), F.count_if(split)).first()
+    rows = rows[0] + int(held[0] or 0), rows[1] + int(held[1] or 0)
     if not held[2]:
         return None, *rows
     dense = many.where(split).select(*tile, "shares_a", "shares_b")

@@ -173,3 +173,33 @@ def test_tiles_of_rows_are_found_again(spark):
     assert got.count() > 300
     assert again.where("tile_cx_again != tile_cx OR tile_cy_again != tile_cy").count() == 0
     assert some(pairs.distance_join(p, p, 1.0), "pid_a", "pid_b") == some(pairs.nested_loop_join(p, p, 1.0), "pid_a", "pid_b")
+
+
+@pytest.mark.parametrize("most, rows", [(4_000_000, 250_000), (300, 250_000), (300, 20), (4_000_000, 20)])
+def test_cells_are_counted_only_in_tiles_that_may_have_many_pairs(spark, monkeypatch, most, rows):
+    from collections import Counter
+    from math import ceil, floor
+
+    monkeypatch.setattr(pairs, "SHARE_PAIRS", most)
+    monkeypatch.setattr(pairs, "PART_ROWS", rows)
+    p, q = crowd(spark, 200), crowd(spark, 100, 2)
+    keys, grouped = [], type(p).groupBy
+    monkeypatch.setattr(type(p), "groupBy", lambda df, *cols: keys.append((cols, df)) or grouped(df, *cols))
+    dense, held_a, held_b = pairs._dealt(*pairs._sides(p, q, 1.5)[:2], ["cx", "cy"], [])
+    monkeypatch.undo()
+    cells = {side: [tuple(floor(v / (1.5 * (1 + 1e-9))) for v in (r["x"], r["y"])) for r in df.collect()] for side, df in (("l", p), ("r", q))}
+    left = Counter(((x // 8, y // 8), (x, y)) for x, y in cells["l"])
+    right = Counter(((u, v), (x, y)) for x, y in cells["r"] for u in {(x - 1) // 8, (x + 1) // 8} for v in {(y - 1) // 8, (y + 1) // 8})
+    want, want_a, want_b, large = {}, 0, 0, 0
+    for tile in {k[0] for k in left} & {k[0] for k in right}:
+        (n, m), square = (sum(c for k, c in side.items() if k[0] == tile) for side in (left, right)), sum(c * c for side in (left, right) for k, c in side.items() if k[0] == tile)
+        b = max(1, ceil(m / rows))
+        a = max(1, min(ceil(min(n * m, square * 4.5) / b / most), n))
+        want_a, want_b, large = want_a + n * b, want_b + m * a, large + (n * m > most or m > rows)
+        want |= {(*tile, a, b): 1} if a * b > 1 else {}
+    assert (held_a, held_b) == (want_a, want_b)
+    assert (some(dense, "tile_cx", "tile_cy", "shares_a", "shares_b") if dense is not None else []) == sorted(want)
+    by_cell = [df for cols, df in keys if "cx" in cols]
+    assert len(by_cell) == (1 if large else 0)
+    if large:
+        assert by_cell[0].select("tile_cx", "tile_cy").distinct().count() == large
